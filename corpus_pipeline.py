@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, quality
+from tidemark.llm import decontamination, mixing, quality, sketch_join, suffix_dedup
 from tidemark.llm.frames import shared_folder
 
 
@@ -19,12 +19,33 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_quality(spark, docs, table(spark, sf_dir, "labels"))
 
 
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return sketch_join.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the long strings that also stand elsewhere."""
+    return suffix_dedup.without_repeats(docs)
+
+
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item occurs."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
-STAGES = [("quality classifier", keep_quality), ("benchmark decontamination", remove_contaminated)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How often each document is taken for its source to meet its target weight."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("suffix-array dedup", cut_repeats),
+    ("benchmark decontamination", remove_contaminated),
+    ("mixing sources", mix_sources),
+]
 #: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontamination, html_extraction, licenses, mixing, quality, repetition
+from tidemark.llm import chat, decontamination, html_extraction, licenses, mixing, quality, repetition, sketch_join, suffix_dedup
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -48,6 +48,12 @@ select conv_id, count(*) as n_turns,
 from e group by conv_id"""
 
 
+@query
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sketch_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -72,6 +78,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(docs, table(spark, sf_dir, "labels")).select("doc_id", "n_grams", "log_weight", "gumbel_key", "kept")
 
 
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.cut_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query
 def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
