@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontamination, html_extraction, licenses, mixing, quality, repetition, sketch_join, suffix_dedup
+from tidemark.llm import chat, decontamination, html_extraction, licenses, mixing, pitman_yor, quality, repetition, sketch_join, suffix_dedup
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -90,6 +90,12 @@ def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(docs).drop("text")
 
 
+@query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pitman_yor.score_texts(docs)
+
+
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
