@@ -52,19 +52,30 @@ def choose_paths(nodes: DataFrame, branches: int) -> DataFrame:
 
     nodes: tree, node, parent, score; parent is null at roots.
     """
-    jumps = []
+    jumps, done = [], []
     reach = written(nodes.select("tree", "node", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("length")), "chat-reach")
     most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    while reach.where("up is not null").limit(1).count() and (1 << len(jumps)) <= 2 * most:
-        jumps.append(reach.where("up is not null").select("tree", "node", "up"))
-        above = reach.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("further"), F.col("total").alias("more"), F.col("length").alias("longer"))
-        step = reach.join(above, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")), "left")
+    while True:
+        # Messages whose pointer has passed the root are done; only the others go on.
+        done.append(reach.where("up is null"))
+        open_ = reach.where("up is not null")
+        if not open_.limit(1).count() or (1 << len(jumps)) > 2 * most:
+            break
+        jumps.append(open_.select("tree", "node", "up"))
+        everything = open_
+        for d in done:
+            everything = everything.unionByName(d)
+        above = everything.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("further"), F.col("total").alias("more"), F.col("length").alias("longer"))
+        step = open_.join(above, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")), "left")
         reach = written(
             step.select("tree", "node", F.col("further").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("longer", F.lit(0))).alias("length")),
             "chat-reach",
         )
+    reached = done[0]
+    for d in done[1:]:
+        reached = reached.unionByName(d)
     parents = nodes.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
-    leaves = reach.where("up is null").join(parents, ["tree", "node"], "left_anti")
+    leaves = reached.join(parents, ["tree", "node"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("length"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches)
     path = chosen.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("up_steps"))
