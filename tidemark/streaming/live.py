@@ -151,15 +151,15 @@ def stream_statistics(tensors: DataFrame, config: IndicatorConfig = IndicatorCon
     return long_form(reduce_tensors(tensors, metrics), metrics).drop("metric_ord")
 
 
-def run_to_table(stream: DataFrame, key: Sequence[str], newest: str = "count") -> DataFrame:
-    """Run a stream of updates until its input is read, and return the newest row of each key."""
+def run_to_table(stream: DataFrame, key: Sequence[str], newest: str = "count", mode: str = "update") -> DataFrame:
+    """Run a stream of updates (or, in append mode, of new rows) until its input is read, and return the newest row of each key."""
     spark = stream.sparkSession
     out, at = scratch(spark, "stream-out"), scratch(spark, "stream-state")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")  # a batch that is repeated replaces itself
 
-    query = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", at).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", at).trigger(availableNow=True).start()
     query.awaitTermination()
     found = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
     return newest_rows(found, key, newest, stream.columns)
