@@ -30,9 +30,9 @@ def query(oracle: str | None):
 
 
 def rounded(df: DataFrame, *keep: str, digits: int = 6) -> DataFrame:
-    """df with its doubles rounded."""
+    """df with its doubles rounded, and no negative zeros."""
     cols = df.select(*keep) if keep else df
-    return cols.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in cols.dtypes))
+    return cols.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in cols.dtypes))
 
 
 # Sources of observations.
@@ -147,7 +147,7 @@ def _cells(df: DataFrame, bins: int, keys: list[str]) -> DataFrame:
 
 
 def _hist_sql(with_: str, bins: int, keys: list[str], source: str = "hist") -> str:
-    return f"with {with_} select {', '.join(keys)}, {', '.join(f'bin_{i}' for i in range(bins))}, {', '.join(HIST_CELLS[:4])}, {', '.join(f'round({c}, 6) as {c}' for c in HIST_CELLS[4:])} from {source}"
+    return f"with {with_} select {', '.join(keys)}, {', '.join(f'bin_{i}' for i in range(bins))}, {', '.join(HIST_CELLS[:4])}, {', '.join(f'round({c}, 6) + 0.0 as {c}' for c in HIST_CELLS[4:])} from {source}"
 
 
 @query(_hist_sql(sql.histogram(sql.FAULTS, 1, 4, "20.0", "80.0"), 4, KEYS))
@@ -169,7 +169,7 @@ _MERGED = ", ".join(["count(*) as samples", *(f"sum(bin_{i})::bigint as bin_{i}"
 
 
 @query(f"with {sql.histogram(sql.EVENTS, 2, 4, '20.0', '80.0')}, m as (select {', '.join(sql.KEYS)}, {_MERGED} from hist group by {', '.join(sql.KEYS)}) "
-       f"select {', '.join(sql.KEYS)}, samples, {', '.join(f'bin_{i}' for i in range(4))}, {', '.join(HIST_CELLS[:4])}, {', '.join(f'round({c}, 4) as {c}' for c in HIST_CELLS[4:])} from m")
+       f"select {', '.join(sql.KEYS)}, samples, {', '.join(f'bin_{i}' for i in range(4))}, {', '.join(HIST_CELLS[:4])}, {', '.join(f'round({c}, 4) + 0.0 as {c}' for c in HIST_CELLS[4:])} from m")
 def hist_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = histograms.histograms(_plain(spark, sf_dir), HistogramConfig(bins=4, value_range=(20.0, 80.0), every_n_samples=2))
     one = histograms.merged(each, PATH)
@@ -261,14 +261,14 @@ def _rule(category: str) -> None:
         return scores(all_candidates(spark, sf_dir).where(F.col("category") == category))
 
     run.__name__ = f"rule_{category}"
-    query(f"with {sql.candidates(sql.ALL)} select {', '.join(SERIES)}, category, round(score, 6) as score from candidates where category = '{category}'")(run)
+    query(f"with {sql.candidates(sql.ALL)} select {', '.join(SERIES)}, category, round(score, 6) + 0.0 as score from candidates where category = '{category}'")(run)
 
 
 for _c in CATEGORIES:
     _rule(_c)
 
 
-@query(f"with {sql.topk(sql.ALL, 5)} select {', '.join(SERIES)}, category, round(score, 6) as score, rank from best")
+@query(f"with {sql.topk(sql.ALL, 5)} select {', '.join(SERIES)}, category, round(score, 6) + 0.0 as score, rank from best")
 def topk_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(rules.top_findings(all_candidates(spark, sf_dir), 5), "rank").withColumn("rank", F.col("rank").cast("long"))
 
@@ -294,7 +294,7 @@ _RANK_METRICS = ["rms", "finite_fraction"]
 
 
 @query(f"with {sql.candidates(sql.RANKED, _RANK_METRICS)}, local as (select *, row_number() over (partition by source_rank, category order by score desc, module, call_index, signal, tensor_path, metric) as r from candidates qualify r <= 3), "
-       f"best as (select *, row_number() over (partition by category order by score desc, source_rank, module, call_index, signal, tensor_path, metric) as rank from local qualify rank <= 5) select {', '.join(SERIES)}, category, round(score, 6) as score, rank from best")
+       f"best as (select *, row_number() over (partition by category order by score desc, source_rank, module, call_index, signal, tensor_path, metric) as rank from local qualify rank <= 5) select {', '.join(SERIES)}, category, round(score, 6) + 0.0 as score, rank from best")
 def merge_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.event_rows(events(spark, sf_dir), source_rank=F.col("user_id") % 4)
     found = rules.candidates(indicators.series_of(values_of(rows, _RANK_METRICS)))
@@ -310,7 +310,7 @@ def rank_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Dashboards.
-@query(f"with {sql.stats(sql.EVENTS)} " + " union all ".join(f"select 'telemetry/modules/' || module || '/call_0/output.value/{m}' as name, round({m}, 6) as value, sample_id as step from stats" for m in ("mean", "rms", "max_abs")))
+@query(f"with {sql.stats(sql.EVENTS)} " + " union all ".join(f"select 'telemetry/modules/' || module || '/call_0/output.value/{m}' as name, round({m}, 6) + 0.0 as value, sample_id as step from stats" for m in ("mean", "rms", "max_abs")))
 def metric_log_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(dashboards.flat_metrics(values_of(_plain(spark, sf_dir), ["mean", "rms", "max_abs"])))
 

@@ -49,7 +49,7 @@ stats as (select {b}, {", ".join(f"{e} as {n}" for n, e in made.items())} from b
 
 
 def stats_query(obs: str, metrics: list[str], keys: list[str] = TENSOR, digits: int = 6) -> str:
-    return f"with {stats(obs, keys)} select {', '.join(keys)}, {', '.join(f'round({m}, {digits}) as {m}' for m in metrics)} from stats"
+    return f"with {stats(obs, keys)} select {', '.join(keys)}, {', '.join(f'round({m}, {digits}) + 0.0 as {m}' for m in metrics)} from stats"
 
 
 def values(obs: str, metrics: list[str]) -> str:
@@ -98,7 +98,7 @@ series as (select {", ".join(f"a.{x}" for x in SERIES)}, a.count, a.count >= 21
 
 def series_query(obs: str, metrics: list[str], columns: list[str], digits: int = 6) -> str:
     whole = {"count", "warmup_complete", "consecutive_increases", "consecutive_decreases", "first_sample", "latest_sample", "minimum_sample", "maximum_sample"}
-    cols = [c if c in whole else f"round({c}, {digits}) as {c}" for c in columns]
+    cols = [c if c in whole else f"round({c}, {digits}) + 0.0 as {c}" for c in columns]
     return f"with {series(obs, metrics)} select {', '.join(SERIES)}, {', '.join(cols)} from series"
 
 
