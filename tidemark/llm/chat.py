@@ -78,12 +78,19 @@ def choose_paths(nodes: DataFrame, branches: int) -> DataFrame:
     leaves = reached.join(parents, ["tree", "node"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("length"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches)
-    path = chosen.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("up_steps"))
+    path = chosen.select("tree", F.col("node").alias("leaf"), "rank", "length", "node", F.lit(0).cast("long").alias("up_steps"))
+    # A path of n messages is whole after log2(n) rounds and then leaves the loop, so all rounds together write twice the result's rows.
+    whole = []
     for k, jump in enumerate(jumps):
-        far = jump.withColumnRenamed("up", "above")
-        both = F.array(F.struct("node", "up_steps"), F.struct(F.col("above").alias("node"), (F.col("up_steps") + (1 << k)).alias("up_steps")))
-        path = path.join(far, ["tree", "node"], "left").select("tree", "leaf", "rank", F.explode(both).alias("x")).where("x.node is not null").select("tree", "leaf", "rank", "x.*")
-    return path
+        far = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("above"))
+        moved = path.join(far, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n")))
+        moved = moved.select("tree", "leaf", "rank", "length", F.col("above").alias("node"), (F.col("up_steps") + (1 << k)).alias("up_steps"))
+        grown = written(path.unionByName(moved), "chat-paths")
+        whole.append(grown.where(F.col("length") <= 2 << k))
+        path = grown.where(F.col("length") > 2 << k)
+    for w in whole:
+        path = path.unionByName(w)
+    return path.drop("length")
 
 
 def format_chats(messages: DataFrame, tree_col: str = "tree_id", id_col: str = "message_id", parent_col: str = "parent_id", role_col: str = "role", text_col: str = "text", score_col: str | None = None, branches: int = 1) -> DataFrame:
