@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a task works on at once; a longer text is a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 #: Whitespace words: bytes other than space and 0x09-0x0D (a Java pattern).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 

@@ -1,21 +1,24 @@
 """N-gram Jaccard join: parity sketches, pigeonhole join by size band, verification (operator 2).
 
-A document is its set of distinct 5-word shingles, as 64-bit hashes. Its sketch for a size band has m
-cells: each shingle is XORed into the cell its hash names, so an even number of equal entries vanishes and
+A document is its set of distinct 5-word shingles, as 64-bit hashes. Sizes fall into bands of a factor of two; a
+set takes part in the join of its own band, and of the next one if a linked set can be there. A band has as many
+cells as its least size: each shingle is XORed into the cell its hash names, so an even number of equal entries vanishes and
 a cell is the parity (as a 64-bit scramble) of the shingles in it. The number of cells in which two
 sketches differ - their Hamming distance - is at most the size of the symmetric difference. Sets of sizes a and b with
-100 * intersection >= 80 * union differ in at most (a + b) / 9 shingles: k for the largest sizes of
-the band. With m > k cells at least m - k are equal, so a join on (band, cell number, cell) finds every link.
+100 * intersection >= 80 * union differ in at most (a + b) / 9 shingles, a quarter of either. A set with c cells that are
+not empty shares at least c less that many with every set that it is linked with, so a join on (band, cell number, cell) finds every link.
 
 How the work is kept whole and bounded:
 - Documents with the same set are one class and are never paired.
-- Cells are dealt to tasks packed, and only cells that two classes share leave the tasks.
-- Star round: each class is verified against the one least class with which it shares most cells; the links'
-  components settle the cells whose classes are all in one component. Groups of near copies end here, at one pair a copy.
-- Rest: in cells that are not settled, pairs of different components that share enough cells are verified.
-  A cell shared by many (over `crowd`) classes, such as one of a passage that many documents quote, is left
-  out for classes that have enough other cells: m - k equal cells, less the empty ones and those left out, is
-  still above zero, so each of their links shows elsewhere. Classes that have not keep them. Nothing is dropped.
+- Cells are dealt to tasks packed, and only cells that two classes share leave the tasks. A class that shares
+  fewer cells than any link of it must share is out.
+- Star rounds: each class is verified against one class of another component, of those that its cells propose the one with
+  which it shares most cells, if those are enough; the links' components settle the cells whose classes are all in
+  one component. Groups of near copies shrink in every round, at one pair a copy. The number of rounds doesn't change the result.
+- Rest: a class that shares s cells, of which a link needs r, meets others in its s - r + 1 rarest cells only. Two classes with r
+  common cells have one of these in common, whatever the rest, so cells of passages that many documents quote are
+  left out without losing a link. Pairs meet only if bit sketches of a fixed length, in which every shingle flips one bit, differ in
+  no more bits than linked sets in shingles, and must share enough of all their cells before their sets are compared.
 
 Defined cases: null and empty texts, and texts without words, have an empty set, link with nothing and are
 their own component. Fewer than 5 words: the whole sequence is the one shingle. Repeated rows are in one class. A null
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,8 +43,12 @@ from tidemark.llm.graphs import components
 SHINGLE = 5
 #: Least similarity, as numerator and denominator.
 SIMILAR = (80, 100)
-#: Classes in one cell above which it is left out where that is safe.
-CROWD = 16
+#: Bits of a cell's key that hold the band; bytes of it that travel, beside the part that its leading bits choose.
+BAND_BITS, KEY_BYTES = 6, 6
+#: 64-bit words of a bit sketch.
+SKETCH_WORDS = 8
+#: Star rounds at most; what they leave open is compared in pairs.
+STARS = 2
 #: Packed cells that a task holds before it sends them on.
 FLUSH = 1_000_000
 #: Bits of the filter that tells which sets a verification needs; beyond its capacity it only lets more pass.
@@ -73,61 +80,59 @@ def set_id(hashes: np.ndarray) -> int:
     return int(tokens.mix(tokens.mix(pair[:1]) ^ pair[1:] + _U(len(hashes))).view(np.int64)[0])
 
 
-def band_starts(most: int = 1 << 40) -> list[int]:
-    """Least sizes of the bands: a set links only with sets of its own and of the next band."""
+def most_apart(n: int) -> int:
+    """The most shingles in which a set linked with one of n differs from it: the linked set has at most n * 100 / 80."""
     low, high = SIMILAR
-    starts = [1, 2]
-    while starts[-1] < most:
-        starts.append(max(starts[-1] + 1, (starts[-1] - 1) * high // low + 1))
-    return starts
-
-
-BANDS = np.array(band_starts())
+    return n * (high - low) // low
 
 
 def bands_of(n: int) -> list[int]:
-    """The bands in whose join a set of n shingles takes part: its own, and the next one if a set in it can be near enough."""
-    own = int(np.searchsorted(BANDS, n, "right") - 1)
-    low, high = SIMILAR
-    return [own, own + 1] if n * high >= BANDS[own + 1] * low else [own]
-
-
-def band_cells(band: int) -> tuple[int, int]:
-    """(m, k): cells of the sketch and the most shingles in which a linked pair of the band differs."""
+    """The bands in whose join a set of n shingles takes part: its own, from 2**band on, and the next one if a set in it can be near enough."""
+    own = n.bit_length() - 1
     low, high = SIMILAR
-    largest = int(BANDS[band + 1]) - 1
-    k = 2 * largest * (high - low) // (high + low)
-    return k + 2 + k // 8, k
+    return [own, own + 1] if n * high >= (2 << own) * low else [own]
 
 
-def sketch(hashes: np.ndarray, band: int) -> tuple[np.ndarray, int]:
-    """Keys of the cells that are not empty, and the least number of them that a linked set shares."""
-    m, k = band_cells(band)
-    cell = ((hashes >> _U(32)) * _U(m)) >> _U(32)  # grows with the hash: each cell is a run of the sorted set
+def sketch(hashes: np.ndarray, band: int) -> np.ndarray:
+    """Keys of the cells that are not empty, of 2**band cells; the band stands in their lowest bits."""
+    cell = hashes >> _U(64 - band) if band else hashes & _U(0)  # grows with the hash: each cell is a run of the sorted set
     first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     parity = np.bitwise_xor.reduceat(tokens.mix(hashes), first)
     keys = tokens.mix(parity ^ tokens.mix(cell[first] + (_U(band + 1) << _U(40))))
-    return keys, m - k - (m - len(first))
+    return keys >> _U(BAND_BITS) << _U(BAND_BITS) | _U(band)
+
+
+def bit_sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH_WORDS * 64 bits, of which every shingle flips one."""
+    place = (tokens.mix(hashes + _U(3)) % _U(SKETCH_WORDS * 64)).astype(np.int64)
+    bits = (np.bincount(place, minlength=SKETCH_WORDS * 64) & 1).astype(np.uint8)
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
 
 def named_sets(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """doc_id, n_shingles, set_id."""
+    """doc_id, n_shingles, set_id, own_band, own_cells, next_cells: the cells that aren't empty in the set's bands."""
     kept = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    names = ["doc_id", "n_shingles", "set_id", "own_band", "own_cells", "next_cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, texts in pieces(batch, 1):
-                sets = shingle_sets(texts)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "set_id"])
+                made = []
+                for s in shingle_sets(texts):
+                    n = len(s)
+                    own, *more = bands_of(n) if n else [0]
+                    made.append((n, set_id(s), own, len(sketch(s, own)) if n else 0, len(sketch(s, more[0])) if more else None))
+                columns = [pa.array([m[i] for m in made], pa.int64() if i < 2 else pa.int32()) for i in range(5)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), *columns], names=names)
 
-    return kept.mapInArrow(run, f"doc_id {dict(kept.dtypes)['doc_id']}, n_shingles long, set_id long")
+    return kept.mapInArrow(run, f"doc_id {dict(kept.dtypes)['doc_id']}, n_shingles long, set_id long, own_band int, own_cells int, next_cells int")
 
 
 def shared_cells(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
-    """cell, band, id, need, least: the classes in every cell that two classes or more share; least is the least of them.
+    """cell, band, id, size: the classes in every cell that two classes or more share, and how many they are.
 
-    need: how many cells of the class a linked class must share. Cells travel packed: one row holds the
-    cells of many classes for one of `parts` ranges of keys.
+    Cells travel packed: one row holds the cells of many classes for one of `parts` ranges of keys. Keys that meet by chance
+    only add candidates.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,17 +142,18 @@ def shared_cells(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
         def flush():
             nonlocal keys, records, held
             all_keys = np.concatenate(keys)
-            owner = np.repeat(np.arange(len(records)), [len(k) for k in keys])
+            owner = np.repeat(np.arange(len(records), dtype=np.int32), [len(k) for k in keys])
             part = ((all_keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            all_keys, owner, part = all_keys[order], owner[order], part[order]
+            owner, part = owner[order], part[order]
+            low = all_keys[order].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             limits = [*first.tolist(), len(part)]
             about = np.array(records, np.int64)
             cells, owners, counts = [], [], []
             for a, b in zip(limits[:-1], limits[1:], strict=True):
                 mine, n = np.unique(owner[a:b], return_counts=True)
-                cells.append(all_keys[a:b].tobytes())
+                cells.append(low[a:b].tobytes())
                 owners.append(about[mine].tobytes())
                 counts.append(n.astype(np.int32).tobytes())
             keys, records, held = [], [], 0
@@ -161,9 +167,9 @@ def shared_cells(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
                         continue
                     seen.add(name)
                     for band in bands_of(len(s)):
-                        found, need = sketch(s, band)
+                        found = sketch(s, band)
                         keys.append(found)
-                        records.append((name, band, need))
+                        records.append(name)
                         held += len(found)
                 if held >= FLUSH:
                     yield flush()
@@ -171,10 +177,13 @@ def shared_cells(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
             yield flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        cells = np.concatenate([np.frombuffer(x, _U) for x in table.column("cells").to_pylist()])
+        low = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, KEY_BYTES) for x in table.column("cells").to_pylist()])
+        cells = np.zeros((len(low), 8), np.uint8)
+        cells[:, :KEY_BYTES] = low
+        cells = cells.view(_U).ravel()
         counts = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()])
-        about = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in table.column("owners").to_pylist()])
-        owner = np.repeat(np.arange(len(counts)), counts)
+        about = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("owners").to_pylist()])
+        owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         order = np.argsort(cells)
         s = cells[order]
         same = np.zeros(len(s) + 1, bool)
@@ -182,19 +191,20 @@ def shared_cells(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
         order = order[same[1:] | same[:-1]]
         key, rec = cells[order].view(np.int64), about[owner[order]]
         # Copies from other tasks: one entry for each class of a cell.
-        order = np.lexsort((rec[:, 0], key))
+        order = np.lexsort((rec, key))
         key, rec = key[order], rec[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (rec[1:, 0] != rec[:-1, 0])]) if len(key) else np.zeros(0, bool)
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (rec[1:] != rec[:-1])]) if len(key) else np.zeros(0, bool)
         key, rec = key[new], rec[new]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate([first, [len(key)]]))
-        least = np.repeat(rec[first, 0] if len(key) else key, size)
         keep = np.repeat(size, size) > 1
-        columns = [key, rec[:, 1].astype(np.int32), rec[:, 0], rec[:, 2].astype(np.int32), least]
-        return pa.table([pa.array(np.ascontiguousarray(c[keep])) for c in columns], names=["cell", "band", "id", "need", "least"])
+        part = table.column("part")[0].as_py() if len(table) else 0
+        band = (key & np.int64((1 << BAND_BITS) - 1)).astype(np.int32)
+        columns = [key + (np.int64(part) << np.int64(8 * KEY_BYTES)), band, rec, np.repeat(size, size).astype(np.int32)]
+        return pa.table([pa.array(np.ascontiguousarray(c[keep])) for c in columns], names=["cell", "band", "id", "size"])
 
     packed = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(pack, "part int, cells binary, owners binary, counts binary")
-    return packed.groupBy("part").applyInArrow(meet, "cell long, band int, id long, need int, least long")
+    return packed.groupBy("part").applyInArrow(meet, "cell long, band int, id long, size int")
 
 
 def filter_bits(ids: DataFrame) -> np.ndarray:
@@ -209,7 +219,7 @@ def filter_bits(ids: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, text_col: str, ids: DataFrame) -> DataFrame:
-    """id, hashes: the sets of the named ids, packed; one row an id."""
+    """id, n, hashes, sketch: the sets of the named ids, packed, and their bit sketches; one row an id."""
     field = docs.sparkSession.sparkContext.broadcast(filter_bits(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +228,7 @@ def sets_of(docs: DataFrame, text_col: str, ids: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for _, texts in pieces(batch, 0):
-                names, packed = [], []
+                made = []
                 for s in shingle_sets(texts):
                     if not len(s):
                         continue
@@ -226,18 +236,16 @@ def sets_of(docs: DataFrame, text_col: str, ids: DataFrame) -> DataFrame:
                     place = (name & (2**64 - 1)) >> shift
                     if int(bits[place >> 6]) >> (place & 63) & 1 and name not in seen:
                         seen.add(name)
-                        names.append(name)
-                        packed.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(packed, pa.binary())], names=["id", "hashes"])
+                        made.append((name, len(s), s.tobytes(), bit_sketch(s).tolist()))
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], names=["id", "n", "hashes", "sketch"])
 
-    found = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "id long, hashes binary")
-    return found.join(ids, "id", "left_semi").groupBy("id").agg(F.first("hashes").alias("hashes"))
+    found = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "id long, n long, hashes binary, sketch array<long>")
+    return found.join(ids, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.first("sketch").alias("sketch"))
 
 
-def linked(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that are similar enough, by their whole sets."""
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "join-ids")
-    sets = written(sets_of(docs, text_col, ids), "join-sets")
     low, high = SIMILAR
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,37 +268,92 @@ def linked(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     return with_b.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
 
 
-def rest_pairs(shared: DataFrame, comps: DataFrame, crowd: int) -> DataFrame:
-    """Pairs of classes in different components that may be linked, by the cells that are not settled."""
-    rows = shared.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other")
-    rows = written(rows.join(cells.select("cell", "size"), "cell"), "join-open")
-    crowded = rows.groupBy("id", "band").agg(F.count_if(F.col("size") > crowd).cast("int").alias("crowded"))
-    rows = rows.join(crowded, ["id", "band"]).withColumn("left_need", F.col("need") - F.col("crowded"))
-    rows = written(rows.where((F.col("size") <= crowd) | (F.col("left_need") <= 0)), "join-rest")
-    x = rows.select("cell", "band", *(F.col(c).alias(f"{c}_a") for c in ("id", "component", "need", "left_need")))
-    y = rows.select("cell", *(F.col(c).alias(f"{c}_b") for c in ("id", "component", "need", "left_need")))
-    met = x.join(y, "cell").where("id_a < id_b and component_a <> component_b")
-    both_open = (F.col("left_need_a") <= 0) & (F.col("left_need_b") <= 0)
-    least = F.when(both_open, F.greatest("need_a", "need_b")).otherwise(F.greatest("left_need_a", "left_need_b"))
-    met = met.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "band").agg(F.count(F.lit(1)).alias("n"), F.max(least).alias("least"))
-    return met.where("n >= least").select("a", "b").distinct()
-
-
-def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", crowd: int = CROWD) -> DataFrame:
+def strong_cells(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of shared whose class shares enough cells, with cells (its cells that aren't empty), need (how many of them a linked class shares) and
+    `rare`: whether the class meets others in the cell.
+
+    A window holds one class's cells of one band, at most as many as its shingles.
+    """
+    own = Window.partitionBy("id", "band")
+    low, high = SIMILAR
+    about = classes.select(F.col("set_id").alias("id"), F.col("n_shingles").alias("n"), "own_band", "own_cells", "next_cells")
+    rows = shared.join(about, "id").withColumn("cells", F.when(F.col("band") == F.col("own_band"), F.col("own_cells")).otherwise(F.col("next_cells")))
+    need = (F.col("cells") - F.floor(F.col("n") * F.lit(high - low) / F.lit(low))).cast("int")
+    ranked = rows.withColumns({"need": F.greatest(need, F.lit(1)), "all": F.count(F.lit(1)).over(own), "r": F.row_number().over(own.orderBy("size", "cell"))})
+    return ranked.where(F.col("all") >= F.col("need")).select("cell", "band", "id", "cells", "need", (F.col("r") <= F.col("all") - F.col("need") + 1).alias("rare"))
+
+
+def near_sketches(a: str, b: str) -> Column:
+    """Whether two sets, by sizes and bit sketches, may be similar enough: sketches differ in no more bits than the sets in shingles."""
+    low, high = SIMILAR
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    bits = [F.bit_count(F.get(f"{a}.sketch", i).bitwiseXOR(F.get(f"{b}.sketch", i))) for i in range(SKETCH_WORDS)]
+    differ = bits[0]
+    for x in bits[1:]:
+        differ = differ + x
+    return (F.least(n_a, n_b) * high >= F.greatest(n_a, n_b) * low) & (differ * (high + low) <= (n_a + n_b) * (high - low))
+
+
+def open_cells(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """rows with component (without comps: the class itself), of the cells in which two components or more are left."""
+    own = rows.withColumn("component", F.col("id")) if comps is None else rows.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = own.groupBy("cell").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("cell")
+    return own.join(mixed, "cell")
+
+
+def star_pairs(strong: DataFrame, comps: DataFrame | None, turn: int) -> DataFrame:
+    """Each class with the class of another component with which it shares most cells, of two that every cell proposes.
+
+    A cell proposes the least and the greatest (component, class) in an order by hash that differs from turn to turn.
+    """
+    rows = written(open_cells(strong, comps).select("cell", "band", "id", "need", "component"), "join-open")
+    name = F.struct(F.xxhash64("component", F.lit(turn)).alias("h"), F.xxhash64("id", F.lit(turn)).alias("i"), F.col("component"), F.col("id"))
+    ends = rows.groupBy("cell").agg(F.min(name).alias("low"), F.max(name).alias("high"))
+    x = rows.join(ends, "cell").withColumn("other", F.when(F.col("low.component") != F.col("component"), F.col("low.id")).otherwise(F.col("high.id")))
+    shared = x.groupBy("id", "band", "other").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need")
+    best = shared.groupBy("id").agg(F.max_by("other", F.struct("n", F.xxhash64("other", F.lit(turn)), "other")).alias("b"))
+    return best.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+
+
+def rest_pairs(strong: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of classes in different components that may be similar enough by their bit sketches and share as many cells as a link needs."""
+    rows = written(open_cells(strong.where("rare"), comps).select("cell", "band", "id", "component"), "join-open")
+    rows = rows.join(sets.select("id", "n", "sketch"), "id")
+    x, y = rows.alias("x"), rows.alias("y")
+    apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
+    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & apart & near_sketches("x", "y"))
+    met = written(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.band").alias("band")).distinct(), "join-met")
+    ids = met.select(F.col("a").alias("id"), "band").union(met.select(F.col("b").alias("id"), "band")).distinct()
+    cells = strong.join(ids, ["id", "band"], "left_semi").groupBy("id", "band").agg(F.first("cells").alias("all"), F.collect_list("cell").alias("cells"))
+    cells = written(cells.join(sets.select("id", "n"), "id"), "join-cells")
+    of = lambda side: cells.select(F.col("id").alias(side), "band", *(F.col(c).alias(f"{c}_{side}") for c in ("n", "all", "cells")))
+    both = met.join(of("a"), ["a", "band"]).join(of("b"), ["b", "band"])
+    low, high = SIMILAR
+    apart = F.floor((F.col("n_a") + F.col("n_b")) * F.lit(high - low) / F.lit(high + low))
+    near = F.size(F.array_intersect("cells_a", "cells_b")) >= F.greatest("all_a", "all_b") - apart
+    return both.where(near).select("a", "b").distinct()
+
+
+def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", stars: int = STARS) -> DataFrame:
     """doc_id, n_shingles, set_id, component_id: one row for each row of docs."""
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     members = written(named_sets(docs, text_col, id_col), "join-members")
-    shared = written(shared_cells(docs, text_col, parts), "join-shared")
-    stars = shared.where("id <> least").groupBy("id", "least").count().groupBy("id").agg(F.max_by("least", F.struct("count", "least")).alias("b")).select(F.col("id").alias("a"), "b")
-    links = written(linked(written(stars, "join-stars"), docs, text_col), "join-links")
-    comps = components(links)
-    rest = written(rest_pairs(shared, comps, crowd), "join-pairs")
+    cells = ["n_shingles", "own_band", "own_cells", "next_cells"]
+    classes = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least_doc"), *(F.first(c).alias(c) for c in cells))
+    strong = written(strong_cells(shared_cells(docs, text_col, parts), classes), "join-strong")
+    sets = written(sets_of(docs, text_col, strong.select("id").distinct()), "join-sets")
+    links, comps = None, None
+    for turn in range(stars):
+        pairs = star_pairs(strong, comps, turn)
+        found = written(linked(pairs, sets), "join-links")
+        if not found.limit(1).count() and turn:
+            break
+        links = found if links is None else links.union(found)
+        comps = components(links)
+    rest = written(rest_pairs(strong, comps, sets), "join-pairs")
     if rest.limit(1).count():
-        more = written(linked(rest, docs, text_col), "join-links")
-        comps = components(links.union(more))
-    classes = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least_doc"))
+        comps = components(links.union(written(linked(rest, sets), "join-links")))
     classes = classes.join(comps.select(F.col("id").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = classes.groupBy("component").agg(F.min("least_doc").alias("component_id"))
     named = classes.join(least, "component").select(F.col("set_id").alias("s"), "component_id")
