@@ -245,7 +245,7 @@ def indexed(found: DataFrame, length: int, parts: int) -> DataFrame:
                 begin = level.about[who, 1] + at - level.first[who]
                 yield rows(part=part[limits[:-1]], prints=cut(prints), ids=cut(level.about[who, 0]), begins=cut(begin), marked=cut(level.marked[at]))
 
-    return found.repartition(max(1, parts // 4), "gram", "salt").mapInArrow(run, FOUND)
+    return found.repartition(parts, "gram", "salt").mapInArrow(run, FOUND)
 
 
 def rows(**columns) -> pa.RecordBatch:
