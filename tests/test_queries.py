@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans import catalog
+from tidemark.plans import catalog, catalog_parts  # noqa: F401  the latter adds its queries
 
 SF = os.environ.get("TIDEMARK_TESTDATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

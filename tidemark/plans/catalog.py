@@ -285,7 +285,7 @@ def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((F.col("pos") + 1).cast("long").alias("place"), "col.category", "col.module", "col.metric", "col.call_index")
 
 
-@query(f"with {sql.candidates(sql.ALL)} select category, count(candidates.category) as candidates from (select unnest({CATEGORIES!r}) as category) left join candidates using (category) group by category".replace("candidates.category) as candidates", "score) as candidates"))
+@query(f"with {sql.candidates(sql.ALL)} select category, count(score) as candidates from (select unnest({CATEGORIES!r}) as category) left join candidates using (category) group by category")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.candidate_counts(all_candidates(spark, sf_dir), spark)
 
