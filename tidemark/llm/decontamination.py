@@ -7,8 +7,8 @@ comparison of the words' bytes confirms. Many cursors, one for every stretch of
 numpy; each stretch overlaps the next by a pattern, so whole texts are searched.
 
 Documents stay where they are: one narrow stage, no shuffle. The benchmark is the only broadcast; it goes
-out in blocks of at most `block_bytes` of text, one narrow stage after the other, so its size is bounded
-whatever the table holds.
+out in blocks of at most `block_bytes` of text, one narrow stage after the other with a written table between
+them, so its size is bounded whatever the table holds.
 
 Empty and null texts have no words: nothing is hit. Items without words are ignored. Items that repeat
 count once by item_id; a null item_id counts under the empty string. Rows of documents that repeat are
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import tokens
-from tidemark.llm.frames import map_texts, without
+from tidemark.llm.frames import map_texts, without, written
 
 WINDOW_WORDS = 10
 #: Bytes of benchmark text in one broadcast.
@@ -179,8 +179,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
             searchers = compiled(shared.value)
             return lambda texts: search(texts, searchers)
 
-        if k:
-            out = out.withColumnsRenamed({"hit_words": "_hit_words", "hit_items": "_hit_items"})
+        if k:  # one block at a time: each block's tables are in the memory of one stage
+            out = written(out, "benchmark-block").withColumnsRenamed({"hit_words": "_hit_words", "hit_items": "_hit_items"})
         out = map_texts(out, text_col, ADDED, make)
         if k:
             out = out.withColumns({c: F.array_sort(F.array_union(f"_{c}", c)) for c in ("hit_words", "hit_items")}).drop("_hit_words", "_hit_items")
