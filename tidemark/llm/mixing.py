@@ -6,8 +6,8 @@ fractional documents exchange mass, in words, at random and without bias until o
 Documents of like size (a factor of two) meet first, in small groups dealt by hash: one fold a group leaves one
 fractional document, the residuals of the groups are grouped again, and so on, a reduction tree of
 `fan_in`. Then the residuals of a source's size classes, at most 64, are rounded from the largest to the smallest
-so that what one size over- or undershoots the smaller ones make up for: each source ends within about the size of its
-smallest class of its target.
+so that what one size over- or undershoots the smaller ones make up for: a source of many documents ends within about the size of its
+smallest class of its target, one in which a single document holds much of all words within that document's size.
 
 No group holds more than about fan_in rows whatever a source's share of all rows; counts are pre-aggregated. All
 randomness comes from hashes of the rows, so reruns agree.
