@@ -12,9 +12,10 @@ How the work is kept whole and bounded:
 - Documents with the same set are one class and are never paired.
 - Cells are dealt to tasks packed, and only cells that two classes share leave the tasks. A class that shares
   fewer cells than any link of it must share is out.
-- Star rounds: each class is verified against one class of another component, of those that its cells propose the one with
-  which it shares most cells, if those are enough; the links' components settle the cells whose classes are all in
-  one component. Groups of near copies shrink in every round, at one pair a copy. The number of rounds doesn't change the result.
+- Star round: each class is verified against one class of those that its cells propose, the one with which it shares most cells,
+  if those are enough. Then, in further rounds, against some of other components that its rare cells propose. The links'
+  components settle the cells whose classes are all in one component, so groups of near copies shrink in every round, at a few
+  pairs a copy. The number of rounds doesn't change the result.
 - Rest: a class that shares s cells, of which a link needs r, meets others in its s - r + 1 rarest cells only. Two classes with r
   common cells have one of these in common, whatever the rest, so cells of passages that many documents quote are
   left out without losing a link. Pairs meet only if bit sketches of a fixed length, in which every shingle flips one bit, differ in
@@ -38,7 +39,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm import tokens
 from tidemark.llm.frames import map_texts, pieces, without, written
-from tidemark.llm.graphs import components
+from tidemark.llm.graphs import joined
 
 SHINGLE = 5
 #: Least similarity, as numerator and denominator.
@@ -47,8 +48,8 @@ SIMILAR = (80, 100)
 BAND_BITS, KEY_BYTES = 6, 6
 #: 64-bit words of a bit sketch.
 SKETCH_WORDS = 8
-#: Star rounds at most; what they leave open is compared in pairs.
-STARS = 2
+#: Rounds in which classes try some of another component, and how many each cell proposes; what they leave open is compared in pairs.
+STARS, PROPOSED = 2, 6
 #: Packed cells that a task holds before it sends them on.
 FLUSH = 1_000_000
 #: Bits of the filter that tells which sets a verification needs; beyond its capacity it only lets more pass.
@@ -269,8 +270,8 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def strong_cells(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of shared whose class shares enough cells, with cells (its cells that aren't empty), need (how many of them a linked class shares) and
-    `rare`: whether the class meets others in the cell.
+    """Rows of shared whose class shares enough cells, with cells (its cells that aren't empty), need (how many of them a linked class shares),
+    left (how many of the shared ones are no rarer than this one) and `rare`: whether the class meets others in the cell.
 
     A window holds one class's cells of one band, at most as many as its shingles.
     """
@@ -280,58 +281,81 @@ def strong_cells(shared: DataFrame, classes: DataFrame) -> DataFrame:
     rows = shared.join(about, "id").withColumn("cells", F.when(F.col("band") == F.col("own_band"), F.col("own_cells")).otherwise(F.col("next_cells")))
     need = (F.col("cells") - F.floor(F.col("n") * F.lit(high - low) / F.lit(low))).cast("int")
     ranked = rows.withColumns({"need": F.greatest(need, F.lit(1)), "all": F.count(F.lit(1)).over(own), "r": F.row_number().over(own.orderBy("size", "cell"))})
-    return ranked.where(F.col("all") >= F.col("need")).select("cell", "band", "id", "cells", "need", (F.col("r") <= F.col("all") - F.col("need") + 1).alias("rare"))
+    ranked = ranked.where(F.col("all") >= F.col("need")).withColumn("left", F.col("all") - F.col("r") + 1)
+    return ranked.select("cell", "band", "id", "cells", "need", (F.col("left") >= F.col("need")).alias("rare"), F.col("left").cast("int").alias("left"))
 
 
-def near_sketches(a: str, b: str) -> Column:
-    """Whether two sets, by sizes and bit sketches, may be similar enough: sketches differ in no more bits than the sets in shingles."""
+def apart(n_a: Column, n_b: Column) -> Column:
+    """The most shingles in which linked sets of these sizes differ."""
     low, high = SIMILAR
-    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
-    bits = [F.bit_count(F.get(f"{a}.sketch", i).bitwiseXOR(F.get(f"{b}.sketch", i))) for i in range(SKETCH_WORDS)]
+    return F.floor((n_a + n_b) * F.lit(high - low) / F.lit(high + low))
+
+
+def near_sketches(a: Column, b: Column) -> Column:
+    """Whether two sets, given as structs with n and sketch, may be similar enough: sketches differ in no more bits than the sets in shingles."""
+    low, high = SIMILAR
+    bits = [F.bit_count(F.get(a["sketch"], i).bitwiseXOR(F.get(b["sketch"], i))) for i in range(SKETCH_WORDS)]
     differ = bits[0]
     for x in bits[1:]:
         differ = differ + x
-    return (F.least(n_a, n_b) * high >= F.greatest(n_a, n_b) * low) & (differ * (high + low) <= (n_a + n_b) * (high - low))
+    return (F.least(a["n"], b["n"]) * high >= F.greatest(a["n"], b["n"]) * low) & (differ <= apart(a["n"], b["n"]))
 
 
-def open_cells(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """rows with component (without comps: the class itself), of the cells in which two components or more are left."""
-    own = rows.withColumn("component", F.col("id")) if comps is None else rows.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def open_cells(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """rows with component, of the cells in which two components or more are left."""
+    own = rows.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = own.groupBy("cell").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("cell")
     return own.join(mixed, "cell")
 
 
-def star_pairs(strong: DataFrame, comps: DataFrame | None, turn: int) -> DataFrame:
-    """Each class with the class of another component with which it shares most cells, of two that every cell proposes.
-
-    A cell proposes the least and the greatest (component, class) in an order by hash that differs from turn to turn.
-    """
-    rows = written(open_cells(strong, comps).select("cell", "band", "id", "need", "component"), "join-open")
-    name = F.struct(F.xxhash64("component", F.lit(turn)).alias("h"), F.xxhash64("id", F.lit(turn)).alias("i"), F.col("component"), F.col("id"))
-    ends = rows.groupBy("cell").agg(F.min(name).alias("low"), F.max(name).alias("high"))
-    x = rows.join(ends, "cell").withColumn("other", F.when(F.col("low.component") != F.col("component"), F.col("low.id")).otherwise(F.col("high.id")))
+def star_pairs(strong: DataFrame) -> DataFrame:
+    """Each class with the class with which it shares most cells, of two that every cell proposes: the least and the greatest by hash."""
+    name = F.struct(F.xxhash64("id").alias("h"), F.col("id"))
+    ends = strong.groupBy("cell").agg(F.min(name).alias("low"), F.max(name).alias("high"))
+    x = strong.join(ends, "cell").withColumn("other", F.when(F.col("low.id") != F.col("id"), F.col("low.id")).otherwise(F.col("high.id")))
     shared = x.groupBy("id", "band", "other").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need")
-    best = shared.groupBy("id").agg(F.max_by("other", F.struct("n", F.xxhash64("other", F.lit(turn)), "other")).alias("b"))
+    best = shared.groupBy("id").agg(F.max_by("other", F.struct("n", "other")).alias("b"))
     return best.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
 
 
+def proposed_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """Each class with those of PROPOSED classes that its cells propose by hash which are in another component and near by their bit sketches."""
+    who = F.struct("id", "component", "n", "sketch")
+    chosen = rows.groupBy("cell").agg(*(F.min_by(who, F.xxhash64("id", F.lit(turn * PROPOSED + j))).alias(f"p{j}") for j in range(PROPOSED)))
+    x = rows.join(chosen, "cell")
+    own = F.struct("n", "sketch")
+    near = F.filter(F.array(*(F.col(f"p{j}") for j in range(PROPOSED))), lambda p: (p["component"] != F.col("component")) & near_sketches(own, p))
+    pairs = x.select("id", F.explode(F.array_distinct(F.transform(near, lambda p: p["id"]))).alias("other"))
+    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def open_rows(strong: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rare cells that are open, with what is known of each class."""
+    rows = open_cells(strong.where("rare"), comps).join(sets.select("id", "n", "sketch"), "id")
+    return written(rows.select("cell", "band", "id", "component", "cells", "left", "n", "sketch"), "join-open")
+
+
 def rest_pairs(strong: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of classes in different components that may be similar enough by their bit sketches and share as many cells as a link needs."""
-    rows = written(open_cells(strong.where("rare"), comps).select("cell", "band", "id", "component"), "join-open")
-    rows = rows.join(sets.select("id", "n", "sketch"), "id")
+    """Pairs of classes in different components that may be similar enough by their bit sketches and share as many cells as a link needs.
+
+    The first cell that a pair has in common, in the order from rare to frequent, has all others after it for both: pairs meet
+    only in cells after which enough are left for both.
+    """
+    rows = open_rows(strong, comps, sets)
     x, y = rows.alias("x"), rows.alias("y")
-    apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & apart & near_sketches("x", "y"))
-    met = written(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.band").alias("band")).distinct(), "join-met")
-    ids = met.select(F.col("a").alias("id"), "band").union(met.select(F.col("b").alias("id"), "band")).distinct()
+    c = F.col
+    others = (c("x.id") < c("y.id")) & (c("x.component") != c("y.component"))
+    enough = F.least("x.left", "y.left") >= F.greatest("x.cells", "y.cells") - apart(c("x.n"), c("y.n"))
+    near = near_sketches(F.struct("x.n", "x.sketch"), F.struct("y.n", "y.sketch"))
+    met = x.join(y, (c("x.cell") == c("y.cell")) & others & enough & near)
+    met = written(met.select(c("x.id").alias("a"), c("y.id").alias("b"), c("x.band").alias("band")).distinct(), "join-met")
+    ids = met.select(c("a").alias("id"), "band").union(met.select(c("b").alias("id"), "band")).distinct()
     cells = strong.join(ids, ["id", "band"], "left_semi").groupBy("id", "band").agg(F.first("cells").alias("all"), F.collect_list("cell").alias("cells"))
     cells = written(cells.join(sets.select("id", "n"), "id"), "join-cells")
-    of = lambda side: cells.select(F.col("id").alias(side), "band", *(F.col(c).alias(f"{c}_{side}") for c in ("n", "all", "cells")))
+    of = lambda side: cells.select(c("id").alias(side), "band", *(c(x).alias(f"{x}_{side}") for x in ("n", "all", "cells")))
     both = met.join(of("a"), ["a", "band"]).join(of("b"), ["b", "band"])
-    low, high = SIMILAR
-    apart = F.floor((F.col("n_a") + F.col("n_b")) * F.lit(high - low) / F.lit(high + low))
-    near = F.size(F.array_intersect("cells_a", "cells_b")) >= F.greatest("all_a", "all_b") - apart
-    return both.where(near).select("a", "b").distinct()
+    share = F.size(F.array_intersect("cells_a", "cells_b")) >= F.greatest("all_a", "all_b") - apart(c("n_a"), c("n_b"))
+    return both.where(share).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", stars: int = STARS) -> DataFrame:
@@ -343,17 +367,12 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     classes = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least_doc"), *(F.first(c).alias(c) for c in cells))
     strong = written(strong_cells(shared_cells(docs, text_col, parts), classes), "join-strong")
     sets = written(sets_of(docs, text_col, strong.select("id").distinct()), "join-sets")
-    links, comps = None, None
+    comps = joined(None, written(linked(star_pairs(strong), sets), "join-links"))
     for turn in range(stars):
-        pairs = star_pairs(strong, comps, turn)
-        found = written(linked(pairs, sets), "join-links")
-        if not found.limit(1).count() and turn:
-            break
-        links = found if links is None else links.union(found)
-        comps = components(links)
+        comps = joined(comps, written(linked(proposed_pairs(open_rows(strong, comps, sets), turn), sets), "join-links"))
     rest = written(rest_pairs(strong, comps, sets), "join-pairs")
     if rest.limit(1).count():
-        comps = components(links.union(written(linked(rest, sets), "join-links")))
+        comps = joined(comps, written(linked(rest, sets), "join-links"))
     classes = classes.join(comps.select(F.col("id").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = classes.groupBy("component").agg(F.min("least_doc").alias("component_id"))
     named = classes.join(least, "component").select(F.col("set_id").alias("s"), "component_id")
