@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import tokens
-from tidemark.llm.frames import map_texts, pieces, without, written
+from tidemark.llm.frames import map_texts, pieces, written
 from tidemark.llm.graphs import joined
 
 SHINGLE = 5
@@ -385,6 +385,8 @@ def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
     Rows without words are components of their own: all stay.
     """
+    away = {c: f"_doc_{i}" for i, c in enumerate(docs.columns) if c.lower() in ("_row", "_set", "_n")}
+    plain = docs.withColumnsRenamed(away)
     found = jaccard_components(docs, text_col, id_col)
     row = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     name = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("set_id"))
@@ -393,9 +395,8 @@ def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     kept = best.select(F.coalesce(F.col("x.doc_id").cast("string"), F.lit("null")).alias("_row"), F.col("x.set_id").alias("_set"))
     kept = kept.union(found.where("n_shingles = 0").select(row, "set_id").distinct())
     sets = T.StructType([T.StructField("_set", T.LongType())])
-    plain = without(docs, "_row", "_set")
     named = map_texts(plain, text_col, sets, lambda: lambda texts: [pa.array([set_id(s) for s in shingle_sets(texts)], pa.int64())])
     named = named.withColumn("_row", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")))
     rows = named.join(kept, ["_row", "_set"])
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_row", "_set").orderBy("_row"))).where("_n = 1 or _set = 0")
-    return rows.select([F.col(f"`{c}`") for c in plain.columns])
+    return rows.select([F.col(f"`{c}`") for c in plain.columns]).withColumnsRenamed({v: k for k, v in away.items()})
