@@ -47,3 +47,17 @@ def test_leaf_modules(spark):
 def test_nested_leaves(spark):
     df = spark.createDataFrame([(1, '{"z": 1, "a": [2, {"b": 3.5}], "s": "no", "n": null}'), (2, "no json"), (3, None)], "i int, j string")
     assert sorted((r["tensor_path"], r["value"]) for r in A.nested_leaves(df, "j", ["i"]).collect()) == [("output.a.0", 2), ("output.a.1.b", 3.5), ("output.z", 1)]
+
+
+def test_what_cannot_be_read_follows_the_policy(spark):
+    from tidemark.sources.observations import parse
+
+    df = spark.createDataFrame([(1, '{"k": 2}'), (2, '{"k": "x"}'), (3, "no"), (4, None)], "i int, j string")
+    good, bad = parse(df, "j", "k bigint")
+    assert [(r["i"], r["k"]) for r in good.collect()] == [(1, 2)] and bad.count() == 3
+    good, bad = parse(df, "j", "k bigint", "ignore")
+    assert good.count() == 1 and bad.count() == 0
+    with pytest.raises(Exception, match="MALFORMED|Malformed|malformed"):
+        parse(df, "j", "k bigint", "raise")[0].collect()
+    with pytest.raises(ValueError):
+        parse(df, "j", "k bigint", "hide")

@@ -11,6 +11,7 @@ from tidemark.operators import caps, histograms, indicators, joins, reduce, rule
 from tidemark.plans import catalog as C
 from tidemark.plans import merge, report, sql
 from tidemark.sources import adapters as A
+from tidemark.sources import observations
 from tidemark.sources.reports import findings_of, rank_reports
 from tidemark.sources.tables import scratch, table
 from tidemark.streaming import live
@@ -204,3 +205,13 @@ def stream_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def temporal_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reduce.reduce_rows(A.event_rows(C.events(spark, sf_dir)))
     return reduce.long_form(found, TEMPORAL_METRICS).groupBy("metric").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(f"select 'read' as kind, event_type as module, count(*) as rows, sum(json_extract_string(props, '$.k')::bigint)::bigint as total from events where event_id % 10 <> 0 group by event_type "
+       "union all select 'error', event_type, count(*), null from events where event_id % 10 = 0 group by event_type")
+def error_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = C.events(spark, sf_dir).select("event_type", "ts", F.when(F.col("event_id") % 10 == 0, '{"k": ').otherwise(F.col("props")).alias("props"))
+    good, bad = observations.parse(e, "props", "k bigint", module=F.col("event_type"), ts=F.col("ts"))
+    read = good.groupBy(F.col("event_type").alias("module")).agg(F.count(F.lit(1)).alias("rows"), F.sum("k").alias("total")).withColumn("kind", F.lit("read"))
+    failed = caps.error_summaries(bad).select("module", F.col("count").alias("rows"), F.lit(None).cast("long").alias("total"), F.lit("error").alias("kind"))
+    return read.unionByName(failed).select("kind", "module", "rows", "total")
