@@ -24,6 +24,7 @@ from tidemark.model import METRICS, TENSOR
 QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 ABS_QUANTILES = {"p99_abs": 0.99, "p999_abs": 0.999}
 
+
 def _c(name: str) -> Column:
     return F.col(name)
 
@@ -143,11 +144,11 @@ def reduce_rows(rows: DataFrame, what: Reducer | Sequence[str] = tuple(METRICS),
         aggs["qabs"] = F.percentile(a, F.array(*map(F.lit, ABS_QUANTILES.values())))
     if "aloga" in needs:
         aggs["aloga"] = F.sum(F.when(a > 0, a * F.log(a)))
+    if "ntail" in needs:  # the moments have one row a tensor: they go to the elements, broadcast if small, and all else is one aggregation
+        moments = rows.groupBy(*(F.col(k).alias(f"m_{k}") for k in keys)).agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sigma"))
+        rows = rows.join(moments, _same(keys, "m_"))
+        aggs["ntail"] = F.count_if(F.abs(_c("x") - _c("mu")) > 3 * _c("sigma"))
     base = rows.groupBy(*keys).agg(*(c.alias(n) for n, c in aggs.items()), *(c.alias(f"own_{n}") for n, c in what.custom))
-    if "ntail" in needs:
-        moments = rows.groupBy(*keys).agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sigma"))
-        far = rows.join(moments.withColumnsRenamed({k: f"m_{k}" for k in keys}), _same(keys, "m_")).groupBy(*keys).agg(F.count_if(F.abs(_c("x") - _c("mu")) > 3 * _c("sigma")).alias("ntail"))
-        base = base.join(far.withColumnsRenamed({k: f"t_{k}" for k in keys}), _same(keys, "t_")).select(*base.columns, "ntail")
     return base.select(*keys, *(only_finite(_metric(m)).alias(m) for m in what.metrics), *(only_finite(_c(f"own_{n}").cast("double")).alias(n) for n, _ in what.custom))
 
 
