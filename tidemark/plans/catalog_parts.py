@@ -51,7 +51,7 @@ def iso_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Joins.
 _GRADIENTS = f"""with f as (select distinct {sql.DAY} as sample_id, event_type as module, 'output.' || (user_id % 3) as tensor_path, user_id % 2 as tensor_id from events),
   first as (select sample_id, module, tensor_id, min(tensor_path) as first_path from f group by all),
-  g as (select distinct sample_id, module, tensor_path, sample_id * 1.5 as scale from f where tensor_path <> 'output.2')
+  g as (select distinct sample_id, module, tensor_path, (sample_id * 1.5)::double as scale from f where tensor_path <> 'output.2')
   select f.sample_id, f.module, replace(f.tensor_path, 'output', 'grad_output') as tensor_path, scale from f join first using (sample_id, module, tensor_id) join g on g.sample_id = f.sample_id and g.module = f.module and g.tensor_path = first_path"""
 
 
