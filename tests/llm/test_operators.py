@@ -285,3 +285,20 @@ def test_predictive_probabilities_sum_to_one():
         assert np.allclose(c.predictive().sum(1), 1)
         c.sweep(rng)
         assert (c.tables <= c.counts).all() and ((c.tables > 0) == (c.counts > 0)).all()
+
+
+def test_lm_learns_pairs_of_rare_words(spark):
+    """More than 512 words are commoner than those of the pairs; each of these stands twice in training texts."""
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(600)]
+    rows = [(i, " ".join(common[(i * 7 + j) % 600] for j in range(60))) for i in range(0, 100)]
+    pairs = [(f"left{i}", f"right{i}") for i in range(120)]
+    filler = lambda: " ".join(rng.choice(common) for _ in range(4))
+    rows += [(1000 + k * 120 + i, f"{filler()} {a} {b}") for k in range(2) for i, (a, b) in enumerate(pairs)]
+    same = [(5000 + i, f"{a} {b}") for i, (a, b) in enumerate(pairs)]
+    crossed = [(6000 + i, f"{a} {pairs[(i + 1) % 120][1]}") for i, (a, _) in enumerate(pairs)]
+    df = spark.createDataFrame(rows + same + crossed, DOCS)
+    for known, head in ((200_000, 300_000), (20, 10)):
+        found = {r["doc_id"]: r["score"] for r in pitman_yor.score_texts(df, held_out=F.col("doc_id") >= 5000, known_words=known, head=head).collect()}
+        gain = [found[5000 + i] - found[6000 + i] for i in range(120)]
+        assert min(gain) > 1 and len(found) == len(rows) + 240

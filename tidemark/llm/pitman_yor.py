@@ -1,27 +1,28 @@
 """LM scoring: a hierarchical Pitman-Yor model, seated by Gibbs sampling (operator 9).
 
 The model has three kinds of restaurants:
-- Context restaurants. The context of a token is the word before it; its dishes are classes: each of the `head` commonest
-  words, the end of the text, and all other words together. Contexts share one parent over the classes.
-- The restaurant of all other words. Its customers are their tokens, its parent spells words.
+- Context restaurants. The context of a token is the word before it, whatever word that is; its dishes are words. The end of a text is
+  the empty word, as is the context of a text's first token. Contexts share one parent, the restaurant of words.
+- The restaurant of words. Its customers are the contexts' tables, its parent spells words.
 - Spelling restaurants. The context of a byte is the two bytes before it, its parent the context of one byte,
   then of none, then the uniform distribution. The customers are the spellings of the tables above.
 
 Seating is sampled by Gibbs sweeps: all customers of a dish are seated anew by the Chinese restaurant process,
 given the other restaurants as they were (large dishes in blocks of customers). After `burn_in` sweeps the predictive probabilities of
 the states are averaged; the text's score is the sum of the log10 of these averages. Discounts are estimated from the numbers of
-dishes with one and two customers. The draws depend on how words are dealt to batches, so scores differ a little between layouts.
+dishes with one and two customers. The draws of a dish depend on the seed, its context and its word, not on how rows are dealt to batches.
 
 Words that no training text has are one type, as for the base score: its probability is that of all spellings
 that no known word has, what the known words leave of the whole.
 
-What is counted is counted over all training texts and shuffled by word. On the driver are only tables of fixed
-size: (head + 3) ** 2 classes by context, at most 258 ** 3 spelling cells. The restaurant of words stays a table; its sweeps are narrow.
-Scoring looks up the commonest words, at most `known_words`, in a broadcast; all others go through a join by word.
+What is counted is counted over all training texts: words, and pairs of a context and a word. Both stay tables, which grow with the corpus;
+pairs that occur once have one table in every state, so sweeps go over the others. Contexts and words of a pair are looked up in a broadcast
+of the commonest `known_words` and else joined, so hot words are not shuffled. On the driver are at most 258 ** 3 spelling cells and those
+lookups. Scoring takes the commonest words and the `head` commonest pairs from broadcasts; all others go through joins.
 
 Defined cases: null counts as the empty text, which has one token, the end. A null id trains (its crc32 is that of the empty
 string). Repeated rows are scored, and train, as often as they occur. Without training texts every score is that of an empty
-model (uniform over classes and bytes). Other columns are dropped.
+model (uniform over bytes). Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -37,15 +38,17 @@ from pyspark.sql import types as T
 from tidemark.llm import tokens
 from tidemark.llm.frames import pieces, written
 
-#: Commonest words with context restaurants of their own; words whose counts are broadcast for scoring.
-HEAD, KNOWN_WORDS = 512, 200_000
+#: Commonest pairs, and words, that are broadcast as lookups; the model has all of them.
+HEAD, KNOWN_WORDS = 300_000, 200_000
 SWEEPS, BURN_IN = 4, 2
 STRENGTH = 1.0
 #: Symbols of spellings: start, end, then the bytes.
 SYMBOLS = 258
 _U = np.uint64
-#: Distinct words that a task holds before it merges, and sends, its counts.
-HELD = 150_000
+#: Distinct words, or pairs, that a task holds before it merges, and sends, its counts.
+HELD, HELD_PAIRS = 150_000, 1_000_000
+#: The hash of the empty word: the end of a text, and what its first token follows.
+END = int(tokens.word_hashes(np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64)).view(np.int64)[0])
 
 
 def in_fold(doc_id: Column, folds: int = 7, held: int = 2) -> Column:
@@ -72,12 +75,28 @@ def seat(customers: np.ndarray, new_table: np.ndarray, discount: float, rng: np.
     return tables
 
 
+def seat_by_hash(customers: np.ndarray, new_table: np.ndarray, discount: float, names: np.ndarray, seed: int) -> np.ndarray:
+    """seat(), with the draws of each dish from its name and seed alone."""
+    tables = np.minimum(customers, 1).astype(np.int64)
+    large = customers >= 64
+    at, n = np.flatnonzero((customers > 1) & ~large), 1
+    state = tokens.mix(names ^ tokens.mix(np.full(len(names), seed + 1, np.int64).view(_U)))
+    while len(at):
+        uniform = (tokens.mix(state[at] + _U(n)) >> _U(11)).astype(float) / 2.0**53
+        tables[at] += uniform < new_table[at] / (new_table[at] + n - discount * tables[at])
+        n += 1
+        at = at[customers[at] > n]
+    for i in np.flatnonzero(large).tolist():
+        tables[i] = seat(customers[i : i + 1], new_table[i : i + 1], discount, np.random.default_rng(int(state[i])))[0]
+    return tables
+
+
 def discount_of(ones: float, twos: float) -> float:
     return float(np.clip(ones / (ones + 2 * twos), 0.05, 0.95)) if ones + twos > 0 else 0.5
 
 
 class Contexts:
-    """Context restaurants over classes, sharing one parent."""
+    """Context restaurants over few dishes with a parent of their own, as arrays: the small form of the tables of pairs."""
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
@@ -199,81 +218,126 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "hash long, word binary, n long").groupBy("hash", "word").agg(F.sum("n").alias("c"))
 
 
-def commonest(words: DataFrame, n: int, at_least: bool) -> DataFrame:
-    """Of words (c) the commonest, whole bins of like counts: at least n of them (all, if there are fewer) and one bin more at most, or at most n.
+def commonest(words: DataFrame, n: int) -> DataFrame:
+    """Of words, or pairs, (c) the commonest, whole bins of like counts: at most n of them.
 
     A sort with a limit would send n rows of every task to the driver; here the driver gets some hundred bins.
     """
-    bin_of = F.floor(F.log2(F.col("c").cast("double")) * 8).cast("int")
+    bin_of = F.floor(F.log2(F.greatest("c", F.lit(1)).cast("double")) * 8).cast("int")
     bins = sorted(((r["bin"], r["n"]) for r in words.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
     taken, last = 0, bins[0][0] + 1 if bins else 0
     for number, count in bins:
-        if taken >= n if at_least else taken + count > n:
+        if taken + count > n:
             break
         taken, last = taken + count, number
     return words.where(bin_of >= last)
 
 
-def class_counts(texts: DataFrame, head: np.ndarray) -> np.ndarray:
-    """How often each class follows each context in the one text column of texts. head: the sorted hashes of the head words.
+def transitions(hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and words of all tokens: the words of each text and its end."""
+    n = len(firsts) - 1
+    end = np.array([END]).view(_U)[0]
+    end_at = firsts[1:] + np.arange(n)
+    now = np.full(len(hashes) + n, end, _U)
+    inside = np.ones(len(now), bool)
+    inside[end_at] = False
+    now[inside] = hashes
+    before = np.empty_like(now)
+    before[1:] = now[:-1]
+    before[firsts[:-1] + np.arange(n)] = end
+    return before, now
+
+
+def pair_names(before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    return tokens.mix(before + tokens.mix(now ^ _U(0x9E3779B97F4A7C15)))
 
-    Classes: the head words, then other words, then the end of the text; contexts likewise, the last being the start of the text.
-    """
-    k = len(head)
-    shared = texts.sparkSession.sparkContext.broadcast(head)
+
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """u, w, c: how often each word follows each context in the one text column of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((k + 2) ** 2, np.int64)
+        held: list[tuple] = []
+
+        def merged() -> tuple:
+            names, u, w, n = (np.concatenate([h[i] for h in held]) for i in range(4))
+            found, first, back = np.unique(names, return_index=True, return_inverse=True)
+            return found, u[first], w[first], np.bincount(back, n).astype(np.int64)
+
+        def out(x: tuple) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x[1].view(np.int64)), pa.array(x[2].view(np.int64)), pa.array(x[3])], names=["u", "w", "n"])
+
         for batch in batches:
             for _, piece in pieces(batch, 0):
                 *_, firsts, hashes = read(piece)
-                before, now = transitions(classes_of(hashes, shared.value), firsts, k)
-                total += np.bincount(before * (k + 2) + now, minlength=(k + 2) ** 2)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
-
-    found = texts.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most (k + 2) ** 2 rows
-    out = np.zeros((k + 2) ** 2, np.int64)
-    out[found["cell"]] = found["n"]
-    return out.reshape(k + 2, k + 2)
+                before, now = transitions(hashes, firsts)
+                found, first, n = np.unique(pair_names(before, now), return_index=True, return_counts=True)
+                held.append((found, before[first], now[first], n))
+                if sum(len(h[0]) for h in held) > HELD_PAIRS:
+                    held = [merged()]
+                    if len(held[0][0]) > HELD_PAIRS // 2:
+                        yield out(held[0])
+                        held = []
+        if held:
+            yield out(merged())
 
+    return texts.mapInArrow(run, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("c"))
 
-def classes_of(hashes: np.ndarray, head: np.ndarray) -> np.ndarray:
-    if not len(head):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(head, hashes), len(head) - 1)
-    return np.where(head[at] == hashes, at, len(head))
 
+def looked_up(df: DataFrame, key: str, found: DataFrame, listed: DataFrame) -> DataFrame:
+    """df (a table) with the columns of found, a table by the column `key`, null where it has no row. listed: the few rows of the commonest keys.
 
-def transitions(classes: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts and classes of all tokens: the words of each text and its end."""
-    n = len(firsts) - 1
-    end_at = firsts[1:] + np.arange(n)
-    now = np.full(len(classes) + n, k + 1, np.int64)
-    inside = np.ones(len(now), bool)
-    inside[end_at] = False
-    now[inside] = classes
-    before = np.empty_like(now)
-    before[1:] = now[:-1]
-    before[firsts[:-1] + np.arange(n)] = k + 1
-    return before, now
+    Rows of the commonest keys meet a broadcast, so only those of other keys are shuffled.
+    """
+    names = found.drop(key).columns
+    near = df.join(F.broadcast(listed.withColumn("_listed", F.lit(True))), key, "left")
+    far = near.where("_listed is null").drop("_listed", *names).join(found, key, "left")
+    order = [*df.columns, *names]
+    return near.where("_listed").select(order).unionByName(far.select(order))
 
 
-def sweep_words(words: DataFrame, model: Spelling, tables: int, total: int, discount: float, keep: bool, seed: int, share: float) -> DataFrame:
-    """The restaurant of words after a sweep; if keep, p grows by the predictive probability of the state before it."""
+def sweep_words(words: DataFrame, model: Spelling, tables: int, total: int, discount: float, context_discount: float, keep: bool, seed: int) -> DataFrame:
+    """The restaurant of words after a sweep, with the probability `now` of each in the state before it; if keep, p and b grow by that state's
+    probability of the word, and its weight of the parent after the word as a context."""
     shared = words.sparkSession.sparkContext.broadcast(model)
+    names = [f.name for f in WORDS.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spelled = shared.value.probability(*spell(*binary_parts(batch.column(1))))
-            c, t, p = (np.asarray(batch.column(i)) for i in (2, 3, 4))
+            c, customers, t, held = (np.asarray(batch.column(i)) for i in (2, 3, 4, 5))
             fresh = (STRENGTH + discount * tables) * spelled
+            p = (np.maximum(customers - discount * t, 0) + fresh) / (total + STRENGTH)
+            b = (STRENGTH + context_discount * held) / (c + STRENGTH)
+            kept = [list(batch.column(i).to_pylist()) for i in (7, 8)]
             if keep:
-                p = p + (np.maximum(c - discount * t, 0) + fresh) / (total + STRENGTH) / share
-            rng = np.random.default_rng([seed, int(np.asarray(batch.column(0))[0]) & (2**62 - 1), len(c)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(seat(c, fresh, discount, rng)), pa.array(p)], names=["hash", "word", "c", "t", "p"])
+                kept = [[[*old, x] for old, x in zip(k, new.tolist(), strict=True)] for k, new in zip(kept, (p, b), strict=True)]
+            seated = seat_by_hash(customers, fresh, discount, np.asarray(batch.column(0)).view(_U), seed)
+            lists = [pa.array(k, pa.list_(pa.float64())) for k in kept]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(seated), batch.column(5), pa.array(p), *lists], names=names)
 
-    return words.mapInArrow(run, "hash long, word binary, c long, t long, p double")
+    return words.mapInArrow(run, WORDS)
+
+
+def sweep_pairs(pairs: DataFrame, words: DataFrame, listed: DataFrame, discount: float, keep: bool, seed: int) -> DataFrame:
+    """The context restaurants after a sweep; if keep, own grows by what the customers of the state before it weigh."""
+    about = looked_up(pairs, "u", words.select(F.col("hash").alias("u"), "held"), listed.select(F.col("hash").alias("u"), "held"))
+    about = looked_up(about, "w", words.select(F.col("hash").alias("w"), "now"), listed.select(F.col("hash").alias("w"), "now"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, w, c, t, own, held, now = (np.asarray(batch.column(i)) for i in range(7))
+            if keep:
+                own = own + np.maximum(c - discount * t, 0)
+            seated = seat_by_hash(c, (STRENGTH + discount * held) * now, discount, pair_names(u.view(_U), w.view(_U)), seed)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(seated), pa.array(own)], names=["u", "w", "c", "t", "own"])
+
+    return about.select("u", "w", "c", "t", "own", "held", "now").mapInArrow(run, "u long, w long, c long, t long, own double")
+
+
+def tables_by_word(pairs: DataFrame) -> DataFrame:
+    """hash, as_word, as_context: the tables of each word in all contexts, and of each context."""
+    sides = pairs.select(F.explode(F.array(F.struct(F.col("w").alias("hash"), F.col("t").alias("x"), F.lit(0).cast("long").alias("y")), F.struct(F.col("u").alias("hash"), F.lit(0).cast("long").alias("x"), F.col("t").alias("y")))).alias("s"))
+    return sides.groupBy("s.hash").agg(F.sum("s.x").alias("as_word"), F.sum("s.y").alias("as_context"))
 
 
 def spelling_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -290,11 +354,20 @@ def spelling_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
+#: Words: their tokens in training texts (c; as a context it has as many customers), customers and tables in the restaurant of words, tables as a
+#: context, probability in the last state, and by kept state probability as a word and weight of the parent as a context.
+WORDS = T.StructType(
+    [T.StructField("hash", T.LongType()), T.StructField("word", T.BinaryType())] + [T.StructField(n, T.LongType()) for n in ("c", "customers", "t", "held")]
+    + [T.StructField("now", T.DoubleType())] + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("p", "b")]
+)
+#: Rows of texts (u is null) and of tokens (u, w) that wait for a join: n of them, with scale and back where both words were listed.
 SCORED = T.StructType(
     [T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType())]
     + [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known")]
-    + [T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("hash", T.LongType())]
-)
+    + [T.StructField(n, T.DoubleType()) for n in ("base", "score")]
+    + [T.StructField(n, T.LongType()) for n in ("u", "w")] + [T.StructField(n, T.DoubleType()) for n in ("scale", "back")]
+    + [T.StructField("counted", T.BooleanType())]
+)
 
 
 def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", held_out: Column | None = None, head: int = HEAD, known_words: int = KNOWN_WORDS, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int = 5) -> DataFrame:
@@ -302,90 +375,130 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
     The model learns from the rows that are not held out. base_score: add-one unigram probabilities.
     """
+    spark = docs.sparkSession
     held_out = in_fold(F.col(f"`{id_col}`")) if held_out is None else held_out
     train = docs.where(~held_out).select(F.col(f"`{text_col}`").alias("text"))
-    words = written(word_counts(train), "lm-words")
+    known = written(word_counts(train), "lm-words")
     n_texts = train.count()
-    n_words, n_types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c")).first()
+    n_words, n_types = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c")).first()
     train_tokens, types = n_words + n_texts, n_types + (n_texts > 0)
     unit = train_tokens + types + 1
-    top = commonest(words, head, True).orderBy(F.desc("c"), "hash", "word").select("hash", "c", "word").limit(head).toPandas()
-    order = np.argsort(top["hash"].to_numpy(np.int64).view(_U))
-    head_hashes = top["hash"].to_numpy(np.int64).view(_U)[order]
-    k = len(head_hashes)
+
+    # Pairs. One that occurs once has one table whatever the state, so sweeps leave it out.
+    pairs = written(pair_counts(train), "lm-pairs")
+    ones, twos = pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    context_discount = discount_of(ones, twos)
+    lone = pairs.where("c = 1").select("u", "w", "c", F.lit(1).cast("long").alias("t"))
+    lone_tables = written(tables_by_word(lone), "lm-lone")
+    many = written(pairs.where("c > 1").select("u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("own")), "lm-many")
+
+    def seated(words: DataFrame, many: DataFrame) -> DataFrame:
+        """words with their customers and tables by the seating of pairs."""
+        both = lone_tables.unionByName(tables_by_word(many)).groupBy("hash").agg(F.sum("as_word").alias("x"), F.sum("as_context").alias("y"))
+        found = words.drop("customers", "held").join(both, "hash", "left").withColumns({"customers": F.coalesce("x", F.lit(0)).cast("long"), "held": F.coalesce("y", F.lit(0)).cast("long")})
+        return found.select(WORDS.names)
+
+    end = spark.range(1).select(F.lit(END).cast("long").alias("hash"), F.lit(b"").alias("word"), F.lit(n_texts).cast("long").alias("c"))
+    none = F.array().cast("array<double>")
+    zero = F.lit(0).cast("long")
+    words = known.unionByName(end).select("hash", "word", "c", zero.alias("customers"), F.lit(1).cast("long").alias("t"), zero.alias("held"), F.lit(0.0).alias("now"), none.alias("p"), none.alias("b"))
+    words = written(seated(words, many).withColumn("t", F.least("customers", F.lit(1)).cast("long")), "lm-rest")
+    listed_words = lambda: commonest(words, known_words)
 
     # Gibbs sweeps over all restaurants.
     rng = np.random.default_rng(seed)
-    contexts = Contexts(class_counts(train, head_hashes))
-    shares = np.zeros(contexts.counts.shape)
-    is_head = F.col("hash").isin([int(h) for h in head_hashes.view(np.int64)])
-    rest = written(words.where(~is_head).select("hash", "word", "c", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("p")), "lm-rest")
-    total, ones, twos = rest.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    discount, states, model = discount_of(ones, twos), [], None
-    head_parts = binary_parts(pa.array([bytes(w) for w in top["word"]], pa.binary()))
+    ones, twos = words.agg(F.count_if(F.col("customers") == 1), F.count_if(F.col("customers") == 2)).first()
+    discount, states, model = discount_of(ones, twos), 0, None
     for s in range(sweeps):
-        tables = rest.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
-        model = Spelling(*spelling_counts(rest), rng, model)
-        new = (STRENGTH + discount * tables) / (total + STRENGTH)
-        # The words of the head are no dishes here: their share of the spellings is taken out.
-        share = 1 - new * float(model.probability(*spell(*head_parts)).sum())
+        total, tables = words.agg(F.sum("customers"), F.sum("t")).first()
+        model = Spelling(*spelling_counts(words), rng, model)
         keep = s >= burn_in
-        if keep:
-            states.append(s)
-            shares += contexts.predictive()
-        contexts.sweep(rng)
-        rest = written(sweep_words(rest, model, tables, total, discount, keep, seed + s, share), "lm-rest")
-
-    # The commonest words with their counts and probabilities, for a broadcast of bounded length.
-    known = commonest(rest, known_words, False).select("hash", "c", "p").toPandas()
-    names = np.concatenate([head_hashes, known["hash"].to_numpy(np.int64).view(_U)])
-    counts = np.concatenate([top["c"].to_numpy(np.int64)[order], known["c"].to_numpy(np.int64)])
-    logs = np.concatenate([np.zeros(k), np.log10(known["p"].to_numpy(float) / len(states))])
+        states += keep
+        words = written(sweep_words(words, model, tables, total, discount, context_discount, keep, 2 * s + seed * 1000), "lm-rest")
+        many = written(sweep_pairs(many, words, listed_words(), context_discount, keep, 2 * s + 1 + seed * 1000), "lm-many")
+        if s < sweeps - 1:
+            words = written(seated(words, many), "lm-rest")
+
+    # What no known word has of the states, and the commonest words and pairs for broadcasts of bounded length.
+    left = words.agg(*(F.sum(F.col("p")[i]) for i in range(states))).first()
+    unknown = [max(1 - x, 1e-12) for x in left]
+    own = lone.select("u", "w", "c", F.lit(1 - context_discount).alias("own")).unionByName(many.select("u", "w", "c", (F.col("own") / states).alias("own")))
+    listed = listed_words().where(F.col("hash") != END).select("hash", "c", "p", "b").unionByName(words.where(F.col("hash") == END).select("hash", "c", "p", "b")).toPandas()
+    names = listed["hash"].to_numpy(np.int64).view(_U)
     by_name = np.argsort(names)
-    table = (names[by_name], counts[by_name], logs[by_name], head_hashes, np.log10(shares / len(states)), unit, n_texts)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    stack = lambda c: np.array(listed[c].tolist(), float).reshape(-1, states)[by_name]
+    frequent = commonest(pairs.where("c > 1"), head).select("u", "w").join(many.select("u", "w", (F.col("own") / states).alias("own")), ["u", "w"]).toPandas()
+    pair_keys = pair_names(*(frequent[c].to_numpy(np.int64).view(_U) for c in ("u", "w")))
+    by_pair = np.argsort(pair_keys)
+    table = (names[by_name], listed["c"].to_numpy(np.int64)[by_name], stack("p"), stack("b"), pair_keys[by_pair], frequent["own"].to_numpy(float)[by_pair], unit, n_texts)
+    shared = spark.sparkContext.broadcast(table)
+
+    def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return at, keys[at] == wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts, logs, head_hashes, steps, unit, n_texts = shared.value
+        names, counts, p, b, pair_keys, own, unit, n_texts = shared.value
         for batch in batches:
             for piece, texts in pieces(batch, 3):
                 *_, firsts, hashes = read(texts)
-                at = np.minimum(np.searchsorted(names, hashes), len(names) - 1) if len(names) else np.zeros(len(hashes), np.int64)
-                listed = names[at] == hashes if len(names) else np.zeros(len(hashes), bool)
-                base = np.zeros(len(hashes))
-                base[listed] = np.log10((counts[at[listed]] + 1) / unit)
-                own = np.zeros(len(hashes))
-                own[listed] = logs[at[listed]]
-                before, now = transitions(classes_of(hashes, head_hashes), firsts, len(head_hashes))
-                step = tokens.per_text(steps[before, now], firsts + np.arange(len(firsts)))
-                n = np.diff(firsts)
-                rare = np.flatnonzero(~listed)
-                owner = np.searchsorted(firsts, rare, "right") - 1
-                row = np.asarray(piece.column(0))
-                ends_known = int(n_texts > 0)
+                ends = firsts + np.arange(len(firsts))
+                before, now = transitions(hashes, firsts)
+                at, is_listed = find(names, now)
+                base = np.where(is_listed, np.log10((counts[at] + 1) / unit), 0.0)
+                end = np.zeros(len(now), bool)
+                end[ends[1:] - 1] = True
+                is_known = is_listed & (~end | (n_texts > 0))
+                at_u, u_listed = find(names, before)
+                both = is_listed & u_listed
+                scale = 1 / (counts[at_u] + STRENGTH)
+                back = (p[at] * b[at_u]).mean(1)
+                at_pair, paired = find(pair_keys, pair_names(before, now))
+                done = both & paired
+                score = np.zeros(len(now))
+                score[done] = np.log10(own[at_pair[done]] * scale[done] + back[done])
+                n = len(ends) - 1
                 text_rows = [
-                    piece.column(0), piece.column(1), piece.column(2), pa.array(n + 1), pa.array(tokens.per_text(listed.astype(np.int64), firsts) + ends_known),
-                    pa.array(tokens.per_text(base, firsts) + np.log10((n_texts + 1) / unit)), pa.array(tokens.per_text(own, firsts) + step), pa.nulls(len(n), pa.int64()),
+                    *piece.columns[:3], pa.array(np.diff(ends)), pa.array(tokens.per_text(is_known.astype(np.int64), ends)), pa.array(tokens.per_text(base, ends)), pa.array(tokens.per_text(score, ends)),
+                    *(pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())),
                 ]
                 yield pa.RecordBatch.from_arrays(text_rows, names=SCORED.names)
-                if len(rare):
-                    word_rows = [pa.array(row[owner]), *(pa.nulls(len(rare), t) for t in (piece.column(1).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array(hashes[rare].view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(word_rows, names=SCORED.names)
+                open_ = np.flatnonzero(~done)
+                if len(open_):
+                    owner = np.searchsorted(ends, open_, "right") - 1
+                    m, away = len(open_), ~both[open_]
+                    waiting = [
+                        pa.array(np.asarray(piece.column(0))[owner]), *(pa.nulls(m, k) for k in (piece.column(1).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())),
+                        pa.array(before[open_].view(np.int64)), pa.array(now[open_].view(np.int64)), pa.array(scale[open_], mask=away), pa.array(back[open_], mask=away), pa.array(is_listed[open_]),
+                    ]
+                    yield pa.RecordBatch.from_arrays(waiting, names=SCORED.names)
 
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(f.name, id_type if f.name == "doc_id" else f.dataType) for f in SCORED.fields])
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), held_out.alias("held_out"), F.col(f"`{text_col}`").alias("text"))
     scored = written(numbered.mapInArrow(run, schema), "lm-scored")
-    rare = scored.where("hash is not null").groupBy("row", "hash").agg(F.count(F.lit(1)).alias("n"))
-    rare = rare.join(rest.select("hash", "c", "p"), "hash", "left")
-    known_mass = (rest.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]) / len(states)
-    log_p = F.log10(F.when(F.col("c").isNotNull(), F.col("p") / F.lit(float(len(states)))).otherwise(F.lit(max(1 - known_mass, 1e-12))))
-    found = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known"),
-        F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(unit)))).alias("more_base"),
-        F.sum(F.col("n") * log_p).alias("more"),
+
+    # Tokens with a word that isn't listed get its values by joins, then all that wait the weight of their pair.
+    waiting = scored.where("u is not null").select("row", "u", "w", "scale", "back", "counted")
+    rare = waiting.where("back is null").select("row", "u", "w", "counted")
+    about = words.select("hash", "c", "p", "b")
+    few = listed_words().select("hash", "c", "p", "b")
+    side = lambda df, key, c, x, name: df.select(F.col("hash").alias(key), F.col("c").alias(c), F.col(x).alias(name))
+    rare = looked_up(rare, "u", side(about, "u", "c_u", "b", "weights"), side(few, "u", "c_u", "b", "weights"))
+    rare = looked_up(rare, "w", side(about, "w", "c_w", "p", "shares"), side(few, "w", "c_w", "p", "shares"))
+    weights = F.coalesce("weights", F.array(*(F.lit(1.0) for _ in range(states))))
+    shares = F.coalesce("shares", F.array(*(F.lit(float(x)) for x in unknown)))
+    back = sum((weights[i] * shares[i] for i in range(1, states)), weights[0] * shares[0]) / F.lit(float(states))
+    rare = rare.select("row", "u", "w", (1 / (F.coalesce("c_u", F.lit(0)) + F.lit(STRENGTH))).alias("scale"), back.alias("back"), F.when(F.col("counted"), None).otherwise(F.coalesce("c_w", F.lit(0))).alias("c_w"))
+    tokens_left = waiting.where("back is not null").select("row", "u", "w", "scale", "back", F.lit(None).cast("long").alias("c_w")).unionByName(rare)
+    found = tokens_left.join(own.select("u", "w", "own"), ["u", "w"], "left").groupBy("row").agg(
+        F.sum(F.when(F.col("c_w") > 0, 1).otherwise(0)).alias("known"),
+        F.sum(F.when(F.col("c_w").isNotNull(), F.log10((F.col("c_w") + 1) / F.lit(float(unit)))).otherwise(0.0)).alias("more_base"),
+        F.sum(F.log10(F.coalesce("own", F.lit(0.0)) * F.col("scale") + F.col("back"))).alias("more"),
     )
-    out = scored.where("hash is null").drop("hash").join(found, "row", "left")
+    out = scored.where("u is null").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").join(found, "row", "left")
     score = F.col("score") + F.coalesce("more", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
