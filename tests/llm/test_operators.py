@@ -89,6 +89,16 @@ def test_jaccard_of_drifting_copies_and_quoted_passages(spark):
     assert found == B.jaccard(rows)
 
 
+def test_jaccard_of_short_texts(spark):
+    """Of 8 and 9 words, one text being the other and a word: 4 and 5 shingles, which now and then share no cell."""
+    rows = []
+    for i in range(3000):
+        words = [f"w{i}x{j}" for j in range(9 + i % 2)]
+        rows += [(2 * i, " ".join(words[:-1])), (2 * i + 1, " ".join(words))]
+    found = {r["doc_id"]: r["component_id"] for r in sketch_join.jaccard_components(spark.createDataFrame(rows, DOCS).repartition(4)).collect()}
+    assert found == {i: i - i % 2 for i in range(6000)}
+
+
 def test_one_of_each_group_stays(spark, docs, texts):
     kept = sketch_join.one_of_each(clashing(docs))
     assert kept.columns == clashing(docs).columns

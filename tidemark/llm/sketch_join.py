@@ -6,7 +6,8 @@ cells as its least size: each shingle is XORed into the cell its hash names, so
 a cell is the parity (as a 64-bit scramble) of the shingles in it. The number of cells in which two
 sketches differ - their Hamming distance - is at most the size of the symmetric difference. Sets of sizes a and b with
 100 * intersection >= 80 * union differ in at most (a + b) / 9 shingles, a quarter of either. A set with c cells that are
-not empty shares at least c less that many with every set that it is linked with, so a join on (band, cell number, cell) finds every link.
+not empty shares at least c less that many with every set that it is linked with, so a join on (band, cell number, cell) finds every link
+of a set for which that is 1 or more. Of other sets, whose few shingles fall into few cells, all shingles are keys too: linked sets have one in common.
 
 How the work is kept whole and bounded:
 - Documents with the same set are one class and are never paired.
@@ -103,6 +104,15 @@ def sketch(hashes: np.ndarray, band: int) -> np.ndarray:
     return keys >> _U(BAND_BITS) << _U(BAND_BITS) | _U(band)
 
 
+def join_keys(hashes: np.ndarray, band: int) -> np.ndarray:
+    """The sketch; with so few cells that a linked set may have none of them, the keys of all shingles too."""
+    cells = sketch(hashes, band)
+    if len(cells) > most_apart(len(hashes)):
+        return cells
+    single = tokens.mix(tokens.mix(hashes + _U(5)) + (_U(band + 1) << _U(40)))
+    return np.concatenate([cells, single >> _U(BAND_BITS) << _U(BAND_BITS) | _U(band)])
+
+
 def bit_sketch(hashes: np.ndarray) -> np.ndarray:
     """SKETCH_WORDS * 64 bits, of which every shingle flips one."""
     place = (tokens.mix(hashes + _U(3)) % _U(SKETCH_WORDS * 64)).astype(np.int64)
@@ -168,7 +178,7 @@ def shared_cells(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
                         continue
                     seen.add(name)
                     for band in bands_of(len(s)):
-                        found = sketch(s, band)
+                        found = join_keys(s, band)
                         keys.append(found)
                         records.append(name)
                         held += len(found)
@@ -273,7 +283,7 @@ def strong_cells(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows of shared whose class shares enough cells, with cells (its cells that aren't empty), need (how many of them a linked class shares),
     left (how many of the shared ones are no rarer than this one) and `rare`: whether the class meets others in the cell.
 
-    A window holds one class's cells of one band, at most as many as its shingles.
+    A window holds one class's keys of one band, at most twice as many as its shingles.
     """
     own = Window.partitionBy("id", "band")
     low, high = SIMILAR
