@@ -76,6 +76,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def power(n: int) -> int:
+    """The factor of the byte at place n in prefix()."""
+    return pow(_P, n, 2**64)
+
+
 def prefix(data: np.ndarray) -> np.ndarray:
     """Running sums from which span_hashes() takes the hash of any byte range."""
     up, _ = _power(len(data) + 1)
