@@ -10,6 +10,10 @@ from tidemark.llm import decontamination, mixing, quality, sketch_join, suffix_d
 from tidemark.llm.frames import shared_folder
 
 
+#: A passage that is removed where it repeats: words and bytes that it has at least (50 short words with their spaces).
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 200
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,8 +29,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the long strings that also stand elsewhere."""
-    return suffix_dedup.without_repeats(docs)
+    """Documents without the passages of 50 words or more, at least 200 bytes, that also stand elsewhere."""
+    return suffix_dedup.without_repeats(docs, length=PASSAGE_BYTES, least_words=PASSAGE_WORDS)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
