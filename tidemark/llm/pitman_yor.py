@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import tokens
-from tidemark.llm.frames import pieces, written
+from tidemark.llm.frames import arrow_map, pieces, written
 
 #: Commonest pairs, and words, that are broadcast as lookups; the model has all of them.
 HEAD, KNOWN_WORDS = 300_000, 200_000
@@ -215,7 +215,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         if held:
             yield out(merged())
 
-    return texts.mapInArrow(run, "hash long, word binary, n long").groupBy("hash", "word").agg(F.sum("n").alias("c"))
+    return arrow_map(texts, run, "hash long, word binary, n long").groupBy("hash", "word").agg(F.sum("n").alias("c"))
 
 
 def commonest(words: DataFrame, n: int) -> DataFrame:
@@ -280,7 +280,7 @@ def pair_counts(texts: DataFrame) -> DataFrame:
         if held:
             yield out(merged())
 
-    return texts.mapInArrow(run, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("c"))
+    return arrow_map(texts, run, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("c"))
 
 
 def looked_up(df: DataFrame, key: str, found: DataFrame, listed: DataFrame) -> DataFrame:
@@ -315,7 +315,7 @@ def sweep_words(words: DataFrame, model: Spelling, tables: int, total: int, disc
             lists = [pa.array(k, pa.list_(pa.float64())) for k in kept]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(seated), batch.column(5), pa.array(p), *lists], names=names)
 
-    return words.mapInArrow(run, WORDS)
+    return arrow_map(words, run, WORDS)
 
 
 def sweep_pairs(pairs: DataFrame, words: DataFrame, listed: DataFrame, discount: float, keep: bool, seed: int) -> DataFrame:
@@ -331,7 +331,7 @@ def sweep_pairs(pairs: DataFrame, words: DataFrame, listed: DataFrame, discount:
             seated = seat_by_hash(c, (STRENGTH + discount * held) * now, discount, pair_names(u.view(_U), w.view(_U)), seed)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(seated), pa.array(own)], names=["u", "w", "c", "t", "own"])
 
-    return about.select("u", "w", "c", "t", "own", "held", "now").mapInArrow(run, "u long, w long, c long, t long, own double")
+    return arrow_map(about.select("u", "w", "c", "t", "own", "held", "now"), run, "u long, w long, c long, t long, own double")
 
 
 def tables_by_word(pairs: DataFrame) -> DataFrame:
@@ -350,7 +350,7 @@ def spelling_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             n = np.bincount(back, np.repeat(np.asarray(batch.column(1)), np.diff(firsts)))
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["cell", "n"])
 
-    found = words.select("word", "t").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()  # at most SYMBOLS ** 3 rows
+    found = arrow_map(words.select("word", "t"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()  # at most SYMBOLS ** 3 rows
     return found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
@@ -478,7 +478,7 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(f.name, id_type if f.name == "doc_id" else f.dataType) for f in SCORED.fields])
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), held_out.alias("held_out"), F.col(f"`{text_col}`").alias("text"))
-    scored = written(numbered.mapInArrow(run, schema), "lm-scored")
+    scored = written(arrow_map(numbered, run, schema), "lm-scored")
 
     # Tokens with a word that isn't listed get its values by joins, then all that wait the weight of their pair.
     waiting = scored.where("u is not null").select("row", "u", "w", "scale", "back", "counted")

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import tokens
-from tidemark.llm.frames import map_texts, pieces, without, written
+from tidemark.llm.frames import arrow_map, map_texts, pieces, without, written
 
 LENGTH, GRAM = 400, 32
 #: Anchors of one 32-gram in one task, and most 32-grams that are salted (crowd grows where they were more).
@@ -299,7 +299,7 @@ def counted(docs: DataFrame, text_col: str, length: int) -> DataFrame:
                 kinds = np.repeat(np.array([0, 1], np.int8), [len(ids), len(grams)])
                 yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate([ids, grams]))], names=["kind", "key"])
 
-    keys = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "kind byte, key long")
+    keys = arrow_map(docs.select(F.col(f"`{text_col}`").alias("text")), run, "kind byte, key long")
     return keys.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
@@ -345,7 +345,7 @@ def segments(docs: DataFrame, text_col: str, length: int, grams: DataFrame, crow
                     columns = [ids[owner], begin, ids[owner], shift + begin - bounds[owner], shift + end - bounds[owner]]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(owner), pa.int32()), pa.nulls(len(owner), pa.binary()), pa.array(np.zeros(len(owner), bool))], names=SEGMENTS.names)
 
-    return docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, SEGMENTS)
+    return arrow_map(docs.select(F.col(f"`{text_col}`").alias("text")), run, SEGMENTS)
 
 
 def indexed(found: DataFrame, length: int, parts: int) -> DataFrame:
@@ -383,7 +383,7 @@ def indexed(found: DataFrame, length: int, parts: int) -> DataFrame:
             if len(hot):
                 yield from packed_windows(level, hot, length, parts)
 
-    return found.repartition(parts, "gram", "salt").mapInArrow(run, FOUND)
+    return arrow_map(found.repartition(parts, "gram", "salt"), run, FOUND)
 
 
 def packed_windows(level: Level, hot: np.ndarray, length: int, parts: int) -> Iterator[pa.RecordBatch]:
@@ -494,7 +494,7 @@ def cut_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, c
                     made[-1] = pa.array([r[3].decode(errors="ignore").encode() for r in out], pa.binary())
                 yield pa.RecordBatch.from_arrays([*piece.columns[:n], *made], names=schema.names)
 
-    return joined.mapInArrow(cut, schema)
+    return arrow_map(joined, cut, schema)
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH, least_words: int = 0) -> DataFrame:

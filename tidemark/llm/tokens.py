@@ -26,6 +26,8 @@ _P = int(_rng.integers(2**62, 2**63)) | 1
 _P_INV = pow(_P, -1, 2**64)
 _Q = [_U(int(x) | 1) for x in _rng.integers(2**62, 2**63, 64)]
 _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
+#: Powers that are kept between batches; longer texts make their own.
+_MOST_KEPT = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,12 +70,17 @@ def words(data: np.ndarray, bounds: np.ndarray, of: np.ndarray) -> tuple[np.ndar
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_P, _P_INV)):
-            x = np.full(n + n // 4, _U(base), _U)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=_U)
-    return _powers[0][:n], _powers[1][:n]
+    """The first n powers of the base and of its inverse; those of usual pieces are kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    made = []
+    for base in (_P, _P_INV):
+        x = np.full(max(n, min(n + n // 4, _MOST_KEPT)), _U(base), _U)
+        x[0] = 1
+        made.append(np.cumprod(x, dtype=_U))
+    if len(made[0]) <= _MOST_KEPT:
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def power(n: int) -> int:
