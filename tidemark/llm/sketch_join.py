@@ -17,13 +17,14 @@ How the work is kept whole and bounded:
   if those are enough. Then, in further rounds, against some of other components that its rare cells propose. The links'
   components settle the cells whose classes are all in one component, so groups of near copies shrink in every round, at a few
   pairs a copy. The number of rounds doesn't change the result.
-- Rest: a class that shares s cells, of which a link needs r, meets others in its s - r + 1 rarest cells only. Two classes with r
+- Rest: classes that have less in common with all classes of other components together than a link needs are out, so texts around
+  one boilerplate are not compared with each other. A class that shares s cells, of which a link needs r, meets others in its s - r + 1 rarest cells only. Two classes with r
   common cells have one of these in common, whatever the rest, so cells of passages that many documents quote are
   left out without losing a link. Pairs meet only if bit sketches of a fixed length, in which every shingle flips one bit, differ in
   no more bits than linked sets in shingles, and must share enough of all their cells before their sets are compared.
 
-Defined cases: null and empty texts, and texts without words, have an empty set, link with nothing and are
-their own component. Fewer than 5 words: the whole sequence is the one shingle. Repeated rows are in one class. A null
+Defined cases: a text of any length is read whole. Null and empty texts, and texts without words, have an empty set, link with nothing and are
+their own component. jaccard_components() has no other columns of docs, one_of_each() those of docs, whatever their names. Fewer than 5 words: the whole sequence is the one shingle. Repeated rows are in one class. A null
 doc_id takes part; the component is the least non-null doc_id in it, or null.
 """
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import tokens
-from tidemark.llm.frames import map_texts, pieces, written
+from tidemark.llm.frames import arrow_map, map_texts, pieces, written
 from tidemark.llm.graphs import joined
 
 SHINGLE = 5
@@ -52,7 +53,7 @@ SKETCH_WORDS = 8
 #: Rounds in which classes try some of another component, and how many each cell proposes; what they leave open is compared in pairs.
 STARS, PROPOSED = 2, 6
 #: Packed cells that a task holds before it sends them on.
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: Bits of the filter that tells which sets a verification needs; beyond its capacity it only lets more pass.
 MOST_FILTER_BITS = 1 << 27
 _U = np.uint64
@@ -136,7 +137,7 @@ def named_sets(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
                 columns = [pa.array([m[i] for m in made], pa.int64() if i < 2 else pa.int32()) for i in range(5)]
                 yield pa.RecordBatch.from_arrays([piece.column(0), *columns], names=names)
 
-    return kept.mapInArrow(run, f"doc_id {dict(kept.dtypes)['doc_id']}, n_shingles long, set_id long, own_band int, own_cells int, next_cells int")
+    return arrow_map(kept, run, f"doc_id {dict(kept.dtypes)['doc_id']}, n_shingles long, set_id long, own_band int, own_cells int, next_cells int")
 
 
 def shared_cells(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
@@ -214,7 +215,7 @@ def shared_cells(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
         columns = [key + (np.int64(part) << np.int64(8 * KEY_BYTES)), band, rec, np.repeat(size, size).astype(np.int32)]
         return pa.table([pa.array(np.ascontiguousarray(c[keep])) for c in columns], names=["cell", "band", "id", "size"])
 
-    packed = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(pack, "part int, cells binary, owners binary, counts binary")
+    packed = arrow_map(docs.select(F.col(f"`{text_col}`").alias("text")), pack, "part int, cells binary, owners binary, counts binary")
     return packed.groupBy("part").applyInArrow(meet, "cell long, band int, id long, size int")
 
 
@@ -251,7 +252,7 @@ def sets_of(docs: DataFrame, text_col: str, ids: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], names=["id", "n", "hashes", "sketch"])
 
-    found = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "id long, n long, hashes binary, sketch array<long>")
+    found = arrow_map(docs.select(F.col(f"`{text_col}`").alias("text")), run, "id long, n long, hashes binary, sketch array<long>")
     return found.join(ids, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.first("sketch").alias("sketch"))
 
 
@@ -276,7 +277,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("set_a")), "a")
     with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("set_b")), "b")
-    return with_b.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
+    return arrow_map(with_b.select("a", "b", "set_a", "set_b"), check, "a long, b long")
 
 
 def strong_cells(shared: DataFrame, classes: DataFrame) -> DataFrame:
@@ -345,6 +346,32 @@ def open_rows(strong: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame
     return written(rows.select("cell", "band", "id", "component", "cells", "left", "n", "sketch"), "join-open")
 
 
+def linkable(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """id of the classes in rows (id, component) of whose shingles enough for a link are also in rows of another component.
+
+    A linked set has at least 80 % of the shingles of either, so classes that share less with all others together, as texts around one
+    boilerplate do, meet nobody in the cells of what they share.
+    """
+    low, high = SIMILAR
+    named = rows.select("id", "component").distinct()
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                hashes = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(3)]
+                sizes = [len(h) for h in hashes]
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                columns = [pa.array(np.asarray(part.column(k))[owner]) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(hashes))], names=["id", "component", "n", "hash"])
+
+    each = arrow_map(named.join(sets.select("id", "n", "hashes"), "id").select("id", "component", "n", "hashes"), spread, "id long, component long, n long, hash long")
+    each = written(each, "join-shingles")
+    met = each.groupBy("hash").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("hash")
+    shared = each.join(met, "hash").groupBy("id").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("shared"))
+    return shared.where(F.col("shared") * high >= F.col("n") * low).select("id")
+
+
 def rest_pairs(strong: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of classes in different components that may be similar enough by their bit sketches and share as many cells as a link needs.
 
@@ -352,6 +379,7 @@ def rest_pairs(strong: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFram
     only in cells after which enough are left for both.
     """
     rows = open_rows(strong, comps, sets)
+    rows = written(rows.join(linkable(rows, sets), "id", "left_semi"), "join-open")
     x, y = rows.alias("x"), rows.alias("y")
     c = F.col
     others = (c("x.id") < c("y.id")) & (c("x.component") != c("y.component"))
