@@ -1,19 +1,28 @@
 """HTML extraction: text-to-tag ratios over parser events (operator 4).
 
 The standard library's parser streams events; blocks of text are the lines. A line's ratio is its text
-over its tags; the ratios are smoothed by a Gaussian and lines above a threshold (the smoothed ratios'
-deviation) form the content cluster. That cluster selects the content region: the innermost article,
-main, section or other container that holds nearly all of its text. Every block of that region is kept, short ones too,
-but for parts that are marked as no article text: menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and comments.
-
-One narrow stage over Arrow batches. Null, empty and text-free pages give an empty text; repeated rows
-give repeated results; a page of any length is read whole.
+over its tags; the ratios are smoothed by a Gaussian, and lines above a threshold (the smoothed ratios'
+deviation) form the content cluster. The cluster decides three things:
+
+- the content region: the article or main element with most of its text, and the articles beside it; on pages without such elements the
+  innermost container that holds nearly all of it;
+- parts whose class or id has a word that articles use too (related, share, notice, header and the like): they stay where they
+  are content, that is long, in the cluster and not made of links, and go otherwise;
+- wrappers: a part that holds an article and half the page's text is no menu or sidebar, whatever its class says.
+
+Of the region every block is kept, short ones too, but for what is no article text: menus, page headers, footers, sidebars, notices, adverts,
+forms, dialogs, scripts, styles, reader comments, hidden parts and the fallback of embedded media. An article's own header,
+formulas, drawings' texts and labels outside forms are article text. What goes inside a line doesn't cut the line in two.
+
+One narrow stage over Arrow batches; time and memory are linear in a page's length. Defined cases: null, empty and text-free pages give
+an empty text; a page of any length is read whole; an unclosed comment is what the parser makes of it; repeated rows give repeated
+results; a column named main_text in any case is replaced, others pass through.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -25,16 +34,22 @@ from tidemark.llm.frames import map_texts
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
-    "address article aside blockquote body canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-SKIPPED = frozenset("script style noscript template head title nav header footer aside form button select textarea input iframe object embed svg canvas dialog menu menuitem fieldset label math audio video map".split())
-#: Words of class and id names that mark a part as none of the article.
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer "
-    "disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion related "
-    "recommended reply replies respond share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toc toolbar topbar widget widgets".split()
+#: Elements without article text: blocks; parts of a line that are seen, which part the words beside them; and those that are not seen.
+NO_BLOCKS = frozenset("head title nav header footer aside form dialog menu menuitem fieldset".split())
+NO_WIDGETS = frozenset("button select textarea iframe object canvas audio video".split())
+NO_CODE = frozenset("script style noscript template".split())
+#: Words of class and id names of reader comments, of other parts that are none of the article, and of parts that may be.
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+MARKS = COMMENTS | frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense breadcrumb breadcrumbs consent cookie cookies footer gdpr masthead menu nav navbar navigation newsletter "
+    "pagination pager popup promo promoted sidebar sidebars signup sponsor sponsored subscribe subscription".split()
 )
+MAYBE = frozenset("banner copyright disclaimer header modal notice notices notification promotion recommended related share sharing skip social toc toolbar topbar widget widgets".split())
+#: First words of names that tell of a part elsewhere, as in no-sidebar.
+ELSEWHERE = frozenset("has hide no with without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 #: A start tag of these ends an open element of the named kinds within the same container.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -42,66 +57,100 @@ CONTAINERS = frozenset("html body article main section div td ul ol table blockq
 NAME_WORDS = re.compile(r"[a-z]+")
 #: Radius of the Gaussian in lines and share of the cluster's text that the region must hold.
 RADIUS, SHARE = 2, 0.9
+#: What a part with a doubtful name must have to be content: characters, share in the cluster, and most share in links.
+PART_CHARS, PART_SHARE, PART_LINKS = 200, 0.5, 0.3
+
+
+#: The state outside all elements; see Page.stack.
+NOTHING = ("", "", -1, 0, False, False)
 
 
-class Lines(HTMLParser):
-    """The page as lines: text, tags, the containers around, and whether a marked part holds it."""
+class Page(HTMLParser):
+    """A page as lines (text, tags, container, no article text, part, characters in links) with its containers and doubtful parts."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # tag, skipped, container
-        self.containers: list[tuple[int, str]] = [(-1, "")]  # parent, tag
-        self.lines: list[tuple[str, int, int, bool]] = []  # text, tags, container, skipped
-        self.parts: list[str] = []
-        self.tags = 0
+        # tag, what it hides ("", "block" or "inline"), part, container, in a link, in an article
+        self.stack: list[tuple[str, str, int, int, bool, bool]] = []
+        self.open: Counter = Counter()  # of the tags on the stack, so that most tags needn't be looked for
+        self.containers: list[tuple[int, str, int]] = [(-1, "", -1)]  # parent, tag, part
+        self.parts: list[tuple[int, str]] = []  # parent, kind
+        self.lines: list[tuple[str, int, int, bool, int, int]] = []
+        self.words: list[str] = []
+        self.tags = self.linked = 0
+
+    def top(self) -> tuple[str, str, int, int, bool, bool]:
+        return self.stack[-1] if self.stack else NOTHING
+
+    def close_from(self, at: int) -> None:
+        self.end_line()
+        self.open.subtract(x[0] for x in self.stack[at:])
+        del self.stack[at:]
 
     def end_line(self) -> None:
-        text = " ".join("".join(self.parts).split())
+        text = " ".join("".join(self.words).split())
         if text:
-            _, skipped, container = self.stack[-1] if self.stack else ("", False, 0)
-            self.lines.append((text, self.tags, container, skipped))
+            # What hides inside a line has added no words to it; what the line stands in counts.
+            _, hides, part, container, *_ = next((x for x in reversed(self.stack) if x[1] != "inline"), NOTHING)
+            self.lines.append((text, self.tags, container, hides == "block", part, min(self.linked, len(text))))
             self.tags = 0
-        self.parts.clear()
-
-    def marked(self, tag: str, attrs: list) -> bool:
-        if tag in SKIPPED:
-            return True
-        if tag in ("html", "body", "article", "main"):
-            named = {"comment", "comments", "reply"} if tag in ("article",) else frozenset()
-        else:
-            named = MARKS
+        self.words.clear()
+        self.linked = 0
+
+    def kind(self, tag: str, attrs: list) -> str:
+        """What the element's names say: "" for nothing, "comments", "none" or "maybe"; of an article's own header nothing."""
+        found, in_article = "", self.top()[5]
         for key, value in attrs:
-            if key in ("class", "id") and value and named and not named.isdisjoint(NAME_WORDS.findall(value.lower())):
-                return True
-            if key == "role" and value and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-                return True
-        return False
+            if key not in ("class", "id") or not value:
+                continue
+            for name in value.lower().split():
+                words = NAME_WORDS.findall(name)
+                if not words or words[0] in ELSEWHERE:
+                    continue
+                if not COMMENTS.isdisjoint(words):
+                    return "comments"
+                if not MARKS.isdisjoint(words):
+                    found = "none"
+                elif not MAYBE.isdisjoint(words) and not (in_article and "header" in words):
+                    found = found or "maybe"
+        return "" if tag in ("html", "body", "article", "main") else found
 
-    def pop_to(self, at: int) -> None:
-        self.end_line()
-        del self.stack[at:]
+    def hides(self, tag: str, attrs: list) -> str:
+        if tag in NO_CODE or tag in NO_WIDGETS:
+            return "inline"
+        if tag in NO_BLOCKS and not (tag == "header" and self.top()[5]):
+            return "block"
+        for key, value in attrs:
+            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value and value.lower() in ROLES:
+                return "block" if tag in BLOCK else "inline"
+        return ""
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
-        if tag == "br":
-            self.parts.append(" ")
-            return
-        if tag in BLOCK or tag in SKIPPED:
+        if tag == "br" or tag in NO_WIDGETS or tag == "input":
+            self.words.append(" ")
+        if (tag in BLOCK or tag in NO_BLOCKS) and self.top()[1] != "inline":
             self.end_line()
-            for i in range(len(self.stack) - 1, -1, -1):
-                open_tag = self.stack[i][0]
-                if open_tag == "p" and tag in BLOCK or open_tag in ENDS.get(tag, ()):
-                    self.pop_to(i)
-                    break
-                if open_tag in CONTAINERS:
-                    break
+            ended = ENDS.get(tag, set()) | ({"p"} if tag in BLOCK else set())
+            if any(self.open[t] > 0 for t in ended):
+                for i in range(len(self.stack) - 1, -1, -1):
+                    if self.stack[i][0] in ended:
+                        self.close_from(i)
+                        break
+                    if self.stack[i][0] in CONTAINERS:
+                        break
         if tag in VOID:
             return
-        _, skipped, container = self.stack[-1] if self.stack else ("", False, 0)
+        _, hides, part, container, link, in_article = self.top()
+        kind = self.kind(tag, attrs)
+        if kind:
+            self.parts.append((part, kind))
+            part = len(self.parts) - 1
         if tag in CONTAINERS:
-            self.containers.append((container, tag))
+            self.containers.append((container, tag, part))
             container = len(self.containers) - 1
-        self.stack.append((tag, skipped or self.marked(tag, attrs), container))
+        self.stack.append((tag, hides or self.hides(tag, attrs), part, container, link or tag == "a", in_article or tag in ("article", "main")))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -110,65 +159,96 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag in BLOCK or tag in SKIPPED:
+        blocks = tag in BLOCK or tag in NO_BLOCKS
+        if blocks:
             self.end_line()
+        if self.open[tag] <= 0:
+            return  # a stray end tag
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                if tag in BLOCK or tag in SKIPPED:
-                    self.end_line()
-                    del self.stack[i:]
+                if blocks:
+                    self.close_from(i)
                 else:
+                    self.open[tag] -= 1
                     del self.stack[i]
                 return
             if self.stack[i][0] in CONTAINERS and tag not in CONTAINERS:
-                return  # a stray end tag
+                return  # one of an element outside
 
     def handle_data(self, data: str) -> None:
-        self.parts.append(data)
+        _, hides, _, _, link, _ = self.top()
+        if hides != "inline":
+            self.words.append(data)
+            self.linked += len(data) if link else 0
 
 
-def ratios(lines: list[tuple[str, int, int, bool]]) -> np.ndarray:
-    """Smoothed text-to-tag ratios; marked lines count as no text."""
-    raw = np.array([0.0 if skipped else len(text) / max(1, tags) for text, tags, _, skipped in lines])
+def smoothed(raw: np.ndarray) -> np.ndarray:
     x = np.arange(-RADIUS, RADIUS + 1)
     kernel = np.exp(-(x**2) / (2 * (RADIUS / 2) ** 2))
     return np.convolve(np.pad(raw, RADIUS), kernel / kernel.sum(), "valid")
 
 
+def gone_parts(page: Page, above: np.ndarray) -> list[bool]:
+    """Whether each part with a telling name is none of the article. above: which lines are in the content cluster by their ratios alone."""
+    chars, linked, content, articles = ([0] * len(page.parts) for _ in range(4))
+    for (text, _, _, hidden, part, link), is_content in zip(page.lines, above.tolist(), strict=True):
+        while part >= 0 and not hidden:
+            chars[part] += len(text)
+            linked[part] += link
+            content[part] += len(text) * is_content
+            part = page.parts[part][0]
+    for _, tag, part in page.containers:
+        while part >= 0 and tag in ("article", "main"):
+            articles[part] += 1
+            part = page.parts[part][0]
+    total = sum(len(text) for text, _, _, hidden, _, _ in page.lines if not hidden)
+    gone: list[bool] = []
+    for k, (parent, kind) in enumerate(page.parts):
+        wraps = kind != "comments" and articles[k] > 0 and 2 * chars[k] >= total
+        is_content = chars[k] >= PART_CHARS and content[k] >= PART_SHARE * chars[k] and linked[k] <= PART_LINKS * chars[k]
+        stays = wraps or kind == "maybe" and is_content
+        gone.append(not stays or parent >= 0 and gone[parent])
+    return gone
+
+
 def main_text(html: str) -> str:
     """The article's blocks, one a line."""
-    page = Lines()
-    for i in range(0, len(html), 1 << 16):
-        page.feed(html[i : i + (1 << 16)])
+    page = Page()
+    page.feed(html)
     page.close()
     page.end_line()
     lines = page.lines
     if not lines:
         return ""
-    smooth = ratios(lines)
-    cut = min(float(smooth.std()), float(smooth.max()))
-    content = [i for i, line in enumerate(lines) if not line[3] and smooth[i] >= cut] or [i for i, line in enumerate(lines) if not line[3]]
-    mass = dict.fromkeys(range(len(page.containers)), 0)
+    raw = np.array([0.0 if hidden or part >= 0 and page.parts[part][1] != "maybe" else len(text) / max(1, tags) for text, tags, _, hidden, part, _ in lines])
+    smooth = smoothed(raw)
+    above = smooth >= min(float(smooth.std()), float(smooth.max()))
+    gone = gone_parts(page, above)
+    stays = [not hidden and (part < 0 or not gone[part]) for _, _, _, hidden, part, _ in lines]
+    content = [i for i, ok in enumerate(stays) if ok and above[i]] or [i for i, ok in enumerate(stays) if ok]
+    mass = [0] * len(page.containers)
     for i in content:
         at = lines[i][2]
         while at >= 0:
             mass[at] += len(lines[i][0])
             at = page.containers[at][0]
-    # An article or main element with content wins; else the innermost container with nearly all of it.
-    named = [k for k, (_, tag) in enumerate(page.containers) if tag in ("article", "main") and mass[k]]
-    top = max(named, key=lambda k: (mass[k], k)) if named else max((k for k in mass if mass[k] >= SHARE * mass[0]), default=0)
-    inside = {top}
-    for k in range(top + 1, len(page.containers)):
+    named = [k for k, (_, tag, _) in enumerate(page.containers) if tag in ("article", "main") and mass[k]]
+    if named:
+        best = max(named, key=lambda k: (mass[k], k))
+        inside = {k for k in named if page.containers[k][:2] == page.containers[best][:2]}
+    else:
+        inside = {max((k for k in range(len(mass)) if mass[k] >= SHARE * mass[0]), default=0)}
+    for k in range(min(inside) + 1, len(page.containers)):
         if page.containers[k][0] in inside:
             inside.add(k)
-    return "\n".join(text for text, _, at, skipped in lines if at in inside and not skipped)
+    return "\n".join(line[0] for line, ok in zip(lines, stays, strict=True) if ok and line[2] in inside)
 
 
 ADDED = T.StructType([T.StructField("main_text", T.StringType())])
 
 
 def extract(htmls: pa.Array) -> list[pa.Array]:
-    return [pa.array([main_text(h) if h else "" for h in htmls.to_pylist()], pa.string())]
+    return [pa.array([main_text(h.as_py()) if h.as_py() else "" for h in htmls], pa.string())]
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
