@@ -3,8 +3,8 @@ r"""Chat formatting: reply trees to conversations (operator 1). DataFrame functi
 Messages point to their parents. Self-joins with pointers that double their reach in every round
 enumerate the root-to-leaf paths in a number of rounds logarithmic in the depth; branches are ranked by
 the score of their messages and each chosen path is formatted as one conversation. All joins are on
-(tree, message), so one tree with a third of all messages spreads over all tasks; only the final string of a path
-is built in one place, as it is one value.
+(tree, message), so the enumeration of one tree with a third of all messages spreads over all tasks. A chosen path is one value of the
+result: its turns meet in one task, where they are numbered and joined. conversations_as_trees() numbers the rows of a conversation, which is one such path.
 
 Template: every turn is `### <role>:\n<text>\n</turn>\n`. In texts `\`, `###` and `</turn>` become `\b`, `\h`
 and `\e`, in roles also `:` and line feeds `\c` and `\n`, so the template's marks never stand inside
@@ -12,7 +12,8 @@ a turn and read_chats() gets every role and text back. loss_spans are the texts
 
 Defined cases: null texts and roles are empty. A null tree is a tree of its own. Of repeated message ids in a tree one row counts
 (the least role and text). A message whose parent is null or absent is a root. Messages on a cycle have no
-root: paths that lead into one are left out. An empty table gives none. Other columns are ignored.
+root: paths that lead into one are left out. An empty table gives none. A text of any length is formatted whole. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,17 +10,19 @@ Documents stay where they are: one narrow stage, no shuffle. The benchmark is th
 out in blocks of at most `block_bytes` of text, one narrow stage after the other with a written table between
 them, so its size is bounded whatever the table holds.
 
-Empty and null texts have no words: nothing is hit. Items without words are ignored. Items that repeat
+Defined cases: a text of any length is searched whole. Empty and null texts have no words: nothing is hit. Items without words are ignored. Items that repeat
 count once by item_id; a null item_id counts under the empty string. Rows of documents that repeat are
-each reported.
+each reported. find_benchmark() replaces columns that are named as its results in any case, decontaminate() returns those of docs.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,6 +141,18 @@ def compiled(items: list[tuple[str, str]]) -> list[Searcher]:
     return [Searcher(n, {p: sorted(ids) for p, ids in found.items()}) for n, found in sorted(by_length.items())]
 
 
+#: The searchers that this worker has compiled last, by the name of their block.
+_last: dict[str, list[Searcher]] = {}
+
+
+def compiled_once(name: str, shared: Broadcast) -> list[Searcher]:
+    """compiled() of a block, once a worker and not once a task."""
+    if name not in _last:
+        _last.clear()
+        _last[name] = compiled(shared.value)
+    return _last[name]
+
+
 def search(texts: pa.Array, searchers: list[Searcher]) -> list[pa.Array]:
     """The columns of ADDED for a batch of texts."""
     data, bounds = tokens.raw(texts)
@@ -175,8 +189,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
         pairs = [(r["item"], r["text"]) for r in block.collect()]
         shared = docs.sparkSession.sparkContext.broadcast(pairs)
 
-        def make(shared=shared):
-            searchers = compiled(shared.value)
+        def make(shared=shared, name=uuid.uuid4().hex):
+            searchers = compiled_once(name, shared)
             return lambda texts: search(texts, searchers)
 
         if k:  # one block at a time: each block's tables are in the memory of one stage

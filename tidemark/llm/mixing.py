@@ -14,7 +14,8 @@ randomness comes from hashes of the rows, so reruns agree.
 
 Defined cases: null and empty texts have size 0 and are taken 0 times. The null source is a source of its own,
 last in order. Repeated rows are documents of their own. Rows with equal hashes are interchangeable. Without
-documents the result is empty. Other columns are ignored by mix() and kept by mix_rows().
+documents the result is empty. Other columns are ignored, whatever their names; join the result by the id to keep them. A text
+of any length is one document; only its number of words counts. The targets come from one row a source, in one task.
 """
 
 from __future__ import annotations
