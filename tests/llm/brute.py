@@ -44,8 +44,8 @@ def jaccard(docs):
     return {i: (len(sets[i]), comps[i]) for i in ids}
 
 
-def repeats(texts, length):
-    """(bytes, removed, runs, kept) of each text."""
+def repeats(texts, length, least_words=0):
+    """(bytes, removed, runs, kept) of each text; runs with fewer words stay."""
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
     out = []
@@ -54,8 +54,10 @@ def repeats(texts, length):
         for i in range(len(d) - length + 1):
             if seen[d[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
-        runs = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
-        out.append((len(d), sum(gone), runs, bytes(b for b, g in zip(d, gone, strict=True) if not g)))
+        runs = [m.span() for m in re.finditer(b"\1+", bytes(gone))]
+        runs = [(a, b) for a, b in runs if len(re.findall(rb"[^\x20\x09-\x0D]+", d[a:b])) >= least_words]
+        kept = b"".join(d[a:b] for a, b in zip([0, *(b for _, b in runs)], [*(a for a, _ in runs), len(d)], strict=True))
+        out.append((len(d), sum(b - a for a, b in runs), len(runs), kept))
     return out
 
 
@@ -100,6 +102,39 @@ def licenses(text):
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
 
 
+def license_labels(text, rules, least):
+    """labels, best priority: every rule whose keyword is in the text, then one detection after another, the best that overlaps none taken."""
+    w = ALNUM.findall(low(text))
+    said = " " + " ".join(w) + " "
+    if not w:
+        said = " "
+    found = {(*m.span(), p, label) for p, label, key, pattern in rules if key in said for m in re.finditer(f"(?<= )(?:{pattern})(?= )", said)}
+    taken = []
+    while found:
+        best = min(found, key=lambda x: (-x[2], -(x[1] - x[0]), x[0], x[3]))
+        taken.append(best)
+        found = {x for x in found if x[1] <= best[0] or x[0] >= best[1]}
+    return {label for *_, p, label in taken if p >= least}, max((x[2] for x in taken), default=0)
+
+
+def repeated_chars(text, n):
+    """Share of the word characters in n-word windows that occur twice or more."""
+    w = SPACED.findall(text or "")
+    windows = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+    many = Counter(windows)
+    hit = {i + j for i, x in enumerate(windows) if many[x] > 1 for j in range(n)}
+    return sum(len(w[i]) for i in hit) / max(1, sum(map(len, w)))
+
+
+def repeated_line_chars(text):
+    seen, share = set(), 0
+    for line in (text or "").split("\n"):
+        chars = sum(map(len, SPACED.findall(line)))
+        share += chars if chars and line in seen else 0
+        seen.add(line)
+    return share / max(1, sum(map(len, SPACED.findall(text or ""))))
+
+
 def lm_base(docs):
     """doc_id: (held_out, n_tokens, n_known, train_tokens, base_score)."""
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2

@@ -119,11 +119,35 @@ def test_licenses(spark, docs, texts):
     assert B.by_key((r["doc_id"], (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"])) for r in rows) == want
     assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in rows)
     found = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(LICENSED)), DOCS)).collect()}
-    assert found[6]["labels"] == "gpl-3-or-later" and found[7]["labels"] == "" and found[7]["score"] == 0 and "cc-by-nc-sa-4.0" in found[4]["labels"] and len(licenses.rules()) > 300
-
-
-def test_detections_inside_longer_ones_fall():
-    assert licenses.resolved([(0, 10, 5, "a"), (2, 6, 9, "b"), (8, 14, 1, "c"), (0, 10, 6, "d"), (9, 12, 9, "e")]) == [(0, 10, 6, "d"), (8, 14, 1, "c")]
+    assert found[6]["labels"] == "gpl-3-or-later" and found[7]["labels"] == "" and found[7]["score"] == 0 and "cc-by-nc-sa-4" in found[4]["labels"] and len(licenses.rules()) > 200
+    for r in licenses.scan_licenses(df.select("doc_id", "text")).collect():
+        labels, best = B.license_labels(r["text"], licenses.rules(), licenses.LEAST)
+        base = set(filter(None, r["base_labels"].split(",")))
+        assert r["labels"] == ",".join(sorted(labels | base)) and r["score"] == (1.0 if base else best / 100)
+
+
+def test_the_better_of_overlapping_detections_stays():
+    assert licenses.resolved([(0, 10, 5, "a"), (2, 6, 9, "b"), (8, 14, 1, "c"), (0, 10, 6, "d"), (9, 12, 9, "e")]) == [(2, 6, 9, "b"), (9, 12, 9, "e")]
+    assert licenses.resolved([(0, 30, 5, "license-notice"), (10, 22, 80, "mit")]) == [(10, 22, 80, "mit")]
+    rng = random.Random(12)
+    for _ in range(200):
+        found = {(a := rng.randrange(60), a + rng.randint(1, 20), rng.choice([5, 60, 80]), rng.choice("xyz")) for _ in range(rng.randint(0, 30))}
+        left, taken = set(found), []
+        while left:
+            best = min(left, key=lambda x: (-x[2], -(x[1] - x[0]), x[0], x[3]))
+            taken.append(best)
+            left = {x for x in left if x[1] <= best[0] or x[0] >= best[1]}
+        assert licenses.resolved(list(found)) == sorted(taken)
+
+
+def test_license_rules_on_generated_texts(spark):
+    """Texts of pieces of the rules' own words, so that detections nest and cross."""
+    rng = random.Random(14)
+    bits = ["gnu", "gpl", "general public license", "version 2", "v3", "or any later version", "lesser", "apache", "license", "2.0", "under the", "mit", "licensed under", "cc by", "nc", "sa", "4.0", "bsd", "3-clause", "all rights reserved", "copyright 2020", "creative commons", "attribution", "the unlicense", "word"]
+    rows = [(i, " ".join(rng.choice(bits) for _ in range(rng.randint(1, 25)))) for i in range(300)]
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, DOCS)).collect():
+        labels, _ = B.license_labels(r["text"], licenses.rules(), licenses.LEAST)
+        assert r["labels"] == ",".join(sorted(labels | set(filter(None, r["base_labels"].split(","))))), r["text"]
 
 
 def test_repetition_rules(docs, texts):
@@ -133,6 +157,25 @@ def test_repetition_rules(docs, texts):
     assert not any(r["kept"] and r["base_failed"] for r in rows) and any(r["kept"] for r in rows)
 
 
+def test_repetition_verdicts(spark):
+    """kept by brute force; every n-gram length rejects some text that no other rule does."""
+    rng = random.Random(15)
+    rows = []
+    for n in range(4, 14):
+        for k in range(1, 40):
+            phrases = [prose(rng, n) for _ in range(k % 6 + 1)]
+            rows.append((len(rows), " ".join(f"{rng.choice(phrases)} {prose(rng, rng.randint(k // 2 + 1, k + 12))}" for _ in range(12))))
+    rows += [(len(rows), "# $ % " * 5 + prose(rng, 30)), (len(rows) + 1, "\n".join([prose(rng, 9)] * 3 + [prose(rng, 9) for _ in range(9)]))]
+    failed_alone = set()
+    for r in repetition.repetition_rules(spark.createDataFrame(rows, DOCS)).collect():
+        n_words, _, n_symbols, _, _, base = B.rules(r["text"])
+        bad = {f"{n}grams" for n, most in repetition.DUPLICATE_NGRAMS.items() if B.repeated_chars(r["text"], n) > most}
+        bad |= {name for name, x in (("base", base), ("lines", B.repeated_line_chars(r["text"]) > repetition.DUPLICATE_LINES), ("symbols", n_symbols > repetition.SYMBOLS_PER_WORD * n_words)) if x}
+        assert set(filter(None, r["failed_rules"].split(","))) == bad and r["kept"] == (not bad)
+        failed_alone |= bad if len(bad) == 1 else set()
+    assert {f"{n}grams" for n in (5, 10)} <= failed_alone
+
+
 def test_decontamination(spark, docs, texts):
     long = texts[10].split()
     items = [("a", " ".join(long[:25]).upper()), ("b", "one, two... THREE four"), ("c", ""), ("d", None), (None, "Ünïcödé wörds"), ("a", texts[12]), ("e", "x" * 5000), ("f", "never seen at all")]
@@ -151,7 +194,62 @@ PAGES = [
     ("<html><body><nav><a href=/>Home</a></nav><article><h1>Title &amp; more</h1><p>First  paragraph\nof the text, long enough to be the content of it all.</p><p>Short.</p><div class='ad-box'>Buy</div></article><footer>Imprint</footer></body></html>", "Title & more\nFirst paragraph of the text, long enough to be the content of it all.\nShort."),
     ("<body><div id=sidebar>links links</div><div id=content><p>Some words that are the article here, quite a lot.<p>And more words &#8212; unclosed<script>var x = '<p>no</p>'</script></div><div class=comments><p>A reader writes a very long comment that nobody wants to read in here.</div></body>", "Some words that are the article here, quite a lot.\nAnd more words — unclosed"),
     ("", ""), (None, ""), ("<html><head><title>t</title></head><body></body></html>", ""), ("plain text only", "plain text only"), ("<p>" + "<b>" * 3000 + "deep" , "deep"),
+    ("<article><p>Value of <math>x</math> is <button>Copy</button>given.<script>a</script></article>", "Value of x is given."),
+    ("<body><article><p>One article here.</p></article><article><p>And one more.</p></article><footer>Imprint</footer>", "One article here.\nAnd one more."),
+    ("<article><header><h1>Own head</h1></header><p>Text.</p><aside>Aside</aside><div class='comments'><p>A comment.</div></article>", "Own head\nText."),
 ]
+LONG = "So this sentence is long enough to be taken for the content of the page by its ratio of text to tags, and by nothing else. "
+
+
+def generated_page(rng):
+    """A page and its main text."""
+    said, html = [], []
+    if rng.random() < 0.7:
+        html.append(rng.choice(["<header><a href=/>Site</a></header>", "<nav><ul><li><a href=1>Home<li><a href=2>News</ul></nav>", "<div class='top-nav'>Go to content</div>"]))
+    if rng.random() < 0.5:
+        html.append(rng.choice(["<div class='cookie-notice'>We use cookies</div>", "<div id=ad-1>Buy now, it is cheap</div>", "<form><label>Name</label><input></form>", "<style>p{}</style>"]))
+    inner = []
+    for _ in range(rng.randint(2, 7)):
+        kind = rng.randrange(6)
+        if kind == 0:
+            text = prose(rng, 4)
+            inner.append(f"<h2>{text}</h2>")
+        elif kind == 1:
+            items = [prose(rng, 5) for _ in range(3)]
+            inner.append("<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>")
+            said += items
+            continue
+        elif kind == 2:
+            text = LONG.strip() + " & " + prose(rng, 6)
+            inner.append(f"<p>{text.replace('&', '&amp;')}")
+        elif kind == 3:
+            text = (LONG * 3).strip()
+            inner.append(f"<section class='related-work'><p>{text}</p></section>")
+        elif kind == 4:
+            text = f"{prose(rng, 20)} {LONG}{prose(rng, 3)}"
+            inner.append(f"<p>{text.replace(' ', chr(10), 2)}<script>var x = '</p>'</script></p>")
+        else:
+            text = f"{LONG}See figure 1."
+            inner.append(f"<div><b>{text[:30]}</b>{text[30:]}</div>")
+        said.append(text)
+    shape = rng.randrange(3)
+    if shape == 2 and not any(len(x) > 100 for x in said):
+        inner.append(f"<p>{LONG}</p>")
+        said.append(LONG.strip())
+    html += {0: ["<article>", *inner, "</article>"], 1: ["<div class='page with-sidebar'><main>", *inner, "</main></div>"], 2: ["<article class='entry social-policy'><div>", *inner, "</div></article>"]}[shape]
+    if rng.random() < 0.6:
+        html.append(rng.choice(["<aside>More to read</aside>", "<div class=comments><p>" + LONG + "</div>", "<div class=share>Share this</div>", "<footer>&copy; 2020</footer>"]))
+    return "<html><body>" + "".join(html) + "</body></html>", "\n".join(said)
+
+
+def test_html_of_generated_pages(spark):
+    rng = random.Random(16)
+    pages = [generated_page(rng) for _ in range(300)]
+    big = "".join(f"<p>{LONG}</p>" for _ in range(12_000))
+    pages += [(f"<nav>x</nav><article>{big}</article>", "\n".join([LONG.strip()] * 12_000)), ("<article><p>x</p></article><!-- " + "a " * 1_000_000, "x")]
+    found = {r["i"]: r["main_text"] for r in html_extraction.extract_main_text(spark.createDataFrame([(i, h) for i, (h, _) in enumerate(pages)], "i int, html string")).collect()}
+    for i, (h, text) in enumerate(pages):
+        assert found[i] == text, h[:3000]
 
 
 def test_html_extraction(spark):
@@ -196,28 +294,93 @@ def test_mixing_is_unbiased(spark):
 
 
 # 6
-def test_quality(spark):
-    rng = random.Random(9)
+def labelled(rng, n=900):
     rows, labels = [], []
-    for i in range(900):
+    for i in range(n):
         words = prose(rng, 60).split()
         bad = i % 9 == 0
         if bad:
-            for _ in range(3):
+            for _ in range(4):
                 words[rng.randrange(60)] = rng.choice(["vile", "nasty", "awful"])
         rows.append((i, " ".join(words)))
         if i % 2:
             labels.append((i, 0 if bad and i % 4 == 1 else 1, int(bad)))
+    return rows, labels
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def test_quality(spark):
+    rows, labels = labelled(random.Random(9), 1800)
     rows += [(2000, None), (2001, ""), (None, "plain words"), (3, rows[3][1])]
-    df, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame([*labels, (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    df, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame([*labels, (None, 1, 1), (5, None, None)], LABELS)
     found = quality.resample(clashing(df), lab).collect()
     kept = {r["doc_id"]: r["kept"] for r in found}
-    held = [i for i in range(900) if i % 2 == 0]
-    assert sum(kept[i] for i in held if i % 9) / sum(1 for i in held if i % 9) > 0.98 and sum(kept[i] for i in held if i % 9 == 0) <= 0.1 * sum(1 for i in held if i % 9 == 0)
+    held = [i for i in range(1800) if i % 2 == 0]
+    assert sum(kept[i] for i in held if i % 9) / sum(1 for i in held if i % 9) > 0.97 and sum(kept[i] for i in held if i % 9 == 0) <= 0.1 * sum(1 for i in held if i % 9 == 0)
     assert kept[2000] and kept[2001] and len(found) == len(rows)
     out = quality.keep_quality(spark, clashing(df), lab)
     assert out.columns == clashing(df).columns and out.count() == sum(r["kept"] for r in found)
     assert quality.resample(df, lab.limit(0)).where("not kept").count() == 0 and quality.resample(df.limit(0), lab).count() == 0
+    again = quality.resample(df.repartition(7), lab).collect()
+    assert sorted((str(r["doc_id"]), round(r["log_weight"], 9), r["kept"]) for r in again) == sorted((str(r["doc_id"]), round(r["log_weight"], 9), r["kept"]) for r in found)
+
+
+def test_quality_against_brute_force(spark):
+    """Weights from counts of buckets in plain Python; the sample as the largest keys, for a share that cuts among likes too."""
+    import pyarrow as pa
+
+    rng = random.Random(19)
+    rows, labels = labelled(rng)
+    target = {i for i, q, t in labels if q == 1 and t == 0}
+    rows += [(3000 + i, rows[2][1]) for i in range(40)]  # copies of one text, none of them labelled
+    copies = {t: sum(x == t for _, x in rows) for _, t in rows}
+    of = {}
+    for i, t in rows:
+        tables, _, _, _ = quality.features(pa.array([t], pa.large_string()))
+        of[i] = [[k * quality.SIZE + b for b in x.tolist()] for k, x in enumerate(tables)]
+    raw, good = {}, {}
+    for i, t in rows:
+        one = round(quality.UNIT / copies[t]) / quality.UNIT
+        for b in (b for table in of[i] for b in table):
+            raw[b] = raw.get(b, 0) + one
+            good[b] = good.get(b, 0) + one * (i in target)
+    log = {}
+    for k in range(quality.WORD_TABLES + quality.PAIR_TABLES):
+        mine = sorted((b for b in raw if b // quality.SIZE == k), key=lambda b: good[b] / raw[b])
+        half, run = sum(raw[b] for b in mine) / 2, 0.0
+        for b in mine:
+            run += raw[b]
+            if run >= half:
+                break
+        bulk = good[b] / raw[b] or sum(good[b] for b in mine) / sum(raw[b] for b in mine)
+        for b in mine:
+            e, g = raw[b] * bulk, good[b]
+            evidence = e - g + (g * math.log(g / e) if g else 0)
+            log[b] = math.log((g + quality.KAPPA) / (e + quality.KAPPA)) / (1 + math.exp(quality.AGAINST - evidence))
+    want = {}
+    for i, tables in of.items():
+        sides = tables[: quality.WORD_TABLES], tables[quality.WORD_TABLES :]
+        want[i] = sum(min((log[b] for b in same), key=abs) for side in sides for same in zip(*side, strict=True))
+    assert min(want.values()) < -5 and max(want.values()) > 0
+    df, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
+    for share in (None, 0.5):
+        found = quality.resample(df, lab, share=share).collect()
+        assert all(math.isclose(r["log_weight"], want[r["doc_id"]], rel_tol=1e-6, abs_tol=1e-6) for r in found)
+        k = round(sum(math.exp(min(0, w - quality.ENVELOPE)) for w in want.values()) if share is None else share * len(rows))
+        least = sorted((r["gumbel_key"] for r in found), reverse=True)[k - 1]
+        assert all(r["kept"] == (r["gumbel_key"] >= least) for r in found)
+        noise = [r["gumbel_key"] - r["log_weight"] for r in found]
+        assert abs(sum(noise) / len(noise) - 0.5772) < 0.15  # a Gumbel variable's mean
+    inside = sorted(r["log_weight"] for r in found if r["kept"])
+    outside = sorted(r["log_weight"] for r in found if not r["kept"])
+    assert inside[0] < outside[-1]  # no threshold: the draw decides among likes
+
+
+def test_labels_are_taken_in_whole_bins(spark):
+    lab = spark.createDataFrame([(i, 1, 0) for i in range(3000)], LABELS)
+    assert quality.target_ids(lab, 10_000).count() == 3000 and 900 < quality.target_ids(lab, 1000).count() <= 1000
 
 
 def test_kth_largest(spark):
@@ -250,6 +413,43 @@ def test_suffix_dedup_at_full_length(spark):
     assert suffix_dedup.cut_repeats(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_periodic_and_long_texts(spark):
+    """Texts of megabytes with one byte or a period of 8, and a passage near the end of another long text."""
+    rng = random.Random(21)
+    long = " ".join(prose(rng, 1000) + f" {i}" for i in range(130))
+    passage = prose(rng, 120)
+    rows = [(1, "z" * (8 << 20)), (2, "abcdefgh" * (1 << 20)), (3, f"{long} {passage} end"), (4, f"start {passage}"), (5, "q" * 399 + "z" * 450), (6, "z" * 399)]
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept_text"])) for r in suffix_dedup.cut_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(rows[2][1]) > 500_000
+    assert found[1] == (8 << 20, 8 << 20, 1, b"") and found[2] == (8 << 20, 8 << 20, 1, b"")
+    own = f" {passage}"  # the blank before it is shared too
+    for i, text in (rows[2], rows[3]):
+        kept = text.replace(own, "").encode()
+        assert found[i] == (len(text), len(own), 1, kept)
+    assert found[5] == (849, 450, 1, b"q" * 399) and found[6] == (399, 0, 0, b"z" * 399)
+
+
+def test_suffix_arrays_by_brute_force():
+    import numpy as np
+
+    rng = random.Random(22)
+    said = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 9))) for _ in range(200)]
+    sizes = np.array([len(x) for x in said])
+    data = np.frombuffer(b"".join(said), np.uint8)
+    a = suffix_dedup.Array(suffix_dedup.table_of(data, np.cumsum(sizes) - sizes, sizes, 9, 1))
+    assert [said[i] for i in a.order] == sorted(said)
+    common = [next((k for k, (x, y) in enumerate(zip(said[i], said[j], strict=False)) if x != y), min(len(said[i]), len(said[j]))) for i, j in zip(a.order, a.order[1:], strict=False)]
+    assert a.common.tolist() == common
+
+
+def test_passages_of_few_words_stay(spark):
+    rng = random.Random(23)
+    few, many = prose(rng, 45), prose(rng, 60)
+    rows = [(i, f"{prose(rng, 30)} {few if i % 2 else many} {prose(rng, 30)}") for i in range(8)]
+    left = {r["doc_id"]: r["text"] for r in suffix_dedup.without_repeats(spark.createDataFrame(rows, DOCS), length=200, least_words=50).collect()}
+    assert all(left[i] == t if i % 2 else many not in left[i] and len(left[i].split()) in (59, 60, 61) for i, t in rows)
+
+
 def test_characters_are_cut_whole(spark):
     rows = [(i, f"{i}" + "äöü" * 300 + f"{i}") for i in range(2)] + [(9, "é" * 10)]
     for r in suffix_dedup.without_repeats(spark.createDataFrame(rows, DOCS)).collect():
@@ -312,3 +512,49 @@ def test_lm_learns_pairs_of_rare_words(spark):
         found = {r["doc_id"]: r["score"] for r in pitman_yor.score_texts(df, held_out=F.col("doc_id") >= 5000, known_words=known, head=head).collect()}
         gain = [found[5000 + i] - found[6000 + i] for i in range(120)]
         assert min(gain) > 1 and len(found) == len(rows) + 240
+
+
+def test_scores_do_not_depend_on_the_layout(spark, docs):
+    """Draws come from words and contexts, so partitions and batches don't matter."""
+    found = [B.by_key((r["doc_id"], round(r["score"], 7)) for r in pitman_yor.score_texts(docs.repartition(n), known_words=40, head=30).collect()) for n in (1, 7)]
+    assert found[0] == found[1]
+
+
+# 2, 3, 6, 8, 9, 10 with texts of megabytes
+def test_texts_of_megabytes(spark):
+    rng = random.Random(31)
+    phrase = "under the mit license"
+    item = prose(rng, 12)
+    long = " ".join(f"{prose(rng, 4000)} {i}" for i in range(60))
+    assert len(long) > 1_200_000
+    texts = [f"{long} {phrase} {item}", f"{long} {phrase} {item} tail", None, "a few words", prose(rng, 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(2)
+    got = {r["doc_id"]: r["component_id"] for r in sketch_join.jaccard_components(df).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+    assert {r["doc_id"]: (r["n_words"], r["n_base"], r["first_word"]) for r in licenses.scan_licenses(df).collect()} == {i: (w[0], w[1], w[2]) for i, w in enumerate(map(B.licenses, texts))}
+    assert {r["doc_id"]: r["n_words"] for r in repetition.repetition_rules(df).collect()} == {i: len((t or "").split()) for i, t in enumerate(texts)}
+    found = decontamination.find_benchmark(df, spark.createDataFrame([("a", item)], "item_id string, text string")).collect()
+    assert {r["doc_id"]: list(r["hit_items"]) for r in found} == {0: ["a"], 1: ["a"], 2: [], 3: [], 4: []}
+    grams = {r["doc_id"]: r["n_grams"] for r in quality.resample(df, spark.createDataFrame([(0, 1, 0)], LABELS)).collect()}
+    words = [(t or "").lower().split() for t in texts]
+    assert grams == {i: len(set(w)) + len(set(zip(w, w[1:], strict=False))) for i, w in enumerate(words)}
+    scored = {r["doc_id"]: r["n_tokens"] for r in pitman_yor.score_texts(df, held_out=F.col("doc_id") > 2).collect()}
+    assert scored == {i: len(w) + 1 for i, w in enumerate(words)}
+    size = {r["doc_id"]: r["size"] for r in mixing.mix(df.withColumn("source", F.lit("a"))).collect()}
+    assert size == {i: len(w) for i, w in enumerate(words)}
+
+
+def test_boilerplate_is_not_compared_in_pairs(spark):
+    """Texts of which three quarters are the same: nobody is linked, and nobody meets another in the rest."""
+    rng = random.Random(33)
+    same = prose(rng, 76)
+    rows = [(i, f"{same} {prose(rng, 24)}") for i in range(300)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    members = sketch_join.named_sets(df, "text", "doc_id")
+    cells = ["n_shingles", "own_band", "own_cells", "next_cells"]
+    classes = members.groupBy("set_id").agg(F.min("doc_id").alias("least_doc"), *(F.first(c).alias(c) for c in cells))
+    strong = sketch_join.strong_cells(sketch_join.shared_cells(df, "text", 4), classes).persist()
+    sets = sketch_join.sets_of(df, "text", strong.select("id").distinct()).persist()
+    alone = strong.select("id", F.col("id").alias("component")).distinct()
+    assert sketch_join.rest_pairs(strong, alone, sets).count() == 0
+    assert all(r["component_id"] == r["doc_id"] for r in sketch_join.jaccard_components(df).collect())

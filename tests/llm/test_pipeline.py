@@ -54,7 +54,7 @@ def test_pipeline_against_its_stages(spark, tables):
     rows = [[(r["doc_id"], r["text"]) for r in k.select("doc_id", "text").collect()] for k in kept[:-1]]
     one_each = {c if n else i for i, (n, c) in B.jaccard(rows[1]).items()}
     assert sorted(i for i, _ in rows[2]) == sorted(one_each)
-    cut = {i: w[3].decode(errors="ignore") for (i, _), w in zip(rows[2], B.repeats([t for _, t in rows[2]], 400), strict=True) if w[3] or not w[0]}
+    cut = {i: w[3].decode(errors="ignore") for (i, _), w in zip(rows[2], B.repeats([t for _, t in rows[2]], P.PASSAGE_BYTES, P.PASSAGE_WORDS), strict=True) if w[3] or not w[0]}
     assert {i: t or "" for i, t in rows[3]} == cut
     items = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()]
     assert sorted(i for i, _ in rows[4]) == sorted(i for i, t in rows[3] if not B.benchmark(t, items)[1])
