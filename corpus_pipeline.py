@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontamination, mixing, quality, sketch_join, suffix_dedup
-from tidemark.llm.frames import shared_folder
+from tidemark.llm.frames import own_tables, shared_folder
 
 
 #: A passage that is removed where it repeats: words and bytes that it has at least (50 short words with their spaces).
@@ -58,7 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex[:12]}"
     for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{k}")
+        with own_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
