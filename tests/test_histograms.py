@@ -1,9 +1,11 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import tensors
+from tidemark import api
 from tidemark.model import PATH, HistogramConfig
 from tidemark.operators import histograms as H
 from tidemark.sinks.dashboards import flat_histograms
@@ -16,10 +18,24 @@ def found(spark, samples, **config):
     return H.histograms(exploded(tensors(spark, samples)), HistogramConfig(**config))
 
 
-def test_fixed_edges(spark):
-    r = found(spark, [[-2, -1, -0.5, 0, 0.5, 1, 2, NAN]], bins=2, value_range=(-1.0, 1.0), every_n_samples=1).first()
-    assert r["bin_edges"] == [-1, 0, 1] and r["bin_counts"] == [2, 3]
-    assert (r["finite_count"], r["nonfinite_count"], r["underflow_count"], r["overflow_count"], r["minimum"], r["maximum"], r["sum"], r["sum_squares"]) == (7, 1, 1, 1, -2, 2, 0, 10.5)
+def counted(x, edges):
+    """The histogram by plain Python."""
+    good = [v for v in x if math.isfinite(v)]
+    last = len(edges) - 2
+    counts = [sum(edges[i] <= v < edges[i + 1] or i == last and v == edges[-1] for v in good) for i in range(last + 1)]
+    return counts, len(good), len(x) - len(good), sum(v < edges[0] for v in good), sum(v > edges[-1] for v in good)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fixed_edges(spark, seed):
+    rng = random.Random(seed)
+    x = [rng.choice([rng.uniform(-4, 9), float(rng.randint(-4, 9)), NAN, INF, 7.5, -2.5]) for _ in range(200)]
+    r = found(spark, [x], bins=8, value_range=(-2.5, 7.5), every_n_samples=1).first()
+    edges = [-2.5 + i * 1.25 for i in range(9)]
+    good = [v for v in x if math.isfinite(v)]
+    assert r["bin_edges"] == edges
+    assert (r["bin_counts"], r["finite_count"], r["nonfinite_count"], r["underflow_count"], r["overflow_count"]) == counted(x, edges)
+    assert (r["minimum"], r["maximum"]) == (min(good), max(good)) and math.isclose(r["sum"], math.fsum(good), abs_tol=1e-9) and math.isclose(r["sum_squares"], math.fsum(v * v for v in good))
 
 
 def test_cadence_takes_the_first_sample(spark):
@@ -45,9 +61,11 @@ def test_every_element_is_counted_on_awkward_edges(spark):
 
 
 def test_merge_adds_up_and_fails_for_good_when_edges_change(spark):
-    same = found(spark, [[-1, 0.5], [-0.5, 1]], bins=2, value_range=(-1.0, 1.0), every_n_samples=1)
+    each = [[0.25 * i - 1.5 for i in range(k, k + 9)] for k in range(3)]
+    same = found(spark, each, bins=3, value_range=(-1.5, 0.75), every_n_samples=1)
     r = H.merged(same, PATH).first()
-    assert (r["samples"], r["bin_counts"], r["finite_count"], r["reason"]) == (2, [2, 2], 4, None)
+    want = [counted(x, [-1.5, -0.75, 0.0, 0.75]) for x in each]
+    assert (r["samples"], r["bin_counts"], r["finite_count"], r["reason"]) == (3, [sum(c) for c in zip(*(w[0] for w in want), strict=True)], 27, None)
     other = found(spark, [[0, 1], [10, 20], [0, 1]], bins=2, every_n_samples=1)
     r = H.merged(other, PATH).first()
     assert r["bin_counts"] is None and r["reason"] == H.EDGES_CHANGED and r["samples"] == 3
@@ -67,6 +85,26 @@ def test_next_double(spark):
 
 
 def test_buckets_of_dashboards(spark):
-    r = flat_histograms(found(spark, [[-2, -1, -0.5, 0, 0.5, 1, 2, NAN]], bins=2, value_range=(-1.0, 1.0), every_n_samples=1), "a/b/").first()
+    x = [-9, -3, -3, -2.5, 0, 1, 2.5, 3, 40, INF]
+    r = flat_histograms(found(spark, [x], bins=2, value_range=(-3.0, 3.0), every_n_samples=1), "a/b/").first()
     assert r["tag"] == "a/b/modules/@root/call_0/output/histograms/distribution"
-    assert r["bucket_limits"] == [math.nextafter(-1, -INF), 0, 1, 2] and r["bucket_counts"] == [1, 2, 3, 1] and r["num"] == 7
+    assert r["bucket_limits"] == [math.nextafter(-3, -INF), 0, 3, 40] and r["bucket_counts"] == [1, 3, 4, 1] and r["num"] == 9
+
+
+def quartiles(x):
+    """A histogram of one's own: a bin between neighbouring quartiles."""
+    edges = [float(x[int(q * (len(x) - 1))]) for q in (0, 0.25, 0.5, 0.75, 1)]
+    return edges, [int(((x >= a) & (x < b)).sum()) for a, b in zip(edges, edges[1:], strict=False)][:-1] + [int((x >= edges[3]).sum())]
+
+
+def test_histograms_of_ones_own(spark):
+    df = tensors(spark, [[1, 2, 3, 4, 5, NAN], [NAN], [7, 7], None])
+    rows = {r["sample_id"]: r for r in H.own_histograms(df, H.OwnHistogram("quartiles", quartiles)).collect()}
+    assert rows[0]["bin_edges"] == [1, 2, 3, 4, 5] and rows[0]["bin_counts"] == [1, 1, 1, 2] and (rows[0]["finite_count"], rows[0]["nonfinite_count"]) == (5, 1)
+    assert rows[1]["reason"] == rows[3]["reason"] == H.NO_VALUES and "don't grow" in rows[2]["reason"]
+    broken = H.own_histograms(df, H.OwnHistogram("broken", lambda x: 1 / 0, every_n_samples=2)).orderBy("sample_id").collect()
+    assert [r["sample_id"] for r in broken] == [0, 2] and all("ZeroDivisionError" in r["reason"] for r in broken)
+    fixed = H.histograms(exploded(df), HistogramConfig(every_n_samples=1))
+    assert fixed.columns == H.own_histograms(df, H.OwnHistogram("quartiles", quartiles)).columns
+    made = api.analyze(df, api.Settings(histograms=(H.OwnHistogram("quartiles", quartiles),)))
+    assert made.histograms.where("reason is null").count() == 1

@@ -69,7 +69,7 @@ def test_map_holds_only_what_is_there(spark):
     assert "latest_z_score" not in found and found["mean"] == 7
 
 
-@pytest.mark.parametrize("bad", [{"fast_alpha": 0}, {"slow_alpha": 1.5}, {"horizons": ()}, {"horizons": (0,)}, {"horizons": (1, 1)}, {"max_series": 0}, {"recent_window": True}, {"cusum_allowance": -1}])
+@pytest.mark.parametrize("bad", [{"fast_ema_alpha": 0}, {"slow_ema_alpha": 1.5}, {"change_volatility_alpha": True}, {"momentum_horizons": ()}, {"momentum_horizons": (0,)}, {"momentum_horizons": (1, 1)}, {"momentum_horizons": (True,)}, {"momentum_horizons": (1.5,)}, {"max_series": 0}, {"recent_window": True}, {"cusum_allowance": -1}, {"temporal_metrics": ("mean", "mean")}])
 def test_configuration_is_checked(bad):
     with pytest.raises(ValueError):
         IndicatorConfig(**bad)

@@ -93,3 +93,12 @@ def test_long_form_and_reasons(spark):
     assert [(r["metric"], r["value"]) for r in long_form(found, ["mean", "finite_fraction"]).collect()] == [("finite_fraction", 0.0)]
     r = reasons(found, ["mean", "finite_fraction"]).first()
     assert r["stats_map"] == {"finite_fraction": 0.0} and list(r["unavailable"]) == ["mean"]
+
+
+def test_functions_as_statistics(spark):
+    df = tensors(spark, [[3, 1, 2, NAN], [], [5]])
+    what = reducer("mean", middle=lambda x: x[len(x) // 2], top=F.array_max("xs"))
+    rows = {r["sample_id"]: r for r in reduce_tensors(df, what).collect()}
+    assert (rows[0]["mean"], rows[0]["middle"], rows[0]["top"]) == (2, 2, 3) and rows[1]["middle"] is None and rows[2]["middle"] == 5
+    rows = {r["sample_id"]: r for r in reduce_rows(exploded(df), reducer("mean", middle=lambda x: x[len(x) // 2])).collect()}
+    assert rows[0]["middle"] == 2 and rows[2]["middle"] == 5

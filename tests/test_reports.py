@@ -1,10 +1,12 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import tensor_rows, tensors, values, TENSORS
 from tidemark import api
+from tidemark.functions.times import parsed_time, time_text
 from tidemark.model import CATEGORIES, HistogramConfig, IndicatorConfig, ReportConfig
 from tidemark.operators import caps, rules
 from tidemark.operators.indicators import series_of
@@ -55,7 +57,7 @@ def test_byte_budget_is_kept_and_exact(spark):
     assert cover["findings_returned"] == sum(len(g["findings"]) for g in made["findings"]) and cover["findings_returned"] + cover["findings_omitted"] == sum(c["count"] for c in cover["candidates_by_category"])
     # One more finding of the size of the last would not fit.
     assert D.json_bytes(made) > 16_000 - 3_000
-    with pytest.raises(ValueError, match="at least 8192"):
+    with pytest.raises(ValueError, match="8192 bytes, not 8191"):
         ReportConfig(max_bytes=8191)
 
 
@@ -70,12 +72,13 @@ def test_errors_are_bounded_and_go_first(spark):
     assert small["errors"] == [] and small["coverage"]["errors_omitted"] == 30 and small["coverage"]["report_truncated_by_byte_budget"]
 
 
-def test_strict_documents(tmp_path):
+def test_strict_documents(spark, tmp_path):
     with pytest.raises(ValueError):
         D.json_text({"x": float("nan")})
     with pytest.raises(TypeError):
         D.json_text({"x": object()})
-    path = D.publish(tmp_path / "a.json", D.json_text({"b": 1, "a": "ü"}))
+    D.publish(tmp_path / "a.json", "an older one")
+    path = Path(D.publish(tmp_path / "a.json", D.json_text({"b": 1, "a": "ü"})))
     assert path.read_text() == '{\n  "a": "ü",\n  "b": 1\n}\n' and [p.name for p in tmp_path.iterdir()] == ["a.json"]
     (tmp_path / "stats.json").write_text("{}")
     with pytest.raises(D.RunExistsError):
@@ -91,28 +94,28 @@ def test_merging_ranks(spark, tmp_path):
     rank_report(spark, tmp_path, 0, 2, range(1, 26))
     rank_report(spark, tmp_path, 1, 2, [i * i for i in range(1, 26)])
     path, text = merge.merge_rank_reports(spark, str(tmp_path), config=ReportConfig(max_bytes=32_000))
-    made = json.loads(path.read_text())
-    assert made["coverage"]["ranks_present"] == [0, 1] and made["coverage"]["rank_coverage_complete"] and path.stat().st_size <= 32_000
+    made = json.loads(Path(path).read_text())
+    assert made["coverage"]["ranks_present"] == [0, 1] and made["coverage"]["rank_coverage_complete"] and Path(path).stat().st_size <= 32_000
     drift = next(g["findings"] for g in made["findings"] if g["category"] == "activation_scale_drift")
     assert [f["source_rank"] for f in drift] == [1, 0] and [f["rank"] for f in drift] == [1, 2] and made["updated_at"].startswith("2024-01-02")
-    assert "rank 1" in text.read_text()
+    assert "rank 1" in Path(text).read_text()
 
 
 def test_merging_tells_what_is_missing_or_wrong(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         merge.merge_rank_reports(spark, str(tmp_path))
     rank_report(spark, tmp_path, 1000, 1001, range(1, 26))
-    cover = json.loads(merge.merge_rank_reports(spark, str(tmp_path))[0].read_text())["coverage"]
+    cover = json.loads(Path(merge.merge_rank_reports(spark, str(tmp_path))[0]).read_text())["coverage"]
     assert cover["ranks_present"] == [1000] and not cover["rank_coverage_complete"]
     (tmp_path / "rank-0000").mkdir()
     (tmp_path / "rank-0000" / "report.json").write_text((tmp_path / "rank-1000" / "report.json").read_text())
-    with pytest.raises(Exception, match="duplicate rank"):
+    with pytest.raises(Exception, match="rank 1000 has 2 reports"):
         merge.merge_rank_reports(spark, str(tmp_path))
     (tmp_path / "rank-0000" / "report.json").write_text('{"updated_at": "x"}')
-    with pytest.raises(Exception, match="has no|invalid"):
+    with pytest.raises(Exception, match="missing|do not fit"):
         rank_reports(spark, str(tmp_path)).collect()
-    ranks = spark.createDataFrame([(0, 2, "a", False), (1, 3, "a", False)], "rank int, world_size int, updated_at string, truncated boolean")
-    with pytest.raises(Exception, match="disagree"):
+    ranks = spark.createDataFrame([(0, 2, None, False), (1, 3, None, False)], "rank int, world_size int, updated_at string, truncated boolean")
+    with pytest.raises(Exception, match="different sizes"):
         merge.rank_coverage(ranks).collect()
     assert [r["rank"] for r in merge.missing_ranks(ranks, 4).orderBy("rank").collect()] == [2, 3]
     for bad in ((1, 1), (-1, 2), (True, 2)):
@@ -144,12 +147,16 @@ def test_from_tensors_to_documents(spark, tmp_path):
     settings = api.Settings(histograms=(HistogramConfig(bins=4, every_n_samples=5),))
     one = api.analyze(tensors(spark, [[i, -i, 2 * i] for i in range(1, 26)]), settings)
     path = api.write_report(one, tmp_path / "run", settings)
-    made = json.loads(path.read_text())
+    made = json.loads(Path(path).read_text())
+    assert made["updated_at"]["status"] == "absent" and made["run"]["sampling"] == {"type": "always", "settings": {}} and made["run"]["reducers"][1]["settings"]["bins"] == 4
     assert made["coverage"]["temporal_series"] == 13 and made["coverage"]["histograms"] == 1 and made["coverage"]["samples_observed"] == 25
     index = (tmp_path / "run" / "index.md").read_text()
     assert "Activation Scale Drift" in index and len(index) < 10_000
     with pytest.raises(D.RunExistsError):
         api.write_report(one, tmp_path / "run", settings)
+    api.write_report(one, tmp_path / "run", settings, fresh=False, details=True)
+    lines = [json.loads(x) for f in sorted((tmp_path / "run" / "details.json" / "series").glob("part-*.json")) for x in f.read_text().splitlines()]
+    assert [x["metric"] for x in lines] == sorted(x["metric"] for x in lines) and len(lines) == 13
     with pytest.raises(ValueError):
         api.Settings(every=2, sampler=F.lit(True))
 
@@ -157,3 +164,20 @@ def test_from_tensors_to_documents(spark, tmp_path):
 def test_size_does_not_grow_with_samples(spark):
     size = [D.json_bytes(report.build_report(api.analyze(tensors(spark, [[1, 2, 3]] * n)).series)) for n in (25, 250)]
     assert size[1] - size[0] < 2_000
+
+
+def test_one_sample_is_observed(spark, tmp_path):
+    """The only sample has number 0."""
+    one = api.analyze(tensors(spark, [[1, 2]]))
+    assert json.loads(Path(api.write_report(one, tmp_path / "run")).read_text())["coverage"]["samples_observed"] == 1
+
+
+def test_times_are_compared_as_instants(spark):
+    rows = [(0, 3, "2024-01-01T00:00:00Z", False), (1, 3, "2024-01-01T00:00:00.5Z", True), (2, 3, "2024-01-01T01:00:00+02:00", False)]
+    ranks = spark.createDataFrame(rows, "rank int, world_size int, updated_at string, truncated boolean")
+    assert merge.rank_coverage(ranks).first()["updated_at"] == "2024-01-01T00:00:00.5Z"
+    for bad in ("x", "2024-01-01", "2024-01-01T00:00:00", "2024-13-01T00:00:00Z"):
+        with pytest.raises(Exception, match="no time with a zone"):
+            merge.rank_coverage(ranks.withColumn("updated_at", F.lit(bad))).collect()
+    text = spark.createDataFrame([("2024-02-29T23:59:59.25+01:00",), ("1969-12-31T23:59:59Z",), (None,)], "t string")
+    assert [r[0] for r in text.select(time_text(parsed_time(F.col("t")))).collect()] == ["2024-02-29T22:59:59.250000Z", "1969-12-31T23:59:59.000000Z", None]

@@ -1,3 +1,4 @@
+import random
 from datetime import timedelta
 
 import pytest
@@ -49,6 +50,48 @@ def test_nested_leaves(spark):
     assert sorted((r["tensor_path"], r["value"]) for r in A.nested_leaves(df, "j", ["i"]).collect()) == [("output.a.0", 2), ("output.a.1.b", 3.5), ("output.z", 1)]
 
 
+def test_leaves_of_any_depth(spark):
+    deep = "7"
+    for _ in range(9):
+        deep = f'{{"k": [0, {deep}]}}'
+    df = spark.createDataFrame([(1, deep), (2, None), (3, "no json"), (4, "5")], "i int, j string")
+    found = {(r["i"], r["tensor_path"]): r["value"] for r in A.nested_leaves(df, "j", ["i"]).collect()}
+    assert found[(1, "output" + ".k.1" * 9)] == 7 and found[(4, "output")] == 5 and len(found) == 11
+
+
+def test_numbers_over_all_rows(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("event"))
+    assert {r["event"]: r["sample_id"] for r in S.numbered(df, [], "event").collect()} == {i: i for i in range(5000)}
+
+
+def test_deciders_of_ones_own(spark):
+    """Every second one that is asked for, with a failure that is not taken."""
+
+    def decide(state, row):
+        if row["t"] == 3:
+            raise KeyError("three")
+        n = (state or 0) + 1
+        return n, n % 2 == 0
+
+    df = spark.createDataFrame([(g, t, f"{g}{t}") for g in "ab" for t in range(6)], "g string, t int, x string").repartition(3)
+    taken = S.decided(df, decide, ["g"], ["t"])
+    assert taken.columns == df.columns and sorted((r["g"], r["t"]) for r in taken.collect()) == [("a", 1), ("a", 4), ("b", 1), ("b", 4)]
+    failed = S.decided(df, decide, ["g"], ["t"], errors=True).collect()
+    assert sorted((r["g"], r["t"], r["error_type"]) for r in failed) == [("a", 3, "KeyError"), ("b", 3, "KeyError")]
+
+
+def test_changes_of_events_across_days(spark):
+    rng = random.Random(5)
+    rows = [(i, f"2024-01-{rng.choice([1, 1, 2, 5, 9]):02d} {rng.randrange(24):02d}:00:00", rng.choice("xy"), rng.choice([None, float(rng.randrange(50))])) for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    want, last = [], {}
+    for i, ts, kind, v in sorted(rows, key=lambda r: (r[1], r[0])):
+        if kind in last and v is not None and last[kind] is not None:
+            want.append((kind, v - last[kind]))
+        last[kind] = v
+    assert sorted((r["module"], r["value"]) for r in A.event_change_rows(df).collect()) == sorted(want)
+
+
 def test_what_cannot_be_read_follows_the_policy(spark):
     from tidemark.sources.observations import parse
 

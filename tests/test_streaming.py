@@ -63,6 +63,33 @@ def test_reports_follow_the_stream(spark, folder, tmp_path):
     query.awaitTermination()
     made = json.loads((tmp_path / "run" / "report.json").read_text())
     assert made["coverage"]["temporal_series"] == 6 and made["coverage"]["findings_returned"] > 0 and seen[-1] == (4, 6)
+    assert made["coverage"]["samples_observed"] == 30 and made["coverage"]["dropped_series"] == 0 and made["updated_at"]["status"] == "absent"
+
+
+def test_live_reports_count_what_they_leave_out_and_know_the_time(spark, tmp_path):
+    at = str(tmp_path / "in")
+    rows = [(*r, f"2024-03-01T00:00:{r[5]:02d}Z") for m in "abc" for r in tensor_rows([[i, 2 * i, 1] for i in range(9)], module=m)]
+    rows += [(*r, "2024-03-01T00:01:00Z") for r in tensor_rows([[1, 2]] * 4, module="a", signal="output_gradients", path="grad_output")]
+    spark.createDataFrame(rows, TENSORS + ", at string").withColumn("ts", F.to_timestamp("at")).drop("at").coalesce(1).write.parquet(at)
+    few = IndicatorConfig(temporal_metrics=("rms", "mean"), max_series=5)
+    many = spark.readStream.schema(TENSORS + ", ts timestamp").parquet(at)
+    api.stream_reports(many, tmp_path / "run", api.Settings(indicators=few)).awaitTermination()
+    made = json.loads((tmp_path / "run" / "report.json").read_text())
+    cover = made["coverage"]
+    assert (cover["temporal_series"], cover["dropped_series"], cover["samples_observed"], cover["backward_samples_observed"]) == (5, 3, 9, 4)
+    assert made["updated_at"] == "2024-03-01T00:01:00.000000Z"
+
+
+def test_volatility_of_steady_steps_is_the_same_in_stream_and_batch(spark):
+    """Steps of 1e9, whose squares leave no digits for their variance."""
+    rows = [(0, "m", 0, "outputs", "o", "rms", i, i, 1e9 * i) for i in range(401)]
+    df = spark.createDataFrame(rows, "source_rank int, module string, call_index int, signal string, tensor_path string, metric string, event_seq long, sample_id long, value double")
+    s = live.begin(0.0, 0)
+    for i in range(1, 401):
+        live.fold(s, 1e9 * i, i, IndicatorConfig())
+    want = live.summary(s, IndicatorConfig())["exponentially_weighted_change_volatility"]
+    found = series_of(df).first()["exponentially_weighted_change_volatility"]
+    assert want > 0.5 and same(found, want, 1e-6)
 
 
 def test_fan_out_reaches_all_and_gathers_failures(spark):

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.times import parsed_time, time_text
 from tidemark.model import PATH, TENSOR, HistogramConfig, IndicatorConfig, ReportConfig
 from tidemark.operators import caps, histograms, reduce, rules, sampling
 from tidemark.operators.indicators import series_of
@@ -27,7 +27,7 @@ class Settings:
     reducer: reduce.Reducer | None = None
     indicators: IndicatorConfig = field(default_factory=IndicatorConfig)
     report: ReportConfig = field(default_factory=ReportConfig)
-    histograms: tuple[HistogramConfig, ...] = ()
+    histograms: tuple[HistogramConfig | histograms.OwnHistogram, ...] = ()
     rules: tuple[rules.Rule, ...] = ()
     #: Every n-th forward, a Column over the rows, or all of them.
     every: int | None = None
@@ -35,6 +35,9 @@ class Settings:
     #: A Column over the rows that selects modules.
     modules: Column | None = None
     ranks: str = "zero"
+    #: What a run's document says of a sampler of one's own: its type, and settings as JSON values.
+    sampling_type: str | None = None
+    sampling_settings: Mapping[str, object] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.every is not None and self.sampler is not None:
@@ -43,6 +46,18 @@ class Settings:
         if len(set(names)) != len(names):
             raise ValueError("duplicate histograms")
 
+    def described(self) -> dict:
+        """The samplers and reducers of a run as its document names them."""
+        if self.sampling_type is not None:
+            sampling = {"type": self.sampling_type, "settings": dict(self.sampling_settings)}
+        elif self.every is not None:
+            sampling = {"type": "every_n_forwards", "settings": {"n": self.every}}
+        else:
+            sampling = {"type": "always" if self.sampler is None else "custom", "settings": {}}
+        what = self.reducer or reduce.default_reducer()
+        made = [{"type": h.kind, "settings": h.settings()} for h in self.histograms]
+        return {"sampling": sampling, "reducers": [{"type": "statistics", "settings": {"metrics": list(what.names)}}, *made], "ranks": self.ranks}
+
 
 @dataclass(frozen=True)
 class Analysis:
@@ -82,17 +97,28 @@ def analyze(tensors: DataFrame, settings: Settings | None = None, timestamp: Col
     state = caps.latest_state(bounded.tensors.join(statistics.select(*TENSOR, shape.alias("shape")), TENSOR))
     found = None
     for config in settings.histograms:
-        one = histograms.histograms(rows.select(*TENSOR, F.explode("elements").alias("value")), config)
+        own = isinstance(config, histograms.OwnHistogram)
+        one = histograms.own_histograms(rows, config) if own else histograms.histograms(rows.select(*TENSOR, F.explode("elements").alias("value")), config)
         found = one if found is None else found.unionByName(one)
     return Analysis(statistics, values, series, state, found, bounded)
 
 
+def samples_of(series: DataFrame) -> dict:
+    """updated_at, samples_observed and backward_samples_observed of a report, from the series: the latest time and sample of outputs, and the most observations of a gradient."""
+    forward = F.col("signal") == "outputs"
+    one = series.agg(
+        F.max(parsed_time(F.col("latest.timestamp"))).alias("at"), F.max(F.when(forward, F.col("latest.sample_id"))).alias("last"), F.max(F.when(~forward, F.col("count"))).alias("backward")
+    ).select(time_text(F.col("at")).alias("at"), "last", "backward").first()
+    return {"updated_at": one["at"], "samples_observed": 0 if one["last"] is None else one["last"] + 1, "backward_samples_observed": one["backward"] or 0}
+
+
 def write_report(
-    analysis: Analysis, folder: str | Path, settings: Settings | None = None, rank: R.Rank = R.Rank(), *, catalog: DataFrame | None = None, errors: DataFrame | None = None, isolate_rank: bool = False, fresh: bool = True, state: dict | None = None
-) -> Path:
-    """Publish the report of an analysis; a folder that already holds a run is refused unless fresh is false."""
+    analysis: Analysis, folder: object, settings: Settings | None = None, rank: R.Rank = R.Rank(), *, catalog: DataFrame | None = None, errors: DataFrame | None = None, isolate_rank: bool = False, fresh: bool = True, state: dict | None = None, details: bool = False
+) -> str:
+    """Publish the report of an analysis; a folder that already holds a run is refused unless fresh is false. state: counters that are known
+    better than from the series; details: the snapshot of all series and states too."""
     settings = settings or Settings()
-    at = R.rank_folder(folder, rank.rank) if isolate_rank else Path(folder)
+    at = R.rank_folder(folder, rank.rank) if isolate_rank else str(folder)
     if fresh:
         documents.claim(at)
     dropped = analysis.bounded.counters().first().asDict()
@@ -101,24 +127,29 @@ def write_report(
         kept, away = caps.bounded_histograms(analysis.histograms.where("bin_edges is not null"), settings.indicators.max_histograms)
         dropped |= away.first().asDict()
         kept = kept.select(*PATH, "name").distinct()
-    if state is None:
-        state = {"samples_observed": (analysis.statistics.agg(F.max("sample_id")).first()[0] or -1) + 1}
+    state = {**samples_of(analysis.series), **(state or {})}
     made = R.build_report(
         analysis.series, catalog=catalog, rank=rank, config=settings.report, indicators=settings.indicators, rules=settings.rules or None, errors=errors,
-        observations=analysis.state, histograms=kept, dropped=dropped, state=state,
+        observations=analysis.state, histograms=kept, dropped=dropped, state=state, run=settings.described(),
     )
+    if details:
+        R.write_details(at, analysis.series, analysis.state, errors)
     return R.publish_report(at, made)
 
 
-def stream_reports(tensors: DataFrame, folder: str | Path, settings: Settings | None = None, rank: R.Rank = R.Rank(), trigger: dict | None = None, also: Sequence[Callable[[DataFrame, int], None]] = ()):
+def stream_reports(tensors: DataFrame, folder: object, settings: Settings | None = None, rank: R.Rank = R.Rank(), trigger: dict | None = None, also: Sequence[Callable[[DataFrame, int], None]] = ()):
     """Start a query that keeps the folder's report up to date with a stream of tensors. also: further receivers of the table of series."""
     settings = settings or Settings()
     documents.claim(folder)
     config = settings.indicators
 
     def publish(series: DataFrame, batch_id: int) -> None:
-        at_most = series.orderBy(F.col("first.sample_id"), *PATH, "metric").limit(config.max_series)
-        R.publish_report(folder, R.build_report(at_most, rank=rank, config=settings.report, indicators=config, rules=settings.rules or None))
+        n = series.count()
+        kept = series if n <= config.max_series else series.orderBy(F.col("first.sample_id"), *PATH, "metric").limit(config.max_series)
+        made = R.build_report(
+            kept, rank=rank, config=settings.report, indicators=config, rules=settings.rules or None, state=samples_of(series), dropped={"dropped_series": n - min(n, config.max_series)}, run=settings.described()
+        )
+        R.publish_report(folder, made)
         for receive in also:
             receive(series, batch_id)
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.model import PATH, TENSOR, IndicatorConfig
+from tidemark.sources.tables import scratch
 
 #: Order of appearance within the rows; columns that are not there are left out.
 ARRIVAL = ["event_seq", "module_ord", "module", "call_index", "path_ord", "tensor_path", "metric_ord"]
@@ -29,8 +30,10 @@ def admitted(rows: DataFrame, identity: Sequence[str], cap: int) -> DataFrame:
 
 
 def split(rows: DataFrame, identity: Sequence[str], cap: int) -> tuple[DataFrame, DataFrame]:
-    """Rows whose identity has a place, and the others."""
-    kept = admitted(rows, identity, cap)
+    """Rows whose identity has a place, and the others. The identities are written, so both sides join a table of known size and neither ranks anew."""
+    path = scratch(rows.sparkSession, "admitted")
+    admitted(rows, identity, cap).write.parquet(path)
+    kept = rows.sparkSession.read.parquet(path)
     return rows.join(kept, list(identity), "left_semi"), rows.join(kept, list(identity), "left_anti")
 
 

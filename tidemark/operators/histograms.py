@@ -7,10 +7,14 @@ histograms with edges of their own join the tensor's range first.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.numeric import finite, linspace, only_finite
 from tidemark.model import TENSOR, HistogramConfig
@@ -68,6 +72,62 @@ def histograms(rows: DataFrame, config: HistogramConfig = HistogramConfig(), key
     )
 
 
+#: What a histogram function of one's own returns for sorted finite elements: edges and counts, or null.
+Shape = Callable[[np.ndarray], tuple[Sequence[float], Sequence[int]] | None]
+
+
+@dataclass(frozen=True)
+class OwnHistogram:
+    """A named histogram by a function of one's own, taken of every n-th sample."""
+
+    name: str
+    shape: Shape
+    every_n_samples: int = 1
+    kind: str = "custom"
+    details: Mapping[str, object] = field(default_factory=dict)
+
+    def settings(self) -> dict:
+        return {"name": self.name, "every_n_samples": self.every_n_samples, **self.details}
+
+
+def own_histograms(tensors: DataFrame, config: OwnHistogram, keys: Sequence[str] = tuple(TENSOR), elements: str = "elements") -> DataFrame:
+    """The columns of histograms() by config.shape, from tensors as arrays; narrow. A shape that fails, or whose edges don't grow or don't fit the counts, gives the reason."""
+    rows = tensors.where(F.col("sample_id") % config.every_n_samples == 0).select(*keys, F.col(elements).cast("array<double>").alias("e"))
+    numbers = ["finite_count", "nonfinite_count", "underflow_count", "overflow_count"]
+    moments = ["minimum", "maximum", "sum", "sum_squares"]
+    schema = T.StructType(
+        [*rows.schema.fields[:-1], T.StructField("name", T.StringType()), T.StructField("bin_edges", T.ArrayType(T.DoubleType())), T.StructField("bin_counts", T.ArrayType(T.LongType()))]
+        + [T.StructField(n, T.LongType()) for n in numbers] + [T.StructField(n, T.DoubleType()) for n in moments] + [T.StructField("reason", T.StringType())]
+    )
+    name, shape = config.name, config.shape
+
+    def one(elements: list | None) -> tuple:
+        x = np.array([np.nan if v is None else v for v in elements or ()], float)
+        good = np.sort(x[np.isfinite(x)])
+        n = [len(good), len(x) - len(good), 0, 0]
+        if not len(good):
+            return (name, None, None, *n, *[None] * 4, NO_VALUES)
+        try:
+            found = shape(good)
+            if found is None:
+                return (name, None, None, *n, *[None] * 4, "the function gives none")
+            edges, counts = [float(v) for v in found[0]], [int(v) for v in found[1]]
+        except Exception as error:  # noqa: BLE001  whatever a function of one's own raises
+            return (name, None, None, *n, *[None] * 4, f"{type(error).__name__}: {error}")
+        if len(edges) != len(counts) + 1 or any(b <= a for a, b in zip(edges, edges[1:], strict=False)):
+            return (name, None, None, *n, *[None] * 4, "the function's edges don't grow or don't fit its counts")
+        n[2:] = [int((good < edges[0]).sum()), int((good > edges[-1]).sum())]
+        return (name, edges, counts, *n, float(good[0]), float(good[-1]), float(good.sum()), float((good * good).sum()), None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.list_(pa.float64()), pa.list_(pa.int64()), *[pa.int64()] * 4, *[pa.float64()] * 4, pa.string()]
+        for batch in batches:
+            made = [one(e.as_py()) for e in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def merged(found: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, name, samples, latest_sample, bin_edges, bin_counts and the merged moments; null with a reason from the first change of edges on.
 

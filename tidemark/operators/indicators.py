@@ -2,7 +2,8 @@
 
 All windows are partitioned by the series and ordered by event_seq, and the final aggregation groups by the same
 keys, so there is one exchange and one sort. Recursions are closed forms over the window: exponential averages are
-weighted sums, the variance of changes is the weighted sum of squares less the square of the mean, and the one-sided
+weighted sums, the variance of changes is the weighted sum of squared distances from their mean (the weight that no change has is that of the 0 which
+the recursion begins with), and the one-sided
 cumulative sums are random walks reflected at their running minimum.
 
 An indicator is null where its denominator is within 1e-12 of zero, where too few values are there, or where the
@@ -30,7 +31,7 @@ def names(config: IndicatorConfig = IndicatorConfig()) -> list[str]:
         "maximum_drawdown", "maximum_runup", "up_down_balance", "cusum_positive", "cusum_negative", "cusum_change_score", "lag1_autocorrelation", "oscillation_fraction",
         "consecutive_increases", "consecutive_decreases",
     ]
-    return [*fixed, *(f"momentum_{h}_samples" for h in config.horizons), *(f"relative_momentum_{h}_samples" for h in config.horizons)]
+    return [*fixed, *(f"momentum_{h}_samples" for h in config.momentum_horizons), *(f"relative_momentum_{h}_samples" for h in config.momentum_horizons)]
 
 
 def _weight(alpha: float, first: bool) -> Column:
@@ -55,9 +56,11 @@ def steps(values: DataFrame, config: IndicatorConfig = IndicatorConfig(), keys:
             "std_before": F.stddev_pop("x").over(prev),
             "high": F.max("x").over(run),
             "low": F.min("x").over(run),
-            **{f"lag_{h}": F.lag("x", h).over(w) for h in config.horizons},
+            **{f"lag_{h}": F.lag("x", h).over(w) for h in config.momentum_horizons},
         }
     )
+    # The exponential mean of all changes, known to every row of the series, so that their variance needs no difference of squares.
+    out = out.withColumn("change", F.sum(F.coalesce(_weight(config.change_volatility_alpha, False) * (x - F.col("p")), F.lit(0.0))).over(part))
     z = F.when(F.col("std_before") > EPS, (x - F.col("mean_before")) / F.col("std_before"))
     out = out.withColumns({"d": x - F.col("p"), "z": z})
     recent = F.col("i") >= F.greatest(F.col("n") - config.pairs, F.lit(1))
@@ -94,14 +97,14 @@ def series_of(values: DataFrame, config: IndicatorConfig = IndicatorConfig(), ke
         "first": F.min_by(point, i), "latest": F.max_by(point, i), "minimum": F.min_by(point, F.struct(x, i)), "maximum": F.max_by(point, F.struct(x, -i)),
         "mean": F.avg("x"), "standard_deviation": F.stddev_pop("x"), "_square": F.avg(x * x),
         "_slope": F.regr_slope("x", F.col("sample_id").cast("double")), "_sxx": F.regr_sxx("x", F.col("sample_id").cast("double")), "_syy": F.regr_syy("x", F.col("sample_id").cast("double")), "_sxy": F.regr_sxy("x", F.col("sample_id").cast("double")),
-        "fast_ema": ew(config.fast_alpha, x, True), "slow_ema": ew(config.slow_alpha, x, True),
-        "_change": ew(config.change_alpha, d), "_change2": ew(config.change_alpha, d * d), "_gain": ew(config.change_alpha, F.greatest(d, F.lit(0.0))), "_loss": ew(config.change_alpha, F.greatest(-d, F.lit(0.0))),
+        "fast_ema": ew(config.fast_ema_alpha, x, True), "slow_ema": ew(config.slow_ema_alpha, x, True),
+        "_change": F.max("change"), "_change2": ew(config.change_volatility_alpha, (d - F.col("change")) * (d - F.col("change"))), "_gain": ew(config.change_volatility_alpha, F.greatest(d, F.lit(0.0))), "_loss": ew(config.change_volatility_alpha, F.greatest(-d, F.lit(0.0))),
         "latest_z_score": last(F.col("z")), "maximum_drawdown": F.max(F.col("high") - x), "maximum_runup": F.max(x - F.col("low")),
         "cusum_positive": last(F.col("cusum_up")), "cusum_negative": last(F.col("cusum_down")),
         "_pairs": F.count_if(recent), "_cov": F.covar_pop(F.when(recent, F.col("p")), F.when(recent, x)), "_vp": F.var_pop(F.when(recent, F.col("p"))), "_vx": F.var_pop(F.when(recent, x)),
         "oscillation_fraction": F.avg(F.when(F.col("sign").isNotNull() & F.col("sign_before").isNotNull(), (F.col("sign") != F.col("sign_before")).cast("double"))),
         "_not_up": F.max(F.when(d <= 0, i)), "_not_down": F.max(F.when(d >= 0, i)),
-        **{f"_lag_{h}": last(F.col(f"lag_{h}")) for h in config.horizons},
+        **{f"_lag_{h}": last(F.col(f"lag_{h}")) for h in config.momentum_horizons},
     }
     out = s.groupBy(*keys).agg(*(c.alias(name) for name, c in a.items()))
     c = F.col
@@ -117,15 +120,15 @@ def series_of(values: DataFrame, config: IndicatorConfig = IndicatorConfig(), ke
         "fast_slow_gap": c("fast_ema") - c("slow_ema"),
         "fast_slow_relative_gap": ratio(c("fast_ema") - c("slow_ema"), F.abs("slow_ema")),
         "exponentially_weighted_change_mean": c("_change"),
-        "exponentially_weighted_change_volatility": F.sqrt(F.greatest(c("_change2") - c("_change") * c("_change"), F.lit(0.0))),
+        "exponentially_weighted_change_volatility": F.sqrt(c("_change2") + F.pow(F.lit(1.0 - config.change_volatility_alpha), (c("count") - 1).cast("double")) * c("_change") * c("_change")),
         "historical_range_position": ratio(latest - c("minimum")["value"], spread),
         "up_down_balance": balance,
         "cusum_change_score": F.greatest("cusum_positive", "cusum_negative"),
         "lag1_autocorrelation": F.when((c("count") >= 3) & (root > EPS), c("_cov") * c("_pairs") / root),
         "consecutive_increases": (c("count") - 1 - F.coalesce(c("_not_up"), F.lit(0))).cast("long"),
         "consecutive_decreases": (c("count") - 1 - F.coalesce(c("_not_down"), F.lit(0))).cast("long"),
-        **{f"momentum_{h}_samples": latest - c(f"_lag_{h}") for h in config.horizons},
-        **{f"relative_momentum_{h}_samples": ratio(latest - c(f"_lag_{h}"), F.abs(f"_lag_{h}")) for h in config.horizons},
+        **{f"momentum_{h}_samples": latest - c(f"_lag_{h}") for h in config.momentum_horizons},
+        **{f"relative_momentum_{h}_samples": ratio(latest - c(f"_lag_{h}"), F.abs(f"_lag_{h}")) for h in config.momentum_horizons},
     }
     out = out.withColumns({k: v if k.startswith("consecutive") else only_finite(v) for k, v in made.items()})
     out = out.withColumn("warmup_complete", c("count") >= config.warm_at)

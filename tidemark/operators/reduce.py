@@ -3,7 +3,7 @@
 Two forms of input give the same columns:
 - reduce_rows(): one element a row. One grouped aggregation, combined before the shuffle; only the tail
   fraction needs the elements again, joined to their moments (a table of one row a tensor).
-- reduce_tensors(): one array a row. Narrow: higher-order functions, no shuffle at all.
+- reduce_tensors(): one array a row. Narrow: a numpy pass over Arrow batches, no shuffle at all.
 
 Statistics that can't be had are null: all of an empty tensor; all but fractions without finite elements; skewness,
 kurtosis and tail fraction without variance; ratios without scale; entropy without magnitude.
@@ -11,13 +11,17 @@ kurtosis and tail fraction without variance; ratios without scale; entropy witho
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.functions.numeric import finite, only_finite, quantile_of_sorted, ratio
+from tidemark.functions.numeric import finite, only_finite
 from tidemark.model import METRICS, TENSOR
 
 #: The probabilities of the quantiles.
@@ -97,18 +101,21 @@ def checked(metrics: Iterable[str]) -> list[str]:
 
 @dataclass(frozen=True)
 class Reducer:
-    """Named statistics of a profile, and aggregates of the user's own: name to a Column over x (finite elements, else null)."""
+    """Named statistics of a profile, and aggregates of the user's own: Columns over x (finite elements, else null), and functions of
+    the sorted finite elements as a numpy array."""
 
     metrics: tuple[str, ...] = ()
     custom: tuple[tuple[str, Column], ...] = ()
+    functions: tuple[tuple[str, Callable[[np.ndarray], float]], ...] = ()
 
     @property
     def names(self) -> list[str]:
-        return [*self.metrics, *(n for n, _ in self.custom)]
+        return [*self.metrics, *(n for n, _ in self.custom), *(n for n, _ in self.functions)]
 
 
-def reducer(*metrics: str, **custom: Column) -> Reducer:
-    return Reducer(tuple(checked(metrics)), tuple(custom.items()))
+def reducer(*metrics: str, **custom: Column | Callable[[np.ndarray], float]) -> Reducer:
+    columns = tuple((n, c) for n, c in custom.items() if isinstance(c, Column))
+    return Reducer(tuple(checked(metrics)), columns, tuple((n, c) for n, c in custom.items() if not isinstance(c, Column)))
 
 
 def combine(*reducers: Reducer) -> Reducer:
@@ -116,7 +123,7 @@ def combine(*reducers: Reducer) -> Reducer:
     names = [n for r in reducers for n in r.names]
     if len(set(names)) != len(names):
         raise ValueError("duplicate metrics: " + ", ".join(sorted({n for n in names if names.count(n) > 1})))
-    return Reducer(tuple(m for r in reducers for m in r.metrics), tuple(c for r in reducers for c in r.custom))
+    return Reducer(*(tuple(x for r in reducers for x in getattr(r, part)) for part in ("metrics", "custom", "functions")))
 
 
 def default_reducer() -> Reducer:
@@ -149,7 +156,14 @@ def reduce_rows(rows: DataFrame, what: Reducer | Sequence[str] = tuple(METRICS),
         rows = rows.join(moments, _same(keys, "m_"))
         aggs["ntail"] = F.count_if(F.abs(_c("x") - _c("mu")) > 3 * _c("sigma"))
     base = rows.groupBy(*keys).agg(*(c.alias(n) for n, c in aggs.items()), *(c.alias(f"own_{n}") for n, c in what.custom))
-    return base.select(*keys, *(only_finite(_metric(m)).alias(m) for m in what.metrics), *(only_finite(_c(f"own_{n}").cast("double")).alias(n) for n, _ in what.custom))
+    base = base.select(*keys, *(only_finite(_metric(m)).alias(m) for m in what.metrics), *(only_finite(_c(f"own_{n}").cast("double")).alias(n) for n, _ in what.custom))
+    if not what.functions:
+        return base
+    # Functions need a tensor's elements together: rows become arrays, which are reduced by themselves.
+    whole = rows.groupBy(*keys).agg(F.collect_list("x0").alias("elements"))
+    more = reduce_tensors(whole, Reducer(functions=what.functions), keep=keys)
+    more = more.select(*(F.col(k).alias(f"m_{k}") for k in keys), *(n for n, _ in what.functions))
+    return base.join(more, _same(keys, "m_"), "left").select(*keys, *what.names)
 
 
 def _same(keys: Sequence[str], prefix: str) -> Column:
@@ -159,41 +173,136 @@ def _same(keys: Sequence[str], prefix: str) -> Column:
     return on
 
 
-def _total(values: Column, f) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + f(v))
+#: Numbers of a tensor from which all statistics follow; see _metric().
+BASE = T.StructType(
+    [T.StructField(n, T.LongType()) for n in ("n", "k", "nzero", "nneg", "npos", "ntail")]
+    + [T.StructField(n, T.DoubleType()) for n in ("s1", "sabs", "sq", "mn", "mx", "mxabs", "sd", "skew", "kurt", "aloga")]
+    + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("q", "qabs")]
+)
+#: Elements that a task works on at once; a longer tensor is a piece of its own.
+PIECE = 1 << 20
+
+
+def _quantiles(ordered: np.ndarray, first: np.ndarray, k: np.ndarray, wanted: Iterable[float]) -> np.ndarray:
+    """Linearly interpolated quantiles (columns) of the runs of ordered values; NaN where a run is empty."""
+    out = np.full((len(k), len(list(wanted))), np.nan)
+    some = np.flatnonzero(k)
+    for j, q in enumerate(wanted):
+        place = (k[some] - 1) * q
+        low = np.floor(place).astype(np.int64)
+        a, b = ordered[first[some] + low], ordered[first[some] + np.minimum(low + 1, k[some] - 1)]
+        out[some, j] = a + (b - a) * (place - low)
+    return out
+
+
+def base_numbers(flat: np.ndarray, sizes: np.ndarray, needs: set[str]) -> dict[str, np.ndarray]:
+    """The columns of BASE of tensors whose elements stand one after another; what is null is NaN. One pass over sorted elements."""
+    n = len(sizes)
+    owner = np.repeat(np.arange(n), sizes)
+    good = np.isfinite(flat)
+    x, of = flat[good], owner[good]
+    total = lambda v: np.bincount(of, v, n).astype(float)  # noqa: E731  without elements it counts in integers
+    k = np.bincount(of, minlength=n)
+    out = {"n": sizes, "k": k, "nzero": np.bincount(owner[flat == 0], minlength=n), "nneg": np.bincount(of[x < 0], minlength=n), "npos": np.bincount(of[x > 0], minlength=n)}
+    none = k == 0
+    with np.errstate(all="ignore"):
+        size = np.abs(x)
+        out |= {"s1": total(x), "sabs": total(size), "sq": total(x * x)}
+        d = x - (out["s1"] / k)[of]
+        sd = np.sqrt(total(d * d) / k)
+        out["sd"] = sd
+        if "skew" in needs:
+            out["skew"] = total(d**3) / k / sd**3
+        if "kurt" in needs:
+            out["kurt"] = total(d**4) / k / sd**4 - 3
+        if "ntail" in needs:
+            out["ntail"] = np.bincount(of[np.abs(d) > 3 * sd[of]], minlength=n)
+        if "aloga" in needs:
+            out["aloga"] = total(np.where(size > 0, size * np.log(np.where(size > 0, size, 1.0)), 0.0))
+    first = np.cumsum(k) - k
+    ordered = x[np.lexsort((x, of))]
+    ends = np.full((n, 2), np.nan)
+    ends[~none] = np.stack([ordered[first[~none]], ordered[(first + k - 1)[~none]]], axis=1)
+    out |= {"mn": ends[:, 0], "mx": ends[:, 1], "mxabs": np.maximum(np.abs(ends[:, 0]), np.abs(ends[:, 1]))}
+    if "q" in needs:
+        out["q"] = _quantiles(ordered, first, k, QUANTILES.values())
+    if "qabs" in needs:
+        out["qabs"] = _quantiles(size[np.lexsort((size, of))], first, k, ABS_QUANTILES.values())
+    for name in ("s1", "sabs", "sq"):
+        out[name] = np.where(none, np.nan, out[name])
+    return out
+
+
+def ragged(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of an array of lists one after another, nulls as NaN, and the lists' sizes; a null list is empty."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False), sizes
+
+
+def _cut(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about `most` elements."""
+    begin = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > begin and held + size > most:
+            yield begin, i
+            begin, held = i, 0
+        held += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def reduce_tensors(tensors: DataFrame, what: Reducer | Sequence[str] = tuple(METRICS), keep: Sequence[str] = tuple(TENSOR), elements: str = "elements") -> DataFrame:
-    """keep and one column a statistic, from arrays; nothing is shuffled. Own aggregates are Columns over xs, the finite elements."""
+    """keep and one column a statistic, from arrays; nothing is shuffled.
+
+    All statistics come from one numpy pass over the Arrow batches. Own aggregates are Columns over xs, the sorted finite elements, or
+    functions of them as a numpy array; a function that fails or gives no finite number gives null.
+    """
     what = what if isinstance(what, Reducer) else reducer(*what)
     needs = _needs(what.metrics)
-    e = F.col(elements).cast("array<double>")
-    base = tensors.select(*keep, F.coalesce(e, F.array().cast("array<double>")).alias("e")).withColumn("xs", F.array_sort(F.filter("e", finite)))
-    xs = F.col("xs")
-    first = {
-        "n": F.size("e"), "k": F.size("xs"), "s1": _total(xs, lambda v: v), "sabs": _total(xs, F.abs), "sq": _total(xs, lambda v: v * v), "mn": F.get("xs", 0),
-        "mx": F.get("xs", F.size("xs") - 1), "nzero": F.size(F.filter("e", lambda v: v == 0)), "nneg": F.size(F.filter("xs", lambda v: v < 0)), "npos": F.size(F.filter("xs", lambda v: v > 0)),
-    }
-    base = base.select(*keep, "e", "xs", *(c.alias(n) for n, c in first.items()))
-    base = base.withColumn("mu", F.when(_c("k") > 0, _c("s1") / _c("k"))).withColumns({c: F.when(_c("k") > 0, _c(c)) for c in ("s1", "sabs", "sq")})
-    power = lambda p: F.when(_c("k") > 0, _total(xs, lambda v: F.pow(v - _c("mu"), F.lit(float(p)))) / _c("k"))
-    base = base.withColumns({"sd": F.sqrt(power(2)), "mxabs": F.greatest(F.abs("mn"), F.abs("mx"))})
-    more = {}
-    if "skew" in needs:
-        more["skew"] = F.try_divide(power(3), F.pow("sd", F.lit(3.0)))
-    if "kurt" in needs:
-        more["kurt"] = F.try_divide(power(4), F.pow("sd", F.lit(4.0))) - 3
-    if "q" in needs:
-        more["q"] = F.array(*(quantile_of_sorted(xs, p) for p in QUANTILES.values()))
-    if "qabs" in needs:
-        sizes = F.array_sort(F.transform("xs", F.abs))
-        more["qabs"] = F.transform(F.array(sizes), lambda s: F.array(*(quantile_of_sorted(s, p) for p in ABS_QUANTILES.values())))[0]
-    if "ntail" in needs:
-        more["ntail"] = F.size(F.filter("xs", lambda v: F.abs(v - _c("mu")) > 3 * _c("sd")))
-    if "aloga" in needs:
-        more["aloga"] = _total(xs, lambda v: F.when(v != 0, F.abs(v) * F.log(F.abs(v))).otherwise(0.0))
-    base = base.withColumns({**more, **{f"own_{n}": c for n, c in what.custom}})
-    return base.select(*keep, *(only_finite(_metric(m)).alias(m) for m in what.metrics), *(only_finite(_c(f"own_{n}").cast("double")).alias(n) for n, _ in what.custom))
+    e = F.coalesce(F.col(elements).cast("array<double>"), F.array().cast("array<double>"))
+    own = [(f"own_{n}", c) for n, c in what.custom]
+    base = tensors.select(*keep, e.alias("e"))
+    if own:
+        base = base.withColumn("xs", F.array_sort(F.filter("e", finite))).select(*keep, "e", *(c.cast("double").alias(n) for n, c in own))
+    else:
+        base = base.select(*keep, "e")
+    at = len(keep)
+    kept = [f for i, f in enumerate(base.schema.fields) if i != at]
+    functions = tuple(what.functions)
+    schema = T.StructType([*kept, *BASE.fields, *(T.StructField(f"own_{n}", T.DoubleType()) for n, _ in functions)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            sizes = ragged(whole.column(at))[1]
+            for a, b in _cut(sizes, PIECE):
+                batch = whole.slice(a, b - a)
+                flat, mine = ragged(batch.column(at))
+                found = base_numbers(flat, mine, needs)
+                columns = [c for i, c in enumerate(batch.columns) if i != at]
+                for f in BASE.fields:
+                    v = found.get(f.name)
+                    if v is None:
+                        columns.append(pa.nulls(b - a, pa.list_(pa.float64()) if f.name in ("q", "qabs") else pa.int64() if f.name == "ntail" else pa.float64()))
+                    elif v.ndim == 2:
+                        columns.append(pa.ListArray.from_arrays(np.arange(b - a + 1, dtype=np.int32) * v.shape[1], pa.array(v.ravel(), from_pandas=True)))
+                    else:
+                        columns.append(pa.array(v.astype(np.int64)) if isinstance(f.dataType, T.LongType) else pa.array(v, from_pandas=True))
+                ends = np.cumsum(mine)
+                for _, f in functions:
+                    columns.append(pa.array([_applied(f, flat[end - size : end]) for end, size in zip(ends.tolist(), mine.tolist(), strict=True)], pa.float64()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    found = base.mapInArrow(run, schema)
+    custom = [*(n for n, _ in what.custom), *(n for n, _ in functions)]
+    return found.select(*keep, *(only_finite(_metric(m)).alias(m) for m in what.metrics), *(only_finite(_c(f"own_{n}")).alias(n) for n in custom))
+
+
+def _applied(f: Callable[[np.ndarray], float], elements: np.ndarray) -> float | None:
+    try:
+        found = float(f(np.sort(elements[np.isfinite(elements)])))
+    except Exception:  # noqa: BLE001  a reducer of one's own that fails gives no value
+        return None
+    return found if np.isfinite(found) else None
 
 
 def long_form(stats: DataFrame, metrics: Sequence[str], keys: Sequence[str] = tuple(TENSOR)) -> DataFrame:
@@ -208,7 +317,3 @@ def reasons(stats: DataFrame, metrics: Sequence[str]) -> DataFrame:
     there = F.filter(items, lambda s: s["value"].isNotNull())
     why = F.transform(F.filter(items, lambda s: s["value"].isNull()), lambda s: F.struct(s["name"].alias("name"), F.lit("no finite value can be computed from these elements").alias("reason")))
     return stats.withColumns({"stats_map": F.map_from_entries(there), "unavailable": F.map_from_entries(why)})
-
-
-def with_ratio(stats: DataFrame, name: str, numerator: str, denominator: str) -> DataFrame:
-    return stats.withColumn(name, ratio(F.col(numerator), F.col(denominator)))

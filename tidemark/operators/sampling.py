@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from datetime import timedelta
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.sources.tables import scratch
 
 
 def always() -> Column:
@@ -16,39 +20,107 @@ def always() -> Column:
 def every_n_forwards(n: int, index: str = "forward_index") -> Column:
     """Every n-th opportunity; the first one taken is number n - 1."""
     if isinstance(n, bool) or not isinstance(n, int) or n <= 0:
-        raise ValueError("n must be a positive integer")
+        raise ValueError(f"every {n!r}-th can't be taken")
     return (F.col(index) + 1) % n == 0
 
 
 def seconds_of(interval: timedelta | float) -> float:
     found = interval.total_seconds() if isinstance(interval, timedelta) else float(interval)
     if not found > 0:
-        raise ValueError("the interval must be positive")
+        raise ValueError(f"a timer of {found} seconds never waits")
     return found
 
 
 def numbered(kept: DataFrame, by: Sequence[str], order: str) -> DataFrame:
-    """sample_id of what was taken, from 0, for each run of the keys `by`."""
-    return kept.withColumn("sample_id", F.row_number().over(Window.partitionBy(*by).orderBy(order)).cast("long") - 1)
+    """sample_id of what was taken, from 0, for each run of the keys `by`; without keys, over all rows by ranges of the order."""
+    if by:
+        return kept.withColumn("sample_id", F.row_number().over(Window.partitionBy(*by).orderBy(order)).cast("long") - 1)
+    spark = kept.sparkSession
+    path = scratch(spark, "numbered")
+    kept.repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranges = spark.read.parquet(path)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row a partition
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return ranges.join(F.broadcast(sizes), "_range").withColumn("sample_id", (F.col("_before") + nth).cast("long")).drop("_range", "_before")
+
+
+#: What a decider returns: its state after an opportunity, and whether that is taken.
+Decide = Callable[[object, dict], tuple[object, bool]]
+
+
+def decided(opportunities: DataFrame, decide: Decide, by: Sequence[str], order: Sequence[str], errors: bool = False) -> DataFrame:
+    """Opportunities that a decider of one's own takes; its state is carried along a run of the keys `by`, in order, from None.
+
+    One that fails leaves its state as it was and is not taken; with errors, the failures come instead: by, order, error_type, message. A run's
+    rows pass through one task, sorted by Spark, a batch at a time: memory doesn't grow with the run.
+    """
+    by, order = list(by), list(order)
+    plain = opportunities.repartition(*by).sortWithinPartitions(*by, *order)
+    fields = [opportunities.schema[c] for c in [*by, *order]] + [T.StructField(n, T.StringType()) for n in ("error_type", "message")]
+    schema = T.StructType(fields) if errors else opportunities.schema
+    columns = opportunities.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            taken, failed = [], []
+            for i, row in enumerate(batch.to_pylist()):
+                key = tuple(row[b] for b in by)
+                if key != now:
+                    now, state = key, None
+                try:
+                    state, yes = decide(state, row)
+                except Exception as error:  # noqa: BLE001  whatever a decider of one's own raises
+                    yes = False
+                    failed.append({**{c: row[c] for c in [*by, *order]}, "error_type": type(error).__name__, "message": str(error)})
+                if yes:
+                    taken.append(i)
+            if errors:
+                if failed:
+                    kinds = [*(batch.schema.field(c) for c in [*by, *order]), pa.field("error_type", pa.string()), pa.field("message", pa.string())]
+                    yield pa.RecordBatch.from_pylist(failed, pa.schema(kinds))
+            elif taken:
+                yield batch.take(pa.array(taken)).select(columns)
+
+    return plain.mapInArrow(run, schema)
 
 
 def timed(opportunities: DataFrame, interval: timedelta | float, by: Sequence[str], time: str = "t", start: str = "t0") -> DataFrame:
     """Opportunities taken by a timer: one is taken from `interval` seconds after the start on, and the timer starts anew there.
 
-    The choice depends on the one before, so it is a fold over the times of a run of the keys `by`: it runs
-    over the narrow relation of keys and times alone, before anything wide is joined to it. start: the time
-    at which a run began. A run without start never begins.
+    The choice depends on the one before, so each run of the keys `by` is one pass over its sorted times: the narrow relation of keys
+    and times alone, before anything wide is joined to it, in batches with the time that is due as the only state. start: the time
+    at which a run began, its least one. A run without start never begins.
     """
     step = seconds_of(interval)
-    runs = opportunities.groupBy(*by).agg(F.array_sort(F.collect_list(F.col(time).cast("double"))).alias("ts"), F.min(F.col(start).cast("double")).alias("begun"))
-    state = lambda due, kept: F.struct(due.alias("due"), kept.alias("kept"))
-    fold = F.aggregate(
-        "ts",
-        state(F.col("begun") + step, F.array().cast("array<double>")),
-        lambda acc, t: state(F.when(t >= acc["due"], t + step).otherwise(acc["due"]), F.when(t >= acc["due"], F.array_append(acc["kept"], t)).otherwise(acc["kept"])),
-        lambda acc: acc["kept"],
-    )
-    return runs.select(*by, F.explode(fold).alias(time))
+    by = list(by)
+    narrow = opportunities.select(*by, F.col(time).cast("double").alias(time), F.col(start).cast("double").alias(start))
+    begun = narrow.groupBy(*by).agg(F.min(start).alias("_begun"))
+    same = F.lit(True)
+    for b in by:
+        same &= F.col(f"r.{b}").eqNullSafe(F.col(f"s.{b}"))
+    rows = narrow.alias("r").join(begun.alias("s"), same).where("_begun is not null").select(*(F.col(f"r.{c}") for c in [*by, time]), "_begun")
+    kept = [rows.columns.index(c) for c in [*by, time]]
+    schema = T.StructType([rows.schema[i] for i in kept])
+    at = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, due = None, 0.0
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(at)), strict=True)) if at else [()] * batch.num_rows
+            times, first = batch.column(at).to_pylist(), batch.column(at + 1).to_pylist()
+            taken = []
+            for i, (key, t, begun) in enumerate(zip(keys, times, first, strict=True)):
+                if key != now:
+                    now, due = key, begun + step
+                if t is not None and t >= due:
+                    taken.append(i)
+                    due = t + step
+            if taken:
+                yield batch.take(pa.array(taken)).select(schema.names)
+
+    return rows.repartition(*by).sortWithinPartitions(*by, time).mapInArrow(run, schema)
 
 
 def by_phase(rows: DataFrame) -> DataFrame:
@@ -63,7 +135,7 @@ def gradient_path(path: Column) -> Column:
 def of_rank(rows: DataFrame, policy: str = "zero", rank: str = "source_rank") -> DataFrame:
     """Rows of rank 0 only ("zero"), or all of them ("all")."""
     if policy not in ("zero", "all"):
-        raise ValueError("the rank policy is zero or all")
+        raise ValueError(f"{policy!r} is neither zero nor all")
     return rows.where(F.col(rank) == 0) if policy == "zero" else rows
 
 

@@ -78,8 +78,8 @@ def scan_filter_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_id, row_number() over (order by event_id) - 1 as sample_id from events where (event_id + 1) % 3 = 0")
 def sample_every_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = events(spark, sf_dir).select("event_id", F.col("event_id").alias("forward_index"), F.lit(0).alias("run")).where(sampling.every_n_forwards(3))
-    return sampling.numbered(kept, ["run"], "event_id").select("event_id", "sample_id")
+    kept = events(spark, sf_dir).select("event_id", F.col("event_id").alias("forward_index")).where(sampling.every_n_forwards(3))
+    return sampling.numbered(kept, [], "event_id").select("event_id", "sample_id")
 
 
 @query("""with recursive t as (select event_type, epoch(ts) as t from events),

@@ -3,31 +3,35 @@
 from __future__ import annotations
 
 from dataclasses import asdict
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.times import required_time
 from tidemark.model import CATEGORIES, ReportConfig
 from tidemark.operators import rules as R
 from tidemark.plans.report import REPORT_VERSION, _finding
 from tidemark.sinks import documents as D
+from tidemark.sinks import store
 from tidemark.sources.reports import findings_of, rank_reports
 
 
 def rank_coverage(ranks: DataFrame) -> DataFrame:
     """One row of (rank, world_size, updated_at, truncated) rows: expected and present ranks, completeness, the latest update, and truncated reports.
 
-    Repeated ranks and differing world sizes are errors.
+    Updates are text and compared as instants; one that is no time with a zone is an error, null is unknown. A rank with two reports and
+    reports of runs of different sizes are errors.
     """
-    each = ranks.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.min("world_size").alias("low"), F.max("world_size").alias("high"), F.max("updated_at").alias("updated_at"), F.sum(F.col("truncated").cast("int")).alias("truncated"))
+    at = required_time(F.col("updated_at"), "updated_at of a rank report")
+    each = ranks.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.min("world_size").alias("low"), F.max("world_size").alias("high"), F.max(F.struct(at.alias("at"), "updated_at")).alias("updated"), F.sum(F.col("truncated").cast("int")).alias("truncated"))
     one = each.agg(
-        F.max("n").alias("n"), F.max_by("rank", "n").alias("worst"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("updated_at").alias("updated_at"),
+        F.max("n").alias("n"), F.max_by("rank", "n").alias("worst"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("updated")["updated_at"].alias("updated_at"),
         F.sort_array(F.collect_list("rank")).alias("present"), F.sum("truncated").cast("long").alias("source_reports_truncated"),
     )
-    checked = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("duplicate rank report for rank "), F.col("worst").cast("string"))).cast("int"))
-    checked = checked.when(F.col("low") <= 0, F.raise_error(F.lit("a rank report has an invalid world_size")).cast("int"))
-    checked = checked.when(F.col("low") != F.col("high"), F.raise_error(F.lit("rank reports disagree about world_size")).cast("int")).otherwise(F.col("high"))
+    wrong = lambda *what: F.raise_error(F.concat(*(F.lit(w) if isinstance(w, str) else w.cast("string") for w in what))).cast("int")
+    checked = F.when(F.col("n") > 1, wrong("rank ", F.col("worst"), " has ", F.col("n"), " reports"))
+    checked = checked.when(F.col("low") <= 0, wrong("a report says that its run has ", F.col("low"), " ranks"))
+    checked = checked.when(F.col("low") != F.col("high"), wrong("the reports are of runs of different sizes: ", F.col("low"), " and ", F.col("high"), " ranks")).otherwise(F.col("high"))
     one = one.withColumn("expected_ranks", checked)
     complete = F.col("present") == F.sequence(F.lit(0), F.col("expected_ranks") - 1)
     return one.select("expected_ranks", F.col("present").alias("ranks_present"), complete.alias("rank_coverage_complete"), "updated_at", "source_reports_truncated")
@@ -45,7 +49,7 @@ def global_top(findings: DataFrame, k: int = 20) -> DataFrame:
     return findings.withColumn("category", known).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def merge_rank_reports(spark: SparkSession, root: str, output: str | Path | None = None, config: ReportConfig = ReportConfig()) -> tuple[Path, Path]:
+def merge_rank_reports(spark: SparkSession, root: str, output: object = None, config: ReportConfig = ReportConfig()) -> tuple[str, str]:
     """Write global-report.json and global-index.md of the reports under root; what reaches the driver is K findings a category."""
     reports = rank_reports(spark, root).persist()
     try:
@@ -61,9 +65,9 @@ def merge_rank_reports(spark: SparkSession, root: str, output: str | Path | None
         "expected_ranks": cover["expected_ranks"], "ranks_present": list(cover["ranks_present"]), "rank_coverage_complete": cover["rank_coverage_complete"], "source_reports_truncated": cover["source_reports_truncated"],
         "findings_returned": 0, "findings_omitted_after_global_ranking": total, "report_truncated_by_byte_budget": False,
     }
-    report = {"report_schema_version": REPORT_VERSION, "updated_at": cover["updated_at"], "report_configuration": asdict(config), "coverage": coverage, "findings": D.by_category([])}
+    report = {"report_schema_version": REPORT_VERSION, "updated_at": cover["updated_at"] or D.absent("no report has a time"), "report_configuration": asdict(config), "coverage": coverage, "findings": D.by_category([])}
     report = D.within_budget(report, [_finding(f) for f in best], config.max_bytes, "findings_omitted_after_global_ranking", total)
     if D.json_bytes(report) > config.max_bytes:
         raise ValueError("the merged report without findings exceeds max_bytes")
-    folder = Path(output if output is not None else root)
-    return D.publish(folder / "global-report.json", D.json_text(report)), D.publish(folder / "global-index.md", D.merged_markdown(report))
+    folder = output if output is not None else root
+    return D.publish(store.join(folder, "global-report.json"), D.json_text(report)), D.publish(store.join(folder, "global-index.md"), D.merged_markdown(report))

@@ -30,9 +30,16 @@ def event_rows(events: DataFrame, source_rank: Column | None = None) -> DataFram
 
 
 def event_change_rows(events: DataFrame) -> DataFrame:
-    """Changes of the values of a type from event to event, as gradients."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    changed = events.select("event_type", "ts", (F.col("value") - F.lag("value").over(w)).alias("change")).where("change is not null")
+    """Changes of the values of a type from event to event, as gradients.
+
+    A window holds one day of a type; the first event of a day takes the value before it from a small table, the last value of each day.
+    """
+    rows = events.select("event_type", "ts", "event_id", F.col("value").cast("double").alias("value"), F.to_date("ts").alias("day"))
+    day = Window.partitionBy("event_type", "day").orderBy("ts", "event_id")
+    ends = rows.groupBy("event_type", "day").agg(F.max(F.struct("ts", "event_id", "value")).alias("e")).select("event_type", "day", F.struct(F.col("e.value").alias("v")).alias("end"))
+    before = ends.select("event_type", "day", F.lag("end").over(Window.partitionBy("event_type").orderBy("day")).alias("end"))  # a row a day
+    seen = rows.withColumn("prior", F.lag(F.struct(F.col("value").alias("v"))).over(day)).join(before, ["event_type", "day"], "left")
+    changed = seen.select("event_type", "ts", (F.col("value") - F.coalesce("prior", "end")["v"]).alias("change")).where("change is not null")
     return rows_of(changed, F.col("event_type"), day_of(F.col("ts")), F.col("change"), signal="output_gradients", path="grad_output.value")
 
 
@@ -69,12 +76,6 @@ def embedding_tensors(embeddings: DataFrame) -> DataFrame:
     )
 
 
-def module_catalog(rows: DataFrame) -> DataFrame:
-    """Modules with a type and the order in which they were first seen."""
-    seen = rows.groupBy("module").agg(F.min("event_seq").alias("first_seen"))
-    return seen.select("module", F.lit("Series").alias("module_type"), F.row_number().over(Window.orderBy("first_seen", "module")).alias("module_ord"))
-
-
 def leaf_modules(catalog: DataFrame, name: str = "module") -> DataFrame:
     """Modules that are no parent of another: a.b has the parent a."""
     parents = catalog.select(F.regexp_replace(name, r"\.?[^.]*$", "").alias(name)).where(F.col(name) != "").distinct()
@@ -86,19 +87,20 @@ def rank_of_path(path: Column) -> Column:
     return F.regexp_extract(path, r"rank-(\d+)", 1).cast("int")
 
 
-def nested_leaves(df: DataFrame, json_col: str, keys: list[str], depth: int = 4, prefix: str = "output") -> DataFrame:
+def nested_leaves(df: DataFrame, json_col: str, keys: list[str], prefix: str = "output") -> DataFrame:
     """Numeric leaves of a JSON column as (keys, tensor_path, value): dotted paths, list places from 0; other leaves are dropped.
 
-    One explode a level, so no Python and no shuffle.
+    One explode a level, until no object or list is left at any depth: a narrow look for a first one before each level. No Python and no shuffle.
     """
     level = df.select(*keys, F.lit(prefix).alias("tensor_path"), F.try_parse_json(json_col).alias("v"))
     found = None
-    for _ in range(depth + 1):
+    while True:
         kind = F.schema_of_variant("v")
         leaf = level.where(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")).select(*keys, "tensor_path", F.try_variant_get("v", "$", "double").alias("value"))
         found = leaf if found is None else found.unionByName(leaf)
         inner = level.where(kind.rlike("^(OBJECT|ARRAY)"))
-        inner.createOrReplaceTempView("_tidemark_level")
-        names = ", ".join(keys)
-        level = df.sparkSession.sql(f"SELECT {names}, concat(tensor_path, '.', coalesce(x.key, cast(x.pos as string))) AS tensor_path, x.value AS v FROM _tidemark_level, LATERAL variant_explode(v) AS x")
-    return found
+        if inner.isEmpty():
+            return found
+        items = inner.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        path = F.concat("tensor_path", F.lit("."), F.coalesce(F.col("key"), F.col("pos").cast("string")))
+        level = items.select(*(inner[k] for k in keys), path.alias("tensor_path"), F.col("value").alias("v"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.times import required_time, time_text
 from tidemark.sources.adapters import rank_of_path
 
 POINT = "struct<value: double, sample_id: bigint, timestamp: string>"
@@ -12,6 +13,7 @@ FINDING = (
     "struct<category: string, rank: int, ranking_score: double, ranking_basis: string, source_rank: int, module: string, module_type: string, call_index: int, signal: string, tensor_path: string, "
     f"metric: string, observations: bigint, warmup_complete: boolean, first: {POINT}, latest: {POINT}, minimum: {POINT}, maximum: {POINT}, evidence: array<struct<name: string, value: double>>, interpretation: string>"
 )
+#: A time that is absent is an object with the reason, which is read as its JSON.
 REPORT = (
     "struct<updated_at: string, rank: struct<rank: int, world_size: int>, coverage: struct<report_truncated_by_byte_budget: boolean>, "
     f"findings: array<struct<category: string, findings: array<{FINDING}>>>>"
@@ -23,10 +25,10 @@ def _required(report: Column, path: Column) -> Column:
     bad = lambda what: F.raise_error(F.concat(F.lit(what), F.lit(": "), path)).cast(REPORT)
     out = report
     for name in ("updated_at", "rank", "coverage", "findings"):
-        out = F.when(report[name].isNull(), bad(f"the rank report has no {name}")).otherwise(out)
+        out = F.when(report[name].isNull(), bad(f"{name} is missing")).otherwise(out)
     size, rank = report["rank"]["world_size"], report["rank"]["rank"]
-    out = F.when(size.isNull() | (size <= 0) | rank.isNull() | (rank < 0) | (rank >= size), bad("the rank report has an invalid rank or world_size")).otherwise(out)
-    return F.when(report.isNull(), bad("the rank report is no JSON object")).otherwise(out)
+    out = F.when(size.isNull() | (size <= 0) | rank.isNull() | (rank < 0) | (rank >= size), bad("rank and world_size do not fit")).otherwise(out)
+    return F.when(report.isNull(), bad("this is no JSON object")).otherwise(out)
 
 
 def rank_reports(spark: SparkSession, root: str) -> DataFrame:
@@ -38,7 +40,17 @@ def rank_reports(spark: SparkSession, root: str) -> DataFrame:
     if not found:
         raise FileNotFoundError(f"there are no rank reports under {root}")
     text = spark.read.text(glob, wholetext=True).select("value", F.input_file_name().alias("path"))
-    return text.select("path", rank_of_path(F.col("path")).alias("path_rank"), _required(F.from_json("value", REPORT, {"mode": "FAILFAST"}), F.col("path")).alias("report"))
+    read = text.select("path", rank_of_path(F.col("path")).alias("path_rank"), _required(F.from_json("value", REPORT, {"mode": "FAILFAST"}), F.col("path")).alias("report"))
+    # An absent time is null; the times of points must be times, as all else is typed.
+    updated = F.when(~F.col("report.updated_at").startswith("{"), F.col("report.updated_at"))
+    timed = lambda f: f.withField("first", _timed(f["first"])).withField("latest", _timed(f["latest"])).withField("minimum", _timed(f["minimum"])).withField("maximum", _timed(f["maximum"]))
+    groups = F.transform("report.findings", lambda g: g.withField("findings", F.transform(g["findings"], timed)))
+    return read.withColumn("report", F.col("report").withField("updated_at", updated).withField("findings", groups))
+
+
+def _timed(point: Column) -> Column:
+    """The point, whose time must be one if it is there; as UTC text."""
+    return F.when(point.isNotNull(), point.withField("timestamp", time_text(required_time(point["timestamp"], "the time of a point"))))
 
 
 def findings_of(reports: DataFrame) -> DataFrame:

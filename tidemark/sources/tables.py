@@ -13,11 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset, as in tests, under a temporary folder."""
+    """A new path under spark.checkpoint.dir; where that is unset, under a temporary folder of a local session, as in tests. A cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = kept.get() if kept.isDefined() else tempfile.mkdtemp(prefix="tidemark-")
-        if not kept.isDefined():
-            spark.sparkContext.setCheckpointDir(root)
+        context = spark.sparkContext
+        kept = context._jsc.sc().getCheckpointDir()
+        if kept.isDefined():
+            root = kept.get()
+        elif context.master.split("[")[0] == "local":
+            context.setCheckpointDir(root := tempfile.mkdtemp(prefix="tidemark-"))
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"

@@ -12,15 +12,17 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.numeric import EPS
-from tidemark.model import SERIES, IndicatorConfig
+from tidemark.functions.times import time_text
+from tidemark.model import SERIES, TENSOR, IndicatorConfig
 from tidemark.operators.indicators import POINTS, names
 from tidemark.operators.reduce import long_form, reduce_tensors
+from tidemark.sinks import store
 from tidemark.sources.tables import scratch
 
 KEYS = "source_rank int, module string, call_index int, signal string, tensor_path string, metric string"
@@ -28,7 +30,7 @@ POINT = "struct<value: double, sample_id: bigint, timestamp: string>"
 #: Numbers of the state in order, after the four points (each as value and sample_id).
 NUMBERS = ["mean", "m2", "square", "x_mean", "sxx", "sxy", "fast", "slow", "change", "volatility2", "gain", "loss", "z", "cusum_up", "cusum_down", "drawdown", "runup"]
 STATE = ", ".join(
-    ["count bigint", *(f"{p}_{k}" for p in POINTS for k in ("value double", "sample bigint")), *(f"{n} double" for n in NUMBERS), "rises bigint", "falls bigint", "recent array<double>"]
+    ["count bigint", *(f"{p}_{k}" for p in POINTS for k in ("value double", "sample bigint", "time string")), *(f"{n} double" for n in NUMBERS), "rises bigint", "falls bigint", "recent array<double>"]
 )
 FIELDS = [f.split(" ")[0] for f in STATE.split(", ")]
 
@@ -45,14 +47,14 @@ def _ratio(a: float | None, b: float | None) -> float | None:
     return found if math.isfinite(found) else None
 
 
-def begin(x: float, sample: int) -> dict:
+def begin(x: float, sample: int, time: str | None = None) -> dict:
     s = {"count": 1, "rises": 0, "falls": 0, "recent": [x], **dict.fromkeys(NUMBERS, 0.0), "z": None}
     for p in POINTS:
-        s[f"{p}_value"], s[f"{p}_sample"] = x, sample
+        s[f"{p}_value"], s[f"{p}_sample"], s[f"{p}_time"] = x, sample, time
     return s | {"mean": x, "square": x * x, "x_mean": float(sample), "fast": x, "slow": x}
 
 
-def fold(s: dict, x: float, sample: int, config: IndicatorConfig) -> None:
+def fold(s: dict, x: float, sample: int, config: IndicatorConfig, time: str | None = None) -> None:
     """One more observation."""
     d, n = x - s["latest_value"], s["count"]
     spread = math.sqrt(s["m2"] / n)
@@ -65,9 +67,9 @@ def fold(s: dict, x: float, sample: int, config: IndicatorConfig) -> None:
     s["sxx"] += step * (sample - s["x_mean"])
     s["sxy"] += step * (x - s["mean"])
     s["square"] += (x * x - s["square"]) / n
-    s["fast"] += config.fast_alpha * (x - s["fast"])
-    s["slow"] += config.slow_alpha * (x - s["slow"])
-    a, off = config.change_alpha, d - s["change"]
+    s["fast"] += config.fast_ema_alpha * (x - s["fast"])
+    s["slow"] += config.slow_ema_alpha * (x - s["slow"])
+    a, off = config.change_volatility_alpha, d - s["change"]
     s["change"] += a * off
     s["volatility2"] = (1 - a) * (s["volatility2"] + a * off * off)
     s["gain"] += a * (max(d, 0.0) - s["gain"])
@@ -77,11 +79,9 @@ def fold(s: dict, x: float, sample: int, config: IndicatorConfig) -> None:
         s["cusum_down"] = max(0.0, s["cusum_down"] - s["z"] - config.cusum_allowance)
     s["rises"] = s["rises"] + 1 if d > 0 else 0
     s["falls"] = s["falls"] + 1 if d < 0 else 0
-    s["latest_value"], s["latest_sample"] = x, sample
-    if x < s["minimum_value"]:
-        s["minimum_value"], s["minimum_sample"] = x, sample
-    if x > s["maximum_value"]:
-        s["maximum_value"], s["maximum_sample"] = x, sample
+    for p, here in (("latest", True), ("minimum", x < s["minimum_value"]), ("maximum", x > s["maximum_value"])):
+        if here:
+            s[f"{p}_value"], s[f"{p}_sample"], s[f"{p}_time"] = x, sample, time
     s["drawdown"] = max(s["drawdown"], s["maximum_value"] - x)
     s["runup"] = max(s["runup"], x - s["minimum_value"])
     s["recent"] = [*s["recent"], x][-(config.pairs + 1) :]
@@ -105,7 +105,7 @@ def summary(s: dict, config: IndicatorConfig) -> dict:
     """The columns of a series from its state."""
     n, latest = s["count"], s["latest_value"]
     sd = math.sqrt(s["m2"] / n)
-    before = {h: s["recent"][-h - 1] if len(s["recent"]) > h else None for h in config.horizons}
+    before = {h: s["recent"][-h - 1] if len(s["recent"]) > h else None for h in config.momentum_horizons}
     out = {
         "mean": s["mean"], "standard_deviation": sd, "root_mean_square": math.sqrt(s["square"]), "coefficient_of_variation": _ratio(sd, abs(s["mean"])),
         "linear_slope_per_sample": _ratio(s["sxy"], s["sxx"]), "slope_r_squared": None if (r := _ratio(s["sxy"] ** 2, s["sxx"] * s["m2"])) is None else min(r, 1.0),
@@ -117,26 +117,28 @@ def summary(s: dict, config: IndicatorConfig) -> dict:
         **{f"momentum_{h}_samples": None if b is None else latest - b for h, b in before.items()},
         **{f"relative_momentum_{h}_samples": None if b is None else _ratio(latest - b, abs(b)) for h, b in before.items()},
     }
-    points = {p: {"value": s[f"{p}_value"], "sample_id": s[f"{p}_sample"], "timestamp": None} for p in POINTS}
+    points = {p: {"value": s[f"{p}_value"], "sample_id": s[f"{p}_sample"], "timestamp": s[f"{p}_time"]} for p in POINTS}
     return {"count": n, "warmup_complete": n >= config.warm_at, **points, **out}
 
 
 def stream_series(values: DataFrame, config: IndicatorConfig = IndicatorConfig()) -> DataFrame:
-    """A stream of series summaries (update mode) of a stream of SERIES, event_seq, sample_id, value."""
-    kept = values.select(*SERIES, "event_seq", "sample_id", F.col("value").cast("double").alias("value"))
+    """A stream of series summaries (update mode) of a stream of SERIES, event_seq, sample_id, value and, where there is one, timestamp (text)."""
+    time = F.col("timestamp") if "timestamp" in values.columns else F.lit(None).cast("string")
+    kept = values.select(*SERIES, "event_seq", "sample_id", F.col("value").cast("double").alias("value"), time.alias("timestamp"))
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("event_seq", kind="stable")  # one series' rows of one micro-batch
         s = dict(zip(FIELDS, state.get, strict=True)) if state.exists else None
         if s is not None:
             s["recent"] = list(s["recent"])
-        for x, sample in zip(rows["value"].tolist(), rows["sample_id"].tolist(), strict=True):
+        for x, sample, at in zip(rows["value"].tolist(), rows["sample_id"].tolist(), rows["timestamp"].tolist(), strict=True):
             if not math.isfinite(x):
                 continue
+            at = at if isinstance(at, str) else None
             if s is None:
-                s = begin(x, int(sample))
+                s = begin(x, int(sample), at)
             else:
-                fold(s, x, int(sample), config)
+                fold(s, x, int(sample), config, at)
         if s is None:
             return
         state.update(tuple(s[f] for f in FIELDS))
@@ -148,7 +150,10 @@ def stream_series(values: DataFrame, config: IndicatorConfig = IndicatorConfig()
 def stream_statistics(tensors: DataFrame, config: IndicatorConfig = IndicatorConfig()) -> DataFrame:
     """A stream of statistics in long form of a stream of tensors; narrow."""
     metrics = list(config.temporal_metrics)
-    return long_form(reduce_tensors(tensors, metrics), metrics).drop("metric_ord")
+    if "ts" not in tensors.columns:
+        return long_form(reduce_tensors(tensors, metrics), metrics).drop("metric_ord")
+    rows = reduce_tensors(tensors, metrics, keep=[*TENSOR, "ts"]).withColumn("timestamp", time_text(F.col("ts").cast("timestamp")))
+    return long_form(rows, metrics, [*TENSOR, "timestamp"]).drop("metric_ord")
 
 
 def run_to_table(stream: DataFrame, key: Sequence[str], newest: str = "count", mode: str = "update") -> DataFrame:
@@ -177,19 +182,15 @@ def live_reports(stream: DataFrame, publish: Callable[[DataFrame, int], None], k
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         rows = batch
-        if batch_id and _exists(spark, f"{root}/{batch_id - 1}"):
+        if batch_id and store.exists(f"{root}/{batch_id - 1}"):
             rows = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{root}/{batch_id - 1}"))
         newest_rows(rows, key, "count", batch.columns).write.mode("overwrite").parquet(f"{root}/{batch_id}")
         publish(spark.read.schema(batch.schema).parquet(f"{root}/{batch_id}"), batch_id)
+        store.remove(f"{root}/{batch_id - 2}")  # a repeated batch needs the version before it, nothing older
 
     return stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", at).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
 def stream_timed(opportunities: DataFrame, seconds: float, by: Sequence[str], time: str = "t", start: str = "t0") -> DataFrame:
     """A stream of the opportunities that a timer takes (append mode); the state of a run is the time at which the next one is due."""
     types = dict(opportunities.dtypes)
