@@ -497,6 +497,22 @@ def test_predictive_probabilities_sum_to_one():
         assert (c.tables <= c.counts).all() and ((c.tables > 0) == (c.counts > 0)).all()
 
 
+def test_draws_of_the_seating():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    u, v = rng.random(100_000), rng.random(100_000)
+    for n, p in ((100, 0.01), (1000, 0.02), (40, 0.4), (500_000, 4e-5), (5000, 0.3), (10, 0.9), (7, 1.0), (9, 0.0), (0, 0.5)):
+        x = pitman_yor.binomial(u, v, np.full(len(u), n), np.full(len(u), p))
+        sd = math.sqrt(n * p * (1 - p))
+        assert abs(x.mean() - n * p) <= 0.02 * sd + 0.08 and abs(x.std() - sd) <= 0.02 * sd + 0.07 and x.min() >= 0 and x.max() <= n
+    customers = rng.integers(1, 4000, 3000)
+    weight = rng.random(3000) * 4
+    hashed = pitman_yor.seat_by_hash(customers, weight, 0.6, rng.integers(0, 2**63, 3000).astype(np.uint64), 1)
+    one_by_one = pitman_yor.seat(customers, weight, 0.6, rng)
+    assert (hashed >= 1).all() and (hashed <= customers).all() and abs(hashed.mean() / one_by_one.mean() - 1) < 0.06
+
+
 def test_lm_learns_pairs_of_rare_words(spark):
     """More than 512 words are commoner than those of the pairs; each of these stands twice in training texts."""
     rng = random.Random(4)

@@ -75,19 +75,42 @@ def seat(customers: np.ndarray, new_table: np.ndarray, discount: float, rng: np.
     return tables
 
 
+def binomial(uniform: np.ndarray, other: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Binomial numbers from two uniform ones each: by the inverse distribution function, for a mean over 30 by a rounded normal variable."""
+    p = np.clip(p, 0.0, 1.0)
+    mean = n * p
+    z = np.sqrt(-2 * np.log(np.maximum(uniform, 1e-300))) * np.cos(2 * np.pi * other)
+    out = np.clip(np.rint(mean + np.sqrt(mean * (1 - p)) * z), 0, n).astype(np.int64)
+    at = np.flatnonzero((mean <= 30) & (p < 0.5) & (n > 0))
+    out[at] = 0
+    odds, chance = p[at] / (1 - p[at]), np.power(1 - p[at], n[at])
+    reached, k = chance.copy(), 0
+    while len(at):
+        on = (uniform[at] >= reached) & (k < n[at]) & (chance > 0)
+        at, odds, chance, reached = at[on], odds[on], chance[on], reached[on]
+        chance = chance * odds * (n[at] - k) / (k + 1)
+        reached, k = reached + chance, k + 1
+        out[at] = k
+    return out
+
+
 def seat_by_hash(customers: np.ndarray, new_table: np.ndarray, discount: float, names: np.ndarray, seed: int) -> np.ndarray:
-    """seat(), with the draws of each dish from its name and seed alone."""
+    """seat(), with the draws of each dish from its name and seed alone. From 64 customers on, blocks of half of those seated, at the chance in their middle."""
     tables = np.minimum(customers, 1).astype(np.int64)
-    large = customers >= 64
-    at, n = np.flatnonzero((customers > 1) & ~large), 1
     state = tokens.mix(names ^ tokens.mix(np.full(len(names), seed + 1, np.int64).view(_U)))
-    while len(at):
-        uniform = (tokens.mix(state[at] + _U(n)) >> _U(11)).astype(float) / 2.0**53
-        tables[at] += uniform < new_table[at] / (new_table[at] + n - discount * tables[at])
+    uniform = lambda at, k: ((tokens.mix(state[at] + _U(k)) >> _U(11)).astype(float) + 0.5) / 2.0**53
+    at, n = np.flatnonzero(customers > 1), 1
+    while len(at) and n < 64:
+        tables[at] += uniform(at, n) < new_table[at] / (new_table[at] + n - discount * tables[at])
         n += 1
         at = at[customers[at] > n]
-    for i in np.flatnonzero(large).tolist():
-        tables[i] = seat(customers[i : i + 1], new_table[i : i + 1], discount, np.random.default_rng(int(state[i])))[0]
+    k = 1000
+    while len(at):
+        block = np.minimum(n // 2, customers[at] - n)
+        p = new_table[at] / (new_table[at] + n + block / 2 - discount * tables[at])
+        tables[at] += binomial(uniform(at, k), uniform(at, k + 1), block, p)
+        n, k = n + n // 2, k + 2
+        at = at[customers[at] > n]
     return tables
 
 
