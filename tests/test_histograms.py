@@ -98,12 +98,25 @@ def test_histograms_of_ones_own(spark):
         return edges, [int(((x >= a) & (x < b)).sum()) for a, b in zip(edges, edges[1:], strict=False)][:-1] + [int((x >= edges[3]).sum())]
 
     df = tensors(spark, [[1, 2, 3, 4, 5, NAN], [NAN], [7, 7], None])
+    shrinking = H.own_histograms(df, H.OwnHistogram("shrinking", lambda x: ([2.0, 1.0], [0]))).where("sample_id = 0").first()
+    assert "shrink" in shrinking["reason"]
     rows = {r["sample_id"]: r for r in H.own_histograms(df, H.OwnHistogram("quartiles", quartiles)).collect()}
     assert rows[0]["bin_edges"] == [1, 2, 3, 4, 5] and rows[0]["bin_counts"] == [1, 1, 1, 2] and (rows[0]["finite_count"], rows[0]["nonfinite_count"]) == (5, 1)
-    assert rows[1]["reason"] == rows[3]["reason"] == H.NO_VALUES and "don't grow" in rows[2]["reason"]
+    assert rows[1]["reason"] == rows[3]["reason"] == H.NO_VALUES and rows[2]["bin_counts"] == [0, 0, 0, 2]
     broken = H.own_histograms(df, H.OwnHistogram("broken", lambda x: 1 / 0, every_n_samples=2)).orderBy("sample_id").collect()
     assert [r["sample_id"] for r in broken] == [0, 2] and all("ZeroDivisionError" in r["reason"] for r in broken)
     fixed = H.histograms(exploded(df), HistogramConfig(every_n_samples=1))
     assert fixed.columns == H.own_histograms(df, H.OwnHistogram("quartiles", quartiles)).columns
     made = api.analyze(df, api.Settings(histograms=(H.OwnHistogram("quartiles", quartiles),)))
-    assert made.histograms.where("reason is null").count() == 1
+    assert made.histograms.where("reason is null").count() == 2
+
+
+@pytest.mark.parametrize("config", [{"bins": 7}, {"bins": 30, "value_range": (0.1, 2.2)}])
+def test_histograms_of_arrays_and_of_rows_agree(spark, config):
+    rng = random.Random(6)
+    samples = [[i / 10 for i in range(-10, 31)], [3, 3], [NAN, INF], [rng.gauss(0, 1) for _ in range(300)], [5, NAN, -2, 1e-9], [1e200, 2.0]]
+    df, wanted = tensors(spark, samples), HistogramConfig(every_n_samples=1, **config)
+    key = lambda r: {c: tuple(r[c]) if isinstance(r[c], list) else r[c] for c in r.asDict()} | {"sum": r["sum"] and round(r["sum"], 6), "sum_squares": r["sum_squares"] and round(r["sum_squares"], 6)}
+    by_rows = {r["sample_id"]: key(r) for r in H.histograms(exploded(df), wanted).collect()}
+    by_arrays = {r["sample_id"]: key(r) for r in H.tensor_histograms(df, wanted).collect()}
+    assert by_rows == by_arrays

@@ -66,6 +66,13 @@ def test_reports_follow_the_stream(spark, folder, tmp_path):
     assert made["coverage"]["samples_observed"] == 30 and made["coverage"]["dropped_series"] == 0 and made["updated_at"]["status"] == "absent"
 
 
+def test_an_aggregator_of_ones_own(spark, folder, tmp_path):
+    """One that looks at the first module only."""
+    first = lambda values, config: live.stream_series(values.where("module = 'a'"), config)
+    api.stream_reports(stream(spark, folder), tmp_path / "run", api.Settings(indicators=CONFIG), aggregator=first).awaitTermination()
+    assert json.loads((tmp_path / "run" / "report.json").read_text())["coverage"]["temporal_series"] == 3
+
+
 def test_live_reports_count_what_they_leave_out_and_know_the_time(spark, tmp_path):
     at = str(tmp_path / "in")
     rows = [(*r, f"2024-03-01T00:00:{r[5]:02d}Z") for m in "abc" for r in tensor_rows([[i, 2 * i, 1] for i in range(9)], module=m)]

@@ -61,7 +61,7 @@ class Settings:
 
 @dataclass(frozen=True)
 class Analysis:
-    """Lazy tables of one analysis."""
+    """Lazy tables of one analysis. The statistics are kept from their first use until release()."""
 
     statistics: DataFrame
     values: DataFrame
@@ -70,6 +70,9 @@ class Analysis:
     histograms: DataFrame | None
     bounded: caps.Bounded
 
+    def release(self) -> None:
+        self.statistics.unpersist()
+
 
 def selected(rows: DataFrame, settings: Settings) -> DataFrame:
     """The rows that are sampled and selected: plain filters, so they reach the scan."""
@@ -89,7 +92,7 @@ def analyze(tensors: DataFrame, settings: Settings | None = None, timestamp: Col
     what = settings.reducer or reduce.default_reducer()
     rows = selected(tensors, settings)
     keep = [c for c in (*TENSOR, "shape") if c in rows.columns]
-    statistics = reduce.reduce_tensors(rows, what, keep=keep)
+    statistics = reduce.reduce_tensors(rows, what, keep=keep).persist()  # every other table comes from it
     values = reduce.long_form(statistics, what.names)
     bounded = caps.bounded(statistics.select(*TENSOR), values, settings.indicators)
     series = series_of(bounded.series, settings.indicators, timestamp=timestamp)
@@ -97,8 +100,8 @@ def analyze(tensors: DataFrame, settings: Settings | None = None, timestamp: Col
     state = caps.latest_state(bounded.tensors.join(statistics.select(*TENSOR, shape.alias("shape")), TENSOR))
     found = None
     for config in settings.histograms:
-        own = isinstance(config, histograms.OwnHistogram)
-        one = histograms.own_histograms(rows, config) if own else histograms.histograms(rows.select(*TENSOR, F.explode("elements").alias("value")), config)
+        of_tensors = histograms.own_histograms if isinstance(config, histograms.OwnHistogram) else histograms.tensor_histograms
+        one = of_tensors(rows, config)
         found = one if found is None else found.unionByName(one)
     return Analysis(statistics, values, series, state, found, bounded)
 
@@ -137,8 +140,11 @@ def write_report(
     return R.publish_report(at, made)
 
 
-def stream_reports(tensors: DataFrame, folder: object, settings: Settings | None = None, rank: R.Rank = R.Rank(), trigger: dict | None = None, also: Sequence[Callable[[DataFrame, int], None]] = ()):
-    """Start a query that keeps the folder's report up to date with a stream of tensors. also: further receivers of the table of series."""
+def stream_reports(tensors: DataFrame, folder: object, settings: Settings | None = None, rank: R.Rank = R.Rank(), trigger: dict | None = None, also: Sequence[Callable[[DataFrame, int], None]] = (), aggregator: Callable[[DataFrame, IndicatorConfig], DataFrame] = live.stream_series):
+    """Start a query that keeps the folder's report up to date with a stream of tensors.
+
+    also: further receivers of the table of series; aggregator: from a stream of statistics in long form to one of series summaries (update mode).
+    """
     settings = settings or Settings()
     documents.claim(folder)
     config = settings.indicators
@@ -154,4 +160,4 @@ def stream_reports(tensors: DataFrame, folder: object, settings: Settings | None
             receive(series, batch_id)
 
     values = live.stream_statistics(selected(tensors, settings), config)
-    return live.live_reports(live.stream_series(values, config), publish, trigger=trigger)
+    return live.live_reports(aggregator(values, config), publish, trigger=trigger)

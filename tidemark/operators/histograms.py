@@ -91,7 +91,7 @@ class OwnHistogram:
 
 
 def own_histograms(tensors: DataFrame, config: OwnHistogram, keys: Sequence[str] = tuple(TENSOR), elements: str = "elements") -> DataFrame:
-    """The columns of histograms() by config.shape, from tensors as arrays; narrow. A shape that fails, or whose edges don't grow or don't fit the counts, gives the reason."""
+    """The columns of histograms() by config.shape, from tensors as arrays; narrow. A shape that fails, or whose edges shrink or don't fit the counts, gives the reason."""
     rows = tensors.where(F.col("sample_id") % config.every_n_samples == 0).select(*keys, F.col(elements).cast("array<double>").alias("e"))
     numbers = ["finite_count", "nonfinite_count", "underflow_count", "overflow_count"]
     moments = ["minimum", "maximum", "sum", "sum_squares"]
@@ -114,10 +114,13 @@ def own_histograms(tensors: DataFrame, config: OwnHistogram, keys: Sequence[str]
             edges, counts = [float(v) for v in found[0]], [int(v) for v in found[1]]
         except Exception as error:  # noqa: BLE001  whatever a function of one's own raises
             return (name, None, None, *n, *[None] * 4, f"{type(error).__name__}: {error}")
-        if len(edges) != len(counts) + 1 or any(b <= a for a, b in zip(edges, edges[1:], strict=False)):
-            return (name, None, None, *n, *[None] * 4, "the function's edges don't grow or don't fit its counts")
+        if len(edges) != len(counts) + 1 or any(b < a for a, b in zip(edges, edges[1:], strict=False)):
+            return (name, None, None, *n, *[None] * 4, "the function's edges shrink or don't fit its counts")
         n[2:] = [int((good < edges[0]).sum()), int((good > edges[-1]).sum())]
-        return (name, edges, counts, *n, float(good[0]), float(good[-1]), float(good.sum()), float((good * good).sum()), None)
+        squares = float((good * good).sum())
+        if not np.isfinite(squares):
+            return (name, None, None, *n, *[None] * 4, NO_VALUES)
+        return (name, edges, counts, *n, float(good[0]), float(good[-1]), float(good.sum()), squares, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.list_(pa.float64()), pa.list_(pa.int64()), *[pa.int64()] * 4, *[pa.float64()] * 4, pa.string()]
@@ -128,6 +131,24 @@ def own_histograms(tensors: DataFrame, config: OwnHistogram, keys: Sequence[str]
     return rows.mapInArrow(run, schema)
 
 
+def tensor_histograms(tensors: DataFrame, config: HistogramConfig = HistogramConfig(), keys: Sequence[str] = tuple(TENSOR), elements: str = "elements") -> DataFrame:
+    """histograms() of tensors as arrays: narrow, as a tensor's range and its elements are in one row."""
+    bins, fixed = config.bins, config.value_range
+
+    def shape(x: np.ndarray) -> tuple[list[float], list[int]]:
+        if fixed is None:
+            pad = 0.01 * max(abs(x[0]), abs(x[-1]), 1.0) if x[0] == x[-1] else 0.0
+            low, high = float(x[0] - pad), float(x[-1] + pad)
+        else:
+            low, high = fixed
+        edges = [low + i * (high - low) / bins for i in range(bins)] + [high]
+        inside = x[(x >= low) & (x <= high)]
+        place = np.minimum(np.searchsorted(edges, inside, "right") - 1, bins - 1)
+        return edges, np.bincount(place, minlength=bins).tolist()
+
+    return own_histograms(tensors, OwnHistogram(config.name, shape, config.every_n_samples), keys, elements)
+
+
 def merged(found: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, name, samples, latest_sample, bin_edges, bin_counts and the merged moments; null with a reason from the first change of edges on.
 
