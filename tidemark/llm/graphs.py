@@ -36,6 +36,8 @@ def joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
     known = written(comps.union(own("a")).union(own("b")).groupBy("id").agg(F.min("component").alias("component")), "labels")
     of = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"component_{c}"))
     between = links.join(of("a"), "a").join(of("b"), "b").where("component_a <> component_b")
-    between = between.select(F.least("component_a", "component_b").alias("a"), F.greatest("component_a", "component_b").alias("b")).distinct()
+    between = written(between.select(F.least("component_a", "component_b").alias("a"), F.greatest("component_a", "component_b").alias("b")).distinct(), "links")
+    if not between.limit(1).count():
+        return known
     further = components(between).select(F.col("id").alias("component"), F.col("component").alias("further"))
     return written(known.join(further, "component", "left").select("id", F.coalesce("further", "component").alias("component")), "labels")
