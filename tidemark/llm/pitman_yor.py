@@ -39,7 +39,7 @@ from tidemark.llm import tokens
 from tidemark.llm.frames import arrow_map, pieces, written
 
 #: Commonest pairs, and words, that are broadcast as lookups; the model has all of them.
-HEAD, KNOWN_WORDS = 300_000, 200_000
+HEAD, KNOWN_WORDS = 150_000, 50_000
 SWEEPS, BURN_IN = 4, 2
 STRENGTH = 1.0
 #: Symbols of spellings: start, end, then the bytes.
@@ -241,8 +241,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return arrow_map(texts, run, "hash long, word binary, n long").groupBy("hash", "word").agg(F.sum("n").alias("c"))
 
 
-def commonest(words: DataFrame, n: int) -> DataFrame:
-    """Of words, or pairs, (c) the commonest, whole bins of like counts: at most n of them.
+def common(words: DataFrame, n: int) -> Column:
+    """Whether a word, or pair, (c) is one of the commonest: whole bins of like counts, at most n of them.
 
     A sort with a limit would send n rows of every task to the driver; here the driver gets some hundred bins.
     """
@@ -253,7 +253,7 @@ def commonest(words: DataFrame, n: int) -> DataFrame:
         if taken + count > n:
             break
         taken, last = taken + count, number
-    return words.where(bin_of >= last)
+    return bin_of >= last
 
 
 def transitions(hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -343,8 +343,12 @@ def sweep_words(words: DataFrame, model: Spelling, tables: int, total: int, disc
 
 def sweep_pairs(pairs: DataFrame, words: DataFrame, listed: DataFrame, discount: float, keep: bool, seed: int) -> DataFrame:
     """The context restaurants after a sweep; if keep, own grows by what the customers of the state before it weigh."""
-    about = looked_up(pairs, "u", words.select(F.col("hash").alias("u"), "held"), listed.select(F.col("hash").alias("u"), "held"))
-    about = looked_up(about, "w", words.select(F.col("hash").alias("w"), "now"), listed.select(F.col("hash").alias("w"), "now"))
+    side = lambda df, key, name: df.select(F.col("hash").alias(key), name)
+    near = pairs.join(F.broadcast(side(listed, "u", "held")), "u", "left").join(F.broadcast(side(listed, "w", "now")), "w", "left")
+    both = F.col("held").isNotNull() & F.col("now").isNotNull()
+    far = near.where(~both).select(*pairs.columns).join(side(words, "u", "held"), "u").join(side(words, "w", "now"), "w")
+    order = [*pairs.columns, "held", "now"]
+    about = near.where(both).select(order).unionByName(far.select(order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -426,7 +430,8 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     zero = F.lit(0).cast("long")
     words = known.unionByName(end).select("hash", "word", "c", zero.alias("customers"), F.lit(1).cast("long").alias("t"), zero.alias("held"), F.lit(0.0).alias("now"), none.alias("p"), none.alias("b"))
     words = written(seated(words, many).withColumn("t", F.least("customers", F.lit(1)).cast("long")), "lm-rest")
-    listed_words = lambda: commonest(words, known_words)
+    is_listed_word = common(words, known_words) | (F.col("hash") == END)  # by the counts of words, which stay
+    listed_words = lambda: words.where(is_listed_word)
 
     # Gibbs sweeps over all restaurants.
     rng = np.random.default_rng(seed)
@@ -446,11 +451,12 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     left = words.agg(*(F.sum(F.col("p")[i]) for i in range(states))).first()
     unknown = [max(1 - x, 1e-12) for x in left]
     own = lone.select("u", "w", "c", F.lit(1 - context_discount).alias("own")).unionByName(many.select("u", "w", "c", (F.col("own") / states).alias("own")))
-    listed = listed_words().where(F.col("hash") != END).select("hash", "c", "p", "b").unionByName(words.where(F.col("hash") == END).select("hash", "c", "p", "b")).toPandas()
+    each = [F.col(c)[i].alias(f"{c}{i}") for c in ("p", "b") for i in range(states)]
+    listed = words.where(is_listed_word).select("hash", "c", *each).toPandas()
     names = listed["hash"].to_numpy(np.int64).view(_U)
     by_name = np.argsort(names)
-    stack = lambda c: np.array(listed[c].tolist(), float).reshape(-1, states)[by_name]
-    frequent = commonest(pairs.where("c > 1"), head).select("u", "w").join(many.select("u", "w", (F.col("own") / states).alias("own")), ["u", "w"]).toPandas()
+    stack = lambda c: listed[[f"{c}{i}" for i in range(states)]].to_numpy(float)[by_name]
+    frequent = many.where(common(many, head)).select("u", "w", (F.col("own") / states).alias("own")).toPandas()
     pair_keys = pair_names(*(frequent[c].to_numpy(np.int64).view(_U) for c in ("u", "w")))
     by_pair = np.argsort(pair_keys)
     table = (names[by_name], listed["c"].to_numpy(np.int64)[by_name], stack("p"), stack("b"), pair_keys[by_pair], frequent["own"].to_numpy(float)[by_pair], unit, n_texts)
