@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import tokens
-from tidemark.llm.frames import arrow_map, pieces, written
+from tidemark.llm.frames import arrow_map, forget, pieces, written
 
 #: Commonest pairs, and words, that are broadcast as lookups; the model has all of them.
-HEAD, KNOWN_WORDS = 150_000, 50_000
+HEAD, KNOWN_WORDS = 400_000, 100_000
 SWEEPS, BURN_IN = 4, 2
 STRENGTH = 1.0
 #: Symbols of spellings: start, end, then the bytes.
@@ -442,10 +442,13 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         model = Spelling(*spelling_counts(words), rng, model)
         keep = s >= burn_in
         states += keep
-        words = written(sweep_words(words, model, tables, total, discount, context_discount, keep, 2 * s + seed * 1000), "lm-rest")
-        many = written(sweep_pairs(many, words, listed_words(), context_discount, keep, 2 * s + 1 + seed * 1000), "lm-many")
+        last, words = words, written(sweep_words(words, model, tables, total, discount, context_discount, keep, 2 * s + seed * 1000), "lm-rest")
+        forget(last)
+        last, many = many, written(sweep_pairs(many, words, listed_words(), context_discount, keep, 2 * s + 1 + seed * 1000), "lm-many")
+        forget(last)
         if s < sweeps - 1:
-            words = written(seated(words, many), "lm-rest")
+            last, words = words, written(seated(words, many), "lm-rest")
+            forget(last)
 
     # What no known word has of the states, and the commonest words and pairs for broadcasts of bounded length.
     left = words.agg(*(F.sum(F.col("p")[i]) for i in range(states))).first()
