@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontamination, html_extraction, licenses, mixing, pitman_yor, quality, repetition, sketch_join, suffix_dedup
+from tidemark.llm import chat, decontamination, divergence, html_extraction, licenses, mixing, pitman_yor, quality, repetition, sketch_join, suffix_dedup, warc, whitening
+from tidemark.llm.frames import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -104,3 +107,53 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"),
     )
+
+
+@query
+def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex[:12]}"
+    warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    found = warc.read_records(warc.read_chunks(spark, path, payload=False))
+    return found.select(F.col("source_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+ORACLES["op11_warc_archive"] = """
+with d as (select page_id, encode(coalesce(html, '')) as payload from pages),
+h as (select page_id, octet_length(payload) as payload_bytes, sha1(payload) as x, row_number() over (partition by payload order by page_id desc) as k, max(page_id) over (partition by payload) as best from d),
+five as (select *, [('0x' || substr(x, 5 * i + 1, 5))::bigint for i in range(8)] as parts from h)
+select page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((parts[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::int + 1, 1) for i in range(32)], '') as payload_digest,
+  case when k = 1 then 'response' else 'revisit' end as record_type, case when k > 1 then best end as refers_to
+from five"""
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+ORACLES["op12_source_divergence"] = r"""
+with d as (select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+w as (select rid, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+c as (select lang, source, term, count(*) as n, count(distinct rid) as docs from w group by all),
+k as (select lang, term, sum(n) as n from c group by all having sum(docs) >= 3),
+v as (select lang, count(*) as v, sum(n) as n from k group by all),
+g as (select distinct lang, source from d),
+gn as (select c.lang, c.source, sum(c.n) as n from c join k on c.lang = k.lang and c.term = k.term group by all),
+p as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (coalesce(gn.n, 0) + v.v) as p,
+    1 + (1000000000::hugeint * (k.n + 1)) // (v.n + v.v) as q
+  from g join k on g.lang = k.lang join v on v.lang = k.lang
+    left join c on c.lang = g.lang and c.source = g.source and c.term = k.term left join gn on gn.lang = g.lang and gn.source = g.source),
+f as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+r as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+  union all select lang, source, 'term', term, (((p - q) * (p - q)) // q)::bigint from p where n > 0 and p > q)
+select * from (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from r) where part = 'pair' or rank <= 200"""
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
