@@ -14,8 +14,8 @@ from tidemark.operators import caps, histograms, reduce, rules, sampling
 from tidemark.operators.indicators import series_of
 from tidemark.plans import report as R
 from tidemark.plans.merge import merge_rank_reports
-from tidemark.sinks import documents
-from tidemark.streaming import live
+from tidemark.sinks import documents, store
+from tidemark.streaming import bounded, live
 
 __all__ = ["Settings", "Analysis", "analyze", "write_report", "stream_reports", "merge_rank_reports"]
 
@@ -140,24 +140,62 @@ def write_report(
     return R.publish_report(at, made)
 
 
-def stream_reports(tensors: DataFrame, folder: object, settings: Settings | None = None, rank: R.Rank = R.Rank(), trigger: dict | None = None, also: Sequence[Callable[[DataFrame, int], None]] = (), aggregator: Callable[[DataFrame, IndicatorConfig], DataFrame] = live.stream_series):
+def stream_reports(
+    tensors: DataFrame, folder: object, settings: Settings | None = None, rank: R.Rank = R.Rank(), trigger: dict | None = None, also: Sequence[Callable[[DataFrame, int], None]] = (),
+    aggregator: Callable[[DataFrame, IndicatorConfig], DataFrame] | None = None, *, errors: DataFrame | None = None, durations: DataFrame | None = None, catalog: DataFrame | None = None, details: bool = False, checkpoint: str | None = None,
+):
     """Start a query that keeps the folder's report up to date with a stream of tensors.
 
-    also: further receivers of the table of series; aggregator: from a stream of statistics in long form to one of series summaries (update mode).
+    The folder holds a report before the first batch. checkpoint: the folder of the query's state, by default <folder>.checkpoint; where it is already there,
+    the run that it belongs to goes on, so a stopped query is started again by the same call. errors, durations: further streams
+    (see streaming.bounded); catalog: (module, module_type); details: the snapshot of all series, paths and errors too, after each batch.
+    also: further receivers of the table of series; aggregator: from a stream of statistics in long form to one of series summaries (update
+    mode), instead of the bounded state: such reports hold series only, and can't go on after a stop.
     """
     settings = settings or Settings()
-    documents.claim(folder)
     config = settings.indicators
+    at = checkpoint or f"{str(folder).rstrip('/')}.checkpoint"
+    goes_on = aggregator is None and store.exists(at)
+    if not goes_on:
+        documents.claim(folder)
 
-    def publish(series: DataFrame, batch_id: int) -> None:
-        n = series.count()
-        kept = series if n <= config.max_series else series.orderBy(F.col("first.sample_id"), *PATH, "metric").limit(config.max_series)
-        made = R.build_report(
-            kept, rank=rank, config=settings.report, indicators=config, rules=settings.rules or None, state=samples_of(series), dropped={"dropped_series": n - min(n, config.max_series)}, run=settings.described()
-        )
+    def publish(series: DataFrame, batch_id: int, dropped: Mapping[str, int], **more) -> None:
+        made = R.build_report(series, catalog=catalog, rank=rank, config=settings.report, indicators=config, rules=settings.rules or None, state=samples_of(series), dropped=dropped, run=settings.described(), **more)
         R.publish_report(folder, made)
         for receive in also:
             receive(series, batch_id)
 
-    values = live.stream_statistics(selected(tensors, settings), config)
-    return live.live_reports(aggregator(values, config), publish, trigger=trigger)
+    if aggregator is not None:
+        def series_only(series: DataFrame, batch_id: int) -> None:
+            n = series.count()
+            kept = series if n <= config.max_series else series.orderBy(F.col("first.sample_id"), *PATH, "metric").limit(config.max_series)
+            publish(kept, batch_id, {"dropped_series": n - min(n, config.max_series)})
+
+        return live.live_reports(aggregator(live.stream_statistics(selected(tensors, settings), config), config), series_only, trigger=trigger)
+
+    def complete(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        found = bounded.snapshot(batch, batch_id, at, config)
+        series = bounded.series_table(found["series"]).persist()
+        paths, failures = found["path"].select(*PATH, "observations", "shape_changes", "sample_id", "shape"), bounded.error_table(found["error"])
+        dropped = found["counters"].agg(*(F.sum(n).alias(n) for n in bounded.DROPPED)).first().asDict()
+        try:
+            publish(series, batch_id, {n: v or 0 for n, v in dropped.items()}, errors=failures, observations=paths, histograms=found["histogram"])
+            if details:
+                R.write_details(folder, series, paths, failures)
+        finally:
+            series.unpersist()
+            batch.unpersist()
+
+    rows = selected(tensors, settings)
+    telemetry = bounded.tensor_rows(rows, config)
+    for one in settings.histograms:
+        telemetry = telemetry.unionByName(bounded.histogram_rows(rows, one))
+    for one, made in ((errors, bounded.error_rows), (durations, bounded.duration_rows)):
+        telemetry = telemetry if one is None else telemetry.unionByName(made(one))
+    if not goes_on:
+        store.make_folder(at)
+        empty = series_of(tensors.sparkSession.createDataFrame([], live.VALUES), config)
+        R.publish_report(folder, R.build_report(empty, catalog=catalog, rank=rank, config=settings.report, indicators=config, rules=settings.rules or None, state=samples_of(empty), run=settings.described()))
+    with bounded.rocksdb(tensors.sparkSession):
+        return bounded.folded(telemetry, config).writeStream.outputMode("append").foreachBatch(complete).option("checkpointLocation", at).trigger(**(trigger or {"availableNow": True})).start()

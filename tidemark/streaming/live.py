@@ -3,7 +3,7 @@
 Observations arrive as rows of tensors (their elements in an array), which are reduced without a shuffle; then each statistic is
 one row to its series' state: some thirty numbers and a ring of the last values, whatever the length of the series. Rows
 of a micro-batch are put in the order of event_seq. The state's summary has the columns of operators.indicators.series_of and
-the same values. Bounds on the number of series are applied where reports are built, as a stream has no global order.
+the same values. Here the number of series isn't bounded; streaming.bounded gives places to the first ones and holds the state of those only.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from tidemark.sinks import store
 from tidemark.sources.tables import scratch
 
 KEYS = "source_rank int, module string, call_index int, signal string, tensor_path string, metric string"
+#: Rows of statistics.
+VALUES = f"{KEYS}, event_seq bigint, sample_id bigint, value double"
 POINT = "struct<value: double, sample_id: bigint, timestamp: string>"
 #: Numbers of the state in order, after the four points (each as value and sample_id).
 NUMBERS = ["mean", "m2", "square", "x_mean", "sxx", "sxy", "fast", "slow", "change", "volatility2", "gain", "loss", "z", "cusum_up", "cusum_down", "drawdown", "runup"]
