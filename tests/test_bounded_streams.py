@@ -36,7 +36,7 @@ def run(spark, rows, config, checkpoint):
 
     def look(batch, batch_id):
         batch = batch.persist()
-        for name, table in bounded.snapshot(batch, batch_id, checkpoint, config).items():
+        for name, table in bounded.tables(bounded.known(batch, batch_id, checkpoint, config).cache()).items():
             seen[name] = [r.asDict(recursive=True) for r in table.collect()]
         batch.unpersist()
 
@@ -82,7 +82,7 @@ def test_bounded_state_equals_the_batch(spark, source, tmp_path, config):
     # The state itself is bounded, and the last snapshot is read from it after the end too.
     places = bounded.state_table(spark, at, "places", operator=bounded.ADMISSION).collect()
     assert len([p for p in places if p["user_map_key"]["what"] == "call"]) <= config.max_module_calls and len([p for p in places if p["user_map_key"]["what"] == "path"]) <= config.max_tensor_paths
-    end = bounded.final_snapshot(spark, at, config)
+    end = bounded.tables(bounded.committed(spark, at, config))
     for name in seen:
         assert sorted(map(str, (r.asDict(recursive=True) for r in end[name].collect()))) == sorted(map(str, seen[name])), name
 

@@ -125,6 +125,11 @@ def write_report(
     if fresh:
         documents.claim(at)
     dropped = analysis.bounded.counters().first().asDict()
+    with R.cached(analysis.series):
+        return _written(analysis, at, settings, rank, catalog, errors, dropped, state, details)
+
+
+def _written(analysis: Analysis, at: str, settings: Settings, rank: R.Rank, catalog: DataFrame | None, errors: DataFrame | None, dropped: dict, state: dict | None, details: bool) -> str:
     kept = None
     if analysis.histograms is not None:
         kept, away = caps.bounded_histograms(analysis.histograms.where("bin_edges is not null"), settings.indicators.max_histograms)
@@ -175,7 +180,8 @@ def stream_reports(
 
     def complete(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        found = bounded.snapshot(batch, batch_id, at, config)
+        whole = bounded.known(batch, batch_id, at, config).persist()
+        found = bounded.tables(whole)
         series = bounded.series_table(found["series"]).persist()
         paths, failures = found["path"].select(*PATH, "observations", "shape_changes", "sample_id", "shape"), bounded.error_table(found["error"])
         dropped = found["counters"].agg(*(F.sum(n).alias(n) for n in bounded.DROPPED)).first().asDict()
@@ -184,8 +190,8 @@ def stream_reports(
             if details:
                 R.write_details(folder, series, paths, failures)
         finally:
-            series.unpersist()
-            batch.unpersist()
+            for table in (series, whole, batch):
+                table.unpersist()
 
     rows = selected(tensors, settings)
     telemetry = bounded.tensor_rows(rows, config)

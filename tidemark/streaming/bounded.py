@@ -13,7 +13,7 @@ the checkpoint as changes; a query that starts with the checkpoint of an earlier
 Tensors are reduced before both, without a shuffle: through the admission passes one row a tensor with one number a metric, and series are unpivoted after it.
 A rank is one key of the admission, as the places of a rank are given one after another; ranks are what runs in parallel there.
 
-snapshot() is what has been folded up to and with a micro-batch: the state of the batch before, read by the state data source,
+known() is what has been folded up to and with a micro-batch: the state of the batch before, read by the state data source,
 without what the batch has changed, and the batch's own rows. Nothing is rewritten: a batch costs the changes in the state store, and one reading of it for a report.
 
 Rows of a micro-batch are taken in the order of event_seq. Durations of collection are series that no bound refuses. A null value is no observation.
@@ -295,7 +295,7 @@ def rocksdb(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-#: Places of the two operators in the query, counted from the sink, and the tables of a snapshot.
+#: Places of the two operators in the query, counted from the sink, and the state variables of the first one.
 FOLDING, ADMISSION = 0, 1
 PARTS = ["series", "path", "histogram", "error"]
 
@@ -316,50 +316,55 @@ def _as_rows(table: DataFrame, part: str, config: IndicatorConfig) -> DataFrame:
 
     def summarize(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [live.summary({**dict(zip(live.FIELDS, s, strict=True)), "recent": list(s[-1])}, config) for s in frame[live.FIELDS].astype(object).where(frame[live.FIELDS].notna(), None).itertuples(index=False, name=None)]
+            states = frame[live.FIELDS].astype(object).where(frame[live.FIELDS].notna(), None).itertuples(index=False, name=None)
+            found = [live.summary({**dict(zip(live.FIELDS, s, strict=True)), "recent": list(s[-1])}, config) for s in states]
             yield pd.DataFrame({**{k: frame[k] for k in KEYS}, "series": pd.Series(found, index=frame.index, dtype=object)})
 
     return flat.mapInPandas(summarize, f"{KEY_TYPES}, series struct<{inner}>")
 
 
-def snapshot(batch: DataFrame, batch_id: int, checkpoint: str, config: IndicatorConfig = IndicatorConfig()) -> dict[str, DataFrame]:
-    """All that is known after a micro-batch of folded(), inside its foreachBatch: the tables `series` (also durations, which have the kind), `path`, `histogram`, `error`, `counters`.
-
-    batch should be persisted, as it is read once a table.
-    """
-    spark = batch.sparkSession
-    out = {}
+def committed(spark: SparkSession, checkpoint: str, config: IndicatorConfig = IndicatorConfig(), batch_id: int | None = None) -> DataFrame:
+    """All that is known after a committed batch, by default the last one, in the form of folded()."""
+    found = spark.createDataFrame([], _out(config))
     for part in PARTS:
-        here = batch.where(F.col(part).isNotNull()).select(*KEYS, part)
-        if batch_id:
-            same = F.lit(True)
-            for k in KEYS:
-                same &= F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}"))
-            old = _as_rows(state_table(spark, checkpoint, part, batch_id - 1), part, config)
-            here = old.alias("old").join(here.select(*KEYS).alias("new"), same, "left_anti").unionByName(here)
-        out[part] = here.select(*KEYS, f"{part}.*")
-    counters = batch.where("kind = 'counters'").select("source_rank", F.posexplode("counts").alias("k", "n"))
-    if batch_id:
-        old = state_table(spark, checkpoint, "counters", batch_id - 1, ADMISSION)
-        counters = counters.unionByName(old.select(F.col("key.source_rank").alias("source_rank"), F.posexplode(F.array(*(f"value.{n}" for n in DROPPED))).alias("k", "n")))
-    each = counters.groupBy("source_rank", "k").agg(F.max("n").alias("n"))  # counters only grow
-    out["counters"] = each.groupBy("source_rank").agg(*(F.sum(F.when(F.col("k") == i, F.col("n"))).alias(n) for i, n in enumerate(DROPPED)))
-    return out
-
-
-def final_snapshot(spark: SparkSession, checkpoint: str, config: IndicatorConfig = IndicatorConfig()) -> dict[str, DataFrame]:
-    """The same tables after the last committed batch of a query that has ended or goes on elsewhere."""
-    out = {part: _as_rows(state_table(spark, checkpoint, part), part, config).select(*KEYS, f"{part}.*") for part in PARTS}
-    counters = state_table(spark, checkpoint, "counters", operator=ADMISSION)
-    return out | {"counters": counters.select(F.col("key.source_rank").alias("source_rank"), *(F.col(f"value.{n}").alias(n) for n in DROPPED))}
+        found = found.unionByName(_as_rows(state_table(spark, checkpoint, part, batch_id), part, config), allowMissingColumns=True)
+    counters = state_table(spark, checkpoint, "counters", batch_id, ADMISSION)
+    counts = counters.select(F.lit("counters").alias("kind"), F.col("key.source_rank").alias("source_rank"), F.lit(0).alias("call_index"), F.array(*(f"value.{n}" for n in DROPPED)).alias("counts"))
+    return found.unionByName(counts, allowMissingColumns=True)
+
+
+def known(batch: DataFrame, batch_id: int, checkpoint: str, config: IndicatorConfig = IndicatorConfig()) -> DataFrame:
+    """All that is known after a micro-batch of folded(), inside its foreachBatch. The batch is read twice, so it should be persisted."""
+    if not batch_id:
+        return batch
+    same = F.lit(True)
+    for k in KEYS:
+        same &= F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}"))
+    old = committed(batch.sparkSession, checkpoint, config, batch_id - 1)
+    return old.alias("old").join(batch.select(*KEYS).alias("new"), same, "left_anti").unionByName(batch)
+
+
+def run_to_state(rows: DataFrame, checkpoint: str, config: IndicatorConfig = IndicatorConfig()) -> DataFrame:
+    """Fold a stream of ROW until its input is read, and return all that is then known (see committed())."""
+    spark = rows.sparkSession
+    with rocksdb(spark):
+        query = folded(rows, config).writeStream.outputMode("append").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return committed(spark, checkpoint, config)
+
+
+def tables(found: DataFrame) -> dict[str, DataFrame]:
+    """What is known by kind: `series` (with durations, which have a kind of their own), `path`, `histogram`, `error` and `counters` (a row a rank)."""
+    out = {part: found.where(F.col(part).isNotNull()).select(*KEYS, f"{part}.*") for part in PARTS}
+    return out | {"counters": found.where("kind = 'counters'").select("source_rank", *(F.get("counts", i).alias(n) for i, n in enumerate(DROPPED)))}
 
 
 def series_table(found: DataFrame) -> DataFrame:
-    """The series of a snapshot in the form of operators.indicators.series_of; durations are left out."""
+    """The series of tables() in the form of operators.indicators.series_of; durations are left out."""
     return found.where("kind = 'series'").withColumnRenamed("name", "metric").select(*SERIES, *(c for c in found.columns if c not in KEYS))
 
 
 def error_table(found: DataFrame) -> DataFrame:
-    """The errors of a snapshot in the form of operators.caps.error_summaries, over all ranks."""
+    """The errors of tables() in the form of operators.caps.error_summaries, over all ranks."""
     named = found.select("module", F.col("signal").alias("probe"), F.col("tensor_path").alias("error_type"), F.col("name").alias("message"), "count", "first_ts", "latest_ts")
     return named.groupBy("module", "probe", "error_type", "message").agg(F.sum("count").alias("count"), F.min("first_ts").alias("first_ts"), F.max("latest_ts").alias("latest_ts"))
