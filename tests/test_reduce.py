@@ -9,6 +9,8 @@ from tidemark.model import METRICS
 from tidemark.operators.reduce import combine, default_reducer, long_form, reasons, reduce_rows, reduce_tensors, reducer
 
 NAN, INF = float("nan"), float("inf")
+#: Statistics that are elements or counts, so that every way gives the same bits.
+EXACT = ["minimum", "maximum", "max_abs", "finite_fraction", "zero_fraction", "negative_fraction", "positive_fraction", "p01", "p05", "p25", "median", "p75", "p95", "p99", "p999", "p99_abs", "p999_abs"]
 
 
 def exploded(df):
@@ -50,7 +52,7 @@ def expected(elements):
 @pytest.fixture(scope="module")
 def cases():
     rng = random.Random(4)
-    return [[1, 3], [1e40], [-1, -1, 1, 1], [-0.5773503] * 3 + [1.7320508], [NAN, INF, 2], [3, 4], [0, 0, 0], [NAN, NAN], [5], [0.0, 1.0, -2.0, NAN, -INF, 0.0], [rng.gauss(0, 1) for _ in range(400)]]
+    return [[2, 7], [-3e38], [5, 5, -2, -2, 5], [0.25] * 5 + [4.0], [INF, 6, NAN, NAN], [8, 15], [0, 0, 0], [NAN, NAN], [5], [0.0, 1.0, -2.0, NAN, -INF, 0.0], [rng.gauss(0, 1) for _ in range(400)]]
 
 
 def test_both_forms_agree_with_plain_python(spark, cases):
@@ -62,6 +64,29 @@ def test_both_forms_agree_with_plain_python(spark, cases):
                 assert same(rows[i][name], value, 1e-7), (i, name, rows[i][name], value)
 
 
+def test_hot_tensors_are_profiled_without_putting_them_together(spark, cases, monkeypatch):
+    """Every tensor is hot, and its runs are short: selection by bits gives the same quantiles, tails and moments."""
+    monkeypatch.setattr("tidemark.operators.selection.GATHERED", 7)
+    df = exploded(tensors(spark, [*cases, [0.0, -0.0, -1e-310, 1e-310, 1e300, -1e300], [1.5] * 60 + [NAN], [math.ldexp(1 + i * 2.0**-52, -3) for i in range(40)]])).repartition(6)
+    want = {r["sample_id"]: r for r in reduce_rows(df).collect()}
+    got = {r["sample_id"]: r for r in reduce_rows(df, hot=1).collect()}
+    assert set(got) == set(want)
+    for i, r in got.items():
+        for name in EXACT if i == max(got) else METRICS:  # of neighbouring doubles only these have digits
+            assert same(r[name], want[i][name], 0.0 if name in EXACT else 1e-9), (i, name, r[name], want[i][name])
+
+
+def test_one_hot_tensor_among_small_ones(spark):
+    rows = spark.range(200_000).select(F.lit(0).alias("source_rank"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("m"), (F.col("id") % 50).cast("string"))).alias("module"), F.lit(0).alias("call_index"), F.lit("outputs").alias("signal"),
+        F.lit("o").alias("tensor_path"), F.lit(0).cast("long").alias("event_seq"), F.lit(None).cast("long").alias("sample_id"), F.sin(F.col("id") * 0.37).alias("value"))
+    names = ["median", "p999", "p99_abs", "tail_fraction_beyond_3_std", "std"]
+    found = {r["module"]: r for r in reduce_rows(rows, names, hot=20_000).collect()}
+    plain = {r["module"]: r for r in rows.groupBy("module").agg(F.percentile("value", 0.5).alias("median"), F.percentile("value", 0.999).alias("p999"), F.percentile(F.abs("value"), 0.99).alias("p99_abs"), F.stddev_pop("value").alias("std")).collect()}
+    assert set(found) == set(plain) and len(found) == 51
+    for m, r in plain.items():
+        assert all(same(found[m][n], r[n], 1e-12) for n in ("median", "p999", "p99_abs", "std")) and found[m]["tail_fraction_beyond_3_std"] == 0
+
+
 def test_empty_and_null_tensors_have_nothing(spark):
     for r in reduce_tensors(tensors(spark, [[], None])).collect():
         assert all(r[m] is None for m in METRICS)
@@ -69,16 +94,16 @@ def test_empty_and_null_tensors_have_nothing(spark):
 
 
 def test_known_values(spark):
-    r = reduce_tensors(tensors(spark, [[NAN, INF, 2]])).first()
-    assert (r["mean"], r["std"], r["rms"], r["max_abs"]) == (2, 0, 2, 2) and same(r["finite_fraction"], 1 / 3)
-    assert same(reduce_tensors(tensors(spark, [[3, 4]])).first()["rms"], math.sqrt(12.5))
+    r = reduce_tensors(tensors(spark, [[INF, 6, NAN, NAN]])).first()
+    assert (r["mean"], r["std"], r["rms"], r["max_abs"]) == (6, 0, 6, 6) and same(r["finite_fraction"], 1 / 4)
+    assert same(reduce_tensors(tensors(spark, [[8, 15]])).first()["rms"], 17 / math.sqrt(2))
 
 
 def test_reducers_combine_and_refuse_repeated_names(spark):
     both = combine(reducer("mean"), reducer(spread=F.max("x") - F.min("x")))
     assert both.names == ["mean", "spread"]
-    r = reduce_rows(exploded(tensors(spark, [[1, 3, NAN]])), both).first()
-    assert (r["mean"], r["spread"]) == (2, 2)
+    r = reduce_rows(exploded(tensors(spark, [[2, 9, NAN]])), both).first()
+    assert (r["mean"], r["spread"]) == (5.5, 7)
     with pytest.raises(ValueError, match="duplicate metrics"):
         combine(reducer("mean"), reducer("mean"))
     with pytest.raises(ValueError, match="duplicate metrics"):

@@ -1,8 +1,8 @@
 """Point-in-time reduction: one tensor's elements to its distribution profile.
 
 Two forms of input give the same columns:
-- reduce_rows(): one element a row. One grouped aggregation, combined before the shuffle; only the tail
-  fraction needs the elements again, joined to their moments (a table of one row a tensor).
+- reduce_rows(): one element a row. One grouped aggregation, combined before the shuffle; statistics that need the elements
+  in order go by sorted runs (operators.selection), of which a task shuffles one a tensor.
 - reduce_tensors(): one array a row. Narrow: a numpy pass over Arrow batches, no shuffle at all.
 
 Statistics that can't be had are null: all of an empty tensor; all but fractions without finite elements; skewness,
@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.numeric import finite, only_finite
 from tidemark.model import METRICS, TENSOR
+from tidemark.operators import selection
 
 #: The probabilities of the quantiles.
 QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99, "p999": 0.999}
@@ -130,10 +131,16 @@ def default_reducer() -> Reducer:
     return reducer(*METRICS)
 
 
-def reduce_rows(rows: DataFrame, what: Reducer | Sequence[str] = tuple(METRICS), keys: Sequence[str] = tuple(TENSOR), value: str = "value") -> DataFrame:
-    """keys and one column a statistic, from rows of single elements."""
+def reduce_rows(rows: DataFrame, what: Reducer | Sequence[str] = tuple(METRICS), keys: Sequence[str] = tuple(TENSOR), value: str = "value", hot: int = selection.HOT) -> DataFrame:
+    """keys and one column a statistic, from rows of single elements.
+
+    Quantiles, tails and functions need the elements in order: their rows are packed into runs, which are written at once. A tensor of more than `hot`
+    elements is never put together, whatever its size; but functions of one's own get all elements of a tensor in one task.
+    """
     what = what if isinstance(what, Reducer) else reducer(*what)
     needs = _needs(what.metrics)
+    if needs & {"q", "qabs", "ntail"} or what.functions:
+        return _reduce_runs(rows, what, keys, value, hot)
     x0 = F.col(value).cast("double")
     rows = rows.select(*keys, x0.alias("x0"), only_finite(x0).alias("x"))
     a = F.abs("x")
@@ -145,25 +152,25 @@ def reduce_rows(rows: DataFrame, what: Reducer | Sequence[str] = tuple(METRICS),
         aggs["skew"] = F.skewness("x")
     if "kurt" in needs:
         aggs["kurt"] = F.kurtosis("x")
-    if "q" in needs:  # one buffer for all probabilities
-        aggs["q"] = F.percentile("x", F.array(*map(F.lit, QUANTILES.values())))
-    if "qabs" in needs:
-        aggs["qabs"] = F.percentile(a, F.array(*map(F.lit, ABS_QUANTILES.values())))
     if "aloga" in needs:
         aggs["aloga"] = F.sum(F.when(a > 0, a * F.log(a)))
-    if "ntail" in needs:  # the moments have one row a tensor: they go to the elements, broadcast if small, and all else is one aggregation
-        moments = rows.groupBy(*(F.col(k).alias(f"m_{k}") for k in keys)).agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sigma"))
-        rows = rows.join(moments, _same(keys, "m_"))
-        aggs["ntail"] = F.count_if(F.abs(_c("x") - _c("mu")) > 3 * _c("sigma"))
     base = rows.groupBy(*keys).agg(*(c.alias(n) for n, c in aggs.items()), *(c.alias(f"own_{n}") for n, c in what.custom))
-    base = base.select(*keys, *(only_finite(_metric(m)).alias(m) for m in what.metrics), *(only_finite(_c(f"own_{n}").cast("double")).alias(n) for n, _ in what.custom))
-    if not what.functions:
-        return base
-    # Functions need a tensor's elements together: rows become arrays, which are reduced by themselves.
-    whole = rows.groupBy(*keys).agg(F.collect_list("x0").alias("elements"))
-    more = reduce_tensors(whole, Reducer(functions=what.functions), keep=keys)
-    more = more.select(*(F.col(k).alias(f"m_{k}") for k in keys), *(n for n, _ in what.functions))
-    return base.join(more, _same(keys, "m_"), "left").select(*keys, *what.names)
+    return base.select(*keys, *(only_finite(_metric(m)).alias(m) for m in what.metrics), *(only_finite(_c(f"own_{n}").cast("double")).alias(n) for n, _ in what.custom))
+
+
+def _reduce_runs(rows: DataFrame, what: Reducer, keys: Sequence[str], value: str, hot: int) -> DataFrame:
+    """reduce_rows() for statistics that need a tensor's elements in order: by sorted runs, of which small tensors are put together and large ones aren't."""
+    runs = selection.packed(rows, keys, value)
+    plain = Reducer(what.metrics, (), what.functions)
+    small, large = selection.split(runs, keys, hot if not what.functions else 1 << 62)
+    out = reduce_tensors(small, plain, keep=keys)
+    if large is not None:
+        found = selection.hot_profiles(large, keys, list(QUANTILES.values()), list(ABS_QUANTILES.values()))
+        out = out.unionByName(found.select(*keys, *(only_finite(_metric(m)).alias(m) for m in what.metrics)))
+    if not what.custom:
+        return out
+    more = reduce_rows(rows, Reducer((), what.custom), keys, value).select(*(F.col(k).alias(f"m_{k}") for k in keys), *(n for n, _ in what.custom))
+    return out.join(more, _same(keys, "m_"), "left").select(*keys, *what.names)
 
 
 def _same(keys: Sequence[str], prefix: str) -> Column:
