@@ -30,48 +30,48 @@ QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75,
 ABS_QUANTILES = {"p99_abs": 0.99, "p999_abs": 0.999}
 
 
-def _c(name: str) -> Column:
-    return F.col(name)
+def _over_scale(name: str) -> str:
+    return f"CASE WHEN sq > 0 THEN try_divide({_metric(name)}, sqrt(sq / k)) END"
 
 
-def _over_scale(name: str) -> Column:
-    return F.when(_c("sq") > 0, F.try_divide(_metric(name), F.sqrt(_c("sq") / _c("k"))))
+#: Shannon entropy of the magnitudes' shares, in one pass: ln A - sum(a ln a) / A.
+_ENTROPY = "CASE WHEN sabs > 0 THEN greatest(ln(sabs) - coalesce(aloga, 0D) / sabs, 0D) END"
 
 
-def _entropy() -> Column:
-    """Shannon entropy of the magnitudes' shares, in one pass: ln A - sum(a ln a) / A."""
-    return F.when(_c("sabs") > 0, F.greatest(F.log("sabs") - F.coalesce("aloga", F.lit(0.0)) / _c("sabs"), F.lit(0.0)))
-
-
-def _metric(name: str) -> Column:
-    """A statistic from the base columns."""
-    some = lambda c: F.when(_c("k") > 0, c)
+def _metric(name: str) -> str:
+    """A statistic from the base columns, as an SQL expression: a plan of many statistics is built from text much faster than from Columns."""
+    of = lambda c, x: f"CASE WHEN {c} > 0 THEN {x} END"
     plain = {
-        "mean": some(_c("s1") / _c("k")), "std": _c("sd"), "rms": some(F.sqrt(_c("sq") / _c("k"))), "minimum": _c("mn"), "maximum": _c("mx"), "mean_abs": some(_c("sabs") / _c("k")),
-        "l1_norm": _c("sabs"), "l2_norm": F.sqrt("sq"), "max_abs": _c("mxabs"), "finite_fraction": F.when(_c("n") > 0, _c("k") / _c("n")), "zero_fraction": F.when(_c("n") > 0, _c("nzero") / _c("n")),
-        "negative_fraction": F.when(_c("n") > 0, _c("nneg") / _c("n")), "positive_fraction": F.when(_c("n") > 0, _c("npos") / _c("n")), "skewness": F.when(_c("sd") > 0, _c("skew")), "excess_kurtosis": F.when(_c("sd") > 0, _c("kurt")),
+        "mean": of("k", "s1 / k"), "std": "sd", "rms": of("k", "sqrt(sq / k)"), "minimum": "mn", "maximum": "mx", "mean_abs": of("k", "sabs / k"), "l1_norm": "sabs", "l2_norm": "sqrt(sq)", "max_abs": "mxabs",
+        "finite_fraction": of("n", "k / n"), "zero_fraction": of("n", "nzero / n"), "negative_fraction": of("n", "nneg / n"), "positive_fraction": of("n", "npos / n"), "skewness": of("sd", "skew"), "excess_kurtosis": of("sd", "kurt"),
     }
     if name in plain:
         return plain[name]
     if name in QUANTILES:
-        return F.get("q", list(QUANTILES).index(name))
+        return f"get(q, {list(QUANTILES).index(name)})"
     if name in ABS_QUANTILES:
-        return F.get("qabs", list(ABS_QUANTILES).index(name))
+        return f"get(qabs, {list(ABS_QUANTILES).index(name)})"
     if name == "interquartile_range":
-        return _metric("p75") - _metric("p25")
+        return f"{_metric('p75')} - {_metric('p25')}"
     if name == "central_98_range":
-        return _metric("p99") - _metric("p01")
+        return f"{_metric('p99')} - {_metric('p01')}"
     if name.endswith("_to_rms"):
         return _over_scale({"max_to_rms": "max_abs", "p99_abs_to_rms": "p99_abs", "p999_abs_to_rms": "p999_abs"}[name])
     if name == "tail_fraction_beyond_3_std":
-        return F.when(_c("sd") > 0, _c("ntail") / _c("k"))
+        return of("sd", "ntail / k")
     if name == "normalized_magnitude_entropy":
-        return _entropy() / F.log(F.greatest(_c("k"), F.lit(2)).cast("double"))
+        return f"({_ENTROPY}) / ln(CAST(greatest(k, 2) AS DOUBLE))"
     if name == "effective_magnitude_support_fraction":
-        return F.when(_c("k") > 0, F.exp(_entropy()) / _c("k"))
+        return of("k", f"exp({_ENTROPY}) / k")
     raise ValueError(f"unknown statistic {name!r}")
 
 
+def _finite_metric(name: str, expression: str | None = None) -> Column:
+    """A statistic, or an expression under a name, where it is finite."""
+    x = f"CAST({expression or _metric(name)} AS DOUBLE)"
+    return F.expr(f"CASE WHEN abs({x}) < CAST('Infinity' AS DOUBLE) THEN {x} END").alias(name)  # neither null nor NaN is less
+
+
 def _needs(metrics: Sequence[str]) -> set[str]:
     """Which costly parts the statistics need."""
     found = set()
@@ -145,8 +145,8 @@ def reduce_rows(rows: DataFrame, what: Reducer | Sequence[str] = tuple(METRICS),
     rows = rows.select(*keys, x0.alias("x0"), only_finite(x0).alias("x"))
     a = F.abs("x")
     aggs = {
-        "n": F.count(F.lit(1)), "k": F.count("x"), "s1": F.sum("x"), "sabs": F.sum(a), "sq": F.sum(_c("x") * _c("x")), "mn": F.min("x"), "mx": F.max("x"), "mxabs": F.max(a),
-        "nzero": F.count_if(_c("x0") == 0), "nneg": F.count_if(_c("x") < 0), "npos": F.count_if(_c("x") > 0), "sd": F.stddev_pop("x"),
+        "n": F.count(F.lit(1)), "k": F.count("x"), "s1": F.sum("x"), "sabs": F.sum(a), "sq": F.sum(F.col("x") * F.col("x")), "mn": F.min("x"), "mx": F.max("x"), "mxabs": F.max(a),
+        "nzero": F.count_if(F.col("x0") == 0), "nneg": F.count_if(F.col("x") < 0), "npos": F.count_if(F.col("x") > 0), "sd": F.stddev_pop("x"),
     }
     if "skew" in needs:
         aggs["skew"] = F.skewness("x")
@@ -155,7 +155,7 @@ def reduce_rows(rows: DataFrame, what: Reducer | Sequence[str] = tuple(METRICS),
     if "aloga" in needs:
         aggs["aloga"] = F.sum(F.when(a > 0, a * F.log(a)))
     base = rows.groupBy(*keys).agg(*(c.alias(n) for n, c in aggs.items()), *(c.alias(f"own_{n}") for n, c in what.custom))
-    return base.select(*keys, *(only_finite(_metric(m)).alias(m) for m in what.metrics), *(only_finite(_c(f"own_{n}").cast("double")).alias(n) for n, _ in what.custom))
+    return base.select(*keys, *map(_finite_metric, what.metrics), *(_finite_metric(n, f"`own_{n}`") for n, _ in what.custom))
 
 
 def _reduce_runs(rows: DataFrame, what: Reducer, keys: Sequence[str], value: str, hot: int) -> DataFrame:
@@ -166,7 +166,7 @@ def _reduce_runs(rows: DataFrame, what: Reducer, keys: Sequence[str], value: str
     out = reduce_tensors(small, plain, keep=keys)
     if large is not None:
         found = selection.hot_profiles(large, keys, list(QUANTILES.values()), list(ABS_QUANTILES.values()))
-        out = out.unionByName(found.select(*keys, *(only_finite(_metric(m)).alias(m) for m in what.metrics)))
+        out = out.unionByName(found.select(*keys, *map(_finite_metric, what.metrics)))
     if not what.custom:
         return out
     more = reduce_rows(rows, Reducer((), what.custom), keys, value).select(*(F.col(k).alias(f"m_{k}") for k in keys), *(n for n, _ in what.custom))
@@ -301,7 +301,7 @@ def reduce_tensors(tensors: DataFrame, what: Reducer | Sequence[str] = tuple(MET
 
     found = base.mapInArrow(run, schema)
     custom = [*(n for n, _ in what.custom), *(n for n, _ in functions)]
-    return found.select(*keep, *(only_finite(_metric(m)).alias(m) for m in what.metrics), *(only_finite(_c(f"own_{n}")).alias(n) for n in custom))
+    return found.select(*keep, *map(_finite_metric, what.metrics), *(_finite_metric(n, f"`own_{n}`") for n in custom))
 
 
 def _applied(f: Callable[[np.ndarray], float], elements: np.ndarray) -> float | None:
@@ -314,8 +314,8 @@ def _applied(f: Callable[[np.ndarray], float], elements: np.ndarray) -> float |
 
 def long_form(stats: DataFrame, metrics: Sequence[str], keys: Sequence[str] = tuple(TENSOR)) -> DataFrame:
     """keys, metric, metric_ord, value: a row for each available statistic."""
-    items = F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(i).alias("metric_ord"), F.col(m).alias("value")) for i, m in enumerate(metrics)))
-    return stats.select(*keys, F.explode(F.filter(items, lambda s: s["value"].isNotNull())).alias("s")).select(*keys, "s.*")
+    items = ", ".join(f"struct('{m}' AS metric, {i} AS metric_ord, `{m}` AS value)" for i, m in enumerate(metrics))
+    return stats.select(*keys, F.expr(f"explode(filter(array({items}), s -> s.value IS NOT NULL))").alias("s")).select(*keys, "s.*")
 
 
 def reasons(stats: DataFrame, metrics: Sequence[str]) -> DataFrame:
