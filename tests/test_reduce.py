@@ -1,12 +1,16 @@
+import json
 import math
 import random
+import warnings
 
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import same, tensors
+from tidemark import api
 from tidemark.model import METRICS
-from tidemark.operators.reduce import combine, default_reducer, long_form, reasons, reduce_rows, reduce_tensors, reducer
+from tidemark.operators import caps
+from tidemark.operators.reduce import combine, default_reducer, long_form, reasons, reduce_rows, reduce_tensors, reduce_with_errors, reducer
 
 NAN, INF = float("nan"), float("inf")
 #: Statistics that are elements or counts, so that every way gives the same bits.
@@ -127,3 +131,42 @@ def test_functions_as_statistics(spark):
     assert (rows[0]["mean"], rows[0]["middle"], rows[0]["top"]) == (2, 2, 3) and rows[1]["middle"] is None and rows[2]["middle"] == 5
     rows = {r["sample_id"]: r for r in reduce_rows(exploded(df), reducer("mean", middle=lambda x: x[len(x) // 2])).collect()}
     assert rows[0]["middle"] == 2 and rows[2]["middle"] == 5
+
+
+def test_failures_of_functions_have_a_channel(spark):
+    import numpy as np
+
+    def picky(x):
+        if len(x) and x[0] < 0:
+            raise RuntimeError("below zero")
+        return x.sum()
+
+    df = tensors(spark, [[1, 2], [-1, 5], [-3, 2], [7, NAN]])
+    what = combine(reducer("mean", total=picky), reducer(many=lambda x: x, endless=lambda x: INF))
+    with pytest.warns(RuntimeWarning, match="below zero"):
+        stats, errors = reduce_with_errors(df, what)
+    rows = {r["sample_id"]: r for r in reasons(stats, what.names).collect()}
+    assert [rows[i]["total"] for i in range(4)] == [3, None, None, 7] and [rows[i]["mean"] for i in range(4)] == [1.5, 2, -0.5, 7]
+    assert rows[1]["unavailable"]["total"] == "RuntimeError: below zero" and "one number" in rows[0]["unavailable"]["many"] and "finite" in rows[0]["unavailable"]["endless"] and "total" not in rows[0]["unavailable"]
+    found = {(r["probe"], r["error_type"]): r["count"] for r in caps.error_summaries(errors, order="event_seq").collect()}
+    assert found == {("outputs/total", "RuntimeError"): 2, ("outputs/many", "ValueError"): 4}
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", RuntimeWarning)
+        assert reduce_with_errors(df, what, policy="ignore")[1].count() == 6
+    with pytest.raises(Exception, match="RuntimeError: below zero"):
+        reduce_with_errors(df, reducer(total=picky), policy="raise")
+    with pytest.raises(ValueError, match="policy"):
+        reduce_tensors(df, what, policy="loud")
+    assert np.isfinite(reduce_tensors(df, ["mean"], policy="raise").first()["mean"])
+
+
+def test_failures_reach_the_report(spark, tmp_path):
+    def broken(x):
+        raise KeyError("no such part")
+
+    settings = api.Settings(reducer=combine(default_reducer(), reducer(own=broken)), errors="ignore")
+    found = api.analyze(tensors(spark, [[i, 1] for i in range(25)], module="a.b"), settings)
+    made = json.loads(open(api.write_report(found, tmp_path / "run", settings)).read())
+    assert [(e["module"], e["probe"], e["error_type"], e["message"], e["count"]) for e in made["errors"]] == [("a.b", "outputs/own", "KeyError", "'no such part'", 25)]
+    assert made["coverage"]["errors_returned"] == 1 and made["coverage"]["findings_returned"] > 0
+    found.release()

@@ -38,10 +38,14 @@ class Settings:
     #: What a run's document says of a sampler of one's own: its type, and settings as JSON values.
     sampling_type: str | None = None
     sampling_settings: Mapping[str, object] = field(default_factory=dict)
+    #: What happens when a statistic of one's own fails: raise, warn or ignore; the latter two keep the failures for the report.
+    errors: str = "warn"
 
     def __post_init__(self) -> None:
         if self.every is not None and self.sampler is not None:
             raise ValueError("give either every or sampler")
+        if self.errors not in reduce.POLICIES:
+            raise ValueError(f"the error policy is one of {', '.join(reduce.POLICIES)}")
         names = [h.name for h in self.histograms]
         if len(set(names)) != len(names):
             raise ValueError("duplicate histograms")
@@ -61,7 +65,8 @@ class Settings:
 
 @dataclass(frozen=True)
 class Analysis:
-    """Lazy tables of one analysis. The statistics are kept from their first use until release()."""
+    """Tables of one analysis. The statistics are kept from their first use until release(); the places of what is bounded (caps.bounded), and
+    statistics with functions of one's own, are computed and written when the analysis is made, the rest when it is used. errors: failures of such functions."""
 
     statistics: DataFrame
     values: DataFrame
@@ -69,6 +74,7 @@ class Analysis:
     state: DataFrame
     histograms: DataFrame | None
     bounded: caps.Bounded
+    errors: DataFrame | None = None
 
     def release(self) -> None:
         self.statistics.unpersist()
@@ -92,18 +98,23 @@ def analyze(tensors: DataFrame, settings: Settings | None = None, timestamp: Col
     what = settings.reducer or reduce.default_reducer()
     rows = selected(tensors, settings)
     keep = [c for c in (*TENSOR, "shape") if c in rows.columns]
-    statistics = reduce.reduce_tensors(rows, what, keep=keep).persist()  # every other table comes from it
+    errors = None
+    if what.functions:
+        statistics, errors = reduce.reduce_with_errors(rows, what, keep, policy=settings.errors, ts="ts" if "ts" in rows.columns else None)
+    else:
+        statistics = reduce.reduce_tensors(rows, what, keep=keep)
+    statistics = statistics.persist()  # every other table comes from it
     values = reduce.long_form(statistics, what.names)
-    bounded = caps.bounded(statistics.select(*TENSOR), values, settings.indicators)
-    series = series_of(bounded.series, settings.indicators, timestamp=timestamp)
+    places = caps.bounded(statistics.select(*TENSOR), values, settings.indicators)
+    series = series_of(places.series, settings.indicators, timestamp=timestamp)
     shape = F.col("shape") if "shape" in keep else F.lit(None).cast("array<int>")
-    state = caps.latest_state(bounded.tensors.join(statistics.select(*TENSOR, shape.alias("shape")), TENSOR))
+    state = caps.latest_state(places.tensors.join(statistics.select(*TENSOR, shape.alias("shape")), TENSOR))
     found = None
     for config in settings.histograms:
         of_tensors = histograms.own_histograms if isinstance(config, histograms.OwnHistogram) else histograms.tensor_histograms
         one = of_tensors(rows, config)
         found = one if found is None else found.unionByName(one)
-    return Analysis(statistics, values, series, state, found, bounded)
+    return Analysis(statistics, values, series, state, found, places, errors)
 
 
 def samples_of(series: DataFrame) -> dict:
@@ -125,6 +136,10 @@ def write_report(
     if fresh:
         documents.claim(at)
     dropped = analysis.bounded.counters().first().asDict()
+    if errors is None and analysis.errors is not None:
+        most = settings.indicators.max_error_summaries
+        errors = caps.error_summaries(analysis.errors, most, "event_seq")
+        dropped |= caps.dropped_errors(analysis.errors, most, "event_seq").first().asDict()
     with R.cached(analysis.series):
         return _written(analysis, at, settings, rank, catalog, errors, dropped, state, details)
 

@@ -111,7 +111,7 @@ def error_summaries(errors: DataFrame, cap: int = 100, order: Column | str = "ts
     return ranked.orderBy("_at", *key).limit(cap).drop("_at")
 
 
-def dropped_errors(errors: DataFrame, cap: int = 100) -> DataFrame:
+def dropped_errors(errors: DataFrame, cap: int = 100, order: Column | str = "ts") -> DataFrame:
     """One row: occurrences of errors that error_summaries() leaves out."""
-    kept = error_summaries(errors, cap).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("kept"))
+    kept = error_summaries(errors, cap, order).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("kept"))
     return errors.agg(F.count(F.lit(1)).alias("all")).crossJoin(kept).select((F.col("all") - F.col("kept")).alias("dropped_error_summaries"))  # two single rows

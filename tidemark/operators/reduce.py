@@ -11,6 +11,7 @@ kurtosis and tail fraction without variance; ratios without scale; entropy witho
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -24,6 +25,7 @@ from pyspark.sql import types as T
 from tidemark.functions.numeric import finite, only_finite
 from tidemark.model import METRICS, TENSOR
 from tidemark.operators import selection
+from tidemark.sources.tables import scratch
 
 #: The probabilities of the quantiles.
 QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99, "p999": 0.999}
@@ -258,12 +260,20 @@ def _cut(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def reduce_tensors(tensors: DataFrame, what: Reducer | Sequence[str] = tuple(METRICS), keep: Sequence[str] = tuple(TENSOR), elements: str = "elements") -> DataFrame:
+#: What is done with failures of functions of one's own; characters of a message that are kept; kinds of failures that are warned of.
+POLICIES, MESSAGE_CHARS, WARNED = ("raise", "warn", "ignore"), 500, 10
+FAILURES = T.StructField("failures", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("name", "error_type", "message")])))
+
+
+def reduce_tensors(tensors: DataFrame, what: Reducer | Sequence[str] = tuple(METRICS), keep: Sequence[str] = tuple(TENSOR), elements: str = "elements", policy: str = "warn", failures: bool = False) -> DataFrame:
     """keep and one column a statistic, from arrays; nothing is shuffled.
 
     All statistics come from one numpy pass over the Arrow batches. Own aggregates are Columns over xs, the sorted finite elements, or
-    functions of them as a numpy array; a function that fails or gives no finite number gives null.
+    functions of them as a numpy array that give one number. A number that isn't finite is null. A function that fails ends the job under the policy
+    raise; else its value is null and, with failures, a column of that name says which function failed, with what and why.
     """
+    if policy not in POLICIES:
+        raise ValueError(f"the error policy is one of {', '.join(POLICIES)}")
     what = what if isinstance(what, Reducer) else reducer(*what)
     needs = _needs(what.metrics)
     e = F.coalesce(F.col(elements).cast("array<double>"), F.array().cast("array<double>"))
@@ -276,7 +286,8 @@ def reduce_tensors(tensors: DataFrame, what: Reducer | Sequence[str] = tuple(MET
     at = len(keep)
     kept = [f for i, f in enumerate(base.schema.fields) if i != at]
     functions = tuple(what.functions)
-    schema = T.StructType([*kept, *BASE.fields, *(T.StructField(f"own_{n}", T.DoubleType()) for n, _ in functions)])
+    schema = T.StructType([*kept, *BASE.fields, *(T.StructField(f"own_{n}", T.DoubleType()) for n, _ in functions), FAILURES])
+    failure = pa.list_(pa.struct([(f.name, pa.string()) for f in FAILURES.dataType.elementType]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -295,23 +306,53 @@ def reduce_tensors(tensors: DataFrame, what: Reducer | Sequence[str] = tuple(MET
                     else:
                         columns.append(pa.array(v.astype(np.int64)) if isinstance(f.dataType, T.LongType) else pa.array(v, from_pandas=True))
                 ends = np.cumsum(mine)
-                for _, f in functions:
-                    columns.append(pa.array([_applied(f, flat[end - size : end]) for end, size in zip(ends.tolist(), mine.tolist(), strict=True)], pa.float64()))
+                failed: list[list[dict]] = [[] for _ in range(b - a)]
+                for name, f in functions:
+                    made = [_applied(name, f, flat[end - size : end], policy, of) for end, size, of in zip(ends.tolist(), mine.tolist(), failed, strict=True)]
+                    columns.append(pa.array(made, pa.float64()))
+                columns.append(pa.array(failed, failure))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     found = base.mapInArrow(run, schema)
     custom = [*(n for n, _ in what.custom), *(n for n, _ in functions)]
-    return found.select(*keep, *map(_finite_metric, what.metrics), *(_finite_metric(n, f"`own_{n}`") for n in custom))
+    return found.select(*keep, *map(_finite_metric, what.metrics), *(_finite_metric(n, f"`own_{n}`") for n in custom), *(["failures"] if failures else []))
 
 
-def _applied(f: Callable[[np.ndarray], float], elements: np.ndarray) -> float | None:
+def _applied(name: str, f: Callable[[np.ndarray], float], elements: np.ndarray, policy: str, failed: list[dict]) -> float | None:
     try:
-        found = float(f(np.sort(elements[np.isfinite(elements)])))
-    except Exception:  # noqa: BLE001  a reducer of one's own that fails gives no value
+        made = f(np.sort(elements[np.isfinite(elements)]))
+        if np.ndim(made):
+            raise ValueError(f"statistic {name!r} must be one number, not an array")
+        found = float(made)
+    except Exception as error:  # noqa: BLE001  whatever a function of one's own raises
+        if policy == "raise":
+            raise
+        failed.append({"name": name, "error_type": type(error).__name__, "message": str(error)[:MESSAGE_CHARS]})
         return None
     return found if np.isfinite(found) else None
 
 
+def reduce_with_errors(tensors: DataFrame, what: Reducer, keep: Sequence[str] = tuple(TENSOR), elements: str = "elements", policy: str = "warn", ts: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(statistics, errors): reduce_tensors() and a row for every failure of a function: module, probe, error_type, message, ts, event_seq, as caps.error_summaries takes them.
+
+    Functions run once: their values and failures are written as one table, which is split after. Under `warn` the driver also warns
+    of the kinds of failures that there were, at most WARNED; under `ignore` it says nothing, but the rows are there.
+    """
+    keep = list(keep)
+    both = reduce_tensors(tensors, what, [*keep, *([ts] if ts and ts not in keep else [])], elements, policy, failures=True)
+    path = scratch(tensors.sparkSession, "reduced")
+    both.write.parquet(path)
+    both = tensors.sparkSession.read.schema(both.schema).parquet(path)
+    time = F.col(ts) if ts else F.lit(None).cast("timestamp")
+    where = {n: F.col(n) if n in both.columns else F.lit(None).cast(kind) for n, kind in (("module", "string"), ("signal", "string"), ("event_seq", "long"))}
+    errors = both.where(F.size("failures") > 0).select(where["module"].alias("module"), where["signal"].alias("probe"), time.alias("ts"), where["event_seq"].alias("event_seq"), F.inline("failures"))
+    errors = errors.select("module", F.coalesce(F.concat("probe", F.lit("/"), "name"), F.col("name")).alias("probe"), "error_type", "message", "ts", "event_seq")
+    if policy == "warn":
+        for r in errors.select("probe", "error_type", "message").distinct().limit(WARNED).collect():
+            warnings.warn(f"{r['probe']} failed: {r['error_type']}: {r['message']}", RuntimeWarning, stacklevel=2)
+    return both.select(*keep, *what.names, "failures"), errors
+
+
 def long_form(stats: DataFrame, metrics: Sequence[str], keys: Sequence[str] = tuple(TENSOR)) -> DataFrame:
     """keys, metric, metric_ord, value: a row for each available statistic."""
     items = ", ".join(f"struct('{m}' AS metric, {i} AS metric_ord, `{m}` AS value)" for i, m in enumerate(metrics))
@@ -319,8 +360,14 @@ def long_form(stats: DataFrame, metrics: Sequence[str], keys: Sequence[str] = tu
 
 
 def reasons(stats: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """stats with stats_map (available values) and unavailable (name to why)."""
-    items = F.array(*(F.struct(F.lit(m).alias("name"), F.col(m).alias("value")) for m in metrics))
-    there = F.filter(items, lambda s: s["value"].isNotNull())
-    why = F.transform(F.filter(items, lambda s: s["value"].isNull()), lambda s: F.struct(s["name"].alias("name"), F.lit("no finite value can be computed from these elements").alias("reason")))
-    return stats.withColumns({"stats_map": F.map_from_entries(there), "unavailable": F.map_from_entries(why)})
+    """stats with stats_map (available values) and unavailable (name to why: with the column `failures`, what a function failed with)."""
+    items = ", ".join(f"struct('{m}' AS name, `{m}` AS value)" for m in metrics)
+    why = "'no finite value can be computed from these elements'"
+    if "failures" in stats.columns:
+        why = f"coalesce(get(filter(failures, f -> f.name = s.name), 0).error_type || ': ' || get(filter(failures, f -> f.name = s.name), 0).message, {why})"
+    return stats.withColumns(
+        {
+            "stats_map": F.expr(f"map_from_entries(filter(array({items}), s -> s.value IS NOT NULL))"),
+            "unavailable": F.expr(f"map_from_entries(transform(filter(array({items}), s -> s.value IS NULL), s -> struct(s.name AS name, {why} AS reason)))"),
+        }
+    )

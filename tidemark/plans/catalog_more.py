@@ -77,6 +77,26 @@ def stats_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.rounded(reduce.reduce_tensors(A.embedding_tensors(table(spark, sf_dir, "embeddings")), what), *C.KEYS, "span", "mean_abs")
 
 
+_LOW = f"with t as (select module, signal, sample_id, min(value) as low, max(value) - min(value) as span from ({sql.EMBEDDINGS}) group by all)"
+
+
+@query(f"{_LOW} select module, signal || '/span' as probe, 'ArithmeticError' as error_type, 'too low' as message, count(*) as count, min(sample_id) as first_seq, 0.0::double as total from t where low < -0.3 group by all "
+       "union all select module, 'value', 'none', 'none', count(*), min(sample_id), round(sum(span), 5) from t where low >= -0.3 group by module")
+def reducer_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statistic of one's own that refuses some tensors: values of the others, and the failures by kind."""
+
+    def span(x):
+        if x[0] < -0.3:
+            raise ArithmeticError("too low")
+        return x[-1] - x[0]
+
+    stats, errors = reduce.reduce_with_errors(A.embedding_tensors(table(spark, sf_dir, "embeddings")), reduce.reducer(span=span), policy="ignore")
+    none = F.lit("none")
+    good = stats.where("span is not null").groupBy("module").agg(F.lit("value").alias("probe"), none.alias("error_type"), none.alias("message"), F.count("*").alias("count"), F.min("event_seq").alias("first_seq"), F.sum("span").alias("total"))
+    bad = errors.groupBy("module", "probe", "error_type", "message").agg(F.count("*").alias("count"), F.min("event_seq").alias("first_seq"), F.lit(0.0).alias("total"))
+    return C.rounded(good.unionByName(bad), digits=5)
+
+
 @query(f"with obs as ({sql.EMBEDDINGS}) select {', '.join(C.KEYS)}, count(*) filter (where value < 0) as bin_0, count(*) filter (where value >= 0) as bin_1, round(min(value), 6) + 0.0 as minimum from obs where sample_id % 3 = 0 group by all")
 def hist_own(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A histogram by a function of one's own, of every third sample."""
