@@ -11,7 +11,7 @@ from tidemark.model import PATH, SERIES, TENSOR, HistogramConfig, IndicatorConfi
 from tidemark.operators import caps, histograms
 from tidemark.operators.indicators import names, series_of
 from tidemark.operators.reduce import long_form, reduce_tensors
-from tidemark.streaming import bounded
+from tidemark.streaming import bounded, correlate
 
 METRICS = ("mean", "rms", "skewness")
 ROWS = (
@@ -159,3 +159,20 @@ def test_reports_exist_before_the_first_batch_go_on_and_are_complete(spark, tmp_
     assert {p.name for p in (tmp_path / "run" / "details.json").iterdir()} == {"series", "state", "errors"}
     with pytest.raises(Exception, match="run"):
         api.stream_reports(stream(spark, source), folder, settings, checkpoint=str(tmp_path / "other"))
+
+
+def test_backwards_of_a_stream_meet_their_forwards_once(spark, tmp_path):
+    """Second backwards are dropped, also in later batches; a backward without forward isn't kept; one that comes before its forward is."""
+    kinds = "source_rank int, sample_id long, phase string, ts string, note string, part int"
+    rows = [
+        (0, 1, "f", "00:00", "", 0), (0, 1, "b", "00:01", "first", 0), (0, 2, "b", "00:02", "early", 0), (0, 3, "b", "00:03", "alone", 0), (1, 3, "f", "00:03", "", 0),
+        (0, 1, "b", "00:04", "second", 1), (0, 2, "f", "00:05", "", 1), (1, 3, "b", "00:06", "other rank", 1), (0, 4, "f", "00:00", "", 1), (0, 4, "b", "00:59", "too far", 1),
+        (1, 3, "b", "00:07", "again", 2), (0, 5, "f", "00:08", "", 2), (0, 5, "b", "00:09", "last", 2),
+    ]
+    in_files(spark, str(tmp_path / "in"), rows, part=lambda r: r[5], schema=kinds)
+    events = stream(spark, str(tmp_path / "in"), kinds).withColumn("ts", F.to_timestamp(F.concat(F.lit("2024-01-01 "), "ts")))
+    found = correlate.matched(events.where("phase = 'b'"), events.where("phase = 'f'"), "1 hour", "30 minutes")
+    from tidemark.streaming import live
+
+    got = live.run_to_table(found.withColumn("count", F.lit(1)), ["source_rank", "sample_id", "note"], mode="append").collect()
+    assert sorted((r["source_rank"], r["sample_id"], r["note"]) for r in got) == [(0, 1, "first"), (0, 2, "early"), (0, 5, "last"), (1, 3, "other rank")]

@@ -10,7 +10,7 @@ from tidemark.model import HistogramConfig, IndicatorConfig
 from tidemark.plans import catalog as C
 from tidemark.plans import sql
 from tidemark.sources.tables import scratch, table
-from tidemark.streaming import bounded
+from tidemark.streaming import bounded, correlate, live
 
 query = C.query
 _METRICS = ["mean", "rms", "excess_kurtosis"]
@@ -72,3 +72,15 @@ def live_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(at(f"coverage.{n}").alias(n) for n in ("temporal_series", "tensor_paths", "histograms", "samples_observed")), "long_series",
         at("run.sampling.type", "string").alias("sampling"), at("run.sampling.settings.n").alias("every"), at("run.reducers[1].type", "string").alias("last_reducer"),
     )
+
+
+@query("""with e as (select event_id // 6 as sample_id, event_id % 6 as place from events)
+  select distinct sample_id::bigint as sample_id from e where place in (0, 3) and sample_id in (select sample_id from e where place = 1 and sample_id % 2 = 0)""")
+def stream_backwards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of events as two backwards a sample and a forward for every second one: the samples whose backward counts, once."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.[p]arquet")
+    place = F.col("event_id") % 6
+    rows = events.select(F.lit(0).alias("source_rank"), F.floor(F.col("event_id") / 6).alias("sample_id"), place.alias("place"), F.col("ts").cast("timestamp").alias("ts"))
+    found = correlate.matched(rows.where("place in (0, 3)"), rows.where("place = 1 and sample_id % 2 = 0"), "400 days", "400 days")
+    return live.run_to_table(found.withColumn("count", F.lit(1)), ["source_rank", "sample_id"], mode="append").select("sample_id")
