@@ -2,7 +2,7 @@
 
 Two forms of input give the same columns:
 - reduce_rows(): one element a row. One grouped aggregation, combined before the shuffle; statistics that need the elements
-  in order go by sorted runs (operators.selection), of which a task shuffles one a tensor.
+  in order go by runs (operators.selection), of which a task shuffles one a tensor.
 - reduce_tensors(): one array a row. Narrow: a numpy pass over Arrow batches, no shuffle at all.
 
 Statistics that can't be had are null: all of an empty tensor; all but fractions without finite elements; skewness,
@@ -161,7 +161,7 @@ def reduce_rows(rows: DataFrame, what: Reducer | Sequence[str] = tuple(METRICS),
 
 
 def _reduce_runs(rows: DataFrame, what: Reducer, keys: Sequence[str], value: str, hot: int) -> DataFrame:
-    """reduce_rows() for statistics that need a tensor's elements in order: by sorted runs, of which small tensors are put together and large ones aren't."""
+    """reduce_rows() for statistics that need a tensor's elements in order: by runs, of which small tensors are put together and large ones aren't."""
     runs = selection.packed(rows, keys, value)
     plain = Reducer(what.metrics, (), what.functions)
     small, large = selection.split(runs, keys, hot if not what.functions else 1 << 62)

@@ -1,9 +1,9 @@
 """Tensors whose elements are rows: packed into sorted runs, and profiled exactly however large one tensor is.
 
-packed() makes one row of the elements that a task has of a tensor, sorted; they are written, so that later passes
+packed() makes one row of the elements that a task has of a tensor, a run; they are written, so that later passes
 read runs instead of rows, and moments that are known later are answered on them without another shuffle of elements.
 
-hot_profiles() is for tensors with more elements than a task should hold. Their runs stay where they are:
+hot_profiles() is for tensors with more elements than a task should hold. Their runs are sorted, each by itself, and stay where they are:
 - sums, extremes and counts add up over the runs; central moments and tails follow when mean and deviation are known;
 - quantiles are selected by radix. The bits of a double, made to sort like it, are cut into digits of 16 bits. Each pass counts the
   next digit of the elements that lie in a bin that holds a wanted rank, found in a run by binary search, and refines only those
@@ -44,7 +44,7 @@ def same(keys: Sequence[str], left: str, right: str) -> Column:
 
 
 def packed(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """keys, elements (sorted; null and NaN last, as NaN), size: the runs of the rows, written."""
+    """keys, elements (in the order of the rows; null as NaN), size: the runs of the rows, written."""
     narrow = rows.select(*keys, F.col(value).cast("double").alias("elements"))
     schema = T.StructType([*narrow.schema.fields[:-1], T.StructField("elements", T.ArrayType(T.DoubleType())), T.StructField("size", T.LongType())])
     by = list(keys)
@@ -54,7 +54,6 @@ def packed(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         lists = found.column("elements_list").chunk(0)
         sizes = np.diff(lists.offsets.to_numpy())
         flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        flat = flat[np.lexsort((flat, np.repeat(np.arange(len(sizes)), sizes)))] + 0.0  # no negative zeros
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         return pa.RecordBatch.from_arrays([*(found.column(k).chunk(0) for k in by), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sizes.astype(np.int64))], names=[*by, "elements", "size"])
 
@@ -83,6 +82,25 @@ def split(runs: DataFrame, keys: Sequence[str], most: int = HOT) -> tuple[DataFr
     return whole(meet("left_anti")), meet("left_semi")
 
 
+def sorted_runs(runs: DataFrame) -> DataFrame:
+    """The runs with their elements sorted, NaN last, and without negative zeros; written."""
+    names = runs.columns
+    at = names.index("elements")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(at)
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            flat = flat[np.lexsort((flat, np.repeat(np.arange(len(sizes)), sizes)))] + 0.0
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            columns = list(batch.columns)
+            columns[at] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return _kept(runs.mapInArrow(run, runs.schema), "sorted")
+
+
 def ordered_bits(x: np.ndarray) -> np.ndarray:
     """Whole numbers that sort like the doubles; no NaN."""
     bits = np.ascontiguousarray(x, np.float64).view(np.uint64)
@@ -134,7 +152,7 @@ def _typed(columns: list, kinds: Sequence[pa.DataType]) -> list:
 
 def hot_profiles(runs: DataFrame, keys: Sequence[str], quantiles: Sequence[float], abs_quantiles: Sequence[float]) -> DataFrame:
     """keys and the base numbers (operators.reduce.BASE) of the tensors of `runs`."""
-    keys = list(keys)
+    keys, runs = list(keys), sorted_runs(runs)
     kinds = [pa.int64()] * 5 + [pa.float64()] * 6
     ddl = ", ".join([*(f"{c} long" for c in _SUMS[:5]), *(f"{c} double" for c in _SUMS[5:]), "mn double", "mx double"])
     sums = _each(runs, keys, [], ddl, lambda x, e, m: _typed(_sums(x, e, m), kinds)).groupBy(*keys)
