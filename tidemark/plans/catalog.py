@@ -10,7 +10,7 @@ from tidemark.operators import caps, histograms, indicators, reduce, rules, samp
 from tidemark.plans import merge, report, sql
 from tidemark.sinks import dashboards, documents
 from tidemark.sources import adapters as A
-from tidemark.sources.tables import table
+from tidemark.sources.tables import scratch, table
 from tidemark.streaming import live
 
 QUERIES: dict = {}
@@ -220,9 +220,11 @@ _CAPPED = IndicatorConfig(max_module_calls=4, max_tensor_paths=12, max_series=20
 
 
 def _bounded(spark: SparkSession, sf_dir: str) -> caps.Bounded:
-    rows = A.lineitem_rows(table(spark, sf_dir, "lineitem"))
-    tensors = rows.select(*KEYS, "event_seq").distinct()
-    return caps.bounded(tensors, values_of(rows, ["mean", "rms"]), _CAPPED)
+    stats = reduce.reduce_rows(A.lineitem_rows(table(spark, sf_dir, "lineitem")), ["mean", "rms"])
+    path = scratch(spark, "statistics")  # a row a tensor, read for every bound; the source is read once
+    stats.write.parquet(path)
+    stats = spark.read.schema(stats.schema).parquet(path)
+    return caps.bounded(stats.select(*KEYS, "event_seq"), reduce.long_form(stats, ["mean", "rms"]), _CAPPED)
 
 
 _CAPS_SQL = f"""with obs as ({sql.LINEITEM}), t as (select distinct {', '.join(KEYS)} from obs),
