@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.numeric import finite, linspace, only_finite
 from tidemark.model import TENSOR, HistogramConfig
+from tidemark.operators.reduce import ragged
 
 #: Why a histogram or its merge is not there.
 NO_VALUES = "there are no finite values"
@@ -101,8 +102,7 @@ def own_histograms(tensors: DataFrame, config: OwnHistogram, keys: Sequence[str]
     )
     name, shape = config.name, config.shape
 
-    def one(elements: list | None) -> tuple:
-        x = np.array([np.nan if v is None else v for v in elements or ()], float)
+    def one(x: np.ndarray) -> tuple:
         good = np.sort(x[np.isfinite(x)])
         n = [len(good), len(x) - len(good), 0, 0]
         if not len(good):
@@ -125,7 +125,8 @@ def own_histograms(tensors: DataFrame, config: OwnHistogram, keys: Sequence[str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.list_(pa.float64()), pa.list_(pa.int64()), *[pa.int64()] * 4, *[pa.float64()] * 4, pa.string()]
         for batch in batches:
-            made = [one(e.as_py()) for e in batch.column(batch.num_columns - 1)]
+            flat, sizes = ragged(batch.column(batch.num_columns - 1))
+            made = [one(flat[end - size : end]) for end, size in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
