@@ -34,7 +34,7 @@ def names(config: IndicatorConfig = IndicatorConfig()) -> list[str]:
     return [*fixed, *(f"momentum_{h}_samples" for h in config.momentum_horizons), *(f"relative_momentum_{h}_samples" for h in config.momentum_horizons)]
 
 
-def _weight(alpha: float, first: bool) -> Column:
+def weight(alpha: float, first: bool) -> Column:
     """Weight of the value i of n: the first one carries what the recursion was seeded with."""
     left = F.pow(F.lit(1.0 - alpha), (F.col("n") - 1 - F.col("i")).cast("double"))
     return F.when(F.col("i") == 0, left if first else F.lit(0.0)).otherwise(left * alpha)
@@ -60,7 +60,7 @@ def steps(values: DataFrame, config: IndicatorConfig = IndicatorConfig(), keys:
         }
     )
     # The exponential mean of all changes, known to every row of the series, so that their variance needs no difference of squares.
-    out = out.withColumn("change", F.sum(F.coalesce(_weight(config.change_volatility_alpha, False) * (x - F.col("p")), F.lit(0.0))).over(part))
+    out = out.withColumn("change", F.sum(F.coalesce(weight(config.change_volatility_alpha, False) * (x - F.col("p")), F.lit(0.0))).over(part))
     z = F.when(F.col("std_before") > EPS, (x - F.col("mean_before")) / F.col("std_before"))
     out = out.withColumns({"d": x - F.col("p"), "z": z})
     recent = F.col("i") >= F.greatest(F.col("n") - config.pairs, F.lit(1))
@@ -90,7 +90,7 @@ def series_of(values: DataFrame, config: IndicatorConfig = IndicatorConfig(), ke
     s = steps(values, config, keys)
     x, d, i, n = F.col("x"), F.col("d"), F.col("i"), F.col("n")
     last = lambda c: F.max(F.when(i == n - 1, c))  # noqa: E731  the value of the last observation
-    ew = lambda alpha, c, first=False: F.sum(F.coalesce(_weight(alpha, first) * c, F.lit(0.0)))
+    ew = lambda alpha, c, first=False: F.sum(F.coalesce(weight(alpha, first) * c, F.lit(0.0)))
     recent = F.col("recent")
     a = {
         "count": F.count(F.lit(1)),
@@ -106,7 +106,11 @@ def series_of(values: DataFrame, config: IndicatorConfig = IndicatorConfig(), ke
         "_not_up": F.max(F.when(d <= 0, i)), "_not_down": F.max(F.when(d >= 0, i)),
         **{f"_lag_{h}": last(F.col(f"lag_{h}")) for h in config.momentum_horizons},
     }
-    out = s.groupBy(*keys).agg(*(c.alias(name) for name, c in a.items()))
+    return finished(s.groupBy(*keys).agg(*(c.alias(name) for name, c in a.items())), config, keys)
+
+
+def finished(out: DataFrame, config: IndicatorConfig = IndicatorConfig(), keys: Sequence[str] = tuple(SERIES)) -> DataFrame:
+    """The indicators from the aggregates of every series, one row each; long_series makes the same aggregates."""
     c = F.col
     latest = c("latest")["value"]
     spread = c("maximum")["value"] - c("minimum")["value"]
