@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import same, values
+from helpers import same, tensors, values
+from tidemark import api
 from tidemark.model import IndicatorConfig
 from tidemark.operators import long_series
 from tidemark.operators.indicators import POINTS, names, series_of
@@ -72,3 +73,12 @@ def test_only_long_series_are_cut(spark, monkeypatch):
     cut.clear()
     assert_equal(long_series.series_of_any(rows), series_of(rows))
     assert not cut
+
+
+def test_an_analysis_cuts_long_series(spark):
+    df = tensors(spark, [[i, -i, 2 * i] for i in range(1, 26)])
+    want = api.analyze(df).series
+    for longest in (25, 26):
+        assert_equal(api.analyze(df, api.Settings(long_series=longest)).series, want, keys="metric")
+    with pytest.raises(ValueError):
+        api.Settings(long_series=0)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans import catalog, catalog_more, catalog_parts, catalog_streams  # noqa: F401  the others add their queries
+from tidemark.plans import catalog, catalog_long, catalog_more, catalog_parts, catalog_streams  # noqa: F401  the others add their queries
 
 SF = os.environ.get("TIDEMARK_TESTDATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

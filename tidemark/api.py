@@ -12,6 +12,7 @@ from tidemark.functions.times import parsed_time, time_text
 from tidemark.model import PATH, TENSOR, HistogramConfig, IndicatorConfig, ReportConfig
 from tidemark.operators import caps, histograms, reduce, rules, sampling
 from tidemark.operators.indicators import series_of
+from tidemark.operators.long_series import series_of_any
 from tidemark.plans import report as R
 from tidemark.plans.merge import merge_rank_reports
 from tidemark.sinks import documents, store
@@ -40,10 +41,14 @@ class Settings:
     sampling_settings: Mapping[str, object] = field(default_factory=dict)
     #: What happens when a statistic of one's own fails: raise, warn or ignore; the latter two keep the failures for the report.
     errors: str = "warn"
+    #: Series of so many observations or more are cut over many tasks (operators.long_series), with the same results; None: every series is one window.
+    long_series: int | None = None
 
     def __post_init__(self) -> None:
         if self.every is not None and self.sampler is not None:
             raise ValueError("give either every or sampler")
+        if self.long_series is not None and self.long_series < 1:
+            raise ValueError("long_series must be positive")
         if self.errors not in reduce.POLICIES:
             raise ValueError(f"the error policy is one of {', '.join(reduce.POLICIES)}")
         names = [h.name for h in self.histograms]
@@ -106,7 +111,10 @@ def analyze(tensors: DataFrame, settings: Settings | None = None, timestamp: Col
     statistics = statistics.persist()  # every other table comes from it
     values = reduce.long_form(statistics, what.names)
     places = caps.bounded(statistics.select(*TENSOR), values, settings.indicators)
-    series = series_of(places.series, settings.indicators, timestamp=timestamp)
+    if settings.long_series is None:
+        series = series_of(places.series, settings.indicators, timestamp=timestamp)
+    else:
+        series = series_of_any(places.series, settings.indicators, timestamp=timestamp, longest=settings.long_series)
     shape = F.col("shape") if "shape" in keep else F.lit(None).cast("array<int>")
     state = caps.latest_state(places.tensors.join(statistics.select(*TENSOR, shape.alias("shape")), TENSOR))
     found = None
