@@ -14,11 +14,11 @@ from tidemark.operators import caps, histograms, reduce, rules, sampling
 from tidemark.operators.indicators import series_of
 from tidemark.operators.long_series import series_of_any
 from tidemark.plans import report as R
-from tidemark.plans.merge import merge_rank_reports
+from tidemark.plans.merge import merge_rank_reports, stream_rank_reports
 from tidemark.sinks import documents, store
 from tidemark.streaming import bounded, live
 
-__all__ = ["Settings", "Analysis", "analyze", "write_report", "stream_reports", "merge_rank_reports"]
+__all__ = ["Settings", "Analysis", "analyze", "write_report", "stream_reports", "merge_rank_reports", "stream_rank_reports"]
 
 
 @dataclass(frozen=True)

@@ -1,4 +1,4 @@
-"""Reports of ranks to one: a union, checks, and a top-K over all of them."""
+"""Reports of ranks to one: a union, checks, and a top-K over all of them; once, or as a stream of reports that arrive."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.times import required_time
 from tidemark.model import CATEGORIES, ReportConfig
@@ -13,7 +14,7 @@ from tidemark.operators import rules as R
 from tidemark.plans.report import REPORT_VERSION, _finding
 from tidemark.sinks import documents as D
 from tidemark.sinks import store
-from tidemark.sources.reports import findings_of, rank_reports
+from tidemark.sources.reports import arriving_reports, findings_of, rank_reports
 
 
 def rank_coverage(ranks: DataFrame) -> DataFrame:
@@ -51,7 +52,12 @@ def global_top(findings: DataFrame, k: int = 20) -> DataFrame:
 
 def merge_rank_reports(spark: SparkSession, root: str, output: object = None, config: ReportConfig = ReportConfig()) -> tuple[str, str]:
     """Write global-report.json and global-index.md of the reports under root; what reaches the driver is K findings a category."""
-    reports = rank_reports(spark, root).persist()
+    return _merged(rank_reports(spark, root), output if output is not None else root, config)
+
+
+def _merged(reports: DataFrame, folder: object, config: ReportConfig) -> tuple[str, str]:
+    """Write the global documents of reports, a row a rank, into the folder."""
+    reports = reports.persist()
     try:
         r = F.col("report")
         ranks = reports.select(r["rank"]["rank"].alias("rank"), r["rank"]["world_size"].alias("world_size"), r["updated_at"].alias("updated_at"), r["coverage"]["report_truncated_by_byte_budget"].alias("truncated"))
@@ -69,5 +75,33 @@ def merge_rank_reports(spark: SparkSession, root: str, output: object = None, co
     report = D.within_budget(report, [_finding(f) for f in best], config.max_bytes, "findings_omitted_after_global_ranking", total)
     if D.json_bytes(report) > config.max_bytes:
         raise ValueError("the merged report without findings exceeds max_bytes")
-    folder = output if output is not None else root
     return D.publish(store.join(folder, "global-report.json"), D.json_text(report)), D.publish(store.join(folder, "global-index.md"), D.merged_markdown(report))
+
+
+def latest_reports(reports: DataFrame) -> DataFrame:
+    """rank, path, report: the latest report of each rank, by its time and then by its path; one without a time is older than any other.
+
+    Of a stream this is the state of its query: a row a rank, however many reports arrive.
+    """
+    at = required_time(F.col("report.updated_at"), "updated_at of a rank report")
+    newest = F.max_by(F.struct("path", "report"), F.struct(at, "path"))
+    return reports.groupBy(F.col("report.rank.rank").alias("rank")).agg(newest.alias("newest")).select("rank", "newest.*")
+
+
+def stream_rank_reports(
+    spark: SparkSession, root: str, output: object = None, config: ReportConfig = ReportConfig(), *, checkpoint: str | None = None, trigger: dict | None = None, files: str = "rank-*/report*.json", at_once: int | None = None
+) -> StreamingQuery:
+    """Start a query that keeps global-report.json and global-index.md up to date with the reports of ranks as they arrive under root.
+
+    A later report of a rank replaces the one before, in whatever order they are read; one that arrives twice changes nothing. Until all ranks have reported,
+    rank_coverage_complete is false. checkpoint: the folder of the query's state, by default <output>.merging; the same call goes on
+    after a stop without reading old files again. Reports of runs of different sizes, and files that are no reports, stop the query.
+    """
+    folder = str(output if output is not None else root).rstrip("/")
+    latest = latest_reports(arriving_reports(spark, root, files, at_once))
+
+    def publish(known: DataFrame, batch_id: int) -> None:
+        if not known.isEmpty():
+            _merged(known, folder, config)
+
+    return latest.writeStream.outputMode("complete").foreachBatch(publish).option("checkpointLocation", checkpoint or f"{folder}.merging").trigger(**(trigger or {"availableNow": True})).start()

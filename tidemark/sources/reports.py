@@ -39,7 +39,21 @@ def rank_reports(spark: SparkSession, root: str) -> DataFrame:
     found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
     if not found:
         raise FileNotFoundError(f"there are no rank reports under {root}")
-    text = spark.read.text(glob, wholetext=True).select("value", F.input_file_name().alias("path"))
+    return _parsed(spark.read.text(glob, wholetext=True).select("value", F.input_file_name().alias("path")))
+
+
+def arriving_reports(spark: SparkSession, root: str, files: str = "rank-*/report*.json", at_once: int | None = None) -> DataFrame:
+    """A stream of path, path_rank, report of the files under root, each read once, as it appears. A rank that reports again writes a further file.
+
+    at_once: files a micro-batch at most.
+    """
+    source = spark.readStream.format("text").option("wholetext", True)
+    source = source if at_once is None else source.option("maxFilesPerTrigger", at_once)
+    return _parsed(source.load(f"{root.rstrip('/')}/{files}").select("value", F.col("_metadata.file_path").alias("path")))
+
+
+def _parsed(text: DataFrame) -> DataFrame:
+    """path, path_rank, report of value and path."""
     read = text.select("path", rank_of_path(F.col("path")).alias("path_rank"), _required(F.from_json("value", REPORT, {"mode": "FAILFAST"}), F.col("path")).alias("report"))
     # An absent time is null; the times of points must be times, as all else is typed.
     updated = F.when(~F.col("report.updated_at").startswith("{"), F.col("report.updated_at"))
