@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import iso_utc, path_segment, truncated
-from tidemark.model import PATH, TEMPORAL_METRICS, HistogramConfig
+from tidemark.model import PATH, TEMPORAL_METRICS, HistogramConfig, ReportConfig
 from tidemark.operators import caps, histograms, indicators, joins, reduce, rules, sampling
 from tidemark.plans import catalog as C
 from tidemark.plans import merge, report, sql
 from tidemark.sources import adapters as A
 from tidemark.sources import observations
-from tidemark.sources.reports import findings_of, rank_reports
+from tidemark.sources.reports import FINDING, findings_of, rank_reports
 from tidemark.sources.tables import scratch, table
 from tidemark.streaming import live
 
@@ -159,17 +159,39 @@ def rule_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Reports of ranks, written and read again.
 @query(C.ORACLES["merge_ranks"].replace("r <= 3", "r <= 20"))
 def merge_report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch(spark, "rank-reports")
+    for rank, text in _rank_texts(spark, sf_dir):
+        _write_report(spark, root, rank, text)
+    found = merge.global_top(findings_of(rank_reports(spark, root)), 5)
+    return C.scores(found, "rank").withColumn("rank", F.col("rank").cast("long"))
+
+
+def _rank_texts(spark: SparkSession, sf_dir: str) -> list[tuple[int, str]]:
+    """Four ranks, each with a bounded report."""
     rows = A.event_rows(C.events(spark, sf_dir), source_rank=F.col("user_id") % 4)
     series = indicators.series_of(C.values_of(rows, C._RANK_METRICS), timestamp=F.lit("2024-01-01T00:00:00Z")).persist()
-    root = scratch(spark, "rank-reports")
     texts = []
-    for rank in range(4):  # four ranks, each with a bounded report
+    for rank in range(4):
         made = report.build_report(series.where(F.col("source_rank") == rank), rank=report.Rank(rank, 4), state={"updated_at": "2024-01-01T00:00:00Z"})
         texts.append((rank, report.D.json_text(made)))
     series.unpersist()
-    for rank, text in texts:
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{root}/rank-{rank:03d}/report.json", lineSep="\n")
-    found = merge.global_top(findings_of(rank_reports(spark, root)), 5)
+    return texts
+
+
+def _write_report(spark: SparkSession, root: str, rank: int, text: str) -> None:
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{root}/rank-{rank:03d}/report.json", lineSep="\n")
+
+
+@query(C.ORACLES["merge_ranks"].replace("r <= 3", "r <= 20"))
+def merge_arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of the global report that a stream keeps: two ranks report, the query stops and goes on when the others have."""
+    root, folder = scratch(spark, "rank-reports"), scratch(spark, "global-report")
+    for rank, text in _rank_texts(spark, sf_dir):
+        _write_report(spark, root, rank, text)
+        if rank % 2:
+            merge.stream_rank_reports(spark, root, folder, ReportConfig(top_k_per_category=5)).awaitTermination()
+    made = spark.read.schema(f"findings array<struct<category: string, findings: array<{FINDING}>>>").json(f"{folder}/global-report.json", multiLine=True)
+    found = made.select(F.explode("findings").alias("g")).select(F.explode("g.findings").alias("f")).select("f.*")
     return C.scores(found, "rank").withColumn("rank", F.col("rank").cast("long"))
 
 

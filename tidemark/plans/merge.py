@@ -101,7 +101,11 @@ def stream_rank_reports(
     latest = latest_reports(arriving_reports(spark, root, files, at_once))
 
     def publish(known: DataFrame, batch_id: int) -> None:
-        if not known.isEmpty():
-            _merged(known, folder, config)
+        known = known.persist()  # the state is read once
+        try:
+            if not known.isEmpty():
+                _merged(known, folder, config)
+        finally:
+            known.unpersist()
 
     return latest.writeStream.outputMode("complete").foreachBatch(publish).option("checkpointLocation", checkpoint or f"{folder}.merging").trigger(**(trigger or {"availableNow": True})).start()
