@@ -25,6 +25,43 @@ def test_timed(spark):
         S.timed(kept, 0, ["run"])
 
 
+def timer_by_hand(rows, step):
+    """The definition: each run in order of time, one number as state."""
+    starts, runs, found = {}, {}, []
+    for run, t, t0 in rows:
+        runs.setdefault(run, set()).update(() if t is None else (t,))
+        if t0 is not None:
+            starts[run] = min(starts.get(run, t0), t0)
+    for run, times in runs.items():
+        due = starts[run] + step if run in starts else float("inf")
+        for t in sorted(times):
+            if t >= due:
+                found.append((run, t))
+                due = t + step
+    return sorted(found, key=str)
+
+
+@pytest.mark.parametrize("step", [0.5, 90.0, 5000.0])
+def test_timed_over_segments(spark, step):
+    """A run with most of the rows, gaps, bursts, equal times, nulls, a run without start, a late start and small runs, cut into many segments."""
+    rng = random.Random(step)
+    rows = [("hot", round(rng.expovariate(0.001), 1), 3.0) for _ in range(1500)]
+    rows += [("hot", 900.0 + i / 64, None) for i in range(400)] + [("hot", 1000.0, 4.0)] * 300
+    rows += [(None, float(rng.randrange(4000)), 2000.0) for _ in range(400)] + [("never", float(i), None) for i in range(300)]
+    rows += [("late", float(i), 1e9) for i in range(200)] + [(f"k{i % 40}", float(rng.randrange(300)), 0.0) for i in range(300)] + [("hot", None, None), ("none", None, 1.0)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "run string, t double, t0 double").repartition(5)
+    want = timer_by_hand(rows, step)
+    for segment in (150, 1 << 22):
+        assert sorted(((r["run"], r["t"]) for r in S.timed(df, step, ["run"], segment=segment).collect()), key=str) == want
+    assert S.timed(df.limit(0), step, ["run"]).count() == 0
+
+
+def test_timed_without_keys(spark):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("t"), F.lit(0.0).alias("t0"))
+    assert sorted(r["t"] for r in S.timed(df, 30, [], segment=50).collect()) == [float(t) for t in range(30, 1000, 30)]
+
+
 def test_numbering_phases_ranks_and_paths(spark):
     rows = spark.createDataFrame([("forward_complete", "outputs", 0, 3), ("forward_complete", "output_gradients", 0, 4), ("backward_observed", "output_gradients", 1, 5)], "state string, signal string, source_rank int, event_seq int")
     assert S.by_phase(rows).count() == 2 and S.of_rank(rows).count() == 2 and S.of_rank(rows, "all").count() == 3

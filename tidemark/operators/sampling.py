@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators import timer
 from tidemark.sources.tables import scratch
 
 
@@ -86,41 +87,14 @@ def decided(opportunities: DataFrame, decide: Decide, by: Sequence[str], order:
     return plain.mapInArrow(run, schema)
 
 
-def timed(opportunities: DataFrame, interval: timedelta | float, by: Sequence[str], time: str = "t", start: str = "t0") -> DataFrame:
-    """Opportunities taken by a timer: one is taken from `interval` seconds after the start on, and the timer starts anew there.
+def timed(opportunities: DataFrame, interval: timedelta | float, by: Sequence[str], time: str = "t", start: str = "t0", segment: int = timer.SEGMENT) -> DataFrame:
+    """Keys and times of the opportunities taken by a timer: one is taken from `interval` seconds after the start on, and the timer starts anew there.
 
-    The choice depends on the one before, so each run of the keys `by` is one pass over its sorted times: the narrow relation of keys
-    and times alone, before anything wide is joined to it, in batches with the time that is due as the only state. start: the time
-    at which a run began, its least one. A run without start never begins.
+    start: the time at which a run of the keys `by` began, its least one. A run without start never begins; a null or non-finite time
+    is not taken, and of several at one time one is. The choice depends on the one before, yet a run is not one task: see operators/timer.py.
+    segment: opportunities that a task holds at once. Null keys are a run of their own.
     """
-    step = seconds_of(interval)
-    by = list(by)
-    narrow = opportunities.select(*by, F.col(time).cast("double").alias(time), F.col(start).cast("double").alias(start))
-    begun = narrow.groupBy(*by).agg(F.min(start).alias("_begun"))
-    same = F.lit(True)
-    for b in by:
-        same &= F.col(f"r.{b}").eqNullSafe(F.col(f"s.{b}"))
-    rows = narrow.alias("r").join(begun.alias("s"), same).where("_begun is not null").select(*(F.col(f"r.{c}") for c in [*by, time]), "_begun")
-    kept = [rows.columns.index(c) for c in [*by, time]]
-    schema = T.StructType([rows.schema[i] for i in kept])
-    at = len(by)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, due = None, 0.0
-        for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(at)), strict=True)) if at else [()] * batch.num_rows
-            times, first = batch.column(at).to_pylist(), batch.column(at + 1).to_pylist()
-            taken = []
-            for i, (key, t, begun) in enumerate(zip(keys, times, first, strict=True)):
-                if key != now:
-                    now, due = key, begun + step
-                if t is not None and t >= due:
-                    taken.append(i)
-                    due = t + step
-            if taken:
-                yield batch.take(pa.array(taken)).select(schema.names)
-
-    return rows.repartition(*by).sortWithinPartitions(*by, time).mapInArrow(run, schema)
+    return timer.timed_times(opportunities, seconds_of(interval), list(by), time, start, segment)
 
 
 def by_phase(rows: DataFrame) -> DataFrame:
