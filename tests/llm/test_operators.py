@@ -252,6 +252,33 @@ def test_html_of_generated_pages(spark):
         assert found[i] == text, h[:3000]
 
 
+A, Z = ("Rivers carry more silt after a wet spring than farmers along the banks remember from any year before, and the mills had to stop twice. " * 3).strip(), ("Nobody in the valley had kept count of the floods until a schoolteacher began to mark them on the wall beside the old bridge each year. " * 3).strip()
+ASIDE = "<nav><a href=/>Home</a> <a href=/n>News</a></nav>"
+NAMED_PAGES = [
+    (f'<body class="single comments-open">{ASIDE}<article><p>{A}</p><p>{Z}</p></article></body>', [A, Z]),
+    (f'<body>{ASIDE}<article class="post comments-closed"><p>{A}</p><p>{Z}</p></article></body>', [A, Z]),
+    (f'<body>{ASIDE}<div class="content-with-sidebar"><p>{A}</p><p>{Z}</p></div></body>', [A, Z]),
+    (f'<body>{ASIDE}<div id="newsletter-issue"><p>{A}</p><p>{Z}</p></div></body>', [A, Z]),
+    (f'<body>{ASIDE}<div class="sidebar"><p>{A}</p><p>{Z}</p></div></body>', [A, Z]),
+    (f'<body><form id="aspnetForm"><input type=hidden name=s>{ASIDE}<div><label>Find</label><input name=q></div><div><p>{A}</p><p>{Z}</p></div></form></body>', [A, Z]),
+    (f'<body>{ASIDE}<article><p>{A}</p><p class="reply">Not so, said the miller.</p><p>{Z}</p></article></body>', [A, "Not so, said the miller.", Z]),
+    (f'<body>{ASIDE}<article><p>{A}</p><section class="ad-history"><p>{Z}</p></section></article></body>', [A, Z]),
+    (f'<body>{ASIDE}<div><article><p>{A}</p></article></div><div><article><p>{Z}</p></article></div></body>', [A, Z]),
+    (f'<body>{ASIDE}<article><p>{A}</p><footer><p>{Z}</p></footer></article></body>', [A, Z]),
+    (f'<body>{ASIDE}<article><p>{A}</p><footer>Filed under rivers</footer></article><footer>Imprint</footer></body>', [A]),
+    (f'<body><article><p>{A}</p><p style="color:red; display: none">Unseen</p><p>{Z}</p></article></body>', [A, Z]),
+    (f'<body><article><p>{A}</p><form><label>Mail</label><input><p>Get our letter</p><button>Go</button></form><p>{Z}</p></article></body>', [A, Z]),
+    (f'<body><article><p>{A}</p></article><div class="comment-list"><div class=comment><p>{Z}</p></div><article class="comment"><p>{Z}</p></article></div><article class="comment"><p>{Z}</p></article></body>', [A]),
+    (f'<body><article><p>{A}</p><div class="ad-box"><p>{Z}</p></div><p>{Z}</p></article><aside>{A}</aside></body>', [A, Z]),
+]
+
+
+@pytest.mark.parametrize("html, lines", NAMED_PAGES)
+def test_no_article_is_lost_by_a_name(html, lines):
+    assert html_extraction.main_text(html) == "\n".join(lines)
+
+
+
 def test_html_extraction(spark):
     df = spark.createDataFrame([(i, "u", h, "x") for i, (h, _) in enumerate(PAGES)], "page_id int, url string, html string, MAIN_TEXT string")
     found = {r["page_id"]: r["main_text"] for r in html_extraction.extract_main_text(df).collect()}
