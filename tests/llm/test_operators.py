@@ -587,17 +587,59 @@ def test_texts_of_megabytes(spark):
     assert size == {i: len(w) for i, w in enumerate(words)}
 
 
-def test_boilerplate_is_not_compared_in_pairs(spark):
-    """Texts of which three quarters are the same: nobody is linked, and nobody meets another in the rest."""
-    rng = random.Random(33)
-    same = prose(rng, 76)
-    rows = [(i, f"{same} {prose(rng, 24)}") for i in range(300)]
-    df = spark.createDataFrame(rows, DOCS).repartition(3)
+def rest_of(df):
+    """What the rest stage takes, with every class a component of its own."""
     members = sketch_join.named_sets(df, "text", "doc_id")
     cells = ["n_shingles", "own_band", "own_cells", "next_cells"]
-    classes = members.groupBy("set_id").agg(F.min("doc_id").alias("least_doc"), *(F.first(c).alias(c) for c in cells))
-    strong = sketch_join.strong_cells(sketch_join.shared_cells(df, "text", 4), classes).persist()
-    sets = sketch_join.sets_of(df, "text", strong.select("id").distinct()).persist()
-    alone = strong.select("id", F.col("id").alias("component")).distinct()
-    assert sketch_join.rest_pairs(strong, alone, sets).count() == 0
+    classes = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least_doc"), *(F.first(c).alias(c) for c in cells))
+    strong = sketch_join.written(sketch_join.strong_cells(sketch_join.shared_cells(df, "text", 4), classes), "t")
+    sets = sketch_join.written(sketch_join.sets_of(df, "text", strong.select("id").distinct()), "t")
+    return members, strong, strong.select("id", F.col("id").alias("component")).distinct(), sets
+
+
+@pytest.mark.parametrize("share", [70, 80, 86, 88])
+def test_boilerplate_is_not_compared_in_pairs(spark, share):
+    """Texts of like length of which a share is the same: nobody is linked, and nobody meets another in the rest."""
+    rng = random.Random(share)
+    same = prose(rng, 2 * share)
+    rows = [(i, f"{same} {prose(rng, 200 - 2 * share)}") for i in range(300)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert sketch_join.rest_pairs(*rest_of(df)[1:]).count() == 0
     assert all(r["component_id"] == r["doc_id"] for r in sketch_join.jaccard_components(df).collect())
+
+
+def test_pairs_around_a_boilerplate_grow_in_proportion(spark):
+    """Nine tenths of every text stand elsewhere too: 84 % in all texts, the rest in passages of few. Pairs are as many for each text in a table twice as large."""
+    found = []
+    for n in (150, 300):
+        rng = random.Random(5)
+        same, passages = prose(rng, 252), [prose(rng, 9) for _ in range(n // 5)]
+        rows = [(i, " ".join([same, *rng.sample(passages, 4), prose(rng, 8)])) for i in range(n)]
+        df = spark.createDataFrame(rows, DOCS).repartition(3)
+        _, strong, alone, sets = rest_of(df)
+        found.append(sketch_join.rest_pairs(strong, alone, sets).count() / n)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in sketch_join.jaccard_components(df).collect()} == B.jaccard(rows)
+    assert found[1] <= 1.5 * found[0] + 1
+
+
+@pytest.mark.parametrize("few", [1, 4, 64])
+def test_the_rest_alone_finds_every_link(spark, monkeypatch, few):
+    """Without any round before: links of copies, of parts, of texts around boilerplates and of short texts, for each bound of what few classes have."""
+    monkeypatch.setattr(sketch_join, "FEW", few)
+    rng = random.Random(41)
+    rows, boiler = [], [prose(rng, 60), prose(rng, 110)]
+    for g in range(12):
+        w = prose(rng, 12 + 14 * g).split()
+        for k in range(8):
+            w = list(w)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = prose(rng, 1)
+            rows.append((len(rows), " ".join(w[: len(w) - rng.randint(0, max(1, len(w) // 9))])))
+    rows += [(len(rows) + i, f"{boiler[i % 2]} {prose(rng, rng.randint(1, 14))}") for i in range(50)]
+    rows += [(len(rows) + i, prose(rng, 1 + i % 9)) for i in range(30)]
+    members, strong, alone, sets = rest_of(spark.createDataFrame(rows, DOCS).repartition(3))
+    sets_by = {r["set_id"]: B.shingles(rows[r["doc_id"]][1]) for r in members.where("n_shingles > 0").collect()}
+    names = sorted(sets_by)
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if 100 * len(sets_by[a] & sets_by[b]) >= 80 * len(sets_by[a] | sets_by[b])}
+    got = {(r["a"], r["b"]) for r in sketch_join.linked(sketch_join.rest_pairs(strong, alone, sets), sets).collect()}
+    assert got == want and len(want) > 200

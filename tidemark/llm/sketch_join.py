@@ -17,11 +17,13 @@ How the work is kept whole and bounded:
   if those are enough. Then, in further rounds, against some of other components that its rare cells propose. The links'
   components settle the cells whose classes are all in one component, so groups of near copies shrink in every round, at a few
   pairs a copy. The number of rounds doesn't change the result.
-- Rest: classes that have less in common with all classes of other components together than a link needs are out, so texts around
-  one boilerplate are not compared with each other. A class that shares s cells, of which a link needs r, meets others in its s - r + 1 rarest cells only. Two classes with r
-  common cells have one of these in common, whatever the rest, so cells of passages that many documents quote are
-  left out without losing a link. Pairs meet only if bit sketches of a fixed length, in which every shingle flips one bit, differ in
-  no more bits than linked sets in shingles, and must share enough of all their cells before their sets are compared.
+- Rest: of two linked classes the one with fewer shingles has 8/9 of them in the other, the larger one 4/5. Classes that have less in common with
+  all classes of other components together take neither part, so texts with up to 8/9 of one boilerplate are not compared with each other. A smaller one that
+  reaches 8/9 only with shingles that few classes have (up to FEW) meets others in these, in as many of its rarest as a link can't do without:
+  at most FEW classes a shingle. One that reaches 8/9 by frequent shingles alone meets others in cells: a class that shares s cells, of which a link
+  needs r, in its s - r + 1 rarest. Two classes with r common cells have one of these in common, whatever the rest, so cells of passages that many
+  documents quote are left out without losing a link. Pairs meet only if bit sketches of a fixed length, in which every shingle flips one bit, differ in
+  no more bits than linked sets in shingles; those of cells must share enough of all their cells before their sets are compared.
 
 Defined cases: a text of any length is read whole. Null and empty texts, and texts without words, have an empty set, link with nothing and are
 their own component. jaccard_components() has no other columns of docs, one_of_each() those of docs, whatever their names. Fewer than 5 words: the whole sequence is the one shingle. Repeated rows are in one class. A null
@@ -52,8 +54,10 @@ BAND_BITS, KEY_BYTES = 6, 6
 SKETCH_WORDS = 8
 #: Rounds in which classes try some of another component, and how many each cell proposes; what they leave open is compared in pairs.
 STARS, PROPOSED = 2, 6
-#: Packed cells that a task holds before it sends them on.
-FLUSH = 500_000
+#: Classes up to which a shingle is one of few.
+FEW = 64
+#: Packed cells that a task holds before it sends them on, and that a task brings together.
+FLUSH, PART_CELLS = 500_000, 1 << 21
 #: Bits of the filter that tells which sets a verification needs; beyond its capacity it only lets more pass.
 MOST_FILTER_BITS = 1 << 27
 _U = np.uint64
@@ -346,13 +350,8 @@ def open_rows(strong: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame
     return written(rows.select("cell", "band", "id", "component", "cells", "left", "n", "sketch"), "join-open")
 
 
-def linkable(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """id of the classes in rows (id, component) of whose shingles enough for a link are also in rows of another component.
-
-    A linked set has at least 80 % of the shingles of either, so classes that share less with all others together, as texts around one
-    boilerplate do, meet nobody in the cells of what they share.
-    """
-    low, high = SIMILAR
+def met_shingles(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """id, component, n, hash, holders: the shingles of the classes in rows (id, component) that classes of two components have, with how many have them."""
     named = rows.select("id", "component").distinct()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,26 +366,50 @@ def linkable(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
     each = arrow_map(named.join(sets.select("id", "n", "hashes"), "id").select("id", "component", "n", "hashes"), spread, "id long, component long, n long, hash long")
     each = written(each, "join-shingles")
-    met = each.groupBy("hash").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("hash")
-    shared = each.join(met, "hash").groupBy("id").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("shared"))
-    return shared.where(F.col("shared") * high >= F.col("n") * low).select("id")
+    met = each.groupBy("hash").agg(F.min("component").alias("one"), F.max("component").alias("other"), F.count(F.lit(1)).alias("holders")).where("one <> other")
+    return written(each.join(met.select("hash", "holders"), "hash"), "join-met-shingles")
 
 
-def rest_pairs(strong: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of classes in different components that may be similar enough by their bit sketches and share as many cells as a link needs.
+def parts_taken(met: DataFrame) -> DataFrame:
+    """id, and what the class can be in a link: `smaller` ("few", "many" or null) of two, and how many of its shingles of few classes a link needs (`least`).
+
+    Sets of sizes a <= b have at least (a + b) * 80 / 180 shingles in common, so at least 8/9 of a and 4/5 of b. Classes that can be neither are left out.
+    """
+    low, high = SIMILAR
+    many = F.count_if(F.col("holders") > FEW)
+    least = F.ceil(F.col("n") * F.lit(2 * low) / F.lit(low + high))
+    shared = met.groupBy("id", "n").agg(F.count(F.lit(1)).alias("shared"), many.alias("many")).where(F.col("shared") * high >= F.col("n") * low)
+    smaller = F.when(F.col("many") >= least, "many").when(F.col("shared") >= least, "few")
+    return shared.select("id", smaller.alias("smaller"), (least - F.col("many")).alias("least"))
+
+
+def few_pairs(met: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of a class that is the smaller one by shingles of few classes with others that are as large or larger, met in its rarest ones."""
+    few = met.where(F.col("holders") <= FEW).join(parts, "id").select("id", "component", "n", "hash", "holders", "smaller", "least")
+    own = Window.partitionBy("id")
+    ranked = few.where("smaller = 'few'").withColumns({"r": F.row_number().over(own.orderBy("holders", "hash")), "all": F.count(F.lit(1)).over(own)})
+    sketches = sets.select("id", "sketch")
+    x = ranked.where("r <= all - least + 1").select("id", "component", "n", "hash").join(sketches, "id").alias("x")
+    y = few.select("id", "component", "n", "hash").join(sketches, "id").alias("y")
+    c = F.col
+    near = near_sketches(F.struct("x.n", "x.sketch"), F.struct("y.n", "y.sketch"))
+    met_pairs = x.join(y, (c("x.hash") == c("y.hash")) & (c("x.component") != c("y.component")) & (c("x.n") <= c("y.n")) & near)
+    return met_pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def cell_pairs(strong: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of classes in rows of which the smaller one is so by frequent shingles, that share as many cells as a link needs.
 
     The first cell that a pair has in common, in the order from rare to frequent, has all others after it for both: pairs meet
     only in cells after which enough are left for both.
     """
-    rows = open_rows(strong, comps, sets)
-    rows = written(rows.join(linkable(rows, sets), "id", "left_semi"), "join-open")
-    x, y = rows.alias("x"), rows.alias("y")
+    x, y = rows.where("smaller = 'many'").alias("x"), rows.alias("y")
     c = F.col
-    others = (c("x.id") < c("y.id")) & (c("x.component") != c("y.component"))
+    others = (c("x.component") != c("y.component")) & (c("x.n") <= c("y.n"))
     enough = F.least("x.left", "y.left") >= F.greatest("x.cells", "y.cells") - apart(c("x.n"), c("y.n"))
     near = near_sketches(F.struct("x.n", "x.sketch"), F.struct("y.n", "y.sketch"))
     met = x.join(y, (c("x.cell") == c("y.cell")) & others & enough & near)
-    met = written(met.select(c("x.id").alias("a"), c("y.id").alias("b"), c("x.band").alias("band")).distinct(), "join-met")
+    met = written(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), c("x.band").alias("band")).distinct(), "join-met")
     ids = met.select(c("a").alias("id"), "band").union(met.select(c("b").alias("id"), "band")).distinct()
     cells = strong.join(ids, ["id", "band"], "left_semi").groupBy("id", "band").agg(F.first("cells").alias("all"), F.collect_list("cell").alias("cells"))
     cells = written(cells.join(sets.select("id", "n"), "id"), "join-cells")
@@ -396,14 +419,29 @@ def rest_pairs(strong: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFram
     return both.where(share).select("a", "b").distinct()
 
 
+def rest_pairs(strong: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of classes in different components that may be similar enough, all linked ones among them."""
+    rows = open_rows(strong, comps, sets)
+    met = met_shingles(rows, sets)
+    parts = written(parts_taken(met), "join-roles")
+    rows = written(rows.join(parts.select("id", "smaller"), "id"), "join-open")
+    return few_pairs(met, parts, sets).union(cell_pairs(strong, rows, sets)).distinct()
+
+
+def part_count(members: DataFrame) -> int:
+    """Tasks that bring cells together, so that none holds many more than PART_CELLS."""
+    n, own = F.col("n_shingles"), F.col("own_cells")
+    keys = own + F.coalesce("next_cells", F.lit(0)) + F.when(own * 4 <= n, 2 * n).otherwise(0)
+    total = members.agg(F.sum(keys).alias("k")).first()["k"] or 0
+    return max(4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_CELLS))
+
+
 def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", stars: int = STARS) -> DataFrame:
     """doc_id, n_shingles, set_id, component_id: one row for each row of docs."""
-    spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     members = written(named_sets(docs, text_col, id_col), "join-members")
     cells = ["n_shingles", "own_band", "own_cells", "next_cells"]
     classes = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least_doc"), *(F.first(c).alias(c) for c in cells))
-    strong = written(strong_cells(shared_cells(docs, text_col, parts), classes), "join-strong")
+    strong = written(strong_cells(shared_cells(docs, text_col, part_count(members)), classes), "join-strong")
     sets = written(sets_of(docs, text_col, strong.select("id").distinct()), "join-sets")
     comps = joined(None, written(linked(star_pairs(strong), sets), "join-links"))
     for turn in range(stars):
