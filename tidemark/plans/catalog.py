@@ -10,7 +10,7 @@ from tidemark.operators import caps, histograms, indicators, reduce, rules, samp
 from tidemark.plans import merge, report, sql
 from tidemark.sinks import dashboards, documents
 from tidemark.sources import adapters as A
-from tidemark.sources.tables import scratch, table
+from tidemark.sources.tables import scratch, stream_in_order, table
 from tidemark.streaming import live
 
 QUERIES: dict = {}
@@ -333,9 +333,7 @@ _STREAM_COLUMNS = ["count", "warmup_complete", *indicators.names()]
 
 @query(sql.series_query(sql.VECTORS, _STREAMED, _STREAM_COLUMNS, digits=5))
 def stream_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "embeddings").schema
-    # A pattern, so that the table may be one file or a folder of files.
-    vectors = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/embeddings.[p]arquet")
+    vectors = stream_in_order(spark, sf_dir, "embeddings", "vec_id")
     tensors = vectors.select(
         F.lit(0).alias("source_rank"), F.concat(F.lit("label_"), F.col("label").cast("string")).alias("module"), F.lit(0).alias("call_index"), F.lit("outputs").alias("signal"),
         F.lit("output").alias("tensor_path"), F.col("vec_id").alias("event_seq"), F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("elements"),

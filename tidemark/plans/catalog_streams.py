@@ -9,7 +9,7 @@ from tidemark import api
 from tidemark.model import HistogramConfig, IndicatorConfig
 from tidemark.plans import catalog as C
 from tidemark.plans import sql
-from tidemark.sources.tables import scratch, table
+from tidemark.sources.tables import scratch, stream_in_order, table
 from tidemark.streaming import bounded, correlate, live
 
 query = C.query
@@ -28,9 +28,7 @@ kept as (select module, metric from idents order by seen limit 16)"""
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of the embeddings as tensors: a module a label, a sample a vector."""
-    schema = table(spark, sf_dir, "embeddings").schema
-    # A pattern, so that the table may be one file or a folder of files.
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/embeddings.[p]arquet")
+    rows = stream_in_order(spark, sf_dir, "embeddings", "vec_id")
     return rows.select(
         F.lit(0).alias("source_rank"), F.concat(F.lit("label_"), F.col("label").cast("string")).alias("module"), F.lit(0).alias("call_index"), F.lit("outputs").alias("signal"),
         F.lit("output").alias("tensor_path"), F.col("vec_id").alias("event_seq"), F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("elements"),
