@@ -14,8 +14,9 @@ rejection sampling would accept, with an envelope a little under the weight of e
 The copies of a text count as one document together, else what thousands of copies say would pass for the use of its words.
 
 The labels used are those of at most `max_labelled` documents (whole bins of a hash of doc_id); the raw model counts all
-documents, and the copies of at most MOST_COPIED texts (those with most copies) are known. Four passes over the texts, all narrow (copies, counts, keys,
-results); what is shuffled are hashes of texts and counts of at most BUCKETS buckets a task.
+documents, and the copies of all texts are known: those of the MOST_COPIED texts with most copies by a broadcast, those of the others by a join, for which
+the texts of these alone are shuffled. Four passes over the texts, all narrow but for that (copies, counts, keys,
+results); else what is shuffled are hashes of texts and counts of at most BUCKETS buckets a task.
 A text is read whole whatever its length.
 
 Defined cases: empty and null texts have no n-grams: log weight 0, as everyday text. Documents with equal keys at rank k are all
@@ -43,8 +44,8 @@ from tidemark.llm.frames import arrow_map, map_texts, pieces, without, written
 #: bucket with a bad word doesn't harm it.
 SIZE, WORD_TABLES, PAIR_TABLES = 1 << 18, 3, 2
 BUCKETS = SIZE * (WORD_TABLES + PAIR_TABLES)
-#: Repeated texts whose copies count as one together, and the unit of counts.
-MOST_COPIED, UNIT = 500_000, 1 << 20
+#: Repeated texts whose copies are told by a broadcast, longs of the bit field that finds the others, and the unit of counts.
+MOST_COPIED, MOST_WORDS, UNIT = 500_000, 1 << 20, 1 << 20
 #: Labelled documents that are used.
 MAX_LABELLED = 200_000
 #: Pseudo-count of the models, log odds against an n-gram being used differently in target and raw text, and the least log weight that counts in
@@ -78,24 +79,44 @@ def features(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray,
     return tables, owner, pair_owner, tokens.span_hashes(sums, bounds[:-1], bounds[1:]).view(np.int64)
 
 
-def copied(texts: DataFrame, most: int) -> DataFrame:
-    """h, copies: the hashes of the texts (h) that occur most often, twice at least: whole bins of like counts, `most` texts at most."""
+def copied(texts: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """h, copies of the texts (h) that occur twice or more: of those that occur most often (whole bins of like counts, `most` texts at most), and of all others (None where there are none)."""
     many = written(texts.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "quality-copies")
     bin_of = F.floor(F.log2("copies") * 8).cast("int")
-    taken, last = 0, None
+    taken, last, whole = 0, None, True
     for b, n in sorted(((r["bin"], r["n"]) for r in many.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):  # some hundred bins
         if taken + n > most:
+            whole = False
             break
         taken, last = taken + n, b
-    return many.where(bin_of >= last if last is not None else F.lit(False))
+    if whole:
+        return many, None
+    often = bin_of >= last if last is not None else F.lit(False)
+    return many.where(often), many.where(~often)
+
+
+def with_others(texts: DataFrame, others: DataFrame) -> DataFrame:
+    """texts (h, copies, and more) with the copies of `others` (h, copies) too.
+
+    Only texts whose hash may be among the others are shuffled: a bit field over their hashes, of at most MOST_WORDS longs, is broadcast.
+    """
+    shift = 64 - min(MOST_WORDS.bit_length() - 1, max(10, others.count().bit_length()))
+    word, bit = F.shiftrightunsigned("h", shift), F.expr("shiftleft(1L, cast(h & 63 as int))")
+    field = others.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("field"))
+    marked = texts.withColumn("word", word).join(F.broadcast(field), "word", "left")
+    maybe = F.col("copies").isNull() & (F.coalesce("field", F.lit(0)).bitwiseAND(bit) != 0)
+    found = marked.where(maybe).select([c for c in texts.columns if c != "copies"]).join(others, "h", "left")
+    return marked.where(~maybe).select(texts.columns).unionByName(found.select(texts.columns))
 
 
 def counts(docs: DataFrame, text_col: str, target: DataFrame, id_col: str) -> DataFrame:
     """bucket, raw, good: n-grams of all documents and of the target's, in UNITs. The copies of one text count as one document together."""
     hashed = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(f"`{text_col}`").alias("h"))
-    flagged = hashed.join(F.broadcast(copied(hashed.select("h"), MOST_COPIED)), "h", "left").join(
-        F.broadcast(target), F.col("doc") == F.col("target_id"), "left"  # at most MOST_COPIED hashes and max_labelled ids
-    )
+    often, others = copied(hashed.select("h"), MOST_COPIED)
+    counted = hashed.join(F.broadcast(often), "h", "left")  # at most MOST_COPIED hashes
+    if others is not None:
+        counted = with_others(counted, others)
+    flagged = counted.join(F.broadcast(target), F.col("doc") == F.col("target_id"), "left")  # at most max_labelled ids
     weight = F.round(F.lit(float(UNIT)) / F.coalesce("copies", F.lit(1))).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
