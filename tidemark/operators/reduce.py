@@ -189,7 +189,7 @@ BASE = T.StructType(
     + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("q", "qabs")]
 )
 #: Elements that a task works on at once; a longer tensor is a piece of its own.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def _quantiles(ordered: np.ndarray, first: np.ndarray, k: np.ndarray, wanted: Iterable[float]) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tidemark.sources.tables import scratch
 
 #: Elements that a task gathers before it makes runs of them, and elements from which on a tensor is hot.
-GATHERED, HOT = 1 << 20, 1 << 22
+GATHERED, HOT = 1 << 18, 1 << 22
 #: Bits of a digit.
 DIGIT = 16
 _TOP = np.uint64(1 << 63)
