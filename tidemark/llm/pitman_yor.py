@@ -27,10 +27,11 @@ model (uniform over bytes). Other columns are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -275,126 +276,349 @@ def pair_names(before: np.ndarray, now: np.ndarray) -> np.ndarray:
     return tokens.mix(before + tokens.mix(now ^ _U(0x9E3779B97F4A7C15)))
 
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """u, w, c: how often each word follows each context in the one text column of texts."""
+#: Kinds of pairs, by whether the context and the word are listed, that is, among the commonest words, whose values are broadcast.
+BOTH, WORD, CONTEXT, NEITHER = range(4)
+#: Further kinds of messages: what asks for the word of a pair of kind NEITHER, texts, sums of tokens, words, pairs of kind BOTH, other pairs.
+ASKED, TEXT, SUMS, WORDS_OF, NEAR, FAR = range(4, 10)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Numbers by planes of their bytes, which a shuffle compresses well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def unpack(found: list[bytes], kind: type) -> np.ndarray:
+    parts = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel() for x in found]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def rising(x: np.ndarray) -> bytes:
+    """pack() of sorted numbers: the steps between them."""
+    return pack(np.concatenate([x[:1], np.diff(x)]).astype(x.dtype))
+
+
+def unpack_rising(found: list[bytes], kind: type) -> np.ndarray:
+    parts = [np.cumsum(unpack([x], kind), dtype=kind) for x in found]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of wanted among the sorted keys, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def near_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Keys of pairs of listed words, given by their numbers."""
+    return (u.astype(_U) << _U(32)) | w.astype(_U)
+
+
+def kinds_of(names: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The kind of each pair, and the numbers of its context and word among the listed ones. names: the sorted hashes of listed words."""
+    (at_u, u_listed), (at_w, w_listed) = find(names, u), find(names, w)
+    return np.where(u_listed, np.where(w_listed, BOTH, CONTEXT), np.where(w_listed, WORD, NEITHER)), at_u.astype(np.uint32), at_w.astype(np.uint32)
+
+
+def dealt(hashes: np.ndarray, n: int) -> np.ndarray:
+    return (tokens.mix(hashes + _U(0x2545F4914F6CDD1D)) % _U(n)).astype(np.int64)
+
+
+def parts_of(bucket: np.ndarray, *keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with its places, sorted by the keys, the last one first."""
+    order = np.lexsort((*keys, bucket))
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    for part in np.split(order, cuts) if len(order) else []:
+        yield int(bucket[part[0]]), part
+
+
+def home(kind: int, names: np.ndarray, u: np.ndarray, w: np.ndarray, at_u: np.ndarray, at_w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of pairs of one kind with the two columns that name them. A pair goes to the bucket of its word that isn't listed, of two
+    to that of the context; pairs of listed words, which may be hot, go by the pair."""
+    if kind == BOTH:
+        return dealt(near_keys(at_u, at_w), n), at_u, at_w
+    if kind == CONTEXT:
+        return dealt(w, n), w, at_u
+    return dealt(u, n), u, at_w if kind == WORD else w
+
+
+def away(kind: int, names: np.ndarray, a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The columns of home(), read back."""
+    return unpack_rising(a, np.uint32 if kind == BOTH else _U), unpack(b, _U if kind == NEITHER else np.uint32)
+
+
+def pair_hashes(kind: int, names: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the contexts and the words of pairs, given the columns of home()."""
+    return (names[a], names[b]) if kind == BOTH else (names[b], a) if kind == CONTEXT else (a, names[b] if kind == WORD else b)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str, names: list[str]) -> Iterator[tuple[int, dict[int, list[tuple]]]]:
+    """Each key of rows sorted by it with its rows, the columns `names`, by their kind."""
+    last, rows = None, {}
+    for batch in batches:
+        columns = [batch.column(n).to_pylist() for n in (key, "kind", *names)]
+        for k, kind, *row in zip(*columns, strict=True):
+            if k != last and rows:
+                yield last, rows
+                rows = {}
+            last = k
+            rows.setdefault(kind, []).append(row)
+    if rows:
+        yield last, rows
+
+
+def gathered(df: DataFrame, key: str, n: int) -> DataFrame:
+    return df.repartition(n, key).sortWithinPartitions(key)
+
+
+PARTS = "bucket int, kind int, a binary, b binary, n binary"
+#: Pairs that occur more than once (u, w, c; listed words by their number) and, of kind ASKED, words (u) with the number of pairs that
+#: occur once by word (w) and by context (c).
+PAIRS = "kind int, u long, w long, c long"
+
+
+def pair_counts(texts: DataFrame, listed: Broadcast, n: int) -> DataFrame:
+    """PAIRS of the one text column of texts. The pairs of many texts go packed to n buckets, which count them. listed: sorted hashes of listed words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = listed.value
         held: list[tuple] = []
 
         def merged() -> tuple:
-            names, u, w, n = (np.concatenate([h[i] for h in held]) for i in range(4))
-            found, first, back = np.unique(names, return_index=True, return_inverse=True)
+            keys, u, w, n = (np.concatenate([h[i] for h in held]) for i in range(4))
+            found, first, back = np.unique(keys, return_index=True, return_inverse=True)
             return found, u[first], w[first], np.bincount(back, n).astype(np.int64)
 
-        def out(x: tuple) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x[1].view(np.int64)), pa.array(x[2].view(np.int64)), pa.array(x[3])], names=["u", "w", "n"])
+        def out(x: tuple) -> Iterator[pa.RecordBatch]:
+            _, u, w, count = x
+            kinds, at_u, at_w = kinds_of(names, u, w)
+            for kind in range(4):
+                at = np.flatnonzero(kinds == kind)
+                bucket, a, b = home(kind, names, u[at], w[at], at_u[at], at_w[at], n)
+                found = [(k, kind, rising(a[p]), pack(b[p]), pack(count[at[p]].astype(np.uint32))) for k, p in parts_of(bucket, b, a)]
+                if found:
+                    yield rows_of(found, PARTS)
 
         for batch in batches:
             for _, piece in pieces(batch, 0):
                 *_, firsts, hashes = read(piece)
                 before, now = transitions(hashes, firsts)
-                found, first, n = np.unique(pair_names(before, now), return_index=True, return_counts=True)
-                held.append((found, before[first], now[first], n))
+                found, first, count = np.unique(pair_names(before, now), return_index=True, return_counts=True)
+                held.append((found, before[first], now[first], count))
                 if sum(len(h[0]) for h in held) > HELD_PAIRS:
                     held = [merged()]
                     if len(held[0][0]) > HELD_PAIRS // 2:
-                        yield out(held[0])
+                        yield from out(held[0])
                         held = []
         if held:
-            yield out(merged())
-
-    return arrow_map(texts, run, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("c"))
-
-
-def looked_up(df: DataFrame, key: str, found: DataFrame, listed: DataFrame) -> DataFrame:
-    """df (a table) with the columns of found, a table by the column `key`, null where it has no row. listed: the few rows of the commonest keys.
-
-    Rows of the commonest keys meet a broadcast, so only those of other keys are shuffled.
-    """
-    names = found.drop(key).columns
-    near = df.join(F.broadcast(listed.withColumn("_listed", F.lit(True))), key, "left")
-    far = near.where("_listed is null").drop("_listed", *names).join(found, key, "left")
-    order = [*df.columns, *names]
-    return near.where("_listed").select(order).unionByName(far.select(order))
-
-
-def sweep_words(words: DataFrame, model: Spelling, tables: int, total: int, discount: float, context_discount: float, keep: bool, seed: int) -> DataFrame:
+            yield from out(merged())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = listed.value
+        as_word, as_context = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        row = lambda kind, u, w, c: pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), *(pa.array(x.astype(_U).view(np.int64)) for x in (u, w, c))], names=["kind", "u", "w", "c"])
+        for _, rows in grouped(batches, "bucket", ["a", "b", "n"]):
+            for kind, found in rows.items():
+                a, b = away(kind, names, [r[0] for r in found], [r[1] for r in found])
+                u, w = (a, b) if kind == BOTH else pair_hashes(kind, names, a, b)
+                _, first, back = np.unique(near_keys(a, b) if kind == BOTH else pair_names(u, w), return_index=True, return_inverse=True)
+                c = np.bincount(back, unpack([r[2] for r in found], np.uint32)).astype(np.int64)
+                first = first.astype(np.int64)
+                many, lone = first[c > 1], first[c == 1]
+                yield row(kind, u[many], w[many], c[c > 1])
+                if kind in (BOTH, WORD):
+                    as_word += np.bincount(b[lone], minlength=len(names))
+                if kind in (BOTH, CONTEXT):
+                    as_context += np.bincount(a[lone] if kind == BOTH else b[lone], minlength=len(names))
+                for side, is_word in ((u, False), (w, True)):
+                    if kind == NEITHER or kind == (CONTEXT if is_word else WORD):
+                        hashes, n_lone = np.unique(side[lone], return_counts=True)
+                        none = np.zeros(len(hashes), np.int64)
+                        yield row(ASKED, hashes, *((n_lone, none) if is_word else (none, n_lone)))
+        at = np.flatnonzero(as_word + as_context)
+        yield row(ASKED, names[at], as_word[at], as_context[at])
+
+    return arrow_map(gathered(arrow_map(texts, run, PARTS), "bucket", n), count, PAIRS)
+
+
+def rows_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Tuples as a batch of a schema of int, long and binary columns."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
+def sweep_words(words: DataFrame, shared: Broadcast, tables: int, total: int, discount: float, context_discount: float, keep: bool, seed: int) -> DataFrame:
     """The restaurant of words after a sweep, with the probability `now` of each in the state before it; if keep, p and b grow by that state's
-    probability of the word, and its weight of the parent after the word as a context."""
-    shared = words.sparkSession.sparkContext.broadcast(model)
+    probability of the word, and its weight of the parent after the word as a context. shared: the spelling."""
     names = [f.name for f in WORDS.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spelled = shared.value.probability(*spell(*binary_parts(batch.column(1))))
-            c, customers, t, held = (np.asarray(batch.column(i)) for i in (2, 3, 4, 5))
+            spelled = shared.value.probability(*spell(*binary_parts(batch.column("word"))))
+            c, customers, t, held = (np.asarray(batch.column(n)) for n in ("c", "customers", "t", "held"))
             fresh = (STRENGTH + discount * tables) * spelled
             p = (np.maximum(customers - discount * t, 0) + fresh) / (total + STRENGTH)
             b = (STRENGTH + context_discount * held) / (c + STRENGTH)
-            kept = [list(batch.column(i).to_pylist()) for i in (7, 8)]
+            kept = [states_in(batch.column(n)) for n in ("p", "b")]
             if keep:
-                kept = [[[*old, x] for old, x in zip(k, new.tolist(), strict=True)] for k, new in zip(kept, (p, b), strict=True)]
-            seated = seat_by_hash(customers, fresh, discount, np.asarray(batch.column(0)).view(_U), seed)
-            lists = [pa.array(k, pa.list_(pa.float64())) for k in kept]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(seated), batch.column(5), pa.array(p), *lists], names=names)
+                kept = [np.column_stack([old, new]) for old, new in zip(kept, (p, b), strict=True)]
+            seated = seat_by_hash(customers, fresh, discount, np.asarray(batch.column("hash")).view(_U), seed)
+            new = {"t": pa.array(seated), "now": pa.array(p)} | {n: pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * k.shape[1]), pa.array(k.ravel())) for n, k in zip(("p", "b"), kept, strict=True)}
+            yield pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(n) for n in names], names=names)
+
+    return arrow_map(words.select(names), run, WORDS)
+
 
-    return arrow_map(words, run, WORDS)
+def states_in(lists: pa.Array) -> np.ndarray:
+    """Lists of one length as rows."""
+    flat = np.asarray(lists.flatten())
+    return flat.reshape(len(lists), -1) if len(flat) else np.zeros((len(lists), 0))
 
 
-def sweep_pairs(pairs: DataFrame, words: DataFrame, listed: DataFrame, discount: float, keep: bool, seed: int) -> DataFrame:
-    """The context restaurants after a sweep; if keep, own grows by what the customers of the state before it weigh."""
-    side = lambda df, key, name: df.select(F.col("hash").alias(key), name)
-    near = pairs.join(F.broadcast(side(listed, "u", "held")), "u", "left").join(F.broadcast(side(listed, "w", "now")), "w", "left")
-    both = F.col("held").isNotNull() & F.col("now").isNotNull()
-    far = near.where(~both).select(*pairs.columns).join(side(words, "u", "held"), "u").join(side(words, "w", "now"), "w")
-    order = [*pairs.columns, "held", "now"]
-    about = near.where(both).select(order).unionByName(far.select(order))
+def sweep_pairs(near: DataFrame, far: DataFrame, words: DataFrame, shared: Broadcast, discount: float, keep: bool, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The context restaurants after a sweep, of pairs of listed words and of others; if keep, own grows by what the customers of the state
+    before it weigh. shared: hashes of listed words, their held and now."""
+    side = lambda key, name: words.where("moving and not listed").select(F.col("hash").alias(key), name)
+    state = ["kind", "u", "w", "c", "t", "own"]
+    by_context = far.where(F.col("kind").isin(WORD, NEITHER)).join(side("u", "held"), "u")
+    rest = far.where(F.col("kind") == CONTEXT).withColumn("held", F.lit(None).cast("long")).select(*state, "held").unionByName(by_context.where(F.col("kind") == NEITHER).select(*state, "held"))
+    about = by_context.where(F.col("kind") == WORD).select(*state, "held", F.lit(None).cast("double").alias("now")).unionByName(rest.join(side("w", "now"), "w").select(*state, "held", "now"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, all_held, all_now = shared.value
         for batch in batches:
-            u, w, c, t, own, held, now = (np.asarray(batch.column(i)) for i in range(7))
+            kind, u, w, c, t, own = (np.asarray(batch.column(i)) for i in range(6))
+            if batch.num_columns == 6:
+                hash_u, hash_w, held, now = names[u], names[w], all_held[u], all_now[w]
+            else:
+                hash_u, hash_w = u.view(_U), w.view(_U)
+                held, now = (batch.column(i).to_numpy(zero_copy_only=False) for i in (6, 7))
+                held = np.where(kind == CONTEXT, all_held[find(names, hash_u)[0]], held)
+                now = np.where(kind == WORD, all_now[find(names, hash_w)[0]], now)
             if keep:
                 own = own + np.maximum(c - discount * t, 0)
-            seated = seat_by_hash(c, (STRENGTH + discount * held) * now, discount, pair_names(u.view(_U), w.view(_U)), seed)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(seated), pa.array(own)], names=["u", "w", "c", "t", "own"])
+            seated = seat_by_hash(c, (STRENGTH + discount * held) * now, discount, pair_names(hash_u, hash_w), seed)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(seated), pa.array(own)], names=state)
+
+    schema = "kind int, u long, w long, c long, t long, own double"
+    return arrow_map(near.select(state), run, schema), arrow_map(about, run, schema)
+
 
-    return arrow_map(about.select("u", "w", "c", "t", "own", "held", "now"), run, "u long, w long, c long, t long, own double")
+def tables_by_word(near: DataFrame, far: DataFrame, listed: Broadcast) -> DataFrame:
+    """hash, x, y: the tables of each word in all contexts, and of each context, of pairs that occur more than once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = listed.value
+        x, y = np.zeros(len(names)), np.zeros(len(names))
+        for batch in batches:
+            u, w, t = (np.asarray(batch.column(i)) for i in range(3))
+            x += np.bincount(w, t, len(names))
+            y += np.bincount(u, t, len(names))
+        at = np.flatnonzero(x + y)
+        yield pa.RecordBatch.from_arrays([pa.array(names[at].view(np.int64)), pa.array(x[at].astype(np.int64)), pa.array(y[at].astype(np.int64))], names=["hash", "x", "y"])
 
-def tables_by_word(pairs: DataFrame) -> DataFrame:
-    """hash, as_word, as_context: the tables of each word in all contexts, and of each context."""
-    sides = pairs.select(F.explode(F.array(F.struct(F.col("w").alias("hash"), F.col("t").alias("x"), F.lit(0).cast("long").alias("y")), F.struct(F.col("u").alias("hash"), F.lit(0).cast("long").alias("x"), F.col("t").alias("y")))).alias("s"))
-    return sides.groupBy("s.hash").agg(F.sum("s.x").alias("as_word"), F.sum("s.y").alias("as_context"))
+    zero = F.lit(0).cast("long")
+    sides = far.select(F.explode(F.array(F.struct(F.col("w").alias("hash"), F.col("t").alias("x"), zero.alias("y")), F.struct(F.col("u").alias("hash"), zero.alias("x"), F.col("t").alias("y")))).alias("s")).select("s.*")
+    return arrow_map(near.select("u", "w", "t"), run, "hash long, x long, y long").unionByName(sides).groupBy("hash").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
 
 
 def spelling_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Cells and counts of the spellings of all tables of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def merged() -> tuple:
+            found, back = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            return found, np.bincount(back, np.concatenate([h[1] for h in held])).astype(np.int64)
+
         for batch in batches:
             cells, firsts = spell(*binary_parts(batch.column(0)))
             found, back = np.unique(cells, return_inverse=True)
-            n = np.bincount(back, np.repeat(np.asarray(batch.column(1)), np.diff(firsts)))
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["cell", "n"])
+            held.append((found, np.bincount(back, np.repeat(np.asarray(batch.column(1)), np.diff(firsts))).astype(np.int64)))
+            if sum(len(h[0]) for h in held) > 4 * HELD_PAIRS:
+                held = [merged()]
+        if held:
+            found, n = merged()
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["cell", "n"])
 
-    found = arrow_map(words.select("word", "t"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas()  # at most SYMBOLS ** 3 rows
-    return found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+    found = arrow_map(words.select("word", "t"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most SYMBOLS ** 3 rows
+    cells, n = (found[name].to_numpy() for name in ("cell", "n"))
+    order = np.argsort(cells)
+    return cells[order], n[order]
 
 
-#: Words: their tokens in training texts (c; as a context it has as many customers), customers and tables in the restaurant of words, tables as a
-#: context, probability in the last state, and by kept state probability as a word and weight of the parent as a context.
+#: Words: their tokens in training texts (c; as a context it has as many customers), pairs that occur once by word and by context (x0, y0), whether
+#: other pairs have it and whether it is listed, customers and tables in the restaurant of words, tables as a context, probability in the last
+#: state, and by kept state probability as a word and weight of the parent as a context.
 WORDS = T.StructType(
-    [T.StructField("hash", T.LongType()), T.StructField("word", T.BinaryType())] + [T.StructField(n, T.LongType()) for n in ("c", "customers", "t", "held")]
+    [T.StructField("hash", T.LongType()), T.StructField("word", T.BinaryType())] + [T.StructField(n, T.LongType()) for n in ("c", "x0", "y0")]
+    + [T.StructField(n, T.BooleanType()) for n in ("moving", "listed")] + [T.StructField(n, T.LongType()) for n in ("customers", "t", "held")]
     + [T.StructField("now", T.DoubleType())] + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("p", "b")]
 )
-#: Rows of texts (u is null) and of tokens (u, w) that wait for a join: n of them, with scale and back where both words were listed.
-SCORED = T.StructType(
+#: Messages: packed tokens, words, pairs and sums to a bucket or about a chunk (the row of its first text), and texts.
+MESSAGE = "bucket int, chunk long, kind int, a binary, b binary, c binary, d binary"
+TEXTS = T.StructType(
     [T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType())]
-    + [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known")]
-    + [T.StructField(n, T.DoubleType()) for n in ("base", "score")]
-    + [T.StructField(n, T.LongType()) for n in ("u", "w")] + [T.StructField(n, T.DoubleType()) for n in ("scale", "back")]
-    + [T.StructField("counted", T.BooleanType())]
+    + [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known")] + [T.StructField(n, T.DoubleType()) for n in ("base", "score")]
 )
+#: Tokens, and entries of sums, that a task holds before it sends them.
+HELD_TOKENS = 2_000_000
+
+
+def own_of(keys: np.ndarray, train: np.ndarray, known: np.ndarray, weights: np.ndarray, lone: float) -> np.ndarray:
+    """Own weights of the pairs of tokens. known, weights: sorted keys of pairs that occur more than once. Any other pair of a training text occurs
+    once, and one of a held-out text does if a training text of the same bucket, which has all its tokens, has it."""
+    at, found = find(known, keys)
+    own = np.where(found, weights[at] if len(weights) else 0.0, 0.0)
+    own[~found & train] = lone
+    open_ = np.flatnonzero(~found & ~train)
+    own[open_] = np.where(find(np.unique(keys[~found & train]), keys[open_])[1], lone, 0.0)
+    return own
+
+
+def side_parts(words: DataFrame, near: DataFrame, far: DataFrame, listed: Broadcast, n: int) -> DataFrame:
+    """Messages with the words that aren't listed (c, p, b) and with pairs and their own weights, to their buckets."""
+
+    def packed(columns: Callable[[pa.RecordBatch], tuple]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple] = []
+
+            def out() -> Iterator[pa.RecordBatch]:
+                kind, bucket, key, *rest = held[0][0], *(np.concatenate([h[i] for h in held]) for i in range(1, len(held[0])))
+                found = [(k, None, kind, rising(key[p]), *(pack(x[p].ravel()) for x in rest), *[None] * (3 - len(rest))) for k, p in parts_of(bucket, key)]
+                if found:
+                    yield rows_of(found, MESSAGE)
+
+            for batch in batches:
+                held.append(columns(batch))
+                if sum(len(h[1]) for h in held) > HELD_TOKENS // 4:
+                    yield from out()
+                    held = []
+            if held:
+                yield from out()
+
+        return run
+
+    def of_words(batch: pa.RecordBatch) -> tuple:
+        hashes = np.asarray(batch.column(0)).view(_U)
+        return WORDS_OF, dealt(hashes, n), hashes, np.asarray(batch.column(1)), states_in(batch.column(2)), states_in(batch.column(3))
+
+    def of_near(batch: pa.RecordBatch) -> tuple:
+        keys = near_keys(np.asarray(batch.column(0)), np.asarray(batch.column(1)))
+        return NEAR, dealt(keys, n), keys, np.asarray(batch.column(2))
+
+    def of_far(batch: pa.RecordBatch) -> tuple:
+        kind, u, w = np.asarray(batch.column(3)), *(np.asarray(batch.column(i)).view(_U) for i in (0, 1))
+        return FAR, dealt(np.where(kind == CONTEXT, w, u), n), pair_names(u, w), np.asarray(batch.column(2))
+
+    parts = ((words.select("hash", "c", "p", "b"), of_words), (near.select("u", "w", "own"), of_near), (far.select("u", "w", "own", "kind"), of_far))
+    first, *rest = (arrow_map(df, packed(columns), MESSAGE) for df, columns in parts)
+    for df in rest:
+        first = first.unionByName(df)
+    return first
 
 
 def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", held_out: Column | None = None, head: int = HEAD, known_words: int = KNOWN_WORDS, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int = 5) -> DataFrame:
@@ -403,6 +627,7 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     The model learns from the rows that are not held out. base_score: add-one unigram probabilities.
     """
     spark = docs.sparkSession
+    send = spark.sparkContext.broadcast
     held_out = in_fold(F.col(f"`{id_col}`")) if held_out is None else held_out
     train = docs.where(~held_out).select(F.col(f"`{text_col}`").alias("text"))
     known = written(word_counts(train), "lm-words")
@@ -410,129 +635,265 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     n_words, n_types = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c")).first()
     train_tokens, types = n_words + n_texts, n_types + (n_texts > 0)
     unit = train_tokens + types + 1
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), train_tokens >> 21)  # buckets
+
+    # The listed words: the commonest, and the end.
+    end = spark.range(1).select(F.lit(END).cast("long").alias("hash"), F.lit(b"").alias("word"), F.lit(n_texts).cast("long").alias("c"))
+    known = known.unionByName(end)
+    is_listed = common(known, known_words) | (F.col("hash") == END)
+    few = known.where(is_listed).select("hash", "c").toArrow()
+    names = few["hash"].to_numpy().view(_U)
+    by_name = np.argsort(names)
+    names, counts = names[by_name], few["c"].to_numpy()[by_name]
+    listed = send(names)
 
     # Pairs. One that occurs once has one table whatever the state, so sweeps leave it out.
-    pairs = written(pair_counts(train), "lm-pairs")
-    ones, twos = pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    pairs = written(pair_counts(train, listed, n), "lm-pairs")
+    ones, twos = pairs.agg(F.coalesce(F.sum(F.when(F.col("kind") == ASKED, F.col("w"))), F.lit(0)), F.count_if((F.col("kind") != ASKED) & (F.col("c") == 2))).first()
     context_discount = discount_of(ones, twos)
-    lone = pairs.where("c = 1").select("u", "w", "c", F.lit(1).cast("long").alias("t"))
-    lone_tables = written(tables_by_word(lone), "lm-lone")
-    many = written(pairs.where("c > 1").select("u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("own")), "lm-many")
+    state = pairs.select("kind", "u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("own"))
+    near, far = state.where(F.col("kind") == BOTH), state.where(F.col("kind").isin(WORD, CONTEXT, NEITHER))
 
-    def seated(words: DataFrame, many: DataFrame) -> DataFrame:
-        """words with their customers and tables by the seating of pairs."""
-        both = lone_tables.unionByName(tables_by_word(many)).groupBy("hash").agg(F.sum("as_word").alias("x"), F.sum("as_context").alias("y"))
-        found = words.drop("customers", "held").join(both, "hash", "left").withColumns({"customers": F.coalesce("x", F.lit(0)).cast("long"), "held": F.coalesce("y", F.lit(0)).cast("long")})
-        return found.select(WORDS.names)
-
-    end = spark.range(1).select(F.lit(END).cast("long").alias("hash"), F.lit(b"").alias("word"), F.lit(n_texts).cast("long").alias("c"))
-    none = F.array().cast("array<double>")
     zero = F.lit(0).cast("long")
-    words = known.unionByName(end).select("hash", "word", "c", zero.alias("customers"), F.lit(1).cast("long").alias("t"), zero.alias("held"), F.lit(0.0).alias("now"), none.alias("p"), none.alias("b"))
-    words = written(seated(words, many).withColumn("t", F.least("customers", F.lit(1)).cast("long")), "lm-rest")
-    is_listed_word = common(words, known_words) | (F.col("hash") == END)  # by the counts of words, which stay
-    listed_words = lambda: words.where(is_listed_word)
+    none = F.array().cast("array<double>")
+    lone = pairs.where(F.col("kind") == ASKED).select(F.col("u").alias("hash"), F.col("w").alias("x0"), F.col("c").alias("y0"), zero.alias("x"), zero.alias("y"))
+    many = tables_by_word(near, far, listed).select("hash", zero.alias("x0"), zero.alias("y0"), "x", "y")
+    both = lone.unionByName(many).groupBy("hash").agg(*(F.sum(c).alias(c) for c in ("x0", "y0", "x", "y")))
+    words = known.withColumn("listed", is_listed).join(both, "hash", "left").na.fill(0, ["x0", "y0", "x", "y"])
+    words = words.withColumns({"moving": F.col("x") + F.col("y") > 0, "customers": F.col("x0") + F.col("x"), "held": F.col("y0") + F.col("y"), "now": F.lit(0.0), "p": none, "b": none})
+    words = written(words.withColumn("t", F.least("customers", F.lit(1)).cast("long")).select(WORDS.names), "lm-rest")
+
+    def seated(words: DataFrame, tables: DataFrame) -> DataFrame:
+        """words with their customers and tables by the seating of pairs; those of pairs that occur once stay as they are."""
+        moved = words.where("moving").join(tables, "hash", "left")
+        moved = moved.withColumns({"customers": F.col("x0") + F.coalesce("x", zero), "held": F.col("y0") + F.coalesce("y", zero)})
+        return words.where("not moving").unionByName(moved.select(WORDS.names))
+
+    def by_listed(columns: list[str]) -> list[np.ndarray]:
+        """Columns of the listed words, in the order of names."""
+        found = words.where("listed").select("hash", *columns).toArrow().combine_chunks()
+        order = np.argsort(found["hash"].to_numpy().view(_U))
+        return [(states_in(pa.concat_arrays(found[c].chunks)) if pa.types.is_list(found[c].type) else found[c].to_numpy())[order] for c in columns]
 
     # Gibbs sweeps over all restaurants.
     rng = np.random.default_rng(seed)
-    ones, twos = words.agg(F.count_if(F.col("customers") == 1), F.count_if(F.col("customers") == 2)).first()
-    discount, states, model = discount_of(ones, twos), 0, None
+    ones, twos, total, lone_total = words.agg(F.count_if(F.col("customers") == 1), F.count_if(F.col("customers") == 2), F.sum("customers"), F.sum("x0")).first()
+    discount, states, model, sums = discount_of(ones, twos), 0, None, None
     for s in range(sweeps):
-        total, tables = words.agg(F.sum("customers"), F.sum("t")).first()
+        tables = words.agg(F.sum("t")).first()[0]
         model = Spelling(*spelling_counts(words), rng, model)
         keep = s >= burn_in
         states += keep
-        last, words = words, written(sweep_words(words, model, tables, total, discount, context_discount, keep, 2 * s + seed * 1000), "lm-rest")
-        forget(last)
-        last, many = many, written(sweep_pairs(many, words, listed_words(), context_discount, keep, 2 * s + 1 + seed * 1000), "lm-many")
-        forget(last)
+        spelling = send(model)
+        last, words = words, written(sweep_words(words if sums is None else seated(words, sums), spelling, tables, total, discount, context_discount, keep, 2 * s + seed * 1000), "lm-rest")
+        spelling.destroy()
+        for table in (last, *([sums] if sums is not None else [])):
+            forget(table)
+        values = send((names, *by_listed(["held", "now"])))
+        last = near, far
+        near, far = (written(x, "lm-many") for x in sweep_pairs(near, far, words, values, context_discount, keep, 2 * s + 1 + seed * 1000))
+        values.destroy()
+        for table in last if s else [pairs]:
+            forget(table)
         if s < sweeps - 1:
-            last, words = words, written(seated(words, many), "lm-rest")
-            forget(last)
+            sums = written(tables_by_word(near, far, listed), "lm-sums")
+            total = lone_total + (sums.agg(F.sum("x")).first()[0] or 0)
 
     # What no known word has of the states, and the commonest words and pairs for broadcasts of bounded length.
     left = words.agg(*(F.sum(F.col("p")[i]) for i in range(states))).first()
-    unknown = [max(1 - x, 1e-12) for x in left]
-    own = lone.select("u", "w", "c", F.lit(1 - context_discount).alias("own")).unionByName(many.select("u", "w", "c", (F.col("own") / states).alias("own")))
-    each = [F.col(c)[i].alias(f"{c}{i}") for c in ("p", "b") for i in range(states)]
-    listed = words.where(is_listed_word).select("hash", "c", *each).toPandas()
-    names = listed["hash"].to_numpy(np.int64).view(_U)
-    by_name = np.argsort(names)
-    stack = lambda c: listed[[f"{c}{i}" for i in range(states)]].to_numpy(float)[by_name]
-    frequent = many.where(common(many, head)).select("u", "w", (F.col("own") / states).alias("own")).toPandas()
-    pair_keys = pair_names(*(frequent[c].to_numpy(np.int64).view(_U) for c in ("u", "w")))
-    by_pair = np.argsort(pair_keys)
-    table = (names[by_name], listed["c"].to_numpy(np.int64)[by_name], stack("p"), stack("b"), pair_keys[by_pair], frequent["own"].to_numpy(float)[by_pair], unit, n_texts)
-    shared = spark.sparkContext.broadcast(table)
-
-    def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return at, keys[at] == wanted
+    unknown = np.array([max(1 - x, 1e-12) for x in left])
+    p, b = by_listed(["p", "b"])
+    near, far = (x.withColumn("own", F.col("own") / states) for x in (near, far))
+    is_head = common(near, head)
+    frequent = near.where(is_head).select("u", "w", "own").toArrow()
+    keys = near_keys(frequent["u"].to_numpy(), frequent["w"].to_numpy())
+    by_key = np.argsort(keys)
+    shared = send((names, counts, p, b, keys[by_key], frequent["own"].to_numpy()[by_key]))
+
+    id_type = docs.schema[id_col].dataType
+    text_fields = T.StructType([T.StructField(f.name, id_type if f.name == "doc_id" else f.dataType) for f in TEXTS.fields])
+    schema = T.StructType([*T.StructType.fromDDL(MESSAGE).fields, *text_fields.fields])
+    text_names, parts = TEXTS.names, [x.split()[0] for x in MESSAGE.split(", ")]
+
+    def tokens_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts with the sums of the tokens whose words and pair are broadcast, and packed messages with all other tokens."""
+        names, counts, p, b, keys, own = shared.value
+        held: list[tuple] = []
+        chunk, types = None, None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            u, w, kinds, at_u, at_w, text = (np.concatenate([h[i] for h in held]) for i in range(6))
+            number = np.arange(len(u), dtype=np.uint32)
+            for kind in range(4):
+                at = np.flatnonzero(kinds == kind)
+                bucket, x, y = home(kind, names, u[at], w[at], at_u[at], at_w[at], n)
+                found = [(k, chunk, kind, rising(x[q]), pack(y[q]), pack(text[at[q]]), pack(number[at[q]]) if kind == NEITHER else None) for k, q in parts_of(bucket, y, x)]
+                if kind == NEITHER:
+                    found += [(k, chunk, ASKED, rising(w[at[q]]), None, pack(text[at[q]]), pack(number[at[q]])) for k, q in parts_of(dealt(w[at], n), w[at])]
+                if found:
+                    rows = rows_of(found, MESSAGE)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.nulls(len(found), k) for k in types)], names=[*parts, *text_names])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts, p, b, pair_keys, own, unit, n_texts = shared.value
         for batch in batches:
             for piece, texts in pieces(batch, 3):
+                rows = np.asarray(piece.column(0))
+                chunk = int(rows[0]) if chunk is None else chunk
                 *_, firsts, hashes = read(texts)
                 ends = firsts + np.arange(len(firsts))
                 before, now = transitions(hashes, firsts)
-                at, is_listed = find(names, now)
-                base = np.where(is_listed, np.log10((counts[at] + 1) / unit), 0.0)
+                kinds, at_u, at_w = kinds_of(names, before, now)
+                is_listed = (kinds == BOTH) | (kinds == WORD)
+                base = np.where(is_listed, np.log10((counts[at_w] + 1) / unit), 0.0)
                 end = np.zeros(len(now), bool)
                 end[ends[1:] - 1] = True
                 is_known = is_listed & (~end | (n_texts > 0))
-                at_u, u_listed = find(names, before)
-                both = is_listed & u_listed
-                scale = 1 / (counts[at_u] + STRENGTH)
-                back = (p[at] * b[at_u]).mean(1)
-                at_pair, paired = find(pair_keys, pair_names(before, now))
-                done = both & paired
+                at, paired = find(keys, near_keys(at_u, at_w))
+                done = np.flatnonzero((kinds == BOTH) & paired)
                 score = np.zeros(len(now))
-                score[done] = np.log10(own[at_pair[done]] * scale[done] + back[done])
-                n = len(ends) - 1
-                text_rows = [
-                    *piece.columns[:3], pa.array(np.diff(ends)), pa.array(tokens.per_text(is_known.astype(np.int64), ends)), pa.array(tokens.per_text(base, ends)), pa.array(tokens.per_text(score, ends)),
-                    *(pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())),
-                ]
-                yield pa.RecordBatch.from_arrays(text_rows, names=SCORED.names)
-                open_ = np.flatnonzero(~done)
-                if len(open_):
-                    owner = np.searchsorted(ends, open_, "right") - 1
-                    m, away = len(open_), ~both[open_]
-                    waiting = [
-                        pa.array(np.asarray(piece.column(0))[owner]), *(pa.nulls(m, k) for k in (piece.column(1).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())),
-                        pa.array(before[open_].view(np.int64)), pa.array(now[open_].view(np.int64)), pa.array(scale[open_], mask=away), pa.array(back[open_], mask=away), pa.array(is_listed[open_]),
-                    ]
-                    yield pa.RecordBatch.from_arrays(waiting, names=SCORED.names)
+                score[done] = np.log10(own[at[done]] / (counts[at_u[done]] + STRENGTH) + (p[at_w[done]] * b[at_u[done]]).mean(1))
+                m = len(ends) - 1
+                sums = [pa.array(np.diff(ends)), *(pa.array(tokens.per_text(x, ends)) for x in (is_known.astype(np.int64), base, score))]
+                types = [piece.column(0).type, piece.column(1).type, pa.bool_(), *(x.type for x in sums)]
+                packed = [pa.array(rows % n, pa.int32()), pa.array(np.full(m, chunk)), pa.array(np.full(m, TEXT, np.int32)), *(pa.nulls(m, pa.binary()) for _ in range(4))]
+                yield pa.RecordBatch.from_arrays([*packed, *piece.columns[:3], *sums], names=[*parts, *text_names])
+                open_ = np.ones(len(now), bool)
+                open_[done] = False
+                # Twice the text's number in its chunk, and one if it is held out.
+                text = np.repeat((2 * (rows - chunk) + np.asarray(piece.column(2).cast(pa.int8()))).astype(np.uint32), np.diff(ends))
+                held.append(tuple(x[open_] for x in (before, now, kinds, at_u, at_w, text)))
+                if sum(len(h[0]) for h in held) > HELD_TOKENS:
+                    yield from out()
+                    held, chunk = [], None
+        if held:
+            yield from out()
+
+    lone_own = 1 - context_discount
+
+    def in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The tokens of each bucket with the words and pairs of it: sums by text; of pairs of kind NEITHER each side of the token."""
+        names, counts, p, b, *_ = shared.value
+        types: list = []
+
+        def messages(found: list[tuple]) -> pa.RecordBatch:
+            rows = rows_of(found, MESSAGE)
+            return pa.RecordBatch.from_arrays([*rows.columns, *(pa.nulls(len(found), k) for k in types)], names=[*parts, *text_names])
+
+        def packed_only(batches: Iterator[pa.RecordBatch], texts: list) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                types[:] = [batch.column(k).type for k in text_names]
+                is_text = np.asarray(batch.column("kind")) == TEXT
+                if is_text.any():
+                    texts.append(batch.filter(pa.array(is_text)))
+                yield batch.filter(pa.array(~is_text))
+
+        texts: list[pa.RecordBatch] = []
+        for bucket, rows in grouped(packed_only(batches, texts), "bucket", ["chunk", "a", "b", "c", "d"]):
+            yield from texts
+            texts.clear()
+            column = lambda kind, i: [r[i] for r in rows.get(kind, [])]
+            words = unpack_rising(column(WORDS_OF, 1), _U)
+            order = np.argsort(words)
+            words, c_of = words[order], unpack(column(WORDS_OF, 2), np.int64)[order]
+            p_of, b_of = (unpack(column(WORDS_OF, i), float).reshape(-1, states)[order] for i in (3, 4))
+            pairs_of = {}
+            for kind in (NEAR, FAR):
+                found = unpack_rising(column(kind, 1), _U)
+                order = np.argsort(found)
+                pairs_of[kind] = found[order], unpack(column(kind, 2), float)[order]
+
+            def as_context(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                at, ok = find(words, u)
+                if not len(words):
+                    return np.ones(len(u)), np.ones((len(u), states))
+                return 1 / (np.where(ok, c_of[at], 0) + STRENGTH), np.where(ok[:, None], b_of[at], 1.0)
+
+            def as_word(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                at, ok = find(words, w)
+                if not len(words):
+                    return np.zeros(len(w), np.int64), np.tile(unknown, (len(w), 1))
+                return np.where(ok, c_of[at], 0), np.where(ok[:, None], p_of[at], unknown)
+
+            sums: list[tuple] = []
+            for kind in range(ASKED + 1):
+                if kind not in rows:
+                    continue
+                sizes = [len(x) // 4 for x in column(kind, 3)]
+                chunks = np.repeat(np.array(column(kind, 0), np.int64), sizes)
+                text = unpack(column(kind, 3), np.uint32).astype(np.int64)
+                row, is_train = chunks + text // 2, text % 2 == 0
+                if kind == ASKED:
+                    c_w, shares = as_word(unpack_rising(column(kind, 1), _U))
+                    more = np.zeros(len(row))
+                else:
+                    x, y = away(kind, names, column(kind, 1), column(kind, 2))
+                    u, w = pair_hashes(kind, names, x, y)
+                    own = own_of(near_keys(x, y), is_train, *pairs_of[NEAR], lone_own) if kind == BOTH else own_of(pair_names(u, w), is_train, *pairs_of[FAR], lone_own)
+                    scale, weights = (1 / (counts[x] + STRENGTH), b[x]) if kind == BOTH else (1 / (counts[y] + STRENGTH), b[y]) if kind == CONTEXT else as_context(u)
+                    c_w, shares = (None, p[y]) if kind in (BOTH, WORD) else as_word(w) if kind == CONTEXT else (None, None)
+                if kind in (NEITHER, ASKED):
+                    number, cut = unpack(column(kind, 4), np.uint32), np.concatenate([[0], np.cumsum(sizes)])
+                    value = [number, own * scale, weights] if kind == NEITHER else [number, shares, text.astype(np.uint32)]
+                    if kind == NEITHER:
+                        value = [*value, text.astype(np.uint32)]
+                        yield messages([(bucket, k, kind, pack(number[i:j]), pack(value[1][i:j]), pack(weights[i:j].ravel()), pack(value[3][i:j])) for k, i, j in zip(column(kind, 0), cut, cut[1:], strict=False)])
+                    else:
+                        yield messages([(bucket, k, kind, pack(number[i:j]), pack(shares[i:j].ravel()), None, None) for k, i, j in zip(column(kind, 0), cut, cut[1:], strict=False)])
+                else:
+                    more = np.log10(own * scale + (weights * shares).mean(1))
+                if kind != NEITHER:
+                    some = c_w is not None
+                    sums.append((chunks, row, more, np.log10((c_w + 1) / unit) if some else np.zeros(len(row)), (c_w > 0).astype(float) if some else np.zeros(len(row))))
+            if sums:
+                chunks, row, *values = (np.concatenate([x[i] for x in sums]) for i in range(5))
+                row, first, back = np.unique(row, return_index=True, return_inverse=True)
+                values = [np.bincount(back, v, len(row)) for v in values]
+                chunks = chunks[first]
+                cut = np.concatenate([[0], np.flatnonzero(np.diff(chunks)) + 1, [len(chunks)]])
+                yield messages([(bucket, int(chunks[i]), SUMS, rising((row[i:j] - chunks[i]).astype(np.uint32)), *(pack(v[i:j]) for v in values)) for i, j in zip(cut, cut[1:], strict=False)])
+        yield from texts
+
+    def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts of each chunk with all sums of their tokens."""
+        texts: dict[int, list] = {}
+
+        def packed_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                is_text = np.asarray(batch.column("kind")) == TEXT
+                found = batch.filter(pa.array(is_text))
+                if len(found):
+                    chunks = np.asarray(found.column("chunk"))
+                    cut = np.concatenate([[0], np.flatnonzero(np.diff(chunks)) + 1, [len(chunks)]])
+                    for i, j in zip(cut, cut[1:], strict=False):
+                        texts.setdefault(int(chunks[i]), []).append(found.slice(i, j - i).select(text_names))
+                # One row of each chunk stays, so that a chunk of texts alone is seen.
+                keep = ~is_text
+                keep[np.unique(np.asarray(batch.column("chunk")), return_index=True)[1]] = True
+                yield batch.filter(pa.array(keep))
+
+        for chunk, rows in grouped(packed_only(batches), "chunk", ["a", "b", "c", "d"]):
+            found = pa.Table.from_batches(texts.pop(chunk)).sort_by("row")
+            at = found["row"].to_numpy() - chunk
+            more, base, known = np.zeros((3, int(at.max()) + 1))
+            for a, *values in rows.get(SUMS, []):
+                i = unpack_rising([a], np.uint32)
+                for total, v in zip((more, base, known), values, strict=True):
+                    total[i] += unpack([v], float)
+            if NEITHER in rows:
+                column = lambda kind, i: [r[i] for r in rows[kind]]
+                order, asked = (np.argsort(unpack(column(k, 0), np.uint32)) for k in (NEITHER, ASKED))
+                weights, shares = unpack(column(NEITHER, 2), float).reshape(-1, states)[order], unpack(column(ASKED, 1), float).reshape(-1, states)[asked]
+                value = np.log10(unpack(column(NEITHER, 1), float)[order] + (weights * shares).mean(1))
+                more += np.bincount(unpack(column(NEITHER, 3), np.uint32)[order] // 2, value, len(more))
+            added = {"n_known": known.astype(np.int64), "base": base, "score": more}
+            columns = [pa.array(found[k].to_numpy() + added[k][at]) if k in added else found[k].combine_chunks() for k in text_names]
+            yield from pa.Table.from_arrays(columns, names=text_names).to_batches()
 
-    id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField(f.name, id_type if f.name == "doc_id" else f.dataType) for f in SCORED.fields])
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), held_out.alias("held_out"), F.col(f"`{text_col}`").alias("text"))
-    scored = written(arrow_map(numbered, run, schema), "lm-scored")
-
-    # Tokens with a word that isn't listed get its values by joins, then all that wait the weight of their pair.
-    waiting = scored.where("u is not null").select("row", "u", "w", "scale", "back", "counted")
-    rare = waiting.where("back is null").select("row", "u", "w", "counted")
-    about = words.select("hash", "c", "p", "b")
-    few = listed_words().select("hash", "c", "p", "b")
-    side = lambda df, key, c, x, name: df.select(F.col("hash").alias(key), F.col("c").alias(c), F.col(x).alias(name))
-    rare = looked_up(rare, "u", side(about, "u", "c_u", "b", "weights"), side(few, "u", "c_u", "b", "weights"))
-    rare = looked_up(rare, "w", side(about, "w", "c_w", "p", "shares"), side(few, "w", "c_w", "p", "shares"))
-    weights = F.coalesce("weights", F.array(*(F.lit(1.0) for _ in range(states))))
-    shares = F.coalesce("shares", F.array(*(F.lit(float(x)) for x in unknown)))
-    back = sum((weights[i] * shares[i] for i in range(1, states)), weights[0] * shares[0]) / F.lit(float(states))
-    rare = rare.select("row", "u", "w", (1 / (F.coalesce("c_u", F.lit(0)) + F.lit(STRENGTH))).alias("scale"), back.alias("back"), F.when(F.col("counted"), None).otherwise(F.coalesce("c_w", F.lit(0))).alias("c_w"))
-    tokens_left = waiting.where("back is not null").select("row", "u", "w", "scale", "back", F.lit(None).cast("long").alias("c_w")).unionByName(rare)
-    found = tokens_left.join(own.select("u", "w", "own"), ["u", "w"], "left").groupBy("row").agg(
-        F.sum(F.when(F.col("c_w") > 0, 1).otherwise(0)).alias("known"),
-        F.sum(F.when(F.col("c_w").isNotNull(), F.log10((F.col("c_w") + 1) / F.lit(float(unit)))).otherwise(0.0)).alias("more_base"),
-        F.sum(F.log10(F.coalesce("own", F.lit(0.0)) * F.col("scale") + F.col("back"))).alias("more"),
-    )
-    out = scored.where("u is null").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").join(found, "row", "left")
-    score = F.col("score") + F.coalesce("more", F.lit(0.0))
+    sides = side_parts(words.where("not listed"), near.where(~is_head), far, listed, n)
+    sent = arrow_map(numbered, tokens_out, schema).unionByName(sides, allowMissingColumns=True)
+    replies = arrow_map(gathered(sent, "bucket", n), in_buckets, schema)
+    out = arrow_map(gathered(replies, "chunk", n), by_text, text_fields)
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )
