@@ -563,6 +563,24 @@ def test_scores_do_not_depend_on_the_layout(spark, docs):
     assert found[0] == found[1]
 
 
+def test_lm_writes_no_row_per_token(spark, monkeypatch):
+    """Tokens that wait for a word or a pair go packed; tables hold words and pairs only, however often they occur."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(300))) for i in range(100)], DOCS)
+    rows = []
+
+    def counted(table, what):
+        out = frames_written(table, what)
+        rows.append((out.count(), what))
+        return out
+
+    frames_written = pitman_yor.written
+    monkeypatch.setattr(pitman_yor, "written", counted)
+    assert pitman_yor.score_texts(df, known_words=5, head=3, sweeps=2, burn_in=1).count() == 100
+    assert max(rows)[0] <= 61 * 61 + 61 < 30_100, max(rows)
+
+
 # 2, 3, 6, 8, 9, 10 with texts of megabytes
 def test_texts_of_megabytes(spark):
     rng = random.Random(31)

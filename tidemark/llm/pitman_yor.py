@@ -15,10 +15,13 @@ dishes with one and two customers. The draws of a dish depend on the seed, its c
 Words that no training text has are one type, as for the base score: its probability is that of all spellings
 that no known word has, what the known words leave of the whole.
 
-What is counted is counted over all training texts: words, and pairs of a context and a word. Both stay tables, which grow with the corpus;
-pairs that occur once have one table in every state, so sweeps go over the others. Contexts and words of a pair are looked up in a broadcast
-of the commonest `known_words` and else joined, so hot words are not shuffled. On the driver are at most 258 ** 3 spelling cells and those
-lookups. Scoring takes the commonest words and the `head` commonest pairs from broadcasts; all others go through joins.
+What is counted is counted over all training texts: words, and pairs of a context and a word. Both stay tables, which grow with the corpus.
+Pairs that occur once have one table in every state, as have words with one customer of such a pair, so sweeps go over the others. The commonest
+`known_words` are listed: their values are broadcast, so pairs of two listed words are swept without a shuffle and the others meet the
+words that aren't listed by joins. To be counted, and to be scored, pairs go packed to buckets: those of listed words, which may be hot, by the
+pair, others by the word that isn't listed. In its bucket a token finds its pair and that word; sums by text come back, packed too. Of a
+token with two words that aren't listed each side is found in the bucket of its word. On the driver are at most 258 ** 3 spelling cells, the
+listed words and the `head` commonest pairs, of which tokens are scored without a message.
 
 Defined cases: null counts as the empty text, which has one token, the end. A null id trains (its crc32 is that of the empty
 string). Repeated rows are scored, and train, as often as they occur. Without training texts every score is that of an empty
@@ -310,24 +313,48 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
+class Places:
+    """find() in sorted hashes by a table over their first bits, faster for many that are wanted."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = min(22, max(8, int(len(keys)).bit_length() + 2))
+        self.keys, self.shift = keys, _U(64 - bits)
+        starts = np.searchsorted(keys >> self.shift, np.arange(2**bits + 1, dtype=_U))
+        self.starts, self.longest = np.minimum(starts[:-1], max(len(keys) - 1, 0)).astype(np.int32), int(np.diff(starts).max())
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return find(self.keys, wanted)
+        at = self.starts[wanted >> self.shift]
+        found = self.keys[at]
+        ok = found == wanted
+        open_ = np.flatnonzero(found < wanted)
+        for _ in range(self.longest - 1):
+            at[open_] = np.minimum(at[open_] + 1, len(self.keys) - 1)
+            found = self.keys[at[open_]]
+            ok[open_] = found == wanted[open_]
+            open_ = open_[found < wanted[open_]]
+        return at, ok
+
+
 def near_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Keys of pairs of listed words, given by their numbers."""
     return (u.astype(_U) << _U(32)) | w.astype(_U)
 
 
-def kinds_of(names: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The kind of each pair, and the numbers of its context and word among the listed ones. names: the sorted hashes of listed words."""
-    (at_u, u_listed), (at_w, w_listed) = find(names, u), find(names, w)
-    return np.where(u_listed, np.where(w_listed, BOTH, CONTEXT), np.where(w_listed, WORD, NEITHER)), at_u.astype(np.uint32), at_w.astype(np.uint32)
+def kinds_of(u_listed: np.ndarray, w_listed: np.ndarray) -> np.ndarray:
+    """The kind of each pair, by whether its context and its word are listed."""
+    return np.where(u_listed, np.where(w_listed, BOTH, CONTEXT), np.where(w_listed, WORD, NEITHER))
 
 
 def dealt(hashes: np.ndarray, n: int) -> np.ndarray:
-    return (tokens.mix(hashes + _U(0x2545F4914F6CDD1D)) % _U(n)).astype(np.int64)
+    """Buckets by ranges of hashes: what is sorted by hash is sorted by bucket."""
+    return (((hashes >> _U(32)) * _U(n)) >> _U(32)).astype(np.int64)
 
 
-def parts_of(bucket: np.ndarray, *keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each bucket with its places, sorted by the keys, the last one first."""
-    order = np.lexsort((*keys, bucket))
+def parts_of(bucket: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with its places, sorted by the key: numbers of listed words, or hashes by which buckets are dealt."""
+    order = np.argsort((bucket.astype(_U) << _U(32)) | key if key.itemsize == 4 else key)
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     for part in np.split(order, cuts) if len(order) else []:
         yield int(bucket[part[0]]), part
@@ -337,7 +364,7 @@ def home(kind: int, names: np.ndarray, u: np.ndarray, w: np.ndarray, at_u: np.nd
     """Buckets of pairs of one kind with the two columns that name them. A pair goes to the bucket of its word that isn't listed, of two
     to that of the context; pairs of listed words, which may be hot, go by the pair."""
     if kind == BOTH:
-        return dealt(near_keys(at_u, at_w), n), at_u, at_w
+        return dealt(tokens.mix(near_keys(at_u, at_w)), n), at_u, at_w
     if kind == CONTEXT:
         return dealt(w, n), w, at_u
     return dealt(u, n), u, at_w if kind == WORD else w
@@ -382,7 +409,7 @@ def pair_counts(texts: DataFrame, listed: Broadcast, n: int) -> DataFrame:
     """PAIRS of the one text column of texts. The pairs of many texts go packed to n buckets, which count them. listed: sorted hashes of listed words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = listed.value
+        names, places = listed.value, Places(listed.value)
         held: list[tuple] = []
 
         def merged() -> tuple:
@@ -392,11 +419,12 @@ def pair_counts(texts: DataFrame, listed: Broadcast, n: int) -> DataFrame:
 
         def out(x: tuple) -> Iterator[pa.RecordBatch]:
             _, u, w, count = x
-            kinds, at_u, at_w = kinds_of(names, u, w)
+            (at_u, u_listed), (at_w, w_listed) = places.find(u), places.find(w)
+            kinds, at_u, at_w = kinds_of(u_listed, w_listed), at_u.astype(np.uint32), at_w.astype(np.uint32)
             for kind in range(4):
                 at = np.flatnonzero(kinds == kind)
                 bucket, a, b = home(kind, names, u[at], w[at], at_u[at], at_w[at], n)
-                found = [(k, kind, rising(a[p]), pack(b[p]), pack(count[at[p]].astype(np.uint32))) for k, p in parts_of(bucket, b, a)]
+                found = [(k, kind, rising(a[p]), pack(b[p]), pack(count[at[p]].astype(np.uint32))) for k, p in parts_of(bucket, a)]
                 if found:
                     yield rows_of(found, PARTS)
 
@@ -471,6 +499,26 @@ def sweep_words(words: DataFrame, shared: Broadcast, tables: int, total: int, di
     return arrow_map(words.select(names), run, WORDS)
 
 
+def kept_words(words: DataFrame, kept: list[tuple[Broadcast, int, int]], discount: float, context_discount: float) -> DataFrame:
+    """hash, c, p, b of words with one customer, and one table, in every kept state. kept: the spelling, tables and customers of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, firsts = spell(*binary_parts(batch.column(1)))
+            c, held = (np.asarray(batch.column(i)) for i in (2, 3))
+            p = np.column_stack([(1 - discount + (STRENGTH + discount * tables) * model.value.probability(cells, firsts)) / (total + STRENGTH) for model, tables, total in kept])
+            b = np.repeat((STRENGTH + context_discount * held) / (c + STRENGTH), len(kept))
+            ends = pa.array(np.arange(len(c) + 1, dtype=np.int32) * len(kept))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (p.ravel(), b))], names=["hash", "c", "p", "b"])
+
+    return arrow_map(words.select("hash", "word", "c", "held"), run, "hash long, c long, p array<double>, b array<double>")
+
+
+def added_cells(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    cells, back = np.unique(np.concatenate([x[0], y[0]]), return_inverse=True)
+    return cells, np.bincount(back, np.concatenate([x[1], y[1]]), len(cells)).astype(np.int64)
+
+
 def states_in(lists: pa.Array) -> np.ndarray:
     """Lists of one length as rows."""
     flat = np.asarray(lists.flatten())
@@ -607,12 +655,12 @@ def side_parts(words: DataFrame, near: DataFrame, far: DataFrame, listed: Broadc
         return WORDS_OF, dealt(hashes, n), hashes, np.asarray(batch.column(1)), states_in(batch.column(2)), states_in(batch.column(3))
 
     def of_near(batch: pa.RecordBatch) -> tuple:
-        keys = near_keys(np.asarray(batch.column(0)), np.asarray(batch.column(1)))
+        keys = tokens.mix(near_keys(np.asarray(batch.column(0)), np.asarray(batch.column(1))))
         return NEAR, dealt(keys, n), keys, np.asarray(batch.column(2))
 
     def of_far(batch: pa.RecordBatch) -> tuple:
         kind, u, w = np.asarray(batch.column(3)), *(np.asarray(batch.column(i)).view(_U) for i in (0, 1))
-        return FAR, dealt(np.where(kind == CONTEXT, w, u), n), pair_names(u, w), np.asarray(batch.column(2))
+        return FAR, dealt(of := np.where(kind == CONTEXT, w, u), n), of, pair_names(u, w), np.asarray(batch.column(2))
 
     parts = ((words.select("hash", "c", "p", "b"), of_words), (near.select("u", "w", "own"), of_near), (far.select("u", "w", "own", "kind"), of_far))
     first, *rest = (arrow_map(df, packed(columns), MESSAGE) for df, columns in parts)
@@ -661,7 +709,11 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     both = lone.unionByName(many).groupBy("hash").agg(*(F.sum(c).alias(c) for c in ("x0", "y0", "x", "y")))
     words = known.withColumn("listed", is_listed).join(both, "hash", "left").na.fill(0, ["x0", "y0", "x", "y"])
     words = words.withColumns({"moving": F.col("x") + F.col("y") > 0, "customers": F.col("x0") + F.col("x"), "held": F.col("y0") + F.col("y"), "now": F.lit(0.0), "p": none, "b": none})
-    words = written(words.withColumn("t", F.least("customers", F.lit(1)).cast("long")).select(WORDS.names), "lm-rest")
+    all_words = written(words.withColumn("t", F.least("customers", F.lit(1)).cast("long")).select(WORDS.names), "lm-all")
+    # Words with one customer, of a pair that occurs once, have one table in every state: sweeps leave them out.
+    is_still = (F.col("customers") == 1) & ~F.col("moving") & ~F.col("listed")
+    still, words = all_words.where(is_still), all_words.where(~is_still)
+    still_cells, n_still = spelling_counts(still), still.count()
 
     def seated(words: DataFrame, tables: DataFrame) -> DataFrame:
         """words with their customers and tables by the seating of pairs; those of pairs that occur once stay as they are."""
@@ -678,16 +730,20 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     # Gibbs sweeps over all restaurants.
     rng = np.random.default_rng(seed)
     ones, twos, total, lone_total = words.agg(F.count_if(F.col("customers") == 1), F.count_if(F.col("customers") == 2), F.sum("customers"), F.sum("x0")).first()
+    ones, total, lone_total, kept = ones + n_still, total + n_still, lone_total + n_still, []
     discount, states, model, sums = discount_of(ones, twos), 0, None, None
     for s in range(sweeps):
-        tables = words.agg(F.sum("t")).first()[0]
-        model = Spelling(*spelling_counts(words), rng, model)
+        tables = words.agg(F.sum("t")).first()[0] + n_still
+        model = Spelling(*added_cells(still_cells, spelling_counts(words)), rng, model)
         keep = s >= burn_in
         states += keep
         spelling = send(model)
         last, words = words, written(sweep_words(words if sums is None else seated(words, sums), spelling, tables, total, discount, context_discount, keep, 2 * s + seed * 1000), "lm-rest")
-        spelling.destroy()
-        for table in (last, *([sums] if sums is not None else [])):
+        if keep:
+            kept.append((spelling, tables, total))
+        else:
+            spelling.destroy()
+        for table in (*([last] if s else []), *([sums] if sums is not None else [])):
             forget(table)
         values = send((names, *by_listed(["held", "now"])))
         last = near, far
@@ -700,13 +756,16 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             total = lone_total + (sums.agg(F.sum("x")).first()[0] or 0)
 
     # What no known word has of the states, and the commonest words and pairs for broadcasts of bounded length.
-    left = words.agg(*(F.sum(F.col("p")[i]) for i in range(states))).first()
+    still = written(kept_words(still, kept, discount, context_discount), "lm-still")
+    forget(all_words)
+    rest = words.where("not listed").select("hash", "c", "p", "b").unionByName(still)
+    left = words.select("p").unionByName(still.select("p")).agg(*(F.sum(F.col("p")[i]) for i in range(states))).first()
     unknown = np.array([max(1 - x, 1e-12) for x in left])
     p, b = by_listed(["p", "b"])
     near, far = (x.withColumn("own", F.col("own") / states) for x in (near, far))
     is_head = common(near, head)
     frequent = near.where(is_head).select("u", "w", "own").toArrow()
-    keys = near_keys(frequent["u"].to_numpy(), frequent["w"].to_numpy())
+    keys = tokens.mix(near_keys(frequent["u"].to_numpy(), frequent["w"].to_numpy()))
     by_key = np.argsort(keys)
     shared = send((names, counts, p, b, keys[by_key], frequent["own"].to_numpy()[by_key]))
 
@@ -718,6 +777,7 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     def tokens_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts with the sums of the tokens whose words and pair are broadcast, and packed messages with all other tokens."""
         names, counts, p, b, keys, own = shared.value
+        places, pair_places = Places(names), Places(keys)
         held: list[tuple] = []
         chunk, types = None, None
 
@@ -727,7 +787,7 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             for kind in range(4):
                 at = np.flatnonzero(kinds == kind)
                 bucket, x, y = home(kind, names, u[at], w[at], at_u[at], at_w[at], n)
-                found = [(k, chunk, kind, rising(x[q]), pack(y[q]), pack(text[at[q]]), pack(number[at[q]]) if kind == NEITHER else None) for k, q in parts_of(bucket, y, x)]
+                found = [(k, chunk, kind, rising(x[q]), pack(y[q]), pack(text[at[q]]), pack(number[at[q]]) if kind == NEITHER else None) for k, q in parts_of(bucket, x)]
                 if kind == NEITHER:
                     found += [(k, chunk, ASKED, rising(w[at[q]]), None, pack(text[at[q]]), pack(number[at[q]])) for k, q in parts_of(dealt(w[at], n), w[at])]
                 if found:
@@ -741,13 +801,17 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                 *_, firsts, hashes = read(texts)
                 ends = firsts + np.arange(len(firsts))
                 before, now = transitions(hashes, firsts)
-                kinds, at_u, at_w = kinds_of(names, before, now)
+                at_w, w_listed = places.find(now)
+                at_u, u_listed = np.empty_like(at_w), np.empty_like(w_listed)
+                for x, of in ((at_u, at_w), (u_listed, w_listed)):
+                    x[1:], x[ends[:-1]] = of[:-1], of[ends[1:] - 1]  # a text's first token follows the end
+                kinds, at_u, at_w = kinds_of(u_listed, w_listed), at_u.astype(np.uint32), at_w.astype(np.uint32)
                 is_listed = (kinds == BOTH) | (kinds == WORD)
                 base = np.where(is_listed, np.log10((counts[at_w] + 1) / unit), 0.0)
                 end = np.zeros(len(now), bool)
                 end[ends[1:] - 1] = True
                 is_known = is_listed & (~end | (n_texts > 0))
-                at, paired = find(keys, near_keys(at_u, at_w))
+                at, paired = pair_places.find(tokens.mix(near_keys(at_u, at_w)))
                 done = np.flatnonzero((kinds == BOTH) & paired)
                 score = np.zeros(len(now))
                 score[done] = np.log10(own[at[done]] / (counts[at_u[done]] + STRENGTH) + (p[at_w[done]] * b[at_u[done]]).mean(1))
@@ -797,9 +861,9 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             p_of, b_of = (unpack(column(WORDS_OF, i), float).reshape(-1, states)[order] for i in (3, 4))
             pairs_of = {}
             for kind in (NEAR, FAR):
-                found = unpack_rising(column(kind, 1), _U)
+                found, own = (unpack_rising(column(kind, 1), _U), unpack(column(kind, 2), float)) if kind == NEAR else (unpack(column(kind, 2), _U), unpack(column(kind, 3), float))
                 order = np.argsort(found)
-                pairs_of[kind] = found[order], unpack(column(kind, 2), float)[order]
+                pairs_of[kind] = found[order], own[order]
 
             def as_context(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 at, ok = find(words, u)
@@ -827,7 +891,7 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                 else:
                     x, y = away(kind, names, column(kind, 1), column(kind, 2))
                     u, w = pair_hashes(kind, names, x, y)
-                    own = own_of(near_keys(x, y), is_train, *pairs_of[NEAR], lone_own) if kind == BOTH else own_of(pair_names(u, w), is_train, *pairs_of[FAR], lone_own)
+                    own = own_of(tokens.mix(near_keys(x, y)), is_train, *pairs_of[NEAR], lone_own) if kind == BOTH else own_of(pair_names(u, w), is_train, *pairs_of[FAR], lone_own)
                     scale, weights = (1 / (counts[x] + STRENGTH), b[x]) if kind == BOTH else (1 / (counts[y] + STRENGTH), b[y]) if kind == CONTEXT else as_context(u)
                     c_w, shares = (None, p[y]) if kind in (BOTH, WORD) else as_word(w) if kind == CONTEXT else (None, None)
                 if kind in (NEITHER, ASKED):
@@ -889,7 +953,7 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             yield from pa.Table.from_arrays(columns, names=text_names).to_batches()
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), held_out.alias("held_out"), F.col(f"`{text_col}`").alias("text"))
-    sides = side_parts(words.where("not listed"), near.where(~is_head), far, listed, n)
+    sides = side_parts(rest, near.where(~is_head), far, listed, n)
     sent = arrow_map(numbered, tokens_out, schema).unionByName(sides, allowMissingColumns=True)
     replies = arrow_map(gathered(sent, "bucket", n), in_buckets, schema)
     out = arrow_map(gathered(replies, "chunk", n), by_text, text_fields)
