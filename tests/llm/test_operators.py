@@ -581,6 +581,41 @@ def test_lm_writes_no_row_per_token(spark, monkeypatch):
     assert max(rows)[0] <= 61 * 61 + 61 < 30_100, max(rows)
 
 
+def test_lm_keeps_pairs_packed(spark, monkeypatch):
+    """Sweeps move a few packed rows for each bucket, not one for each pair."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(300))) for i in range(100)], DOCS)
+    rows, frames_written = [], pitman_yor.written
+
+    def counted(table, what):
+        out = frames_written(table, what)
+        if what == "lm-many":
+            rows.append((out.count(), out.agg(F.sum("pairs")).first()[0] if "pairs" in out.columns else None))
+        return out
+
+    monkeypatch.setattr(pitman_yor, "written", counted)
+    assert pitman_yor.score_texts(df, known_words=30, head=3, sweeps=2, burn_in=1).count() == 100
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(rows) == 2 and all(count <= 4 * n and pairs > 2000 for count, pairs in rows), rows
+
+
+def test_order_and_places_by_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 2**64, 5000, np.uint64)
+    near = (hashes[:40, None] + np.arange(9, dtype=np.uint64)[::-1]).ravel()  # differ in their last bits alone
+    for keys in (hashes, np.concatenate([hashes, hashes[:2000], near, near]), hashes % np.uint64(50), hashes >> np.uint64(30), near, near[:9], hashes[:1], hashes[:0], np.arange(9000, dtype=np.uint64) % np.uint64(4000) + np.uint64(2**64 - 4001)):
+        order, cuts = pitman_yor.groups(keys)
+        assert sorted(order.tolist()) == list(range(len(keys))) and (keys[order] == np.sort(keys)).all()
+        assert (keys[order][cuts] == np.unique(keys)).all()
+        known = np.unique(keys)[::2]
+        wanted = np.concatenate([keys, keys + np.uint64(1), hashes[:100], np.array([0, 2**64 - 1], np.uint64)])
+        at, found = pitman_yor.Places(known).find(wanted)
+        assert (found == np.isin(wanted, known)).all() and (not len(known) or (known[at[found]] == wanted[found]).all())
+
+
 # 2, 3, 6, 8, 9, 10 with texts of megabytes
 def test_texts_of_megabytes(spark):
     rng = random.Random(31)

@@ -17,8 +17,9 @@ that no known word has, what the known words leave of the whole.
 
 What is counted is counted over all training texts: words, and pairs of a context and a word. Both stay tables, which grow with the corpus.
 Pairs that occur once have one table in every state, as have words with one customer of such a pair, so sweeps go over the others. The commonest
-`known_words` are listed: their values are broadcast, so pairs of two listed words are swept without a shuffle and the others meet the
-words that aren't listed by joins. To be counted, and to be scored, pairs go packed to buckets: those of listed words, which may be hot, by the
+`known_words` are listed: their values are broadcast, so pairs of two listed words are swept without a shuffle and those of one meet
+the other word in its bucket. Both stay packed, some rows for each bucket; pairs of two words that aren't listed are rows and meet them by
+joins. To be counted, and to be scored, words and pairs go packed to buckets, too: those of listed words, which may be hot, by the
 pair, others by the word that isn't listed. In its bucket a token finds its pair and that word; sums by text come back, packed too. Of a
 token with two words that aren't listed each side is found in the bucket of its word. On the driver are at most 258 ** 3 spelling cells, the
 listed words and the `head` commonest pairs, of which tokens are scored without a message.
@@ -51,6 +52,8 @@ SYMBOLS = 258
 _U = np.uint64
 #: Distinct words, or pairs, that a task holds before it merges, and sends, its counts.
 HELD, HELD_PAIRS = 150_000, 1_000_000
+#: Buckets of words, of which a task counts one at a time; more where there are over 256 shuffle partitions.
+WORD_BUCKETS = 1024
 #: The hash of the empty word: the end of a text, and what its first token follows.
 END = int(tokens.word_hashes(np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64)).view(np.int64)[0])
 
@@ -205,59 +208,59 @@ def binary_parts(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def read(texts: pa.Array) -> tuple[np.ndarray, ...]:
     """data, starts, ends, firsts and hashes of the words of lower-cased texts."""
     data, bounds = tokens.raw(texts)
-    data = tokens.LOWER[data]
+    data = tokens.lower(data)
     starts, ends, firsts = tokens.words(data, bounds, tokens.SPACED)
     return data, starts, ends, firsts, tokens.word_hashes(data, starts, ends)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """hash, word, c: how often each word occurs in the one text column of texts."""
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """argsort() of hashes, or of smaller numbers, by a sort of values that hold their places in the last bits, which is faster."""
+    keys, bits = keys.astype(_U, copy=False), len(keys).bit_length()
+    low, place = _U((1 << bits) - 1), np.arange(len(keys), dtype=_U)
+    if not len(keys) or int(keys.max()).bit_length() + bits <= 64:
+        return (np.sort((keys << _U(bits)) | place) & low).astype(np.int64)
+    at = (np.sort((keys & ~low) | place) & low).astype(np.int64)
+    found = keys[at]
+    wrong = np.flatnonzero(found[1:] < found[:-1])  # keys that differ in those bits alone
+    if len(wrong) > 1000:
+        return np.argsort(keys)
+    top = found & ~low
+    for x in top[wrong]:
+        here = slice(np.searchsorted(top, x), np.searchsorted(top, x, "right"))
+        at[here] = at[here][np.argsort(keys[at[here]])]
+    return at
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
 
-        def merged() -> tuple:
-            hashes, counts = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            words = pa.concat_arrays([h[2] for h in held])
-            found, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-            return found, np.bincount(back, counts).astype(np.int64), words.take(pa.array(first))
+def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of keys in their order, and where in it the distinct ones begin."""
+    order = order_of(keys)
+    found = keys[order]
+    return order, np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), found[1:] != found[:-1]]))
 
-        def out(x: tuple) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), x[2], pa.array(x[1])], names=["hash", "word", "n"])
 
-        for batch in batches:
-            for _, piece in pieces(batch, 0):
-                data, starts, ends, _, hashes = read(piece)
-                found, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-                sizes = (ends - starts)[first]
-                at = np.repeat(starts[first] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                words = pa.BinaryArray.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])
-                held.append((found, counts, words))
-                if sum(len(h[0]) for h in held) > HELD:
-                    held = [merged()]
-                    if len(held[0][0]) > HELD // 2:
-                        yield out(held[0])
-                        held = []
-        if held:
-            yield out(merged())
-
-    return arrow_map(texts, run, "hash long, word binary, n long").groupBy("hash", "word").agg(F.sum("n").alias("c"))
+def sums_of(values: np.ndarray, order: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums of values by the groups of groups()."""
+    return np.add.reduceat(values[order], cuts) if len(cuts) else values[:0]
 
 
 def common(words: DataFrame, n: int) -> Column:
-    """Whether a word, or pair, (c) is one of the commonest: whole bins of like counts, at most n of them.
+    """Whether a word (c) is one of the commonest: whole bins of like counts, at most n of them.
 
     A sort with a limit would send n rows of every task to the driver; here the driver gets some hundred bins.
     """
     bin_of = F.floor(F.log2(F.greatest("c", F.lit(1)).cast("double")) * 8).cast("int")
-    bins = sorted(((r["bin"], r["n"]) for r in words.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    return bin_of >= last_bin(words.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n")), n)
+
+
+def last_bin(bins: DataFrame, most: int) -> int:
+    """The least of the highest bins (bin, n) that have at most so many rows in all."""
+    bins = sorted(((r["bin"], r["n"]) for r in bins.collect()), reverse=True)
     taken, last = 0, bins[0][0] + 1 if bins else 0
     for number, count in bins:
-        if taken + count > n:
+        if taken + count > most:
             break
         taken, last = taken + count, number
-    return bin_of >= last
+    return last
 
 
 def transitions(hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,18 +317,19 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Places:
-    """find() in sorted hashes by a table over their first bits, faster for many that are wanted."""
+    """find() in sorted hashes, of all or of a range of them, by a table over their first bits in that range, faster for many that are wanted."""
 
     def __init__(self, keys: np.ndarray):
         bits = min(22, max(8, int(len(keys)).bit_length() + 2))
-        self.keys, self.shift = keys, _U(64 - bits)
-        starts = np.searchsorted(keys >> self.shift, np.arange(2**bits + 1, dtype=_U))
+        self.keys, self.low, self.high = keys, *((keys[0], keys[-1]) if len(keys) else (_U(0), _U(0)))
+        self.shift = _U(max(0, int(self.high - self.low).bit_length() - bits))
+        starts = np.searchsorted((keys - self.low) >> self.shift, np.arange(2**bits + 1, dtype=_U))
         self.starts, self.longest = np.minimum(starts[:-1], max(len(keys) - 1, 0)).astype(np.int32), int(np.diff(starts).max())
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
             return find(self.keys, wanted)
-        at = self.starts[wanted >> self.shift]
+        at = self.starts[(np.clip(wanted, self.low, self.high) - self.low) >> self.shift]
         found = self.keys[at]
         ok = found == wanted
         open_ = np.flatnonzero(found < wanted)
@@ -354,7 +358,7 @@ def dealt(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def parts_of(bucket: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket with its places, sorted by the key: numbers of listed words, or hashes by which buckets are dealt."""
-    order = np.argsort((bucket.astype(_U) << _U(32)) | key if key.itemsize == 4 else key)
+    order = order_of((bucket.astype(_U) << _U(int(key.max(initial=0)).bit_length())) | key if key.itemsize == 4 else key)
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     for part in np.split(order, cuts) if len(order) else []:
         yield int(bucket[part[0]]), part
@@ -400,22 +404,116 @@ def gathered(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 PARTS = "bucket int, kind int, a binary, b binary, n binary"
-#: Pairs that occur more than once (u, w, c; listed words by their number) and, of kind ASKED, words (u) with the number of pairs that
-#: occur once by word (w) and by context (c).
-PAIRS = "kind int, u long, w long, c long"
+WORD_PARTS = "bucket int, kind int, a binary, b binary, c binary, n binary"
+#: Pairs of a bucket and a kind that occur more than once, packed: how many, how many of them occur twice, the columns of home(), counts,
+#: tables and own weights. Of kind WORDS_OF: words with held and now.
+MANY = "bucket int, kind int, pairs int, twos int, a binary, b binary, c binary, t binary, own binary"
+#: The same and, of kind ASKED, words with the number of pairs that occur once by word (x0) and by context (y0).
+PAIRS = MANY + ", hash long, x0 long, y0 long"
+PACKED_PAIRS = 1 << 17
+
+
+def shrunk(x: np.ndarray) -> bytes:
+    return pa.compress(pack(x), codec="zstd", asbytes=True)
+
+
+def grown(found: bytes, kind: type, n: int) -> np.ndarray:
+    return unpack([pa.decompress(found, n * np.dtype(kind).itemsize, codec="zstd")], kind)
+
+
+def many_rows(bucket: int, kind: int, a: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
+    """Rows of MANY. a: sorted. rest: further columns."""
+    steps = lambda x: np.concatenate([x[:1], np.diff(x)]).astype(x.dtype)
+    found = []
+    for i in range(0, len(a), PACKED_PAIRS):
+        part = [x[i : i + PACKED_PAIRS] for x in rest]
+        twos = int((part[1] == 2).sum()) if kind <= NEITHER else 0
+        found.append((bucket, kind, len(part[0]), twos, shrunk(steps(a[i : i + PACKED_PAIRS])), *(shrunk(x) for x in part), *[None] * (4 - len(part))))
+    return rows_of(found, MANY)
+
+
+def pairs_in(kind: int, n: int, a: bytes, b: bytes, c: bytes, t: bytes, own: bytes) -> tuple[np.ndarray, ...]:
+    """The columns of a row of pairs: those of home(), counts, tables, own weights."""
+    kinds = (np.uint32 if kind == BOTH else _U, _U if kind == NEITHER else np.uint32, np.int64, np.int64, float)
+    a, *rest = (grown(x, k, n) for x, k in zip((a, b, c, t, own), kinds, strict=True))
+    return np.cumsum(a, dtype=a.dtype), *rest
+
+
+def each_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, tuple[np.ndarray, ...]]]:
+    """The bucket, the kind and pairs_in() of each row of MANY."""
+    for batch in batches:
+        for bucket, kind, n, *columns in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "pairs", "a", "b", "c", "t", "own")), strict=True):
+            yield bucket, kind, pairs_in(kind, n, *columns)
+
+
+def word_counts(texts: DataFrame, n: int) -> DataFrame:
+    """hash, word, c: how often each word occurs in the one text column of texts. The words of many texts go packed to n buckets, which count them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def merged() -> tuple:
+            hashes, counts = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            words = pa.concat_arrays([h[2] for h in held])
+            order, cuts = groups(hashes)
+            first = order[cuts]
+            return hashes[first], sums_of(counts, order, cuts), words.take(pa.array(first))
+
+        def out(x: tuple) -> pa.RecordBatch:
+            hashes, counts, words = x
+            data, bounds = tokens.raw(words.cast(pa.large_binary()))
+            sizes = np.diff(bounds).astype(np.uint32)
+            found = []
+            for k, p in parts_of(dealt(hashes, n), hashes):  # merged() sorts by hash, so that p are neighbours
+                found.append((k, 0, rising(hashes[p]), data[bounds[p[0]] : bounds[p[-1] + 1]].tobytes(), pack(sizes[p]), pack(counts[p])))
+            return rows_of(found, WORD_PARTS)
+
+        for batch in batches:
+            for _, piece in pieces(batch, 0):
+                data, starts, ends, _, hashes = read(piece)
+                order, cuts = groups(hashes)
+                first, counts = order[cuts], np.diff(np.append(cuts, len(order)))
+                found, sizes = hashes[first], (ends - starts)[first]
+                at = np.repeat(starts[first] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                words = pa.BinaryArray.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])
+                held.append((found, counts, words))
+                if sum(len(h[0]) for h in held) > HELD:
+                    held = [merged()]
+                    if len(held[0][0]) > HELD // 2:
+                        yield out(held[0])
+                        held = []
+        if held:
+            yield out(merged())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in grouped(batches, "bucket", ["a", "b", "c", "n"]):
+            a, b, c, counts = zip(*rows[0], strict=True)
+            hashes, data, sizes = unpack_rising(a, _U), b"".join(b), unpack(c, np.uint32)
+            ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(hashes), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+            order, cuts = groups(hashes)
+            first = order[cuts]
+            c = sums_of(unpack(counts, np.int64), order, cuts)
+            for i in range(0, len(first), PACKED_PAIRS):
+                at = first[i : i + PACKED_PAIRS]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), words.take(pa.array(at)).cast(pa.binary()), pa.array(c[i : i + PACKED_PAIRS])], names=["hash", "word", "c"])
+
+    return arrow_map(gathered(arrow_map(texts, run, WORD_PARTS), "bucket", int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))), count, "hash long, word binary, c long")
 
 
 def pair_counts(texts: DataFrame, listed: Broadcast, n: int) -> DataFrame:
     """PAIRS of the one text column of texts. The pairs of many texts go packed to n buckets, which count them. listed: sorted hashes of listed words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, places = listed.value, Places(listed.value)
+        listed_names, places = listed.value, Places(listed.value)
         held: list[tuple] = []
 
         def merged() -> tuple:
             keys, u, w, n = (np.concatenate([h[i] for h in held]) for i in range(4))
-            found, first, back = np.unique(keys, return_index=True, return_inverse=True)
-            return found, u[first], w[first], np.bincount(back, n).astype(np.int64)
+            order, cuts = groups(keys)
+            first = order[cuts]
+            return keys[first], u[first], w[first], sums_of(n, order, cuts)
 
         def out(x: tuple) -> Iterator[pa.RecordBatch]:
             _, u, w, count = x
@@ -423,7 +521,7 @@ def pair_counts(texts: DataFrame, listed: Broadcast, n: int) -> DataFrame:
             kinds, at_u, at_w = kinds_of(u_listed, w_listed), at_u.astype(np.uint32), at_w.astype(np.uint32)
             for kind in range(4):
                 at = np.flatnonzero(kinds == kind)
-                bucket, a, b = home(kind, names, u[at], w[at], at_u[at], at_w[at], n)
+                bucket, a, b = home(kind, listed_names, u[at], w[at], at_u[at], at_w[at], n)
                 found = [(k, kind, rising(a[p]), pack(b[p]), pack(count[at[p]].astype(np.uint32))) for k, p in parts_of(bucket, a)]
                 if found:
                     yield rows_of(found, PARTS)
@@ -432,8 +530,10 @@ def pair_counts(texts: DataFrame, listed: Broadcast, n: int) -> DataFrame:
             for _, piece in pieces(batch, 0):
                 *_, firsts, hashes = read(piece)
                 before, now = transitions(hashes, firsts)
-                found, first, count = np.unique(pair_names(before, now), return_index=True, return_counts=True)
-                held.append((found, before[first], now[first], count))
+                names = pair_names(before, now)
+                order, cuts = groups(names)
+                first = order[cuts]
+                held.append((names[first], before[first], now[first], np.diff(np.append(cuts, len(order)))))
                 if sum(len(h[0]) for h in held) > HELD_PAIRS:
                     held = [merged()]
                     if len(held[0][0]) > HELD_PAIRS // 2:
@@ -442,37 +542,53 @@ def pair_counts(texts: DataFrame, listed: Broadcast, n: int) -> DataFrame:
         if held:
             yield from out(merged())
 
+    def asked(hashes: np.ndarray, x0: np.ndarray, y0: np.ndarray) -> pa.RecordBatch:
+        found = pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), ASKED, np.int32)), *(pa.array(x) for x in (hashes.view(np.int64), x0, y0))], names=["kind", "hash", "x0", "y0"])
+        return with_all(found, PAIRS)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = listed.value
         as_word, as_context = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
-        row = lambda kind, u, w, c: pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), *(pa.array(x.astype(_U).view(np.int64)) for x in (u, w, c))], names=["kind", "u", "w", "c"])
-        for _, rows in grouped(batches, "bucket", ["a", "b", "n"]):
+        for bucket, rows in grouped(batches, "bucket", ["a", "b", "n"]):
+            once: list[tuple] = [(np.zeros(0, _U), False)]
             for kind, found in rows.items():
                 a, b = away(kind, names, [r[0] for r in found], [r[1] for r in found])
-                u, w = (a, b) if kind == BOTH else pair_hashes(kind, names, a, b)
-                _, first, back = np.unique(near_keys(a, b) if kind == BOTH else pair_names(u, w), return_index=True, return_inverse=True)
-                c = np.bincount(back, unpack([r[2] for r in found], np.uint32)).astype(np.int64)
-                first = first.astype(np.int64)
+                order, cuts = groups(tokens.mix(near_keys(a, b)) if kind == BOTH else pair_names(*pair_hashes(kind, names, a, b)))
+                c, first = sums_of(unpack([r[2] for r in found], np.uint32).astype(np.int64), order, cuts), order[cuts]
                 many, lone = first[c > 1], first[c == 1]
-                yield row(kind, u[many], w[many], c[c > 1])
+                by_a = order_of(a[many])
+                if len(many):
+                    yield with_all(many_rows(bucket, kind, a[many][by_a], b[many][by_a], c[c > 1][by_a], np.ones(len(many), np.int64), np.zeros(len(many))), PAIRS)
                 if kind in (BOTH, WORD):
                     as_word += np.bincount(b[lone], minlength=len(names))
                 if kind in (BOTH, CONTEXT):
                     as_context += np.bincount(a[lone] if kind == BOTH else b[lone], minlength=len(names))
-                for side, is_word in ((u, False), (w, True)):
-                    if kind == NEITHER or kind == (CONTEXT if is_word else WORD):
-                        hashes, n_lone = np.unique(side[lone], return_counts=True)
-                        none = np.zeros(len(hashes), np.int64)
-                        yield row(ASKED, hashes, *((n_lone, none) if is_word else (none, n_lone)))
+                if kind != BOTH:
+                    once.append((a[lone], kind == CONTEXT))
+                if kind == NEITHER:
+                    once.append((b[lone], True))
+            hashes = np.concatenate([x for x, _ in once])
+            is_word = np.repeat([y for _, y in once], [len(x) for x, _ in once]).astype(np.int64)
+            order, cuts = groups(hashes)
+            yield asked(hashes[order[cuts]], sums_of(is_word, order, cuts), sums_of(1 - is_word, order, cuts))
         at = np.flatnonzero(as_word + as_context)
-        yield row(ASKED, names[at], as_word[at], as_context[at])
+        yield asked(names[at], as_word[at], as_context[at])
 
     return arrow_map(gathered(arrow_map(texts, run, PARTS), "bucket", n), count, PAIRS)
 
 
+ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def with_all(batch: pa.RecordBatch, schema: str) -> pa.RecordBatch:
+    """A batch with all columns of a schema; those it hasn't are null."""
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([batch.column(n) if n in batch.schema.names else pa.nulls(len(batch), ARROW[k]) for n, k in fields], names=[n for n, _ in fields])
+
+
 def rows_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
     """Tuples as a batch of a schema of int, long and binary columns."""
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    kinds = ARROW
     fields = [x.split() for x in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
@@ -525,51 +641,141 @@ def states_in(lists: pa.Array) -> np.ndarray:
     return flat.reshape(len(lists), -1) if len(flat) else np.zeros((len(lists), 0))
 
 
-def sweep_pairs(near: DataFrame, far: DataFrame, words: DataFrame, shared: Broadcast, discount: float, keep: bool, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The context restaurants after a sweep, of pairs of listed words and of others; if keep, own grows by what the customers of the state
-    before it weigh. shared: hashes of listed words, their held and now."""
+def packed_words(words: DataFrame, n: int) -> DataFrame:
+    """Rows of MANY with the words (hash, held, now), in their buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[list] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            hashes, held, now = (np.concatenate([x[i] for x in found]) for i in range(3))
+            hashes = hashes.view(_U)
+            for k, p in parts_of(dealt(hashes, n), hashes):
+                yield many_rows(k, WORDS_OF, hashes[p], held[p], now[p])
+
+        for batch in batches:
+            found.append([np.asarray(x) for x in batch.columns])
+            if sum(len(x[0]) for x in found) > HELD_PAIRS:
+                yield from out()
+                found.clear()
+        if found:
+            yield from out()
+
+    return arrow_map(words.select("hash", "held", "now"), run, MANY)
+
+
+def sweep_pairs(many: DataFrame, words: DataFrame, shared: Broadcast, n: int, discount: float, keep: bool, seed: int) -> DataFrame:
+    """The context restaurants (MANY) after a sweep; if keep, own grows by what the customers of the state before it weigh. shared: hashes of listed words,
+    their held and now. Pairs of listed words stay where they are, others meet the words that aren't listed in their buckets."""
+
+    def seated(kind: int, bucket: int, a: np.ndarray, b: np.ndarray, c: np.ndarray, t: np.ndarray, own: np.ndarray, held: np.ndarray, now: np.ndarray) -> pa.RecordBatch:
+        if keep:
+            own = own + np.maximum(c - discount * t, 0)
+        t = seat_by_hash(c, (STRENGTH + discount * held) * now, discount, pair_names(*pair_hashes(kind, shared.value[0], a, b)), seed)
+        return many_rows(bucket, kind, a, b, c, t, own)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, held, now = shared.value
+        for bucket, kind, (a, b, *rest) in each_of(batches):
+            yield seated(kind, bucket, a, b, *rest, held[a], now[b])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, held, now = shared.value
+        for bucket, rows in grouped(batches, "bucket", ["pairs", "a", "b", "c", "t", "own"]):
+            own_words = [(np.cumsum(grown(a, _U, m), dtype=_U), grown(b, np.int64, m), grown(c, float, m)) for m, a, b, c, *_ in rows.pop(WORDS_OF, [])]
+            if not rows:
+                continue
+            hashes, own_held, own_now = (np.concatenate([x[i] for x in own_words]) for i in range(3))
+            order = order_of(hashes)
+            places, own_held, own_now = Places(hashes[order]), own_held[order], own_now[order]
+            for kind, found in rows.items():
+                for row in found:
+                    a, b, *rest = pairs_in(kind, *row)
+                    at, _ = places.find(a)
+                    yield seated(kind, bucket, a, b, *rest, *((own_held[at], now[b]) if kind == WORD else (held[b], own_now[at])))
+
+    far = many.where(F.col("kind").isin(WORD, CONTEXT)).unionByName(packed_words(words.where("moving and not listed"), n))
+    return arrow_map(many.where(F.col("kind") == BOTH), listed, MANY).unionByName(arrow_map(gathered(far, "bucket", n), others, MANY))
+
+
+NEITHER_PAIRS = "u long, w long, c long, t long, own double"
+
+
+def pairs_of_neither(many: DataFrame) -> DataFrame:
+    """The pairs of two words that aren't listed as rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, (a, b, *rest) in each_of(batches):
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (a, b)), *map(pa.array, rest)], names=[x.split()[0] for x in NEITHER_PAIRS.split(", ")])
+
+    return arrow_map(many.where(F.col("kind") == NEITHER), run, NEITHER_PAIRS)
+
+
+def sweep_neither(pairs: DataFrame, words: DataFrame, discount: float, keep: bool, seed: int) -> DataFrame:
+    """sweep_pairs() for pairs of two words that aren't listed, which meet both by joins."""
     side = lambda key, name: words.where("moving and not listed").select(F.col("hash").alias(key), name)
-    state = ["kind", "u", "w", "c", "t", "own"]
-    by_context = far.where(F.col("kind").isin(WORD, NEITHER)).join(side("u", "held"), "u")
-    rest = far.where(F.col("kind") == CONTEXT).withColumn("held", F.lit(None).cast("long")).select(*state, "held").unionByName(by_context.where(F.col("kind") == NEITHER).select(*state, "held"))
-    about = by_context.where(F.col("kind") == WORD).select(*state, "held", F.lit(None).cast("double").alias("now")).unionByName(rest.join(side("w", "now"), "w").select(*state, "held", "now"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, all_held, all_now = shared.value
         for batch in batches:
-            kind, u, w, c, t, own = (np.asarray(batch.column(i)) for i in range(6))
-            if batch.num_columns == 6:
-                hash_u, hash_w, held, now = names[u], names[w], all_held[u], all_now[w]
-            else:
-                hash_u, hash_w = u.view(_U), w.view(_U)
-                held, now = (batch.column(i).to_numpy(zero_copy_only=False) for i in (6, 7))
-                held = np.where(kind == CONTEXT, all_held[find(names, hash_u)[0]], held)
-                now = np.where(kind == WORD, all_now[find(names, hash_w)[0]], now)
+            u, w, c, t, own, held, now = (np.asarray(x) for x in batch.columns)
             if keep:
                 own = own + np.maximum(c - discount * t, 0)
-            seated = seat_by_hash(c, (STRENGTH + discount * held) * now, discount, pair_names(hash_u, hash_w), seed)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(seated), pa.array(own)], names=state)
+            t = seat_by_hash(c, (STRENGTH + discount * held) * now, discount, pair_names(u.view(_U), w.view(_U)), seed)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(t), pa.array(own)], names=batch.schema.names[:5])
 
-    schema = "kind int, u long, w long, c long, t long, own double"
-    return arrow_map(near.select(state), run, schema), arrow_map(about, run, schema)
+    about = pairs.join(side("u", "held"), "u").join(side("w", "now"), "w")
+    return arrow_map(about.select(*pairs.columns, "held", "now"), run, NEITHER_PAIRS)
 
 
-def tables_by_word(near: DataFrame, far: DataFrame, listed: Broadcast) -> DataFrame:
+def tables_by_word(many: DataFrame, neither: DataFrame | None, listed: Broadcast) -> DataFrame:
     """hash, x, y: the tables of each word in all contexts, and of each context, of pairs that occur more than once."""
 
+    def rows(hashes: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(z.view(np.int64)) for z in (hashes, x, y)], names=["hash", "x", "y"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = listed.value
         x, y = np.zeros(len(names)), np.zeros(len(names))
-        for batch in batches:
-            u, w, t = (np.asarray(batch.column(i)) for i in range(3))
-            x += np.bincount(w, t, len(names))
-            y += np.bincount(u, t, len(names))
+        for _, kind, (a, b, _, t, _) in each_of(batches):
+            if kind in (BOTH, WORD):
+                x += np.bincount(b, t, len(names))
+            if kind in (BOTH, CONTEXT):
+                y += np.bincount(a if kind == BOTH else b, t, len(names))
+            if kind != BOTH:
+                cuts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+                found = np.add.reduceat(t, cuts)
+                none = np.zeros(len(cuts), np.int64)
+                yield rows(a[cuts], *((none, found) if kind == WORD else (found, none)))
         at = np.flatnonzero(x + y)
-        yield pa.RecordBatch.from_arrays([pa.array(names[at].view(np.int64)), pa.array(x[at].astype(np.int64)), pa.array(y[at].astype(np.int64))], names=["hash", "x", "y"])
+        yield rows(names[at], x[at].astype(np.int64), y[at].astype(np.int64))
 
     zero = F.lit(0).cast("long")
-    sides = far.select(F.explode(F.array(F.struct(F.col("w").alias("hash"), F.col("t").alias("x"), zero.alias("y")), F.struct(F.col("u").alias("hash"), zero.alias("x"), F.col("t").alias("y")))).alias("s")).select("s.*")
-    return arrow_map(near.select("u", "w", "t"), run, "hash long, x long, y long").unionByName(sides).groupBy("hash").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    found = arrow_map(many.where(F.col("kind") != NEITHER), run, "hash long, x long, y long")
+    if neither is not None:
+        found = found.unionByName(neither.select(F.explode(F.array(F.struct(F.col("w").alias("hash"), F.col("t").alias("x"), zero.alias("y")), F.struct(F.col("u").alias("hash"), zero.alias("x"), F.col("t").alias("y")))).alias("s")).select("s.*"))
+    return found.groupBy("hash").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+
+
+def bins_of(c: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(np.maximum(c, 1)) * 8).astype(np.int32)
+
+
+def head_pairs(near: DataFrame, most: int) -> tuple[pa.Table, int]:
+    """u, w, own of the commonest pairs of listed words, whole bins of like counts and at most so many, and the least of the bins."""
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *_, (_, _, c, _, _) in each_of(batches):
+            found, n = np.unique(bins_of(c), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["bin", "n"])
+
+    last = last_bin(arrow_map(near, binned, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")), most)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *_, (a, b, c, _, own) in each_of(batches):
+            at = np.flatnonzero(bins_of(c) >= last)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[at].astype(np.int64)) for x in (a, b)), pa.array(own[at])], names=["u", "w", "own"])
+
+    return arrow_map(near, chosen, "u long, w long, own double").toArrow(), last
 
 
 def spelling_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -616,10 +822,10 @@ TEXTS = T.StructType(
 HELD_TOKENS = 2_000_000
 
 
-def own_of(keys: np.ndarray, train: np.ndarray, known: np.ndarray, weights: np.ndarray, lone: float) -> np.ndarray:
-    """Own weights of the pairs of tokens. known, weights: sorted keys of pairs that occur more than once. Any other pair of a training text occurs
+def own_of(keys: np.ndarray, train: np.ndarray, known: Places, weights: np.ndarray, lone: float) -> np.ndarray:
+    """Own weights of the pairs of tokens. known, weights: the keys of pairs that occur more than once. Any other pair of a training text occurs
     once, and one of a held-out text does if a training text of the same bucket, which has all its tokens, has it."""
-    at, found = find(known, keys)
+    at, found = known.find(keys)
     own = np.where(found, weights[at] if len(weights) else 0.0, 0.0)
     own[~found & train] = lone
     open_ = np.flatnonzero(~found & ~train)
@@ -627,8 +833,8 @@ def own_of(keys: np.ndarray, train: np.ndarray, known: np.ndarray, weights: np.n
     return own
 
 
-def side_parts(words: DataFrame, near: DataFrame, far: DataFrame, listed: Broadcast, n: int) -> DataFrame:
-    """Messages with the words that aren't listed (c, p, b) and with pairs and their own weights, to their buckets."""
+def side_parts(words: DataFrame, many: DataFrame, neither: DataFrame | None, listed: Broadcast, n: int, states: int, head: int) -> DataFrame:
+    """Messages with the words that aren't listed (c, p, b) and with pairs and their own weights, to their buckets. head: the least bin of pairs that are broadcast."""
 
     def packed(columns: Callable[[pa.RecordBatch], tuple]) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -654,19 +860,24 @@ def side_parts(words: DataFrame, near: DataFrame, far: DataFrame, listed: Broadc
         hashes = np.asarray(batch.column(0)).view(_U)
         return WORDS_OF, dealt(hashes, n), hashes, np.asarray(batch.column(1)), states_in(batch.column(2)), states_in(batch.column(3))
 
-    def of_near(batch: pa.RecordBatch) -> tuple:
-        keys = tokens.mix(near_keys(np.asarray(batch.column(0)), np.asarray(batch.column(1))))
-        return NEAR, dealt(keys, n), keys, np.asarray(batch.column(2))
+    def of_neither(batch: pa.RecordBatch) -> tuple:
+        u, w = (np.asarray(batch.column(i)).view(_U) for i in (0, 1))
+        return FAR, dealt(u, n), u, pair_names(u, w), np.asarray(batch.column(2)) / states
 
-    def of_far(batch: pa.RecordBatch) -> tuple:
-        kind, u, w = np.asarray(batch.column(3)), *(np.asarray(batch.column(i)).view(_U) for i in (0, 1))
-        return FAR, dealt(of := np.where(kind == CONTEXT, w, u), n), of, pair_names(u, w), np.asarray(batch.column(2))
+    def of_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = listed.value
+        for bucket, kind, (a, b, c, _, own) in each_of(batches):
+            if kind == BOTH:
+                at = bins_of(c) < head
+                keys, own = tokens.mix(near_keys(a[at], b[at])), own[at]
+            else:
+                keys = pair_names(*pair_hashes(kind, names, a, b))
+            order = order_of(keys)
+            if len(keys):
+                yield rows_of([(bucket, None, NEAR if kind == BOTH else FAR, None, pack(keys[order]), pack(own[order] / states), None)], MESSAGE)
 
-    parts = ((words.select("hash", "c", "p", "b"), of_words), (near.select("u", "w", "own"), of_near), (far.select("u", "w", "own", "kind"), of_far))
-    first, *rest = (arrow_map(df, packed(columns), MESSAGE) for df, columns in parts)
-    for df in rest:
-        first = first.unionByName(df)
-    return first
+    found = arrow_map(words.select("hash", "c", "p", "b"), packed(of_words), MESSAGE).unionByName(arrow_map(many.where(F.col("kind") != NEITHER), of_many, MESSAGE))
+    return found if neither is None else found.unionByName(arrow_map(neither.select("u", "w", "own"), packed(of_neither), MESSAGE))
 
 
 def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", held_out: Column | None = None, head: int = HEAD, known_words: int = KNOWN_WORDS, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int = 5) -> DataFrame:
@@ -678,7 +889,7 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     send = spark.sparkContext.broadcast
     held_out = in_fold(F.col(f"`{id_col}`")) if held_out is None else held_out
     train = docs.where(~held_out).select(F.col(f"`{text_col}`").alias("text"))
-    known = written(word_counts(train), "lm-words")
+    known = written(word_counts(train, max(WORD_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))), "lm-words")
     n_texts = train.count()
     n_words, n_types = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c")).first()
     train_tokens, types = n_words + n_texts, n_types + (n_texts > 0)
@@ -697,16 +908,16 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
     # Pairs. One that occurs once has one table whatever the state, so sweeps leave it out.
     pairs = written(pair_counts(train, listed, n), "lm-pairs")
-    ones, twos = pairs.agg(F.coalesce(F.sum(F.when(F.col("kind") == ASKED, F.col("w"))), F.lit(0)), F.count_if((F.col("kind") != ASKED) & (F.col("c") == 2))).first()
+    ones, twos, n_neither = (x or 0 for x in pairs.agg(F.sum("x0"), F.sum("twos"), F.count_if(F.col("kind") == NEITHER)).first())
     context_discount = discount_of(ones, twos)
-    state = pairs.select("kind", "u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("own"))
-    near, far = state.where(F.col("kind") == BOTH), state.where(F.col("kind").isin(WORD, CONTEXT, NEITHER))
+    many = pairs.where(F.col("kind") <= NEITHER).select([x.split()[0] for x in MANY.split(", ")])
+    neither = pairs_of_neither(many) if n_neither else None
 
     zero = F.lit(0).cast("long")
     none = F.array().cast("array<double>")
-    lone = pairs.where(F.col("kind") == ASKED).select(F.col("u").alias("hash"), F.col("w").alias("x0"), F.col("c").alias("y0"), zero.alias("x"), zero.alias("y"))
-    many = tables_by_word(near, far, listed).select("hash", zero.alias("x0"), zero.alias("y0"), "x", "y")
-    both = lone.unionByName(many).groupBy("hash").agg(*(F.sum(c).alias(c) for c in ("x0", "y0", "x", "y")))
+    lone = pairs.where(F.col("kind") == ASKED).select("hash", "x0", "y0", zero.alias("x"), zero.alias("y"))
+    more = tables_by_word(many, neither, listed).select("hash", zero.alias("x0"), zero.alias("y0"), "x", "y")
+    both = lone.unionByName(more).groupBy("hash").agg(*(F.sum(c).alias(c) for c in ("x0", "y0", "x", "y")))
     words = known.withColumn("listed", is_listed).join(both, "hash", "left").na.fill(0, ["x0", "y0", "x", "y"])
     words = words.withColumns({"moving": F.col("x") + F.col("y") > 0, "customers": F.col("x0") + F.col("x"), "held": F.col("y0") + F.col("y"), "now": F.lit(0.0), "p": none, "b": none})
     all_words = written(words.withColumn("t", F.least("customers", F.lit(1)).cast("long")).select(WORDS.names), "lm-all")
@@ -746,13 +957,14 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         for table in (*([last] if s else []), *([sums] if sums is not None else [])):
             forget(table)
         values = send((names, *by_listed(["held", "now"])))
-        last = near, far
-        near, far = (written(x, "lm-many") for x in sweep_pairs(near, far, words, values, context_discount, keep, 2 * s + 1 + seed * 1000))
+        last = [x for x in (many, neither) if x is not None]
+        many = written(sweep_pairs(many, words, values, n, context_discount, keep, 2 * s + 1 + seed * 1000), "lm-many")
+        neither = neither if neither is None else written(sweep_neither(neither, words, context_discount, keep, 2 * s + 1 + seed * 1000), "lm-neither")
         values.destroy()
         for table in last if s else [pairs]:
             forget(table)
         if s < sweeps - 1:
-            sums = written(tables_by_word(near, far, listed), "lm-sums")
+            sums = written(tables_by_word(many, neither, listed), "lm-sums")
             total = lone_total + (sums.agg(F.sum("x")).first()[0] or 0)
 
     # What no known word has of the states, and the commonest words and pairs for broadcasts of bounded length.
@@ -762,12 +974,10 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     left = words.select("p").unionByName(still.select("p")).agg(*(F.sum(F.col("p")[i]) for i in range(states))).first()
     unknown = np.array([max(1 - x, 1e-12) for x in left])
     p, b = by_listed(["p", "b"])
-    near, far = (x.withColumn("own", F.col("own") / states) for x in (near, far))
-    is_head = common(near, head)
-    frequent = near.where(is_head).select("u", "w", "own").toArrow()
+    frequent, least = head_pairs(many.where(F.col("kind") == BOTH), head)
     keys = tokens.mix(near_keys(frequent["u"].to_numpy(), frequent["w"].to_numpy()))
     by_key = np.argsort(keys)
-    shared = send((names, counts, p, b, keys[by_key], frequent["own"].to_numpy()[by_key]))
+    shared = send((names, counts, p, b, keys[by_key], frequent["own"].to_numpy()[by_key] / states))
 
     id_type = docs.schema[id_col].dataType
     text_fields = T.StructType([T.StructField(f.name, id_type if f.name == "doc_id" else f.dataType) for f in TEXTS.fields])
@@ -856,23 +1066,23 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             texts.clear()
             column = lambda kind, i: [r[i] for r in rows.get(kind, [])]
             words = unpack_rising(column(WORDS_OF, 1), _U)
-            order = np.argsort(words)
-            words, c_of = words[order], unpack(column(WORDS_OF, 2), np.int64)[order]
+            order = order_of(words)
+            words, places, c_of = words[order], Places(words[order]), unpack(column(WORDS_OF, 2), np.int64)[order]
             p_of, b_of = (unpack(column(WORDS_OF, i), float).reshape(-1, states)[order] for i in (3, 4))
             pairs_of = {}
             for kind in (NEAR, FAR):
-                found, own = (unpack_rising(column(kind, 1), _U), unpack(column(kind, 2), float)) if kind == NEAR else (unpack(column(kind, 2), _U), unpack(column(kind, 3), float))
-                order = np.argsort(found)
-                pairs_of[kind] = found[order], own[order]
+                found, own = unpack(column(kind, 2), _U), unpack(column(kind, 3), float)
+                order = order_of(found)
+                pairs_of[kind] = Places(found[order]), own[order]
 
             def as_context(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                at, ok = find(words, u)
+                at, ok = places.find(u)
                 if not len(words):
                     return np.ones(len(u)), np.ones((len(u), states))
                 return 1 / (np.where(ok, c_of[at], 0) + STRENGTH), np.where(ok[:, None], b_of[at], 1.0)
 
             def as_word(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                at, ok = find(words, w)
+                at, ok = places.find(w)
                 if not len(words):
                     return np.zeros(len(w), np.int64), np.tile(unknown, (len(w), 1))
                 return np.where(ok, c_of[at], 0), np.where(ok[:, None], p_of[at], unknown)
@@ -909,9 +1119,9 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                     sums.append((chunks, row, more, np.log10((c_w + 1) / unit) if some else np.zeros(len(row)), (c_w > 0).astype(float) if some else np.zeros(len(row))))
             if sums:
                 chunks, row, *values = (np.concatenate([x[i] for x in sums]) for i in range(5))
-                row, first, back = np.unique(row, return_index=True, return_inverse=True)
-                values = [np.bincount(back, v, len(row)) for v in values]
-                chunks = chunks[first]
+                order, cuts = groups(row)
+                values = [sums_of(v, order, cuts) for v in values]
+                row, chunks = row[order[cuts]], chunks[order[cuts]]
                 cut = np.concatenate([[0], np.flatnonzero(np.diff(chunks)) + 1, [len(chunks)]])
                 yield messages([(bucket, int(chunks[i]), SUMS, rising((row[i:j] - chunks[i]).astype(np.uint32)), *(pack(v[i:j]) for v in values)) for i, j in zip(cut, cut[1:], strict=False)])
         yield from texts
@@ -944,7 +1154,7 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                     total[i] += unpack([v], float)
             if NEITHER in rows:
                 column = lambda kind, i: [r[i] for r in rows[kind]]
-                order, asked = (np.argsort(unpack(column(k, 0), np.uint32)) for k in (NEITHER, ASKED))
+                order, asked = (order_of(unpack(column(k, 0), np.uint32)) for k in (NEITHER, ASKED))
                 weights, shares = unpack(column(NEITHER, 2), float).reshape(-1, states)[order], unpack(column(ASKED, 1), float).reshape(-1, states)[asked]
                 value = np.log10(unpack(column(NEITHER, 1), float)[order] + (weights * shares).mean(1))
                 more += np.bincount(unpack(column(NEITHER, 3), np.uint32)[order] // 2, value, len(more))
@@ -953,7 +1163,7 @@ def score_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             yield from pa.Table.from_arrays(columns, names=text_names).to_batches()
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), held_out.alias("held_out"), F.col(f"`{text_col}`").alias("text"))
-    sides = side_parts(rest, near.where(~is_head), far, listed, n)
+    sides = side_parts(rest, many, neither, listed, n, states, least)
     sent = arrow_map(numbered, tokens_out, schema).unionByName(sides, allowMissingColumns=True)
     replies = arrow_map(gathered(sent, "bucket", n), in_buckets, schema)
     out = arrow_map(gathered(replies, "chunk", n), by_text, text_fields)
