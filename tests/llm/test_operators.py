@@ -456,6 +456,19 @@ def test_suffix_dedup_of_periodic_and_long_texts(spark):
     assert found[5] == (849, 450, 1, b"q" * 399) and found[6] == (399, 0, 0, b"z" * 399)
 
 
+def test_copies_carry_no_spans(spark):
+    """What repeats in a text that occurs again isn't sent to each of its copies."""
+    rng = random.Random(27)
+    shared = prose(rng, 120)
+    text = f"{prose(rng, 40)} {shared} {prose(rng, 20)}"
+    rows = [(i, text) for i in range(5)] + [(9, f"{prose(rng, 30)} {shared}")]
+    df = spark.createDataFrame(rows, DOCS)
+    found = suffix_dedup.repeats(df).collect()
+    assert sorted((r["whole"], len(r["spans"] or ()) > 0) for r in found) == [(False, True), (True, False)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept_text"]), r["left_text"]) for r in suffix_dedup.cut_repeats(df, left_text=True).collect()}
+    assert got == {i: (*w, w[3].decode()) for (i, _), w in zip(rows, B.repeats([t for _, t in rows], 400), strict=True)}
+
+
 def test_suffix_arrays_by_brute_force():
     import numpy as np
 

@@ -45,6 +45,12 @@ def test_contracts_on_the_test_tables(spark, tables):
     assert got == {i: (h, n, k, t, round(b, 5)) for i, h, n, k, t, b in B.lm_base(docs)}
 
 
+def test_suffix_dedup_returns_what_stays(spark, tables):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r["text"] for r in entries.QUERIES["op7_suffix_dedup"](spark, tables).select("doc_id", "text").collect()}
+    assert got == {i: w[3].decode(errors="ignore") for (i, _), w in zip(docs, B.repeats([t for _, t in docs], 400), strict=True)}
+
+
 def test_pipeline_against_its_stages(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     columns, kept = docs.columns, [docs]
