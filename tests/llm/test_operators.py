@@ -99,6 +99,21 @@ def test_jaccard_of_short_texts(spark):
     assert found == {i: i - i % 2 for i in range(6000)}
 
 
+def test_jaccard_ends_with_the_round_that_links_nothing(spark, monkeypatch):
+    """Every query of a round is a load for the driver: none runs on open cells that the round before left as they were, none without open cells."""
+    rng = random.Random(12)
+    pairs = [w for _ in range(40) for w in [prose(rng, 90)] for w in (w, f"{w} {prose(rng, 2)}")]
+    same = prose(rng, 60)
+    tables, frames_written = [], sketch_join.written
+    monkeypatch.setattr(sketch_join, "written", lambda table, what: tables.append(what) or frames_written(table, what))
+    for texts, most in ((pairs, ("join-open", 1)), (pairs + [f"{same} {prose(rng, 40)}" for _ in range(40)], ("join-open", 1)), (pairs, ("join-pairs", 0))):
+        tables.clear()
+        rows = list(enumerate(texts))
+        found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in sketch_join.jaccard_components(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+        assert found == B.jaccard(rows)
+        assert tables.count(most[0]) <= most[1], tables
+
+
 def test_one_of_each_group_stays(spark, docs, texts):
     kept = sketch_join.one_of_each(clashing(docs))
     assert kept.columns == clashing(docs).columns

@@ -29,15 +29,20 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
-    """comps (id, component) after further links: only the graph of components, without its repeated links, goes through the rounds."""
+    """comps (id, component) after further links: only the graph of components, without its repeated links, goes through the rounds.
+
+    Links are read again and again and should be written. Where none of them joins two components, the result is comps itself.
+    """
     if comps is None:
         return components(links)
+    if not links.limit(1).count():
+        return comps
     own = lambda c: links.select(F.col(c).alias("id"), F.col(c).alias("component"))
     known = written(comps.union(own("a")).union(own("b")).groupBy("id").agg(F.min("component").alias("component")), "labels")
     of = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"component_{c}"))
     between = links.join(of("a"), "a").join(of("b"), "b").where("component_a <> component_b")
     between = written(between.select(F.least("component_a", "component_b").alias("a"), F.greatest("component_a", "component_b").alias("b")).distinct(), "links")
     if not between.limit(1).count():
-        return known
+        return comps
     further = components(between).select(F.col("id").alias("component"), F.col("component").alias("further"))
     return written(known.join(further, "component", "left").select("id", F.coalesce("further", "component").alias("component")), "labels")

@@ -16,7 +16,7 @@ How the work is kept whole and bounded:
 - Star round: each class is verified against one class of those that its cells propose, the one with which it shares most cells,
   if those are enough. Then, in further rounds, against some of other components that its rare cells propose. The links'
   components settle the cells whose classes are all in one component, so groups of near copies shrink in every round, at a few
-  pairs a copy. The number of rounds doesn't change the result.
+  pairs a copy. The number of rounds doesn't change the result: one that links nothing is the last, and without open cells there is no rest.
 - Rest: of two linked classes the one with fewer shingles has 8/9 of them in the other, the larger one 4/5. Classes that have less in common with
   all classes of other components together take neither part, so texts with up to 8/9 of one boilerplate are not compared with each other. A smaller one that
   reaches 8/9 only with shingles that few classes have (up to FEW) meets others in these, in as many of its rarest as a link can't do without:
@@ -419,13 +419,18 @@ def cell_pairs(strong: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame
     return both.where(share).select("a", "b").distinct()
 
 
-def rest_pairs(strong: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of classes in different components that may be similar enough, all linked ones among them."""
-    rows = open_rows(strong, comps, sets)
+def rest_pairs(strong: DataFrame, comps: DataFrame, sets: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Pairs of classes in different components that may be similar enough, all linked ones among them. rows: open_rows() of these, where they are known."""
+    rows = open_rows(strong, comps, sets) if rows is None else rows
     met = met_shingles(rows, sets)
     parts = written(parts_taken(met), "join-roles")
-    rows = written(rows.join(parts.select("id", "smaller"), "id"), "join-open")
-    return few_pairs(met, parts, sets).union(cell_pairs(strong, rows, sets)).distinct()
+    kinds = {r["smaller"] for r in parts.select("smaller").distinct().collect()}  # "few", "many" or null
+    pairs = parts.where("false").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    if "few" in kinds:
+        pairs = pairs.union(few_pairs(met, parts, sets))
+    if "many" in kinds:
+        pairs = pairs.union(cell_pairs(strong, written(rows.join(parts.select("id", "smaller"), "id"), "join-open"), sets))
+    return pairs.distinct()
 
 
 def part_count(members: DataFrame) -> int:
@@ -442,13 +447,20 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     cells = ["n_shingles", "own_band", "own_cells", "next_cells"]
     classes = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least_doc"), *(F.first(c).alias(c) for c in cells))
     strong = written(strong_cells(shared_cells(docs, text_col, part_count(members)), classes), "join-strong")
-    sets = written(sets_of(docs, text_col, strong.select("id").distinct()), "join-sets")
+    sets = written(sets_of(docs, text_col, written(strong.select("id").distinct(), "join-ids")), "join-sets")
     comps = joined(None, written(linked(star_pairs(strong), sets), "join-links"))
+    rows = open_rows(strong, comps, sets)
     for turn in range(stars):
-        comps = joined(comps, written(linked(proposed_pairs(open_rows(strong, comps, sets), turn), sets), "join-links"))
-    rest = written(rest_pairs(strong, comps, sets), "join-pairs")
-    if rest.limit(1).count():
-        comps = joined(comps, written(linked(rest, sets), "join-links"))
+        if not rows.limit(1).count():
+            break
+        further = joined(comps, written(linked(proposed_pairs(rows, turn), sets), "join-links"))
+        if further is comps:  # the same cells are open, and what a round didn't find is left to the rest
+            break
+        comps, rows = further, open_rows(strong, further, sets)
+    if rows.limit(1).count():
+        rest = written(rest_pairs(strong, comps, sets, rows), "join-pairs")
+        if rest.limit(1).count():
+            comps = joined(comps, written(linked(rest, sets), "join-links"))
     classes = classes.join(comps.select(F.col("id").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = classes.groupBy("component").agg(F.min("least_doc").alias("component_id"))
     named = classes.join(least, "component").select(F.col("set_id").alias("s"), "component_id")
